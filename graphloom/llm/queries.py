@@ -13,6 +13,7 @@ from graphloom.llm.decontaminate import decontaminate
 from graphloom.llm.lang_id import fit_languages, predict_languages
 from graphloom.llm.license_scan import RULES, SENTENCES, scan_licenses
 from graphloom.llm.packing import pack
+from graphloom.llm.simhash import near_duplicates
 from graphloom.llm.toxicity import THRESHOLD, fit_toxicity, score_toxicity
 from graphloom.llm.url_filter import Rule, judge_urls
 
@@ -86,6 +87,11 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("prediction.lang").alias("lang_pred"), F.col("prediction.score").alias("score"))
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -156,6 +162,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op3_url_filters": op3_url_filters,
     "op5_language_id": op5_language_id,
+    "op6_simhash": op6_simhash,
     "op7_license_scan": op7_license_scan,
     "op8_toxicity": op8_toxicity,
     "op9_decontaminate": op9_decontaminate,
