@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.llm.ann import search
 from graphloom.llm.chat_format import canonical_turns, format_chats, parse_chats
 from graphloom.llm.common import held_out, table
 from graphloom.llm.decontaminate import decontaminate
@@ -48,6 +49,10 @@ SELECT conv_id, count(*) AS n_turns,
 FROM e GROUP BY conv_id
 """
 
+def op2_ann_ivfpq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0).withColumnRenamed("id", "vec_id")
+
+
 #: Fixed values of the contract, then the method's own unnamed patterns.
 URL_RULES = (
     Rule("com", "/en/", "block"),
@@ -160,6 +165,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
+    "op2_ann_ivfpq": op2_ann_ivfpq,
     "op3_url_filters": op3_url_filters,
     "op5_language_id": op5_language_id,
     "op6_simhash": op6_simhash,
