@@ -69,23 +69,34 @@ class BlockMaxIndex:
     def nearest(self, query: dict[int, float], k: int) -> list[tuple[int, float]]:
         """The k examples of largest positive cosine, exactly; ties to the earlier example.
 
-        Blocks are opened from the largest upper bound down, until no bound reaches the k-th best.
+        The blocks of largest upper bound are opened first; their k-th best score then tells which
+        of the others can still hold a better example, and only those are opened.
         """
         query = {t: w for t, w in sorted(query.items()) if t in self.rows}
         if not query:
             return []
-        bounds = sum(w * self.block_max[t] for t, w in query.items())
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bounds, kind="stable"):
-            if bounds[b] <= 0 or len(best) == k and bounds[b] < -best[-1][0] - 1e-12:
-                break
-            score = np.zeros(BLOCK)
-            for t, w in query.items():
-                lo, hi = np.searchsorted(self.rows[t], (b * BLOCK, (b + 1) * BLOCK))
-                score[self.rows[t][lo:hi] - b * BLOCK] += w * self.weights[t][lo:hi]
-            hit = np.nonzero(score > 0)[0]
-            best = sorted([*best, *((-score[i], int(b * BLOCK + i)) for i in hit)])[:k]
-        return [(i, -s) for s, i in best]
+        bounds = np.zeros(-(-self.n // BLOCK))
+        for t, w in query.items():
+            bounds += w * self.block_max[t]
+        first = np.zeros(len(bounds), bool)
+        first[np.argsort(-bounds, kind="stable")[:4]] = True
+        found = self._score(query, first & (bounds > 0))
+        floor = -np.partition(-found[1], k - 1)[k - 1] - 1e-12 if len(found[1]) >= k else 0.0
+        rest = self._score(query, ~first & (bounds > 0) & (bounds >= floor))
+        rows, scores = np.concatenate((found[0], rest[0])), np.concatenate((found[1], rest[1]))
+        best = np.lexsort((rows, -scores))[:k]
+        return list(zip(rows[best].tolist(), scores[best].tolist(), strict=True))
+
+    def _score(self, query: dict[int, float], opened: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and positive scores of the opened blocks, by one pass over the query's postings in them."""
+        if not opened.any():
+            return np.zeros(0, np.int64), np.zeros(0)
+        score = np.zeros(self.n)
+        for t, w in query.items():
+            at = opened[self.rows[t] // BLOCK]
+            score[self.rows[t][at]] += w * self.weights[t][at]
+        rows = np.nonzero(score > 0)[0]
+        return rows, score[rows]
 
 
 @dataclass
