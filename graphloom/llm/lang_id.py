@@ -145,7 +145,7 @@ def fit_languages(docs: DataFrame, train: Column, key: str = "doc_id", text: str
 
 
 def predict_languages(docs: DataFrame, model: LangModel, text: str = "text") -> DataFrame:
-    """All columns of ``docs`` and ``prediction`` (lang, score); a row-wise pass, no shuffle."""
+    """All columns of ``docs`` and ``_language`` (lang, score); a row-wise pass, no shuffle."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2 MB, whatever the data
 
@@ -154,4 +154,4 @@ def predict_languages(docs: DataFrame, model: LangModel, text: str = "text") ->
         found = [shared.value.score(t) for t in texts]
         return pd.DataFrame(found, columns=["lang", "score"])
 
-    return docs.withColumn("prediction", judge(F.col(text)))
+    return docs.withColumn("_language", judge(F.col(text)))

@@ -88,7 +88,8 @@ FROM parts p LEFT JOIN best b USING (k)
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = dedup_substrings(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))
+    left = F.filter(F.split(F.coalesce("kept", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.array_join(left, " "), 256).alias("kept_sha256"))
 
 
 OP4_SQL = r"""
@@ -108,7 +109,7 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit_languages(docs, ~held_out(F.col("doc_id")))
     judged = predict_languages(docs.select("doc_id", "text"), model)
-    return judged.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("prediction.lang").alias("lang_pred"), F.col("prediction.score").alias("score"))
+    return judged.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_language.lang").alias("lang_pred"), F.col("_language.score").alias("score"))
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,7 +147,7 @@ SELECT doc_id, n_sentences, sentence_ids, CASE WHEN sentence_ids = '' THEN '' EL
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit_toxicity(docs, table(spark, sf_dir, "labels"), ~held_out(F.col("doc_id")))
-    score = F.col("toxicity.score")
+    score = F.col("_toxicity.score")
     return score_toxicity(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score.alias("score"), F.when(score >= THRESHOLD, 1).otherwise(0).alias("predicted"))
 
 

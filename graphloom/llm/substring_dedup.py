@@ -25,6 +25,7 @@ Columns other than those named are ignored, or kept where ``keep`` lists them.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,6 +39,7 @@ from graphloom.llm.common import cut, small_batches
 WINDOW, GRAM = 20, 5
 SHARD_ROWS = 2000
 _FIRST = -(1 << 63)
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
 class SuffixAutomaton:
@@ -127,6 +129,18 @@ def _runs(mask: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
 
 
+def without_spans(text: str | None, spans: list[dict[str, int]]) -> str | None:
+    if not spans:
+        return text
+    raw = text.encode("utf-8", "surrogatepass")
+    starts = [m.start() for m in _WORD.finditer(raw)] + [len(raw)]
+    at, out = 0, []
+    for s in spans:
+        out.append(raw[at : starts[s["first"]]])
+        at = starts[s["last"] + 1]
+    return b"".join([*out, raw[at:]]).decode("utf-8", "surrogatepass")
+
+
 def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known = _WordHash()
     for batch in batches:
@@ -199,9 +213,9 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """key, n_words, n_removed, spans (first and last word removed, merged), kept (text of the words left) and ``keep``.
+    """key, n_words, n_removed, spans (first and last word removed, merged), kept and ``keep``.
 
-    ``kept`` is null for a null text.
+    ``kept`` is the text without the spans and the blanks after them, else unchanged (null for null).
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -242,8 +256,7 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", k
                 for s in gone or ():
                     left[s["first"] : s["last"] + 1] = False
                 merged = [{"first": a, "last": b - 1} for a, b in _runs(~left)]
-                rest = b" ".join([w for w, k in zip(words, left.tolist(), strict=True) if k]) if merged else b" ".join(words)
-                out.append((len(words), int((~left).sum()), merged, None if body is None else rest.decode("utf-8", "surrogatepass")))
+                out.append((len(words), int((~left).sum()), merged, without_spans(body, merged)))
             kinds = (pa.int64(), pa.int64(), pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())])), pa.string())
             made = [pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([batch["o"], batch["extra"], *made], ["o", "extra", "n_words", "n_removed", "spans", "kept"])
