@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _double(v: Column | str) -> Column:
@@ -109,7 +110,7 @@ def weighted_ratio(a: str, b: str) -> float:
     return max(plain, scale * _partial(a, b), 0.95 * scale * max(_token_sort(a, b, _partial), _token_set(a, b, _partial)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def weighted_ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else weighted_ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 

@@ -38,13 +38,17 @@ def parse_query(text: str) -> list[str]:
     return found
 
 
+def _count(tokens: str, term: str) -> Column:
+    return F.size(F.filter(tokens, lambda x: x == term))
+
+
 def bm25(docs: DataFrame, query: str, top_k: int | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, score of the documents with a query term.
 
     One pass for the statistics (a single row) and one for the scores; only query terms leave a row.
     """
     terms = parse_query(query)
-    cut = docs.select(key, tokens(F.coalesce(F.col(text), F.lit(""))).alias("t")).select(key, F.size("t").alias("dl"), *(F.size(F.filter("t", lambda x, t=t: x == t)).alias(f"tf{i}") for i, t in enumerate(terms)))
+    cut = docs.select(key, tokens(F.coalesce(F.col(text), F.lit(""))).alias("t")).select(key, F.size("t").alias("dl"), *(_count("t", t).alias(f"tf{i}") for i, t in enumerate(terms)))
     stats = cut.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *(F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(terms))))
     scored = cut.where(" or ".join(f"tf{i} > 0" for i in range(len(terms)))).join(F.broadcast(stats))  # one row
     total = F.lit(0.0)
