@@ -102,13 +102,17 @@ def canonical_turns(df: DataFrame, conv_id: str = "conv_id", layouts: tuple[Layo
     return df.select(F.col(conv_id).alias("conv_id"), F.inline(F.expr(layout.turns).cast(TURNS)))
 
 
+def _prefixed(names: Column, prefix: str) -> Column:
+    return F.transform(names, lambda n: F.concat(F.lit(prefix), n))
+
+
 def canonical_json_turns(df: DataFrame, conv_id: str, record: str, layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
     """conv_id, layout fingerprint and turns of JSON records, each in a layout of its own."""
     layouts = tuple(x for x in layouts if x.turns is not None)
     known = sorted(frozenset().union(*(x.paths for x in layouts)))
     lists = sorted({p.split("[]")[0] for p in known if "[]" in p})
     keys = F.coalesce(F.json_object_keys(record), F.array().cast("array<string>"))
-    inner = [F.transform(F.coalesce(F.json_object_keys(F.get_json_object(record, f"$.{x}[0]")), F.array().cast("array<string>")), lambda k, x=x: F.concat(F.lit(f"{x}[]."), k)) for x in lists]
+    inner = [_prefixed(F.coalesce(F.json_object_keys(F.get_json_object(record, f"$.{x}[0]")), F.array().cast("array<string>")), f"{x}[].") for x in lists]
     present = F.filter(F.concat(keys, *inner), lambda p: p.isin(*known))
     seen = df.select(F.col(conv_id).alias("conv_id"), F.col(record).alias("_json"), F.array_sort(F.array_distinct(present)).alias("_paths"))
     seen = seen.withColumn("fingerprint", F.sha2(F.array_join("_paths", "\n"), 256))
