@@ -20,7 +20,7 @@ reference has shards without bound, and every document would stream past each of
 
 Null and empty texts have no words. Rows of one id with one text are one document; rows of one id
 with different texts are ordered by a hash of the text. Null ids come before all others.
-Columns other than those named are ignored, or kept where ``keep`` lists them.
+Columns other than those named are ignored, or come back where ``keep`` lists them.
 """
 
 from __future__ import annotations
@@ -213,7 +213,7 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """key, n_words, n_removed, spans (first and last word removed, merged), kept and ``keep``.
+    """key, n_words, n_removed, spans (first and last word removed, merged), kept, and ``_row`` (a struct of ``keep``).
 
     ``kept`` is the text without the spans and the blanks after them, else unchanged (null for null).
     """
@@ -264,4 +264,4 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", k
     kind = base.schema["extra"].dataType.simpleString()
     done = joined.select("o", "extra", "text", "spans").mapInArrow(remove, f"o long, extra {kind}, n_words long, n_removed long, spans array<struct<first:int,last:int>>, kept string")
     back = F.when(F.col("o") != _FIRST, F.col("o")).cast(docs.schema[key].dataType).alias(key)
-    return done.select(back, "n_words", "n_removed", "spans", "kept", *(F.col("extra").getField(c).alias(c) for c in keep))
+    return done.select(back, "n_words", "n_removed", "spans", "kept", *([F.col("extra").alias("_row")] if keep else []))
