@@ -15,6 +15,7 @@ from dataclasses import dataclass, field
 from functools import reduce
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -194,8 +195,6 @@ def extract_graph(chunks: DataFrame, model: Callable[[str], str], on_error: str
 
     The model answers in JSON; what cannot be repaired is no graph, or raises with ``RAISE``.
     """
-    import pandas as pd
-
     @F.pandas_udf("string")
     def ask(texts: pd.Series) -> pd.Series:
         out = []
