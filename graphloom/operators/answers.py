@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.errors import GeneratedQueryError, PromptError
+from graphloom.session import ship
 
 Model = Callable[[str], str]
 
@@ -195,6 +196,8 @@ def extract_graph(chunks: DataFrame, model: Callable[[str], str], on_error: str
 
     The model answers in JSON; what cannot be repaired is no graph, or raises with ``RAISE``.
     """
+    ship(chunks.sparkSession)
+
     @F.pandas_udf("string")
     def ask(texts: pd.Series) -> pd.Series:
         out = []

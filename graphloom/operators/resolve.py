@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.similarity import cosine, weighted_ratio_udf
+from graphloom.session import ship
 from graphloom.sources.scratch import cut
 
 #: Fixed value: what normalisation strips from names.
@@ -53,6 +54,7 @@ def levenshtein_score(a: str, b: str) -> Column:
 
 def fuzzy_pairs(nodes: DataFrame, prop: str = "name", threshold: float = 0.8, processed: bool = True, block: Column | None = None) -> DataFrame:
     text = F.trim(F.regexp_replace(F.lower(prop), r"[^\p{L}\p{N}]", " ")) if processed else F.col(prop)
+    ship(nodes.sparkSession)
     ready = nodes.withColumn("_t", text)
     return similar_pairs(ready, weighted_ratio_udf, threshold, ("_t",), F.lower(F.substring("_t", 1, 1)) if block is None else block)
 

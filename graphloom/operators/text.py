@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.session import ship
+
 
 def _check(size: int, overlap: int) -> None:
     if size <= 0 or overlap < 0 or overlap >= size:
@@ -83,6 +85,7 @@ def sentences(text: str) -> list[str]:
 
 def split_with(docs: DataFrame, splitter: Callable[[str], list[str]], key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, index, chunk by any splitter of a text, in Arrow batches."""
+    ship(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -148,6 +151,8 @@ def evidence_links(facts: DataFrame, chunks: DataFrame, evidence: str = "evidenc
 def embed(rows: DataFrame, embedder: Callable[[list[str]], list[list[float]]], text: str = "chunk", out: str = "embedding") -> DataFrame:
     """Vectors of texts, a batch at a time."""
 
+    ship(rows.sparkSession)
+
     @F.pandas_udf("array<float>")
     def run(texts: pd.Series) -> pd.Series:
         return pd.Series(embedder([t or "" for t in texts]))
