@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import cut
+from graphloom.session import ship
 
 #: Bounds of the fit: vectors, and their components altogether.
 SAMPLE, SAMPLE_COMPONENTS = 8192, 1 << 21
@@ -120,6 +121,7 @@ def _best(scores: np.ndarray, k: int) -> np.ndarray:
 def search(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank, id, score: of each valid row for which ``is_query`` (over ``id``) holds."""
     spark = vectors.sparkSession
+    ship(spark)
     rows = cut(valid_vectors(vectors, key, vector), "vectors")
     total = rows.count()
     schema = "query_id long, rank int, id long, score double"

@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.session import ship
+
 #: Records per Arrow batch for text columns: a batch of long documents must fit a small worker.
 TEXT_BATCH = "256"
 _own = ""
@@ -38,7 +40,8 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound what one Arrow batch of whole texts can hold."""
+    """Before Python functions over texts: send the package, bound what one Arrow batch can hold."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", TEXT_BATCH)
 
 

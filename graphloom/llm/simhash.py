@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import cut, small_batches
 from graphloom.llm.components import components
+from graphloom.session import ship
 
 SEED = 42
 #: Wanted rows of a subtree; rows joined in one go in a worker; node pairs expanded in one go.
@@ -41,7 +42,7 @@ SUBTREE, BUFFER, CHUNK = 256, 60_000, 1 << 20
 #: Of duplicate_groups: fingerprints a text, bits within which they make a candidate, 64-bit words
 #: of the long SimHash, share of its bits that may differ (0.8 of five-word shingles is at 0.15, by
 #: the angle between the sets; the rest is for the spread of the estimate).
-TABLES_OF, CANDIDATE_BITS, LONG_WORDS, LONG_SHARE = 3, 4, 8, 0.178
+TABLES_OF, CANDIDATE_BITS, LONG_WORDS, LONG_SHARE = 4, 4, 8, 0.185
 
 
 def majority(hashes: np.ndarray) -> int:
@@ -172,6 +173,7 @@ def linked(nodes: DataFrame, fingerprints: list[str], max_bits: int, signature:
 
     With ``signature`` (binary), pairs must also be within ``long_bits`` of it.
     """
+    ship(nodes.sparkSession)
     rows = nodes.count()
     masks = _block_tables(rows, max_bits)
     if len(fingerprints) * len(masks) * rows == 0:
