@@ -42,15 +42,14 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(low, F.lit("")), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), lambda w: w != "")
 
 
-def _equal_run(a: Column, b: Column) -> Column:
-    """How many leading words of both lists are equal."""
-    same = F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False)))
-    first = F.array_position(same, F.lit(False))
-    return F.when(first == 0, F.size(same)).otherwise(first - 1)
+def _same(a: Column, b: Column) -> Column:
+    """At each place whether both lists have the same word there; the end of one is a difference."""
+    return F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False)))
 
 
-def _equal_count(a: Column, b: Column) -> Column:
-    return F.size(F.filter(F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False))), lambda s: s))
+def _leading(same: Column) -> Column:
+    first = F.array_position(same, F.lit(False))
+    return F.when(first == 0, F.size(same)).otherwise(first - 1)
 
 
 def _before(words: Column, pos: Column, n: int) -> Column:
@@ -73,12 +72,12 @@ def test_anchors(items: DataFrame, frequencies: DataFrame, window: int) -> DataF
 
 
 def find_matches(docs: DataFrame, items: DataFrame, window: int, with_ends: bool) -> DataFrame:
-    """Of one block of items: row, key, item, first and last position matched, exact.
+    """A row for each aligned anchor: row, key, item and span matched exactly, else item nearly so.
 
-    ``with_ends``: also a row without item for each document, whose ``last`` is its number of words.
+    ``with_ends``: also a row for each document whose ``last``, without ``first``, is its number of words.
     """
     vocabulary = items.select(F.explode("w").alias("term")).distinct()
-    terms = docs.select(F.explode(words(F.col("text"))).alias("term"))
+    terms = docs.select(words(F.col("text")).alias("w")).select(F.explode("w").alias("term"))
     frequencies = terms.join(F.broadcast(vocabulary), "term").groupBy("term").agg(F.count("*").alias("tf"))
     anchors = test_anchors(items, frequencies, window)
     if with_ends:
@@ -87,17 +86,18 @@ def find_matches(docs: DataFrame, items: DataFrame, window: int, with_ends: bool
     anchors = cut(anchors, "anchors")  # bounded by the block
     listed = docs.select("row", "key", words(F.col("text")).alias("w")).select("row", "key", "w", F.posexplode(F.array_append("w", F.lit(_LAST))).alias("at", "term"))
     hits = listed.join(F.broadcast(anchors), "term")
+    # The words around leave the generated code of explode and join; the whole list never does, as
+    # that would be a copy of the document for each of its words. No filter follows: it would move
+    # into the join, whose condition then could not be generated.
     left, right = _before(F.col("w"), F.col("at"), window - 1), _after(F.col("w"), F.col("at"), window - 1)
     aligned = hits.select("row", "key", "item", "n", "at", left.alias("dl"), right.alias("dr"), F.col("left"), F.col("right"))
-    measured = aligned.select(
-        "row", "key", "item", "at", F.least(F.col("n"), F.lit(window)).alias("need"),
-        _equal_run(F.col("dl"), F.col("left")).alias("l"), _equal_run(F.col("dr"), F.col("right")).alias("r"),
-        (_equal_count(F.col("dl"), F.col("left")) + _equal_count(F.col("dr"), F.col("right")) + 1).alias("near"),
-    )
-    exact = F.col("l") + F.col("r") + 1 >= F.col("need")
-    kept = measured.where(F.col("item").isNull() | exact | (F.col("near") >= NEAR_SHARE * F.col("need")))
-    first, last = F.when(F.col("item").isNotNull(), F.col("at") - F.col("l")), F.when(F.col("item").isNull(), F.col("at")).otherwise(F.col("at") + F.col("r"))
-    return kept.select("row", "key", "item", first.cast("long").alias("first"), last.cast("long").alias("last"), exact.alias("exact"))
+    sl, sr = _same(F.col("dl"), F.col("left")), _same(F.col("dr"), F.col("right"))
+    alike = F.size(F.filter(F.concat(sl, sr), lambda x: x)) + 1
+    measured = aligned.select("row", "key", "item", "at", F.least(F.col("n"), F.lit(window)).alias("need"), _leading(sl).alias("l"), _leading(sr).alias("r"), alike.alias("alike"))
+    exact = F.col("item").isNotNull() & (F.col("l") + F.col("r") + 1 >= F.col("need"))
+    near = F.col("item").isNotNull() & ~exact & (F.col("alike") >= NEAR_SHARE * F.col("need"))
+    first, last = F.when(exact, F.col("at") - F.col("l")), F.when(F.col("item").isNull(), F.col("at")).when(exact, F.col("at") + F.col("r"))
+    return measured.select("row", "key", first.cast("long").alias("first"), last.cast("long").alias("last"), F.when(exact, F.col("item")).alias("item"), F.when(near, F.col("item")).alias("near"))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, ratio: int = RATIO) -> DataFrame:
@@ -111,13 +111,12 @@ def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
         block = split.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b) if blocks > 1 else split
         found.append(find_matches(listed, block, window, with_ends=b == 0))
     hits = reduce(DataFrame.unionByName, found)
-    exact = F.col("exact") & F.col("item").isNotNull()
     of_row = hits.groupBy("row").agg(
         F.min("key").alias(key),
-        F.max(F.when(F.col("item").isNull(), F.col("last"))).alias("n_words"),
-        F.array_sort(F.collect_set(F.when(exact, F.struct("first", "last")))).alias("spans"),
-        F.array_sort(F.collect_set(F.when(exact, F.col("item")))).alias("items"),
-        F.array_sort(F.collect_set(F.when(~F.col("exact"), F.col("item")))).alias("near"),
+        F.max(F.when(F.col("first").isNull(), F.col("last"))).alias("n_words"),
+        F.array_sort(F.collect_set(F.when(F.col("item").isNotNull(), F.struct("first", "last")))).alias("spans"),
+        F.array_sort(F.collect_set("item")).alias("items"),
+        F.array_sort(F.collect_set("near")).alias("near"),
     )
     start = F.struct(F.lit(-1).cast("long").alias("end"), F.lit(0).cast("long").alias("n"))
     covered = F.aggregate("spans", start, lambda a, s: F.struct(F.greatest(a.end, s.last).alias("end"), (a.n + F.greatest(F.lit(0), s.last - F.greatest(a.end, s.first - 1))).alias("n")), lambda a: a.n)
