@@ -33,6 +33,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from graphloom.llm.common import cut, small_batches
 
@@ -219,7 +220,7 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", k
     """
     spark = docs.sparkSession
     small_batches(spark)
-    extra = F.struct(*keep) if keep else F.lit(None).cast("boolean")
+    extra = F.struct(*(F.col(f"`{c}`") for c in keep)) if keep else F.lit(None).cast("boolean")
     base = docs.select(
         F.coalesce(F.col(key).cast("long"), F.lit(_FIRST)).alias("o"),
         F.xxhash64(text).bitwiseAND(F.lit(0xFFFFFFFF)).alias("d"), F.col(text).alias("text"), extra.alias("extra"),
@@ -261,7 +262,8 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", k
             made = [pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([batch["o"], batch["extra"], *made], ["o", "extra", "n_words", "n_removed", "spans", "kept"])
 
-    kind = base.schema["extra"].dataType.simpleString()
-    done = joined.select("o", "extra", "text", "spans").mapInArrow(remove, f"o long, extra {kind}, n_words long, n_removed long, spans array<struct<first:int,last:int>>, kept string")
+    span = T.ArrayType(T.StructType([T.StructField("first", T.IntegerType()), T.StructField("last", T.IntegerType())]))
+    columns = {"o": T.LongType(), "extra": base.schema["extra"].dataType, "n_words": T.LongType(), "n_removed": T.LongType(), "spans": span, "kept": T.StringType()}
+    done = joined.select("o", "extra", "text", "spans").mapInArrow(remove, T.StructType([T.StructField(n, t) for n, t in columns.items()]))
     back = F.when(F.col("o") != _FIRST, F.col("o")).cast(docs.schema[key].dataType).alias(key)
     return done.select(back, "n_words", "n_removed", "spans", "kept", *([F.col("extra").alias("_row")] if keep else []))

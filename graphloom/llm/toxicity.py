@@ -211,8 +211,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, train: Column, key: str = "
     return model
 
 
-def score_toxicity(docs: DataFrame, model: ToxicModel, text: str = "text") -> DataFrame:
-    """All columns of ``docs`` and ``_toxicity`` (score, evidence: ids as text); no shuffle."""
+def score_toxicity(docs: DataFrame, model: ToxicModel, text: str = "text", out: str = "_toxicity") -> DataFrame:
+    """All columns of ``docs`` and ``out`` (score, evidence: ids as text); no shuffle."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by SAMPLE and MAX_TERMS
 
@@ -221,4 +221,4 @@ def score_toxicity(docs: DataFrame, model: ToxicModel, text: str = "text") -> Da
         found = [shared.value.judge(t) for t in texts]
         return pd.DataFrame({"score": [s for s, _ in found], "evidence": [[str(i) for i in e] for _, e in found]})
 
-    return docs.withColumn("_toxicity", judge(F.col(text)))
+    return docs.withColumn(out, judge(F.col(text)))

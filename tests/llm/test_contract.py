@@ -65,3 +65,23 @@ def test_pipeline_stages(spark):
     packed = corpus_pipeline.STAGES[-1][1](spark, kept, DATA)
     assert ids(packed) == ids(kept)
     assert len(ids(kept)) > 80
+
+
+def test_stages_with_odd_rows(spark):
+    """Null ids and texts, repeated rows, extra columns with the stages' own names, empty tables."""
+    passage = " ".join(f"p{i}" for i in range(30))
+    rows = [(1, passage, "en", "s", 1), (1, passage, "en", "s", 1), (2, passage + " own words here", None, None, None), (None, passage, "en", "s", 1), (None, None, None, None, None), (3, None, "en", "s", 0), (4, "", "en", "s", 0), (5, "idiot moron scum " * 9000, "en", "s", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for name in ("_toxicity", "_gone", "component", "kept", "row", "k", "o", "spans", "a.b"):
+        docs = docs.withColumn(name, F.lit("extra"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        made = stage(spark, docs, DATA)
+        assert made.dtypes == docs.dtypes, name
+        got = made.collect()
+        assert all(r["kept"] == "extra" and r["a.b"] == "extra" for r in got)
+        assert sum(r["doc_id"] is None for r in got) == 2, name
+        assert stage(spark, docs.limit(0), DATA).count() == 0
+        if name == "substring_dedup":
+            assert {r["doc_id"]: r["text"] for r in got if r["doc_id"] == 2} == {2: "own words here"}
+            assert all(r["n_chars"] == (None if r["text"] is None else len(r["text"])) for r in got)
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, DATA).count() >= len(rows)
