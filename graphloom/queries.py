@@ -474,7 +474,7 @@ def resolve_merge_edges(spark: SparkSession, d: str) -> DataFrame:
 # ---- writers, introspection, history
 
 
-@query("SELECT l_partkey AS src, l_suppkey AS dst, arg_max(l_quantity, l_orderkey * 10 + l_linenumber) AS quantity FROM lineitem WHERE l_suppkey IN (SELECT s_suppkey FROM supplier) AND l_partkey IN (SELECT p_partkey FROM part) GROUP BY l_partkey, l_suppkey")
+@query("SELECT l_partkey AS src, l_suppkey AS dst, arg_max(l_quantity, l_orderkey * 10 + l_linenumber + l_quantity / 1000.0) AS quantity FROM lineitem WHERE l_suppkey IN (SELECT s_suppkey FROM supplier) AND l_partkey IN (SELECT p_partkey FROM part) GROUP BY l_partkey, l_suppkey")
 def edge_upsert_dedup(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "lineitem").select(node_id("part", "l_partkey").alias("src"), F.lit("SUPPLIED_BY").alias("type"), node_id("supplier", "l_suppkey").alias("dst"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), F.col("l_quantity").alias("quantity"))
     merged = writers.merge_edges(rows, relational_graph(spark, d, ("SUPPLIED_BY",), ("part", "supplier")).nodes)

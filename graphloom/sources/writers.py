@@ -23,11 +23,11 @@ def with_labels(nodes: DataFrame, lexical: tuple[str, ...] = ()) -> DataFrame:
 
 
 def merge_edges(edges: DataFrame, nodes: DataFrame, order: str = "seq") -> DataFrame:
-    """One edge for each (src, type, dst), the last written; edges without both ends are dropped."""
+    """One edge for each (src, type, dst), the last written (ties by the other columns); edges without both ends are dropped."""
     ids = nodes.select("id").distinct()
     whole = edges.join(ids.toDF("src"), "src", "left_semi").join(ids.toDF("dst"), "dst", "left_semi")
     rest = [c for c in edges.columns if c not in ("src", "type", "dst")]
-    return whole.groupBy("src", "type", "dst").agg(F.max_by(F.struct(*rest), order).alias("r")).select("src", "type", "dst", "r.*")
+    return whole.groupBy("src", "type", "dst").agg(F.max_by(F.struct(*rest), F.struct(order, *rest)).alias("r")).select("src", "type", "dst", "r.*")
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:

@@ -25,7 +25,7 @@ def test_query_agrees_with_sql(spark, con, name):
 
 @pytest.mark.parametrize("name", sorted(queries.QUERIES.keys() - queries.ORACLE_SQL.keys()))
 def test_query_without_sql_has_rows(spark, name):
-    assert queries.QUERIES[name](spark, DATA).count() > 0
+    assert queries.QUERIES[name](spark, "/root/testdata/sf0.01").count() > 0
 
 
 def test_entry(spark):
