@@ -35,7 +35,7 @@ ROUNDS, SLACK, RATE = 40, 0.01, 0.5
 #: Patterns of more pieces than this are left to best fit.
 MAX_PIECES = 64
 #: Rows that are ranked in one task at most, about.
-RANKED = 50_000
+RANKED = 1000
 
 
 def default_tokenizer() -> str:
@@ -205,7 +205,8 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, key
         sequence += n
     runs.sort()
     table = np.array(runs, np.int64).reshape(-1, 4)
-    shared = docs.sparkSession.sparkContext.broadcast((table[:, 0] * (1 << 44) + table[:, 1], table))
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast((table[:, 0] * (1 << 44) + table[:, 1], table))
 
     @F.pandas_udf("sequence_id long, offset long")
     def place(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
@@ -213,10 +214,11 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, key
         at = rows[np.searchsorted(starts, length.to_numpy() * (1 << 44) + rank.to_numpy(), side="right") - 1]
         return pd.DataFrame({"sequence_id": at[:, 2] + rank.to_numpy() - at[:, 1], "offset": at[:, 3]})
 
-    salts = max(1, -(-max(counts.values(), default=0) // RANKED))
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64(key, "piece", "ids_crc32"), F.lit(salts)))
+    # only lengths of many pieces have more than one salt
+    sizes = spark.createDataFrame([(x, -(-n // RANKED)) for x, n in counts.items()], "length long, _salts long")
+    salted = pieces.join(F.broadcast(sizes), "length").withColumn("_salt", F.pmod(F.xxhash64(key, "piece", "ids_crc32"), "_salts"))
     within = salted.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_salt").orderBy(key, "piece", "ids_crc32")) - 1)
     before = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n")).withColumn("_before", F.sum("_n").over(Window.partitionBy("length").orderBy("_salt")) - F.col("_n"))
-    ranked = within.join(before.drop("_n"), ["length", "_salt"]) if salts > 1 else within.withColumn("_before", F.lit(0))
+    ranked = within.join(before.drop("_n"), ["length", "_salt"])
     placed = ranked.withColumn("_at", place("length", (F.col("_rank") + F.col("_before")).cast("long")))
     return placed.select(key, "piece", "start", "length", "ids_crc32", *["ids"] * with_ids, "_at.sequence_id", "_at.offset")
