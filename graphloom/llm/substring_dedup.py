@@ -163,18 +163,33 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known = _WordHash()
     for batch in batches:
-        out = []
-        for o, d, text, wanted in zip(batch["o"].to_pylist(), batch["d"].to_pylist(), batch["text"].to_pylist(), batch["wanted"].to_pylist(), strict=True):
+        hashes, salts, hot, os, ds, firsts, texts = [], [], [], [], [], [], []
+        wanted, ends = batch["wanted"].flatten(), batch["wanted"].offsets.to_pylist()
+        places, counts = (wanted.field(i).to_numpy() for i in (0, 1))
+        at0 = ends[0]
+        for i, (o, d, text) in enumerate(zip(batch["o"].to_pylist(), batch["d"].to_pylist(), batch["text"].to_pylist(), strict=True)):
             words = split_words(text)
             at, grams = anchors(words, known)
-            salts = {w["place"]: w["salts"] for w in wanted}
+            mine = slice(ends[i] - at0, ends[i + 1] - at0)
+            order = np.argsort(places[mine])
+            place, count = places[mine][order], counts[mine][order]
             starts = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-            for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(at)], strict=True):
-                if n := salts.get(int(at[a])):
-                    salt = xxhash.xxh32_intdigest(f"{o} {d}") % n
-                    out.append((int(grams[at[a]].view(np.int64)), salt, n > 1, o, d, a, b" ".join(words[a : b + WINDOW - 1])))
-        kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], ["anchor", "salt", "hot", "o", "d", "start", "words"])
+            stops = np.append(starts[1:], len(at))
+            found = np.searchsorted(place, at[starts])
+            found[found == len(place)] = 0
+            use = place[found] == at[starts]
+            salt = xxhash.xxh32_intdigest(f"{o} {d}")
+            for h, n, start, stop in zip(grams[at[starts[use]]].view(np.int64).tolist(), count[found[use]].tolist(), starts[use].tolist(), stops[use].tolist(), strict=True):
+                hashes.append(h)
+                salts.append(salt % n)
+                hot.append(n > 1)
+                firsts.append(start)
+                texts.append(b" ".join(words[start : stop + WINDOW - 1]))
+            n = int(use.sum())
+            os += [o] * n
+            ds += [d] * n
+        columns = (pa.array(hashes, pa.int64()), pa.array(salts, pa.int64()), pa.array(hot, pa.bool_()), pa.array(os, pa.int64()), pa.array(ds, pa.int64()), pa.array(firsts, pa.int32()), pa.array(texts, pa.binary()))
+        yield pa.RecordBatch.from_arrays(list(columns), ["anchor", "salt", "hot", "o", "d", "start", "words"])
 
 
 _SEGMENT = "anchor long, salt long, hot boolean, o long, d long, start int, words binary"
@@ -186,15 +201,24 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     and, of salted anchors, the windows that are new here."""
     group, seen, automaton, waiting = None, set(), None, None
     for batch in batches:
-        out = []
+        a, os, ds, firsts, lasts, windows = [], [], [], [], [], []
+
+        def put(anchor: int, o: int, d: int, first: int, last: int, window: bytes | None = None) -> None:
+            a.append(anchor)
+            os.append(o)
+            ds.append(d)
+            firsts.append(first)
+            lasts.append(last)
+            windows.append(window)
+
         columns = (batch[c].to_pylist() for c in ("anchor", "salt", "hot", "o", "d", "start", "words"))
         for anchor, salt, hot, o, d, start, text in zip(*columns, strict=True):
             if (anchor, salt) != group:
                 group, seen, automaton, waiting = (anchor, salt), set(), None, None
-            words = text.split(b" ")
             if text in seen:
-                out.append((anchor, o, d, start, start + len(words) - 1, None))
+                put(anchor, o, d, start, start + text.count(b" "))
                 continue
+            words = text.split(b" ")
             repeated = np.zeros(len(words) - WINDOW + 1, bool)
             if seen:
                 if automaton is None:
@@ -206,11 +230,13 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             else:
                 waiting = words
             seen.add(text)
-            out += [(anchor, o, d, start + a, start + b + WINDOW - 2, None) for a, b in _runs(repeated)]
+            for x, y in _runs(repeated):
+                put(anchor, o, d, start + x, start + y + WINDOW - 2)
             if hot:
-                out += [(anchor, o, d, start + i, start + i + WINDOW - 1, b" ".join(words[i : i + WINDOW])) for i in np.flatnonzero(~repeated).tolist()]
+                for i in np.flatnonzero(~repeated).tolist():
+                    put(anchor, o, d, start + i, start + i + WINDOW - 1, b" ".join(words[i : i + WINDOW]))
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], ["anchor", "o", "d", "first", "last", "window"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((a, os, ds, firsts, lasts, windows), kinds, strict=True)], ["anchor", "o", "d", "first", "last", "window"])
 
 
 def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -233,7 +259,8 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", k
 
     seen = known.select(F.explode("hashes").alias("hash"), "digest").unionByName(known.select(F.explode("again").alias("hash"), F.col("digest").bitwiseXOR(F.lit(1)).alias("digest")))
     counted = seen.groupBy("hash").agg(F.min("digest").alias("a"), F.max("digest").alias("b"), F.count("*").alias("n"))
-    repeated = counted.where("a <> b").select("hash", F.ceil(F.col("n") / SHARD_ROWS).cast("int").alias("salts"))
+    # as a table, so that the next join shuffles both sides and a hot anchor's rows can be split
+    repeated = cut(counted.where("a <> b").select("hash", F.ceil(F.col("n") / SHARD_ROWS).cast("int").alias("salts")), "repeated")
     placed = known.select("o", "d", F.inline(F.arrays_zip(F.col("hashes").alias("hash"), F.col("places").alias("place")))).toDF("o", "d", "hash", "place")
     wanted = placed.join(repeated, "hash").groupBy("o", "d").agg(F.collect_set(F.struct("place", "salts")).alias("wanted"))
     wanted = cut(wanted.join(copies.select("o", "d"), ["o", "d"], "left_anti"), "wanted")
@@ -251,13 +278,17 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", k
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for body, gone in zip(batch["text"].to_pylist(), batch["spans"].to_pylist(), strict=True):
+            spans, ends = batch["spans"].flatten(), batch["spans"].offsets.to_pylist()
+            first, last = (spans.field(i).to_numpy() for i in (0, 1))
+            for i, body in enumerate(batch["text"].to_pylist()):
                 words = split_words(body)
-                left = np.ones(len(words), bool)
-                for s in gone or ():
-                    left[s["first"] : s["last"] + 1] = False
-                merged = [{"first": a, "last": b - 1} for a, b in _runs(~left)]
-                out.append((len(words), int((~left).sum()), merged, without_spans(body, merged)))
+                depth = np.zeros(len(words) + 1, np.int64)
+                mine = slice(ends[i] - ends[0], ends[i + 1] - ends[0])
+                np.add.at(depth, first[mine], 1)
+                np.add.at(depth, last[mine] + 1, -1)
+                gone = np.cumsum(depth[:-1]) > 0
+                merged = [{"first": a, "last": b - 1} for a, b in _runs(gone)]
+                out.append((len(words), int(gone.sum()), merged, without_spans(body, merged)))
             kinds = (pa.int64(), pa.int64(), pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())])), pa.string())
             made = [pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([batch["o"], batch["extra"], *made], ["o", "extra", "n_words", "n_removed", "spans", "kept"])
