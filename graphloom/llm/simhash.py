@@ -12,8 +12,9 @@ number; components are found in tables (see ``components``).
 
 ``near_duplicates`` is the contract's: all shingles count with repeats, any 64-bit distance up to
 ``max_bits`` links. ``duplicate_groups`` is for filtering by five-word shingles at a similarity of
-0.8: candidates come from trie joins of ``TABLES_OF`` fingerprints of the set of words; a long
-SimHash of the set of shingles then estimates their similarity.
+0.8: candidates share the least hashes of the set of shingles in one of ``BANDS`` bands (a pair at
+0.8 is missed by all with probability 0.0002); a long SimHash of the set then estimates their
+similarity.
 
 Null and empty texts have the fingerprint zero and are linked like others. Texts of fewer words
 than a shingle are one shingle. Repeated rows stay, each with the class of its text. Null ids form
@@ -39,10 +40,11 @@ from graphloom.session import ship
 SEED = 42
 #: Wanted rows of a subtree; rows joined in one go in a worker; node pairs expanded in one go.
 SUBTREE, BUFFER, CHUNK = 256, 60_000, 1 << 20
-#: Of duplicate_groups: fingerprints a text, bits within which they make a candidate, 64-bit words
-#: of the long SimHash, share of its bits that may differ (0.8 of five-word shingles is at 0.15, by
-#: the angle between the sets; the rest is for the spread of the estimate).
-TABLES_OF, CANDIDATE_BITS, LONG_WORDS, LONG_SHARE = 4, 4, 8, 0.185
+BUFFER_BYTES = 64 << 20
+#: Of duplicate_groups: bands a text, least hashes in a band, 64-bit words of the long SimHash, share
+#: of its bits that may differ (0.8 of five-word shingles is at 0.15, by the angle between the sets;
+#: the rest is for the spread of the estimate).
+BANDS, BAND_ROWS, LONG_WORDS, LONG_SHARE = 16, 4, 8, 0.185
 
 
 def majority(hashes: np.ndarray) -> int:
@@ -168,66 +170,58 @@ def trie_join(fp: np.ndarray, bounds: np.ndarray, max_bits: int, use) -> None:
         stack.append((bit - 1, below[:, (alo < ahi) & (blo < bhi) & (err <= max_bits) & ~((alo == blo) & (ahi - alo == 1))]))
 
 
-def linked(nodes: DataFrame, fingerprints: list[str], max_bits: int, signature: str | None = None, long_bits: int = 0) -> DataFrame:
-    """src, dst: a spanning forest, by subtree, of the links between ``nodes`` (id, fingerprints).
-
-    With ``signature`` (binary), pairs must also be within ``long_bits`` of it.
-    """
+def linked(nodes: DataFrame, fingerprints: list[str], max_bits: int) -> DataFrame:
+    """src, dst: a spanning forest, by subtree, of the links between ``nodes`` (id, fingerprints)."""
     ship(nodes.sparkSession)
     rows = nodes.count()
     masks = _block_tables(rows, max_bits)
     if len(fingerprints) * len(masks) * rows == 0:
         return nodes.sparkSession.createDataFrame([], "src long, dst long")
     keyed = [F.struct(F.xxhash64(F.lit(t), F.lit(k), F.col(f).bitwiseAND(F.lit(m if m < 1 << 63 else m - (1 << 64)))).alias("key"), F.col(f).alias("fp")) for t, f in enumerate(fingerprints) for k, m in enumerate(masks)]
-    kept = ["id"] + [signature] * bool(signature)
-    dealt = nodes.select(*kept, F.inline(F.array(*keyed)))
+    dealt = nodes.select("id", F.inline(F.array(*keyed)))
     parts = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows * len(keyed) / 2_000_000))
     dealt = dealt.repartition(parts, "key").sortWithinPartitions("key")
 
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(table: pa.Table) -> pa.RecordBatch:
-            key = table["key"].to_numpy()
-            fp = table["fp"].to_numpy().view(np.uint64)
-            order = np.lexsort((fp, key))
-            key, fp, ids = key[order], fp[order], table["id"].to_numpy()[order]
-            long = None
-            if signature:
-                long = np.frombuffer(b"".join(table[signature].to_pylist()), np.uint64).reshape(len(key), -1)[order]
-            bounds = np.concatenate(([0], np.nonzero(key[1:] != key[:-1])[0] + 1, [len(key)]))
-            forest = Forest(len(key))
-
-            def use(i: np.ndarray, j: np.ndarray) -> None:
-                for at in range(0, len(i), CHUNK // 8):
-                    a, b = i[at : at + CHUNK // 8], j[at : at + CHUNK // 8]
-                    new = forest.apart(a, b)
-                    a, b = a[new], b[new]
-                    if long is not None and len(a):
-                        near = np.bitwise_count(long[a] ^ long[b]).sum(axis=1, dtype=np.int64) <= long_bits
-                        a, b = a[near], b[near]
-                    forest.join(a, b)
-
-            trie_join(fp, bounds, max_bits, use)
-            moved = np.nonzero(forest.label != np.arange(len(key)))[0]
-            return pa.RecordBatch.from_pydict({"src": ids[moved], "dst": ids[forest.label[moved]]})
-
-        held: list[pa.RecordBatch] = []
-        n = 0
-        for batch in batches:
-            held.append(batch)
-            n += len(batch)
-            if n < BUFFER:
-                continue
-            table = pa.Table.from_batches(held)
-            key = table["key"].to_numpy()
-            whole = int(np.searchsorted(key, key[-1]))  # the last subtree may go on
-            if whole:
-                yield flush(table.slice(0, whole))
-                table = table.slice(whole).combine_chunks()
-            held, n = table.to_batches(), len(table)
-        if n:
-            yield flush(pa.Table.from_batches(held))
-
-    return dealt.mapInArrow(join, "src long, dst long")
+    def flush(table: pa.Table) -> pa.RecordBatch:
+        key = table["key"].to_numpy()
+        fp = table["fp"].to_numpy().view(np.uint64)
+        order = np.lexsort((fp, key))
+        key, fp, ids = key[order], fp[order], table["id"].to_numpy()[order]
+        forest = Forest(len(key))
+
+        def use(i: np.ndarray, j: np.ndarray) -> None:
+            for at in range(0, len(i), CHUNK // 8):
+                forest.join(i[at : at + CHUNK // 8], j[at : at + CHUNK // 8])
+
+        trie_join(fp, _runs_of(key), max_bits, use)
+        moved = np.nonzero(forest.label != np.arange(len(key)))[0]
+        return pa.RecordBatch.from_pydict({"src": ids[moved], "dst": ids[forest.label[moved]]})
+
+    return dealt.mapInArrow(lambda batches: _by_key(batches, flush), "src long, dst long")
+
+
+def _runs_of(key: np.ndarray) -> np.ndarray:
+    return np.concatenate(([0], np.nonzero(key[1:] != key[:-1])[0] + 1, [len(key)]))
+
+
+def _by_key(batches: Iterator[pa.RecordBatch], flush) -> Iterator[pa.RecordBatch]:
+    """``flush`` of whole runs of ``key``, a buffer at a time."""
+    held: list[pa.RecordBatch] = []
+    n = size = 0
+    for batch in batches:
+        held.append(batch)
+        n, size = n + len(batch), size + batch.nbytes
+        if n < BUFFER and size < BUFFER_BYTES:
+            continue
+        table = pa.Table.from_batches(held)
+        key = table["key"].to_numpy()
+        whole = int(np.searchsorted(key, key[-1]))  # the last run may go on
+        if whole:
+            yield flush(table.slice(0, whole))
+            table = table.slice(whole).combine_chunks()
+        held, n, size = table.to_batches(), len(table), table.nbytes
+    if n:
+        yield flush(pa.Table.from_batches(held))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3, max_bits: int = 2) -> DataFrame:
@@ -268,42 +262,86 @@ class _WordHash(dict):
         return found
 
 
+_BAND = np.array([xxhash.xxh64_intdigest(b"%d" % i, SEED) | 1 for i in range(2 * BANDS * BAND_ROWS)], np.uint64).reshape(2, -1, 1)
+
+
+def shingle_set(words: list[bytes], shingle: int, known: _WordHash) -> np.ndarray:
+    """Ascending hashes of the text's shingles, each once."""
+    h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    n = max(1, len(h) - shingle + 1)
+    s = np.zeros(n, np.uint64)
+    with np.errstate(over="ignore"):
+        for j in range(min(shingle, len(h))):
+            s = (s ^ h[j : j + n]) * _ODD
+            s ^= s >> np.uint64(31)
+    return np.unique(s)
+
+
+def band_keys(shingles: np.ndarray) -> np.ndarray:
+    """A key for each band: two sets share it with probability similarity ** BAND_ROWS."""
+    flip, odd = _BAND
+    least = np.full(BANDS * BAND_ROWS, 2**64 - 1, np.uint64)
+    with np.errstate(over="ignore"):
+        for at in range(0, len(shingles), 1 << 14):
+            least = np.minimum(least, ((shingles[at : at + (1 << 14)] ^ flip) * odd).min(axis=1))
+        key = np.arange(BANDS, dtype=np.uint64)
+        for column in least.reshape(BANDS, BAND_ROWS).T:
+            key = _mix(key * _ODD ^ column, 7)
+    return key
+
+
+def split_lower(text: str | None) -> list[bytes]:
+    return text.encode("utf-8", "surrogatepass").lower().split() if text else []
+
+
+def near_members(table: pa.Table) -> pa.RecordBatch:
+    """src, dst: a spanning forest of the links in each bucket (rows of one key)."""
+    ids, bounds = table["id"].to_numpy(), _runs_of(table["key"].to_numpy())
+    long = np.frombuffer(b"".join(table["long"].to_pylist()), np.uint64).reshape(len(ids), -1)
+    bits = int(LONG_SHARE * 64 * LONG_WORDS)
+    src, dst = [], []
+    for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        forest = Forest(hi - lo)
+        for i in range(hi - lo - 1):
+            j = i + 1 + np.nonzero(forest.label[i + 1 :] != forest.label[i])[0]
+            j = j[np.bitwise_count(long[lo + i] ^ long[lo + j]).sum(axis=1, dtype=np.int64) <= bits]
+            forest.join(np.full(len(j), i), j)
+        moved = np.nonzero(forest.label != np.arange(hi - lo))[0]
+        src.append(ids[lo + moved])
+        dst.append(ids[lo + forest.label[moved]])
+    return pa.RecordBatch.from_pydict({"src": np.concatenate(src), "dst": np.concatenate(dst)})
+
+
 def duplicate_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5) -> DataFrame:
     """key, component: groups of texts that are equal (by lower-cased words) or similar by 0.8 and more."""
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    small_batches(spark)
     kind = docs.schema[key].dataType
-    prints = [f"fp{i}" for i in range(TABLES_OF)]
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _WordHash()
         for batch in batches:
             out = []
             for t in batch["text"].to_pylist():
-                words = t.encode("utf-8", "surrogatepass").lower().split() if t else []
+                words = split_lower(t)
                 digest = xxhash.xxh128_digest(b" ".join(words))
                 if not words:
-                    out.append((digest, *[0] * TABLES_OF, bytes(8 * LONG_WORDS)))
+                    out.append((digest, [], b""))
                     continue
-                h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-                n = max(1, len(h) - shingle + 1)
-                s = np.zeros(n, np.uint64)
-                with np.errstate(over="ignore"):
-                    for j in range(min(shingle, len(h))):
-                        s = (s ^ h[j : j + n]) * _ODD
-                        s ^= s >> np.uint64(31)
-                h, s = np.unique(h), np.unique(s)
-                shorts = [majority(_mix(h, 1 + i)) for i in range(TABLES_OF)]
+                s = shingle_set(words, shingle, known)
                 long = b"".join(majority(_mix(s, 101 + i)).to_bytes(8, "little") for i in range(LONG_WORDS))
-                out.append((digest, *shorts, long))
-            columns = [batch["k"], pa.array([x[0] for x in out], pa.binary())]
-            columns += [pa.array(np.array([x[1 + i] for x in out], np.uint64).view(np.int64)) for i in range(TABLES_OF)]
-            columns.append(pa.array([x[-1] for x in out], pa.binary()))
-            yield pa.RecordBatch.from_arrays(columns, [key, "digest", *prints, "long"])
-
-    schema = f"`{key}` {kind.simpleString()}, digest binary, " + ", ".join(f"{p} long" for p in prints) + ", long binary"
-    seen = cut(docs.select(F.col(key).alias("k"), F.col(text).alias("text")).mapInArrow(sketch, schema), "sketches")
-    nodes = cut(seen.groupBy("digest").agg(F.min(key).alias("id"), *(F.min(p).alias(p) for p in prints), F.min("long").alias("long")), "texts")
-    links = linked(nodes.where(F.col("id").isNotNull()).select(F.col("id").cast("long").alias("id"), *prints, "long"), prints, CANDIDATE_BITS, "long", int(LONG_SHARE * 64 * LONG_WORDS))
-    found = components(links)
+                out.append((digest, band_keys(s).view(np.int64), long))
+            yield pa.RecordBatch.from_arrays([batch["k"], pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.list_(pa.int64())), pa.array([x[2] for x in out], pa.binary())], [key, "digest", "bands", "long"])
+
+    seen = docs.select(F.col(key).alias("k"), F.col(text).alias("text")).mapInArrow(sketch, f"`{key}` {kind.simpleString()}, digest binary, bands array<long>, long binary")
+    seen = cut(seen, "sketches")
+    nodes = cut(seen.groupBy("digest").agg(F.min(key).alias("id"), F.min("bands").alias("bands"), F.min("long").alias("long")), "texts")
+    placed = nodes.where(F.col("id").isNotNull()).select(F.explode("bands").alias("key"), F.col("id").cast("long").alias("id"), "digest", "long")
+    # buckets of the same texts are one; those of one text have no pair
+    filled = placed.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("digest")).alias("x")).where("n > 1")
+    buckets = cut(filled.groupBy("n", "x").agg(F.min("key").alias("key")).select("key"), "buckets")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    members = placed.join(buckets, "key").select("key", "id", "long").repartition(parts, "key").sortWithinPartitions("key", "id")
+    found = components(members.mapInArrow(lambda batches: _by_key(batches, near_members), "src long, dst long"))
     of_text = nodes.select("digest", "id").join(found.withColumnRenamed("node", "id"), "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
     return seen.select(key, "digest").join(of_text, "digest").select(key, "component")

@@ -153,6 +153,36 @@ def test_duplicate_groups(spark):
     assert simhash.duplicate_groups(df.limit(0)).count() == 0
 
 
+def near_copies(rng, edit, n):
+    """Rows of (text, its copy with ``edit`` words of a block or scattered ones changed), and their similarity."""
+    rows, sims = [], []
+    for i in range(n):
+        words = [f"w{x}" for x in rng.integers(0, 10**6, int(rng.integers(80, 600)))]
+        m = max(1, int(len(words) * rng.uniform(0.04, 0.25)))
+        other, at = list(words), int(rng.integers(0, len(words) - m))
+        if edit == "append":
+            other += [f"x{x}" for x in rng.integers(0, 10**6, m)]
+        elif edit == "cut":
+            other = other[:-m]
+        elif edit == "block":
+            other[at : at + m // 2] = [f"x{x}" for x in rng.integers(0, 10**6, m // 2)]
+        else:
+            for k in rng.choice(len(words), max(1, m // 7), replace=False):
+                other[k] = f"x{rng.integers(0, 10**6)}"
+        a, b = ({tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (words, other))
+        sims.append(len(a & b) / len(a | b))
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+    return rows, np.array(sims)
+
+
+@pytest.mark.parametrize("edit", ["append", "cut", "block", "scattered"])
+def test_recall_of_near_copies(spark, edit):
+    rows, sims = near_copies(np.random.default_rng(11), edit, 200)
+    got = {r["doc_id"]: r["component"] for r in simhash.duplicate_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    linked = np.array([got[2 * i + 1] == 2 * i for i in range(len(sims))])
+    assert (sims >= 0.8).sum() >= 50 and linked[sims >= 0.8].mean() >= 0.97
+
+
 def test_components_of_chain_and_star(spark):
     edges = [(i, i + 1) for i in range(60)] + [(200, i) for i in range(201, 300)] + [(5, 5), (400, 400)]
     got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(edges, "src long, dst long")).collect()}
