@@ -13,8 +13,8 @@ number; components are found in tables (see ``components``).
 ``near_duplicates`` is the contract's: all shingles count with repeats, any 64-bit distance up to
 ``max_bits`` links. ``duplicate_groups`` is for filtering by five-word shingles at a similarity of
 0.8: candidates share the least hashes of the set of shingles in one of ``BANDS`` bands (a pair at
-0.8 is missed by all with probability 0.0002); a long SimHash of the set then estimates their
-similarity.
+0.8 is missed by all with probability 0.0002); pairs whose long SimHashes are far apart are passed
+over, and of the others the exact similarity of the sets decides.
 
 Null and empty texts have the fingerprint zero and are linked like others. Texts of fewer words
 than a shingle are one shingle. Repeated rows stay, each with the class of its text. Null ids form
@@ -42,9 +42,9 @@ SEED = 42
 SUBTREE, BUFFER, CHUNK = 256, 60_000, 1 << 20
 BUFFER_BYTES = 64 << 20
 #: Of duplicate_groups: bands a text, least hashes in a band, 64-bit words of the long SimHash, share
-#: of its bits that may differ (0.8 of five-word shingles is at 0.15, by the angle between the sets;
-#: the rest is for the spread of the estimate).
-BANDS, BAND_ROWS, LONG_WORDS, LONG_SHARE = 16, 4, 8, 0.185
+#: of its bits beyond which sets of at least ``LEAST`` shingles are not compared (0.8 is at 0.15, by
+#: the angle between the sets, and the estimate spreads by 0.016: five times that is left).
+BANDS, BAND_ROWS, LONG_WORDS, LONG_SHARE, LEAST = 16, 4, 8, 0.23, 64
 
 
 def majority(hashes: np.ndarray) -> int:
@@ -294,18 +294,33 @@ def split_lower(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether the similarity of two sets (ascending) is 0.8 or more, in whole numbers."""
+    if len(a) > len(b):
+        a, b = b, a
+    both = np.count_nonzero(b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a)
+    return 9 * both >= 4 * (len(a) + len(b))
+
+
 def near_members(table: pa.Table) -> pa.RecordBatch:
     """src, dst: a spanning forest of the links in each bucket (rows of one key)."""
     ids, bounds = table["id"].to_numpy(), _runs_of(table["key"].to_numpy())
     long = np.frombuffer(b"".join(table["long"].to_pylist()), np.uint64).reshape(len(ids), -1)
     bits = int(LONG_SHARE * 64 * LONG_WORDS)
+    sets = [np.frombuffer(b, np.uint64) for b in table["shingles"].to_pylist()]
+    n = np.array([len(x) for x in sets])
     src, dst = [], []
     for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
         forest = Forest(hi - lo)
         for i in range(hi - lo - 1):
             j = i + 1 + np.nonzero(forest.label[i + 1 :] != forest.label[i])[0]
-            j = j[np.bitwise_count(long[lo + i] ^ long[lo + j]).sum(axis=1, dtype=np.int64) <= bits]
-            forest.join(np.full(len(j), i), j)
+            low, high = np.minimum(n[lo + i], n[lo + j]), np.maximum(n[lo + i], n[lo + j])
+            j = j[(5 * low >= 4 * high) & ((low < LEAST) | (np.bitwise_count(long[lo + i] ^ long[lo + j]).sum(axis=1, dtype=np.int64) <= bits))]
+            met = {}
+            for k, of in zip(j.tolist(), forest.label[j].tolist(), strict=True):
+                if of not in met and similar(sets[lo + i], sets[lo + k]):
+                    met[of] = k
+            forest.join(np.full(len(met), i), np.array(list(met.values()), np.int64))
         moved = np.nonzero(forest.label != np.arange(hi - lo))[0]
         src.append(ids[lo + moved])
         dst.append(ids[lo + forest.label[moved]])
@@ -341,7 +356,18 @@ def duplicate_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", s
     filled = placed.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("digest")).alias("x")).where("n > 1")
     buckets = cut(filled.groupBy("n", "x").agg(F.min("key").alias("key")).select("key"), "buckets")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    members = placed.join(buckets, "key").select("key", "id", "long").repartition(parts, "key").sortWithinPartitions("key", "id")
-    found = components(members.mapInArrow(lambda batches: _by_key(batches, near_members), "src long, dst long"))
-    of_text = nodes.select("digest", "id").join(found.withColumnRenamed("node", "id"), "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
+    found = cut(placed.join(buckets, "key").select("key", "id", "digest", "long"), "members")
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _WordHash()
+        for batch in batches:
+            texts = [split_lower(t) for t in batch["text"].to_pylist()]
+            sets = [shingle_set(words, shingle, known).tobytes() if words else b"" for words in texts]
+            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh128_digest(b" ".join(words)) for words in texts], pa.binary()), pa.array(sets, pa.binary())], ["digest", "shingles"])
+
+    wanted = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).join(found.select("id").distinct(), "id", "left_semi")
+    sets = wanted.select("text").mapInArrow(gather, "digest binary, shingles binary").groupBy("digest").agg(F.min("shingles").alias("shingles"))
+    members = found.join(sets, "digest").select("key", "id", "long", "shingles").repartition(parts, "key").sortWithinPartitions("key", "id")
+    linked_ids = components(members.mapInArrow(lambda batches: _by_key(batches, near_members), "src long, dst long"))
+    of_text = nodes.select("digest", "id").join(linked_ids.withColumnRenamed("node", "id"), "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
     return seen.select(key, "digest").join(of_text, "digest").select(key, "component")

@@ -183,6 +183,16 @@ def test_recall_of_near_copies(spark, edit):
     assert (sims >= 0.8).sum() >= 50 and linked[sims >= 0.8].mean() >= 0.97
 
 
+def test_only_pairs_of_similarity_0_8_are_linked(spark):
+    rows, sims = near_copies(np.random.default_rng(12), "scattered", 300)
+    rows += [(1000, "a b c d e f g h"), (1001, "a b c d e f g"), (1002, "p q r s t u v w x"), (1003, "p q r s t u v w")]  # 3 of 4 and 4 of 5 shingles
+    got = {r["doc_id"]: r["component"] for r in simhash.duplicate_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    linked = np.array([got[2 * i + 1] == 2 * i for i in range(len(sims))])
+    assert not linked[sims < 0.8].any() and ((sims > 0.7) & (sims < 0.8)).sum() >= 20
+    assert linked[sims >= 0.8].mean() >= 0.99
+    assert got[1001] == 1001 and got[1003] == 1002
+
+
 def test_components_of_chain_and_star(spark):
     edges = [(i, i + 1) for i in range(60)] + [(200, i) for i in range(201, 300)] + [(5, 5), (400, 400)]
     got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(edges, "src long, dst long")).collect()}
