@@ -11,7 +11,8 @@ is broadcast (vocabulary, anchors with their context) is bounded. Documents are
 term; hits are aggregated by document, and a document's hits are bounded by its own words.
 
 Null and empty texts have no words. Rows are judged one by one, repeated rows included. Null items
-and items without words match nothing; repeated item ids count once. Other columns are ignored.
+and items without words match nothing. Rows of one item id are judged each by its own text and reported
+as one id. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -63,11 +64,11 @@ def _after(words: Column, pos: Column, n: int) -> Column:
 
 def test_anchors(items: DataFrame, frequencies: DataFrame, window: int) -> DataFrame:
     """For each window of each item its rarest term: item, term, pos, n, words around it."""
-    listed = items.select("item", "w", F.size("w").alias("n"), F.posexplode("w").alias("pos", "term"))
+    listed = items.select("item", F.xxhash64("w").alias("of"), "w", F.size("w").alias("n"), F.posexplode("w").alias("pos", "term"))
     rated = listed.join(F.broadcast(frequencies), "term", "left").withColumn("tf", F.coalesce("tf", F.lit(0)))
-    ahead = Window.partitionBy("item").orderBy("pos").rowsBetween(0, window - 1)
+    ahead = Window.partitionBy("item", "of").orderBy("pos").rowsBetween(0, window - 1)
     rarest = rated.withColumn("best", F.min(F.struct("tf", "term", "pos")).over(ahead)).where(F.col("pos") <= F.greatest(F.col("n") - window, F.lit(0)))
-    anchors = rarest.where("best.tf > 0").select("item", "w", "n", F.col("best.term").alias("term"), F.col("best.pos").alias("pos")).dropDuplicates(["item", "pos"])
+    anchors = rarest.where("best.tf > 0").select("item", "of", "w", "n", F.col("best.term").alias("term"), F.col("best.pos").alias("pos")).dropDuplicates(["item", "of", "pos"])
     return anchors.select("term", "item", "n", "pos", _before(F.col("w"), F.col("pos"), window - 1).alias("left"), _after(F.col("w"), F.col("pos"), window - 1).alias("right"))
 
 
@@ -104,6 +105,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
     """row, key, n_words, n_hit, items (sorted ids of exact matches), near_items, contaminated."""
     listed = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), F.col(text).alias("text"))
     split = items.where(F.col(item).isNotNull()).select(F.col(item).cast("string").alias("item"), words(F.col(item_text)).alias("w")).where(F.size("w") > 0)
+    split = cut(split.distinct(), "items")
     total = split.agg(F.sum(F.size("w")).alias("n")).first()["n"] or 0
     blocks = max(1, -(-total // BLOCK_WORDS))
     found = []

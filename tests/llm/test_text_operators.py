@@ -207,6 +207,15 @@ def test_decontamination_matches_brute_force(spark, monkeypatch, block_words):
     assert decontaminate.decontaminate(df.limit(0), bench).count() == 0
 
 
+def test_texts_that_share_an_item_id(spark):
+    rng = np.random.default_rng(6)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 400, 40)) for _ in range(24)]
+    items = [(i % 6, t) for i, t in enumerate(texts)] + [(0, texts[0])]  # four texts an id, one row twice
+    docs = [" ".join(["own"] * 9 + t.split()[a : a + 13] + ["words"] * 9) for t in texts for a in range(0, 28, 3)]
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["items"], r["contaminated"]) for r in decontaminate.decontaminate(docs_of(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {i: brute_hits(t, items) for i, t in enumerate(docs)}
+
+
 def test_proximity(spark):
     item = " ".join(f"t{i}" for i in range(13))
     bench = spark.createDataFrame([(1, item)], "item_id long, text string")
