@@ -4,8 +4,8 @@ Coarse centroids and the codebooks of the residuals are fitted on a bounded samp
 vectors of smallest hash of their id, fewer where they are long); every valid vector is indexed:
 list, residual code, original. A query probes the lists of largest inner product with it. In a
 list, asymmetric distance tables (query part by codebook entry) score all codes; the best of each
-block are scored again on the original vectors, in double precision, and the best ``k`` of all
-blocks are the result.
+block are scored again on the original vectors, in double precision, then all others whose score is
+within the error of their code of the k-th best so far, and the best ``k`` of all blocks are the result.
 
 Lists are dealt out in blocks of about ``BLOCK_ROWS`` rows and the queries of a block in chunks, so
 a list that holds a third of all rows (copies of one vector) is many tasks. Equal codes and equal
@@ -32,8 +32,11 @@ from graphloom.session import ship
 #: Bounds of the fit: vectors, and their components altogether.
 SAMPLE, SAMPLE_COMPONENTS = 8192, 1 << 21
 MIN_LISTS, MAX_LISTS, ROWS_A_LIST = 64, 1024, 4096
-#: Share of the lists probed; codes kept of a block for exact scores; parts and entries of a code.
-PROBED, KEPT, PARTS, ENTRIES = 0.7, 48, 16, 256
+#: Share of the lists probed; codes of a block scored exactly at first (2 k at least), and spreads of
+#: the error within which the others follow; parts and entries of a code.
+PROBED, KEPT, SPREADS, PARTS, ENTRIES = 0.7, 48, 3.0, 16, 256
+#: Pairs scored exactly in one go.
+PAIRS = 1 << 17
 BLOCK_ROWS, CHUNK_QUERIES = 8192, 2048
 
 
@@ -118,6 +121,43 @@ def _best(scores: np.ndarray, k: int) -> np.ndarray:
     return above | equal & (np.cumsum(equal, axis=1) <= k - above.sum(axis=1, keepdims=True))
 
 
+def block_best(index: Index, centre: np.ndarray, codes: np.ndarray, ids: np.ndarray, v: np.ndarray, query_id: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """query, id, score of each query's best k rows of a block (ids ascending)."""
+    # Of v coded as c, q.c * |v|^2 / v.c estimates q.v; what is left is c's part across v.
+    coded = index.padded(centre[None, :]) + np.concatenate([b[codes[:, j]] for j, b in enumerate(index.books)], axis=1)
+    coded = coded[:, : v.shape[1]]
+    along, length = (v * coded).sum(axis=1), (v * v).sum(axis=1)
+    sound = along > 0.25 * length
+    factor = np.where(sound, length / np.where(sound, along, 1), 1.0)
+    spread = np.linalg.norm(v - coded * factor[:, None], axis=1)
+    error = np.where(sound, np.minimum(1.0, SPREADS / np.sqrt(v.shape[1])), 1.0) * spread + 1e-5 * np.sqrt(length)
+    near = np.repeat((q @ centre)[:, None], len(ids), axis=1).astype(np.float32)
+    tables = index.tables(q).astype(np.float32)
+    for j in range(codes.shape[1]):
+        near += tables[:, j, codes[:, j]]
+    near *= factor.astype(np.float32)
+    near[query_id[:, None] == ids[None, :]] = -np.inf
+
+    def products(qi: np.ndarray, vi: np.ndarray) -> np.ndarray:
+        return np.concatenate([exact_products(q[qi[at : at + PAIRS]], v[vi[at : at + PAIRS]]) for at in range(0, max(1, len(qi)), PAIRS)])
+
+    first = _best(near, max(KEPT, 2 * k)) & (near > -np.inf)
+    qi, vi = np.nonzero(first)
+    exact = products(qi, vi)
+    order = np.lexsort((-exact, qi))
+    rank = np.arange(len(qi)) - np.searchsorted(qi, qi)
+    least = np.full(len(q), np.inf)  # fewer than k rows: all are in ``first``
+    least[qi[rank == k - 1]] = exact[order][rank == k - 1]
+    length_q = np.linalg.norm(q, axis=1)
+    more = ~first & (near > -np.inf) & (near + length_q[:, None] * error[None, :] >= least[:, None])
+    qm, vm = np.nonzero(more)
+    qi, vi, exact = np.concatenate((qi, qm)), np.concatenate((vi, vm)), np.concatenate((exact, products(qm, vm)))
+    order = np.lexsort((ids[vi], -exact, qi))
+    qi, vi, exact = qi[order], vi[order], exact[order]
+    top = np.arange(len(qi)) - np.searchsorted(qi, qi) < k
+    return query_id[qi[top]], ids[vi[top]], exact[top]
+
+
 def search(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank, id, score: of each valid row for which ``is_query`` (over ``id``) holds."""
     spark = vectors.sparkSession
@@ -183,18 +223,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id
         centre = index.value.centroids[right["list"][0].as_py()]
         out = []
         for i in range(0, len(q), 256):
-            part = q[i : i + 256]
-            tables = index.value.tables(part).astype(np.float32)
-            near = np.repeat((part @ centre)[:, None], len(ids), axis=1).astype(np.float32)
-            for j in range(codes.shape[1]):
-                near += tables[:, j, codes[:, j]]
-            near[query_id[i : i + 256, None] == ids[None, :]] = -np.inf
-            qi, vi = np.nonzero(_best(near, KEPT) & (near > -np.inf))
-            exact = exact_products(part[qi], v[vi])
-            order = np.lexsort((ids[vi], -exact, qi))
-            qi, vi, exact = qi[order], vi[order], exact[order]
-            rank = np.arange(len(qi)) - np.searchsorted(qi, qi)
-            out.append((query_id[i + qi[rank < k]], ids[vi[rank < k]], exact[rank < k]))
+            out.append(block_best(index.value, centre, codes, ids, v, query_id[i : i + 256], q[i : i + 256], k))
         return pa.Table.from_pydict({n: np.concatenate([o[x] for o in out]) for x, n in enumerate(("query_id", "id", "score"))})
 
     keys = ("list", "block", "chunk")

@@ -48,6 +48,23 @@ def test_few_and_no_vectors(spark):
     assert ann.search(df.limit(0), F.col("id") % 20 == 0).count() == 0
 
 
+@pytest.mark.parametrize(("groups", "each", "k"), [(1, 100, 20), (8, 300, 20), (2, 1000, 20), (0, 0, 20), (2, 300, 100)])
+def test_groups_of_near_copies_in_a_block(groups, each, k):
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(4000, 64))
+    for g in range(groups):
+        v[g * each : (g + 1) * each] = v[g * each] + 0.05 * rng.normal(size=(each, 64))
+    v = v[rng.permutation(len(v))] if not groups else v
+    index = ann.fit_index(v[rng.choice(len(v), 2000, replace=False)], len(v))
+    lists = index.lists(v)
+    inside = lists[0] if groups else np.bincount(lists).argmax()
+    rows = np.flatnonzero(lists == inside)
+    queries = rows[:40]
+    got = ann.block_best(index, index.centroids[inside], index.codes(v[rows], lists[rows]), rows, v[rows], queries, v[queries], k)
+    hits = [len({*got[1][got[0] == q]} & {*(best := rows[rows != q][np.argsort(-(v[rows[rows != q]] @ v[q]), kind="stable")[:k]])}) / len(best) for q in queries]
+    assert np.mean(hits) >= 0.98
+
+
 # ---- 5 languages
 
 
