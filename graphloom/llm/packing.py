@@ -4,9 +4,9 @@ Documents are tokenised once into pieces of at most the capacity; their histogra
 length, so bounded by the capacity) goes to the driver. There the configuration program (fewest
 patterns that cover all lengths) is solved by multiplicative weights: each round prices lengths,
 a knapsack dynamic program finds the best pattern and the best with each given length, and those
-near the optimum gain weight. The fractional solution is rounded down and the rest, bins with room
-included, is filled best-fit, longest first. Rounding is compared with best fit alone, the better
-of both counts. Pieces then get their rank within their length, and rank maps to sequence and
+near the optimum gain weight. The fractional solution is rounded up, fullest and most used patterns
+first, until most of the demand is met; the rest, bins with room included, is filled best-fit,
+longest first. Pieces then get their rank within their length, and rank maps to sequence and
 offset through the list of patterns.
 
 Lengths are hot keys (a third of all pieces may be full), so ranks are taken within (length, salt)
@@ -16,6 +16,7 @@ Repeated rows are packed each; other columns are ignored; an empty table gives a
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -32,10 +33,12 @@ from graphloom.llm.tokens import tokenizer
 CAPACITY, END_ID = 2048, 0
 #: Rounds of multiplicative weights; slack within which a pattern counts as near the best.
 ROUNDS, SLACK, RATE = 40, 0.01, 0.5
-#: Patterns of more pieces than this are left to best fit.
-MAX_PIECES = 64
+#: Share of the demand that rounded patterns meet; best fit places the rest.
+PLACED = 0.9
 #: Rows that are ranked in one task at most, about.
-RANKED = 1000
+RANKED = 256
+#: Bytes of text that are tokenised together.
+GATHERED = 8 << 20
 
 
 def default_tokenizer() -> str:
@@ -49,11 +52,22 @@ def cut_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, key: str =
     small_batches(docs.sparkSession)
     kind = docs.schema[key].dataType
 
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of about ``GATHERED`` bytes at a time: the more texts together, the fewer different words."""
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(b.nbytes for b in held) >= GATHERED:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held = []
+        if sum(map(len, held)):
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(path)
-        for batch in batches:
+        for batch in gathered(b for b in batches if len(b)):
             at, out = [], []
-            for i, ids in enumerate(tok.ids(batch["text"].to_pylist())):
+            for i, ids in enumerate(tok.ids(batch["text"])):
                 ids += END_ID.to_bytes(4, "little")
                 for p in range(0, len(ids) // 4, capacity):
                     part = ids[4 * p : 4 * (p + capacity)]
@@ -137,7 +151,7 @@ def solve_fractional(counts: dict[int, int], capacity: int, rounds: int = ROUNDS
         bound = max(bound, float(demand @ price) / best[capacity])
         # the best pattern with each length, all at once
         room, steps = capacity - lengths, [lengths]
-        while len(steps) <= MAX_PIECES:
+        while True:
             # rooms where nothing is gained by the last unit fall to the next smaller one that takes a piece
             nxt = first[room]
             low = room.copy()
@@ -154,7 +168,7 @@ def solve_fractional(counts: dict[int, int], capacity: int, rounds: int = ROUNDS
         gained = np.zeros(len(lengths))
         for i in np.nonzero(worth >= (1 - SLACK) * best[capacity])[0]:
             pattern = tuple(sorted((int(x) for x in table[i] if x), reverse=True))
-            if sum(pattern) > capacity or len(pattern) > MAX_PIECES:
+            if sum(pattern) > capacity:
                 continue
             amount = step[i] / pattern.count(int(lengths[i]))
             use[pattern] = use.get(pattern, 0.0) + amount
@@ -166,27 +180,38 @@ def solve_fractional(counts: dict[int, int], capacity: int, rounds: int = ROUNDS
     return use, bound
 
 
-def plan_bins(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[int, tuple[int, ...]]], float]:
-    """(how many bins, their lengths) for all pieces, and the lower bound of the program."""
-    plain = Bins(capacity)
-    plain.fill(counts)
-    part = {x: n for x, n in counts.items() if x < capacity}
-    if not part:
-        return plain.groups(), float(plain.total())
-    use, bound = solve_fractional(part, capacity)
-    rounded, left = Bins(capacity), dict(counts)
-    if n := left.pop(capacity, 0):
-        rounded.add(n, (capacity,))
+def round_patterns(use: dict[tuple[int, ...], float], left: dict[int, int], bins: Bins) -> None:
+    """Place whole bins of patterns while all their pieces are in demand; ``left`` becomes what is not placed.
+
+    The fractional uses of a pattern are mostly below one, so they are rounded up, in order of the room
+    they leave and of the use, largest first, until ``PLACED`` of the demand is met: the last patterns
+    would take the short pieces that the rest needs to fill its bins.
+    """
+    size = sum(x * n for x, n in left.items())
+    placed = 0
     for pattern, x in sorted(use.items(), key=lambda p: (-sum(p[0]), -p[1], p[0])):
         need = {length: pattern.count(length) for length in set(pattern)}
-        n = min(int(x), *(left[length] // k for length, k in need.items()))
+        n = min(math.ceil(x), *(left[length] // k for length, k in need.items()))
         if n > 0:
-            rounded.add(n, pattern)
+            bins.add(n, pattern)
+            placed += n * sum(pattern)
             for length, k in need.items():
                 left[length] -= n * k
-    rounded.fill({x: n for x, n in left.items() if n})
-    better = min((rounded, plain), key=lambda b: b.total())
-    return better.groups(), bound + counts.get(capacity, 0)
+        if placed >= PLACED * size:
+            return
+
+
+def plan_bins(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[int, tuple[int, ...]]], float]:
+    """(how many bins, their lengths) for all pieces, and the lower bound of the program."""
+    left, bins = dict(counts), Bins(capacity)
+    if n := left.pop(capacity, 0):
+        bins.add(n, (capacity,))
+    bound = 0.0
+    if left:
+        use, bound = solve_fractional(left, capacity)
+        round_patterns(use, left, bins)
+    bins.fill({x: n for x, n in left.items() if n})
+    return bins.groups(), bound + counts.get(capacity, 0)
 
 
 def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:

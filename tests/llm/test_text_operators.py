@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from graphloom.llm import chat_format, decontaminate, license_scan, packing, substring_dedup, tokens, url_filter
 from graphloom.llm.chat_format import LAYOUTS, canonical_json_turns, canonical_turns, choose_layout, format_chats, parse_chats
 
+MIDDLE = "/root/testdata/sf0.01"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
@@ -228,8 +229,10 @@ def test_proximity(spark):
 
 def test_tokens_are_the_library_s():
     tok = tokens.WordTokenizer(packing.default_tokenizer())
+    import pyarrow as pa
+
     texts = ["it's we'll 've éTÉ 12½ <|endoftext|> hi", "a\xa0b\x85c", "İx ΣΣ é", "''s x_y--z×", None, "", " \n", "ªº x² don't'd", "😀 z", "ſ K", "word " * 3000, "é"]
-    for t, ids in zip(texts, tok.ids(texts), strict=True):
+    for t, ids in zip(texts, tok.ids(pa.array(texts, pa.string())), strict=True):
         assert np.frombuffer(ids, np.uint32).tolist() == tok.library.encode(t or "", add_special_tokens=False).ids
 
 
@@ -243,9 +246,60 @@ def test_plan_covers_all_and_respects_the_bound(counts):
         for x in lengths:
             used[x] = used.get(x, 0) + n
     assert used == counts
-    plain = packing.Bins(64)
-    plain.fill(counts)
-    assert bound - 1e-6 <= sum(n for n, _ in groups) <= plain.total()
+    need = -(-sum(x * n for x, n in counts.items()) // 64)
+    assert max(need, bound - 1e-9) <= sum(n for n, _ in groups) <= 2 * need + 1
+
+
+def fewest_bins(pieces, capacity):
+    """The optimum by trying every bin for every piece."""
+    best = len(pieces)
+
+    def place(i, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if i == len(pieces):
+            best = len(rooms)
+            return
+        for k in sorted({r: k for k, r in enumerate(rooms) if r >= pieces[i]}.values()):
+            place(i + 1, rooms[:k] + [rooms[k] - pieces[i]] + rooms[k + 1 :])
+        place(i + 1, [*rooms, capacity - pieces[i]])
+
+    place(0, [])
+    return best
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.lists(st.integers(1, 20), min_size=1, max_size=9))
+def test_small_plans_against_the_optimum(pieces):
+    pieces.sort(reverse=True)
+    groups, _ = packing.plan_bins({x: pieces.count(x) for x in set(pieces)}, 20)
+    assert sum(n for n, _ in groups) <= fewest_bins(pieces, 20) + 1
+
+
+def test_most_part_filled_bins_come_from_rounded_patterns(spark):
+    rows = packing.cut_pieces(spark.read.parquet(f"{MIDDLE}/documents.parquet"), packing.default_tokenizer()).groupBy("length").count().collect()
+    counts = {r["length"]: r["count"] for r in rows}
+    part = {x: n for x, n in counts.items() if x < packing.CAPACITY}
+    use, _ = packing.solve_fractional(part, packing.CAPACITY)
+    bins = packing.Bins(packing.CAPACITY)
+    packing.round_patterns(use, dict(part), bins)
+    groups, bound = packing.plan_bins(counts)
+    in_part = sum(n for n, lengths in groups if lengths != (packing.CAPACITY,))
+    assert bins.total() > in_part / 2
+    assert sum(n for n, _ in groups) <= 1.001 * bound + 1
+
+
+def test_ids_of_a_whole_table_are_the_library_s(spark):
+    """Every document of a supplied table against the tokenizer itself, text by text."""
+    docs = spark.read.parquet(f"{MIDDLE}/documents.parquet")
+    tok = tokens.WordTokenizer(packing.default_tokenizer()).library
+    found = {}
+    for r in packing.cut_pieces(docs, packing.default_tokenizer(), with_ids=True).orderBy("doc_id", "piece").collect():
+        assert r["start"] == len(found.setdefault(r["doc_id"], []))
+        found[r["doc_id"]] += r["ids"]
+    for r in docs.select("doc_id", "text").collect():
+        assert found[r["doc_id"]] == [*tok.encode(r["text"] or "", add_special_tokens=False).ids, packing.END_ID]
 
 
 def test_pack(spark, monkeypatch):
