@@ -19,7 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Entries of a cache generation; a full one becomes the old one, whose hits move up again.
-CACHE = 1_000_000
+CACHE = 400_000
 #: Matches encoded as one text.
 JOINED = 512
 _OTHER = re.compile("[^\n\x21-\x7e\xa1-įı-ſ]")
