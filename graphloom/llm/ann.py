@@ -2,7 +2,8 @@
 
 Coarse centroids and the codebooks of the residuals are fitted on a bounded sample (``SAMPLE``
 vectors of smallest hash of their id, fewer where they are long); every valid vector is indexed:
-list, residual code, original. A query probes the lists of largest inner product with it. In a
+list, residual code, original. A query probes the lists of largest inner product with it, as many
+as hold nearly all true neighbours within the sample. In a
 list, asymmetric distance tables (query part by codebook entry) score all codes; the best of each
 block are scored again on the original vectors, in double precision, then all others whose score is
 within the error of their code of the k-th best so far, and the best ``k`` of all blocks are the result.
@@ -32,12 +33,16 @@ from graphloom.session import ship
 #: Bounds of the fit: vectors, and their components altogether.
 SAMPLE, SAMPLE_COMPONENTS = 8192, 1 << 21
 MIN_LISTS, MAX_LISTS, ROWS_A_LIST = 64, 1024, 4096
-#: Share of the lists probed; codes of a block scored exactly at first (2 k at least), and spreads of
+#: Codes of a block scored exactly at first (2 k at least), and spreads of
 #: the error within which the others follow; parts and entries of a code.
-PROBED, KEPT, SPREADS, PARTS, ENTRIES = 0.7, 48, 3.0, 16, 256
+KEPT, SPREADS, PARTS, ENTRIES = 48, 3.0, 16, 256
+#: Share of the sample's true neighbours that the probed lists must hold, and queries of the sample that tell it.
+IN_LISTS, TRIED = 0.98, 512
 #: Pairs scored exactly in one go.
 PAIRS = 1 << 17
-BLOCK_ROWS, CHUNK_QUERIES = 8192, 2048
+BLOCK_ROWS = 8192
+#: Components of the queries that meet a block in one go.
+CHUNK_COMPONENTS = 1 << 22
 
 
 @dataclass
@@ -46,6 +51,8 @@ class Index:
     #: parts x entries x width
     books: np.ndarray
     dim: int
+    #: Lists that a query probes.
+    probes: int
 
     def padded(self, v: np.ndarray) -> np.ndarray:
         width = self.books.shape[0] * self.books.shape[2]
@@ -81,7 +88,7 @@ def k_means(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     return c
 
 
-def fit_index(sample: np.ndarray, rows: int) -> Index:
+def fit_index(sample: np.ndarray, rows: int, k: int = 20) -> Index:
     dim = sample.shape[1]
     lists = min(MAX_LISTS, max(MIN_LISTS, rows // ROWS_A_LIST), max(1, len(sample) // 8))
     centroids = k_means(sample, lists)
@@ -91,7 +98,28 @@ def fit_index(sample: np.ndarray, rows: int) -> Index:
     residual = np.pad(residual, ((0, 0), (0, parts * width - dim)))
     books = [k_means(residual[:, j * width : (j + 1) * width], ENTRIES, 4) for j in range(parts)]
     entries = max(map(len, books))
-    return Index(centroids, np.stack([np.pad(b, ((0, entries - len(b)), (0, 0)), mode="edge") for b in books]), dim)
+    return Index(centroids, np.stack([np.pad(b, ((0, entries - len(b)), (0, 0)), mode="edge") for b in books]), dim, lists_needed(sample, centroids, -(-k * len(sample) // max(rows, len(sample)))))
+
+
+def lists_needed(sample: np.ndarray, centroids: np.ndarray, k: int) -> int:
+    """How many lists, nearest first, hold ``IN_LISTS`` of the sample's ``k`` neighbours of its own vectors.
+
+    ``k`` is the share of the wanted neighbours that falls to the sample, one at least: beyond that the
+    neighbours in a sample are farther away than those in the whole, and this errs towards more lists.
+    """
+    if len(sample) < 2:
+        return len(centroids)
+    of = nearest_centroid(sample, centroids)
+    k = min(k, len(sample) - 1)
+    ranks = []
+    for rows in np.array_split(np.linspace(0, len(sample) - 1, min(TRIED, len(sample))).astype(int), 8):
+        part = sample[rows]
+        products = part @ sample.T
+        products[np.arange(len(rows)), rows] = -np.inf
+        near = np.argpartition(-products, k - 1, axis=1)[:, :k]
+        place = np.argsort(np.argsort(-(part @ centroids.T), axis=1, kind="stable"), axis=1)
+        ranks.append(np.take_along_axis(place, of[near], axis=1).ravel())
+    return int(np.quantile(np.concatenate(ranks), IN_LISTS, method="higher")) + 1
 
 
 def valid_vectors(df: DataFrame, key: str, vector: str) -> DataFrame:
@@ -170,7 +198,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id
     dim = rows.select(F.size("v").alias("n")).first()["n"]
     size = max(1, min(SAMPLE, SAMPLE_COMPONENTS // dim))
     sample = np.array([r["v"] for r in rows.orderBy(F.xxhash64("id"), "id").limit(size).collect()])
-    index = spark.sparkContext.broadcast(fit_index(sample, total))  # MAX_LISTS x dim, and the books
+    index = spark.sparkContext.broadcast(fit_index(sample, total, k))  # MAX_LISTS x dim, and the books
 
     def matrix(column: pa.Array) -> np.ndarray:
         return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
@@ -187,9 +215,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id
     sizes = {r["list"]: r["n"] for r in filed.groupBy("list").agg(F.count("*").alias("n")).collect()}  # MAX_LISTS rows
     blocks = {of: -(-n // BLOCK_ROWS) for of, n in sizes.items()}
     queries = filed.where(is_query).select("id", "v")
-    n_queries = queries.count()
-    chunks = max(1, -(-n_queries // CHUNK_QUERIES))
-    probes = max(1, round(PROBED * len(index.value.centroids)))
+    probes = index.value.probes
     wanted = min(k + 1, total)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,9 +234,14 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id
             take = pa.array(at, pa.int64())
             yield pa.RecordBatch.from_pydict({"list": pa.array(of, pa.int32()), "block": pa.array(part, pa.int32()), "query_id": batch["id"].take(take), "q": batch["v"].take(take)})
 
-    probing = queries.mapInArrow(probe, "list int, block int, query_id long, q array<double>").withColumn("chunk", F.pmod(F.xxhash64("query_id"), F.lit(chunks)).cast("int"))
+    probing = queries.mapInArrow(probe, "list int, block int, query_id long, q array<double>")
+    # a list's queries go in chunks of bounded size, and its vectors once to each
+    asked = {r["list"]: r["n"] for r in probing.where("block = 0").groupBy("list").agg(F.count("*").alias("n")).collect()}  # MAX_LISTS rows
+    chunks = {of: max(1, -(-asked.get(of, 0) * dim // CHUNK_COMPONENTS)) for of in blocks}
+    chunks_of = F.create_map(*(F.lit(x) for p in sorted(chunks.items()) for x in p))
+    probing = probing.withColumn("chunk", F.pmod(F.xxhash64("query_id"), chunks_of[F.col("list")]).cast("int"))
     of_list = F.create_map(*(F.lit(x) for p in sorted(blocks.items()) for x in p))
-    dealt = filed.withColumn("block", F.pmod(F.xxhash64("id"), of_list[F.col("list")]).cast("int")).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    dealt = filed.withColumn("block", F.pmod(F.xxhash64("id"), of_list[F.col("list")]).cast("int")).withColumn("chunk", F.explode(F.sequence(F.lit(0), chunks_of[F.col("list")] - 1)))
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         empty = pa.Table.from_pydict({"query_id": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
