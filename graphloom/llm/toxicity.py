@@ -4,8 +4,8 @@ Exact TF-IDF cosine over a block-max inverted index of labelled examples; the di
 votes of the nearest give a score, calibrated on the examples themselves, and the evidence.
 
 The fit reads a bounded sample of labelled rows: ``SAMPLE`` documents, half toxic as far as there
-are so many, those with the smallest hash of their id. The sample gives the vocabulary (terms that
-tell the classes apart, at most ``MAX_TERMS``) and the examples. Document frequencies for the IDF
+are so many, those with the smallest hash of their id (of an id's texts the least). The sample gives
+the vocabulary, all terms that tell the classes apart, and the examples. Document frequencies for the IDF
 are counted over all documents. Scoring reads the whole text and nothing else.
 
 Ties between examples go to the smaller id. Null and empty texts and texts without a vocabulary
@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import small_batches
 
-#: Bounds of the fit: sampled documents, terms of the vocabulary.
-SAMPLE, MAX_TERMS = 6000, 2000
+#: Bound of the fit: sampled documents.
+SAMPLE = 6000
 #: A term needs so many sampled documents and so many standard errors between the classes.
 MIN_DOCS, MIN_Z = 8, 6.0
 NEIGHBOURS, BLOCK = 15, 64
@@ -167,14 +167,14 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, train: Column, key: str = "
             yield pd.DataFrame({"k": batch["k"], "bag": bag})
 
     kind = docs.schema[key].dataType.simpleString()
-    bounded = docs.where(F.col(key).isin(list(y_of))).select(F.col(key).alias("k"), F.col(text).alias("text"))
+    bounded = docs.where(F.col(key).isin(list(y_of))).groupBy(F.col(key).alias("k")).agg(F.min(text).alias("text"))
     seen = bounded.mapInPandas(bags, f"k {kind}, bag array<string>")
     is_toxic = F.col("k").isin([k for k, y in y_of.items() if y == 1])
     by_term = seen.select(is_toxic.alias("toxic"), F.explode("bag").alias("term")).groupBy("term").agg(F.sum(F.col("toxic").cast("long")).alias("a"), F.count("*").alias("n")).where(F.col("n") >= MIN_DOCS)
     n1, n0 = max(1, sum(y_of.values())), max(1, len(y_of) - sum(y_of.values()))
     p1, p0, p = F.col("a") / n1, (F.col("n") - F.col("a")) / n0, F.col("n") / (n1 + n0)
     z = (p1 - p0) / F.sqrt(F.greatest(p * (1 - p) * (1 / n1 + 1 / n0), F.lit(1e-12)))
-    top = by_term.select("term", z.alias("z")).where(F.abs("z") >= MIN_Z).orderBy(F.abs("z").desc(), "term").limit(MAX_TERMS).collect()
+    top = by_term.select("term", z.alias("z")).where(F.abs("z") >= MIN_Z).collect()  # terms of a bounded sample
     vocabulary = {t: i for i, t in enumerate(sorted(r["term"] for r in top))}
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -205,16 +205,16 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, train: Column, key: str = "
     w = np.array(weight)[y]
     model.without = float((w * y)[bare].sum() / w[bare].sum()) if bare.any() else total.get(1, 0) / all_n
     raw = [(model.of_counts(c, i)[0], i) for i, c in enumerate(counts) if c]
-    if len(raw) >= 50:  # each example judged by the others
+    if raw:  # each example judged by the others
         at = np.array([i for _, i in raw])
         model.curve = isotonic(np.array([r for r, _ in raw]), y[at].astype(float), w[at])
     return model
 
 
 def score_toxicity(docs: DataFrame, model: ToxicModel, text: str = "text", out: str = "_toxicity") -> DataFrame:
-    """All columns of ``docs`` and ``out`` (score, evidence: ids as text); no shuffle."""
+    """All columns of ``docs`` and ``out`` (score, evidence: ids as text), in place of one of that name; no shuffle."""
     small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by SAMPLE and MAX_TERMS
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by SAMPLE
 
     @F.pandas_udf("score double, evidence array<string>")
     def judge(texts: pd.Series) -> pd.DataFrame:
