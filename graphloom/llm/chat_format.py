@@ -67,6 +67,13 @@ JSON_SCHEMA = (
     "messages array<struct<role:string,content:string>>, conversations array<struct<from:string,value:string>>, "
     "instruction string, input string, output string, prompt string, completion string, response string"
 )
+#: Contents that are lists of parts; plain strings are null in it.
+PARTS_SCHEMA = "messages array<struct<content:array<struct<type:string,text:string>>>>"
+#: The messages with the texts of such lists joined.
+_WITH_PARTS = (
+    "transform(r.messages, (m, i) -> named_struct('role', m.role, 'content', "
+    "coalesce(array_join(transform(try_element_at(p.messages, i + 1).content, x -> coalesce(x.text, '')), ''), m.content)))"
+)
 
 
 def fingerprint(paths: frozenset[str] | set[str]) -> str:
@@ -106,13 +113,20 @@ def _prefixed(names: Column, prefix: str) -> Column:
     return F.transform(names, lambda n: F.concat(F.lit(prefix), n))
 
 
+def _element_keys(record: str, items: str) -> Column:
+    """The names that any element of a list of objects has."""
+    each = F.from_json(F.get_json_object(record, f"$.{items}"), "array<map<string,string>>")
+    names = F.flatten(F.transform(each, lambda m: F.coalesce(F.map_keys(m), F.array().cast("array<string>"))))
+    return F.coalesce(F.array_distinct(names), F.array().cast("array<string>"))
+
+
 def canonical_json_turns(df: DataFrame, conv_id: str, record: str, layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
     """conv_id, layout fingerprint and turns of JSON records, each in a layout of its own."""
     layouts = tuple(x for x in layouts if x.turns is not None)
     known = sorted(frozenset().union(*(x.paths for x in layouts)))
     lists = sorted({p.split("[]")[0] for p in known if "[]" in p})
     keys = F.coalesce(F.json_object_keys(record), F.array().cast("array<string>"))
-    inner = [_prefixed(F.coalesce(F.json_object_keys(F.get_json_object(record, f"$.{x}[0]")), F.array().cast("array<string>")), f"{x}[].") for x in lists]
+    inner = [_prefixed(_element_keys(record, x), f"{x}[].") for x in lists]
     present = F.filter(F.concat(keys, *inner), lambda p: p.isin(*known))
     seen = df.select(F.col(conv_id).alias("conv_id"), F.col(record).alias("_json"), F.array_sort(F.array_distinct(present)).alias("_paths"))
     seen = seen.withColumn("fingerprint", F.sha2(F.array_join("_paths", "\n"), 256))
@@ -120,7 +134,8 @@ def canonical_json_turns(df: DataFrame, conv_id: str, record: str, layouts: tupl
     for x in sorted(layouts, key=lambda x: len(x.paths)):  # the largest that is contained, if no fingerprint fits
         rest = F.when(F.size(F.array_except(F.array(*map(F.lit, sorted(x.paths))), F.col("_paths"))) == 0, F.lit(x.fingerprint)).otherwise(rest)
     exact = F.when(F.col("fingerprint").isin(*(x.fingerprint for x in layouts)), F.col("fingerprint")).otherwise(rest)
-    parsed = seen.select("conv_id", exact.alias("fingerprint"), F.from_json("_json", JSON_SCHEMA).alias("r")).select("conv_id", "fingerprint", "r.*")
+    both = seen.select("conv_id", exact.alias("fingerprint"), F.from_json("_json", JSON_SCHEMA).alias("r"), F.from_json("_json", PARTS_SCHEMA).alias("p"))
+    parsed = both.select("conv_id", "fingerprint", "r.*", F.expr(_WITH_PARTS).alias("_whole")).withColumn("messages", F.col("_whole")).drop("_whole")
     turns = F.lit(None).cast(TURNS)
     for x in layouts:
         turns = F.when(F.col("fingerprint") == x.fingerprint, F.expr(x.turns).cast(TURNS)).otherwise(turns)
