@@ -32,6 +32,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from graphloom.llm.common import cut, small_batches
 from graphloom.llm.components import components
@@ -350,8 +351,12 @@ def duplicate_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", s
 
     seen = docs.select(F.col(key).alias("k"), F.col(text).alias("text")).mapInArrow(sketch, f"`{key}` {kind.simpleString()}, digest binary, bands array<long>, long binary")
     seen = cut(seen, "sketches")
-    nodes = cut(seen.groupBy("digest").agg(F.min(key).alias("id"), F.min("bands").alias("bands"), F.min("long").alias("long")), "texts")
-    placed = nodes.where(F.col("id").isNotNull()).select(F.explode("bands").alias("key"), F.col("id").cast("long").alias("id"), "digest", "long")
+    # ids that are no whole numbers are joined by their hashes
+    whole = isinstance(kind, T.IntegralType)
+    number = F.col("least").cast("long") if whole else F.xxhash64(F.col("least").cast("string"))
+    nodes = seen.groupBy("digest").agg(F.min(key).alias("least"), F.min("bands").alias("bands"), F.min("long").alias("long"))
+    nodes = cut(nodes.withColumn("id", F.when(F.col("least").isNotNull(), number)), "texts")
+    placed = nodes.where(F.col("id").isNotNull()).select(F.explode("bands").alias("key"), "id", "digest", "long")
     # buckets of the same texts are one; those of one text have no pair
     filled = placed.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("digest")).alias("x")).where("n > 1")
     buckets = cut(filled.groupBy("n", "x").agg(F.min("key").alias("key")).select("key"), "buckets")
@@ -365,9 +370,14 @@ def duplicate_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", s
             sets = [shingle_set(words, shingle, known).tobytes() if words else b"" for words in texts]
             yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh128_digest(b" ".join(words)) for words in texts], pa.binary()), pa.array(sets, pa.binary())], ["digest", "shingles"])
 
-    wanted = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).join(found.select("id").distinct(), "id", "left_semi")
+    of_row = F.col(key).cast("long") if whole else F.xxhash64(F.col(key).cast("string"))
+    wanted = docs.select(of_row.alias("id"), F.col(text).alias("text")).join(found.select("id").distinct(), "id", "left_semi")
     sets = wanted.select("text").mapInArrow(gather, "digest binary, shingles binary").groupBy("digest").agg(F.min("shingles").alias("shingles"))
     members = found.join(sets, "digest").select("key", "id", "long", "shingles").repartition(parts, "key").sortWithinPartitions("key", "id")
     linked_ids = components(members.mapInArrow(lambda batches: _by_key(batches, near_members), "src long, dst long"))
-    of_text = nodes.select("digest", "id").join(linked_ids.withColumnRenamed("node", "id"), "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
+    of_text = nodes.select("digest", "id", "least").join(linked_ids.withColumnRenamed("node", "id"), "id", "left")
+    if not whole:
+        firsts = of_text.where(F.col("component").isNotNull()).groupBy("component").agg(F.min("least").alias("first"))
+        of_text = of_text.join(firsts, "component", "left").withColumn("component", F.col("first"))
+    of_text = of_text.select("digest", F.coalesce("component", "least").alias("component"))
     return seen.select(key, "digest").join(of_text, "digest").select(key, "component")

@@ -20,7 +20,7 @@ reference has shards without bound, and every document would stream past each of
 
 Null and empty texts have no words. Rows of one id with one text are one document; rows of one id
 with different texts are ordered by a hash of the text. Null ids come before all others.
-Columns other than those named are ignored, or come back where ``keep`` lists them.
+Ids are whole numbers or text (ordered by its bytes). Columns other than those named are ignored, or come back where ``keep`` lists them.
 """
 
 from __future__ import annotations
@@ -188,12 +188,12 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n = int(use.sum())
             os += [o] * n
             ds += [d] * n
-        columns = (pa.array(hashes, pa.int64()), pa.array(salts, pa.int64()), pa.array(hot, pa.bool_()), pa.array(os, pa.int64()), pa.array(ds, pa.int64()), pa.array(firsts, pa.int32()), pa.array(texts, pa.binary()))
+        columns = (pa.array(hashes, pa.int64()), pa.array(salts, pa.int64()), pa.array(hot, pa.bool_()), pa.array(os, batch["o"].type), pa.array(ds, pa.int64()), pa.array(firsts, pa.int32()), pa.array(texts, pa.binary()))
         yield pa.RecordBatch.from_arrays(list(columns), ["anchor", "salt", "hot", "o", "d", "start", "words"])
 
 
-_SEGMENT = "anchor long, salt long, hot boolean, o long, d long, start int, words binary"
-_FOUND = "anchor long, o long, d long, first int, last int, window binary"
+_SEGMENT = "anchor long, salt long, hot boolean, o {o}, d long, start int, words binary"
+_FOUND = "anchor long, o {o}, d long, first int, last int, window binary"
 
 
 def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,7 +235,7 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if hot:
                 for i in np.flatnonzero(~repeated).tolist():
                     put(anchor, o, d, start + i, start + i + WINDOW - 1, b" ".join(words[i : i + WINDOW]))
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+        kinds = (pa.int64(), batch["o"].type, pa.int64(), pa.int32(), pa.int32(), pa.binary())
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((a, os, ds, firsts, lasts, windows), kinds, strict=True)], ["anchor", "o", "d", "first", "last", "window"])
 
 
@@ -247,11 +247,15 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", k
     spark = docs.sparkSession
     small_batches(spark)
     extra = F.struct(*(F.col(f"`{c}`") for c in keep)) if keep else F.lit(None).cast("boolean")
+    # an orderable id without nulls, which come first
+    whole = isinstance(docs.schema[key].dataType, T.IntegralType)
+    o = F.coalesce(F.col(key).cast("long"), F.lit(_FIRST)) if whole else F.coalesce(F.concat(F.lit("1"), F.col(key).cast("string")), F.lit("0"))
+    of = "long" if whole else "string"
     base = docs.select(
-        F.coalesce(F.col(key).cast("long"), F.lit(_FIRST)).alias("o"),
-        F.xxhash64(text).bitwiseAND(F.lit(0xFFFFFFFF)).alias("d"), F.col(text).alias("text"), extra.alias("extra"),
+        o.alias("o"),
+        F.xxhash64(text).alias("d"), F.col(text).alias("text"), extra.alias("extra"),
     )
-    known = cut(base.select("o", "d", "text").mapInArrow(_survey, "o long, d long, digest long, n_words int, hashes array<long>, places array<int>, again array<long>"), "anchors")
+    known = cut(base.select("o", "d", "text").mapInArrow(_survey, f"o {of}, d long, digest long, n_words int, hashes array<long>, places array<int>, again array<long>"), "anchors")
 
     firsts = known.groupBy("digest", "n_words").agg(F.min(F.struct("o", "d")).alias("least"))
     copies = known.select("o", "d", "digest", "n_words").join(firsts, ["digest", "n_words"]).where(F.struct("o", "d") != F.col("least"))
@@ -267,9 +271,9 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", k
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = base.repartition(parts, "o", "d")  # texts move once: both uses below read this exchange
-    whole = dealt.join(wanted.withColumnRenamed("o", "wo").withColumnRenamed("d", "wd"), (F.col("o") == F.col("wo")) & (F.col("d") == F.col("wd"))).drop("wo", "wd")
-    segments = whole.mapInArrow(_segments, _SEGMENT).repartition(parts, "anchor", "salt").sortWithinPartitions("anchor", "salt", "o", "d", "start")
-    found = segments.mapInArrow(_resolve, _FOUND)
+    full = dealt.join(wanted.withColumnRenamed("o", "wo").withColumnRenamed("d", "wd"), (F.col("o") == F.col("wo")) & (F.col("d") == F.col("wd"))).drop("wo", "wd")
+    segments = full.mapInArrow(_segments, _SEGMENT.format(o=of)).repartition(parts, "anchor", "salt").sortWithinPartitions("anchor", "salt", "o", "d", "start")
+    found = segments.mapInArrow(_resolve, _FOUND.format(o=of))
     order = Window.partitionBy("anchor", "window", F.when(F.col("window").isNull(), F.struct("o", "d"))).orderBy("o", "d", "first")
     spans = found.withColumn("rank", F.row_number().over(order)).where("window is null or rank > 1").select("o", "d", "first", "last").unionByName(copied)
     of_doc = spans.groupBy("o", "d").agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("spans"))
@@ -294,7 +298,7 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", k
             yield pa.RecordBatch.from_arrays([batch["o"], batch["extra"], *made], ["o", "extra", "n_words", "n_removed", "spans", "kept"])
 
     span = T.ArrayType(T.StructType([T.StructField("first", T.IntegerType()), T.StructField("last", T.IntegerType())]))
-    columns = {"o": T.LongType(), "extra": base.schema["extra"].dataType, "n_words": T.LongType(), "n_removed": T.LongType(), "spans": span, "kept": T.StringType()}
+    columns = {"o": base.schema["o"].dataType, "extra": base.schema["extra"].dataType, "n_words": T.LongType(), "n_removed": T.LongType(), "spans": span, "kept": T.StringType()}
     done = joined.select("o", "extra", "text", "spans").mapInArrow(remove, T.StructType([T.StructField(n, t) for n, t in columns.items()]))
-    back = F.when(F.col("o") != _FIRST, F.col("o")).cast(docs.schema[key].dataType).alias(key)
+    back = (F.when(F.col("o") != _FIRST, F.col("o")) if whole else F.when(F.col("o") != "0", F.expr("substring(o, 2)"))).cast(docs.schema[key].dataType).alias(key)
     return done.select(back, "n_words", "n_removed", "spans", "kept", *([F.col("extra").alias("_row")] if keep else []))

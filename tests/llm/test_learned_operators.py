@@ -3,7 +3,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from graphloom.llm import ann, components, lang_id, simhash, toxicity
+from graphloom.llm import ann, components, lang_id, simhash, substring_dedup, toxicity
 from graphloom.llm.common import held_out
 
 DOCS = "doc_id long, text string, lang string"
@@ -20,7 +20,7 @@ def exact(rows, q, k=20):
 
 def test_neighbours(spark, monkeypatch):
     monkeypatch.setattr(ann, "BLOCK_ROWS", 200)
-    monkeypatch.setattr(ann, "CHUNK_QUERIES", 16)
+    monkeypatch.setattr(ann, "CHUNK_COMPONENTS", 128)
     rng = np.random.default_rng(1)
     rows = [(i, [float(x) for x in rng.normal(size=8).astype(np.float32)]) for i in range(800)]
     rows += [(i, rows[40][1]) for i in range(800, 1200)]  # a third are copies of one vector
@@ -48,6 +48,33 @@ def test_few_and_no_vectors(spark):
     assert ann.search(df.limit(0), F.col("id") % 20 == 0).count() == 0
 
 
+@pytest.mark.parametrize("centres", [0, 500])
+def test_recall_over_many_vectors(spark, tmp_path, centres):
+    """100,000 vectors, without and with clusters, in lists of thousands."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    rng = np.random.default_rng(7)
+    n, dim = 100_000, 24
+    v = rng.normal(size=(n, dim))
+    if centres:
+        v = 3 * rng.normal(size=(centres, dim))[rng.integers(0, centres, n)] + 0.3 * v
+    pq.write_table(pa.table({"vec_id": np.arange(n), "embedding": pa.FixedSizeListArray.from_arrays(v.ravel(), dim).cast(pa.list_(pa.float64()))}), f"{tmp_path}/v.parquet")
+    found = ann.search(spark.read.parquet(f"{tmp_path}/v.parquet"), F.col("id") % 1000 == 0).toPandas()
+    got = {q: set(g["id"]) for q, g in found.groupby("query_id")}
+    assert len(got) == 100
+    hits = 0
+    for q, ids in got.items():
+        s = v @ v[q]
+        s[q] = -np.inf
+        hits += len(ids & set(np.argsort(-s, kind="stable")[:20].tolist()))
+    assert hits / 2000 >= 0.9
+    sample = v[rng.choice(n, 4000, replace=False)]
+    index = ann.fit_index(sample, n)
+    if centres:  # clusters: few lists hold the neighbours
+        assert index.probes <= len(index.centroids) / 4
+
+
 @pytest.mark.parametrize(("groups", "each", "k"), [(1, 100, 20), (8, 300, 20), (2, 1000, 20), (0, 0, 20), (2, 300, 100)])
 def test_groups_of_near_copies_in_a_block(groups, each, k):
     rng = np.random.default_rng(3)
@@ -87,6 +114,45 @@ def test_languages(spark):
     assert lang_id.predict_languages(df, empty).where("_language.lang <> 'und'").count() == 0
 
 
+def test_many_languages_and_single_documents(spark):
+    """More languages than a word of a mask holds; one document is enough for a filter."""
+    rng = np.random.default_rng(5)
+    sounds = ["".join(chr(97 + x) for x in rng.integers(0, 26, 3)) for _ in range(160)]
+    text = lambda k, n: " ".join("".join(rng.choice(sounds[4 * k : 4 * k + 4], 2)) for _ in range(n))
+    rows = [(100 * k + i, text(k, 60), f"l{k:02}") for k in range(40) for i in range(1 if k == 39 else 6)]
+    rows += [rows[0]] * 3
+    model = lang_id.fit_languages(spark.createDataFrame(rows, DOCS), F.lit(True))
+    assert len(model.langs) == 40 and model.table.shape[0] == 3
+    assert all(model.score(text(k, 40))[0] == f"l{k:02}" for k in range(40))
+
+
+def test_languages_match_exact_sets(spark):
+    """The Bloom filters' answers are those of plain sets of n-grams, over a whole supplied table."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    train = ~held_out(F.col("doc_id"))
+    rows = docs.select("doc_id", "text", "lang", train.alias("t")).collect()
+    sets, n = {}, {}
+    for r in rows:
+        if r["t"] and r["lang"] and r["text"] is not None:
+            n[r["lang"]] = n.get(r["lang"], 0) + 1
+            for h in set(lang_id.ngram_hashes(r["text"]).tolist()):
+                sets.setdefault(r["lang"], {}).setdefault(h, 0)
+                sets[r["lang"]][h] += 1
+    assert max(n.values()) <= lang_id.SAMPLE_PER_LANG
+    sets = {x: {h for h, c in s.items() if c >= max(2, lang_id.MIN_SHARE * n[x])} for x, s in sets.items()}
+    got = {r["doc_id"]: r["_language"] for r in lang_id.predict_languages(docs, lang_id.fit_languages(docs, train)).collect()}
+    for r in rows:
+        grams = lang_id.ngram_hashes(r["text"] or "").tolist()
+        hits = [(sum(h in sets[x] for h in grams), x) for x in sorted(sets)]
+        if not any(c.isalpha() for c in r["text"] or ""):
+            assert got[r["doc_id"]]["lang"] == "und"
+        elif sum(h for h, _ in hits):
+            top = max(h for h, _ in hits)
+            assert got[r["doc_id"]]["score"] == pytest.approx(top / sum(h for h, _ in hits), abs=0.02)
+            if sum(h > top - 3 for h, _ in hits) == 1:
+                assert got[r["doc_id"]]["lang"] == max(hits)[1]
+
+
 def test_false_positives_are_taken_off():
     held = lang_id.ngram_hashes("the thing")
     model = lang_id.build_model({"a": {int(h): 9 for h in held}, "b": {}}, {"a": 9, "b": 9})
@@ -200,6 +266,16 @@ def test_recall_of_near_copies(spark, edit):
     assert (sims >= 0.8).sum() >= 50 and linked[sims >= 0.8].mean() >= 0.97
 
 
+def test_ids_that_are_text(spark):
+    words = [f"w{i}" for i in range(60)]
+    rows = [("b", " ".join(words)), ("a10", " ".join(words[:59] + ["x"])), ("a9", "something else here"), (None, "something else here"), ("z", None)]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    got = {(r["doc_id"], r["component"]) for r in simhash.duplicate_groups(df).collect()}
+    assert got == {("b", "a10"), ("a10", "a10"), ("a9", "a9"), (None, "a9"), ("z", "z")}
+    kept = {(r["doc_id"], r["n_removed"]) for r in substring_dedup.dedup_substrings(df).collect()}
+    assert kept == {("a10", 0), ("b", 59), ("a9", 0), (None, 0), ("z", 0)}
+
+
 def test_only_pairs_of_similarity_0_8_are_linked(spark):
     rows, sims = near_copies(np.random.default_rng(12), "scattered", 300)
     rows += [(1000, "a b c d e f g h"), (1001, "a b c d e f g"), (1002, "p q r s t u v w x"), (1003, "p q r s t u v w")]  # 3 of 4 and 4 of 5 shingles
@@ -245,6 +321,39 @@ def test_toxicity(spark):
     assert toxicity.score_toxicity(df, none).where("_toxicity.score <> 0").count() == 0
 
 
+def test_scores_match_brute_force(spark):
+    """Every score of a supplied table from plain cosines with all examples, votes and curve included."""
+    folder = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit_toxicity(docs, labels, ~held_out(F.col("doc_id")))
+    assert len(model.curve[0])
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    # IDF over all documents, and the examples' vectors, counted anew
+    bags = {d: toxicity.Counter(w for w in toxicity.terms(t) if w in model.vocabulary) for d, t in texts.items()}
+    df = toxicity.Counter(w for b in bags.values() for w in b)
+    for w, i in model.vocabulary.items():
+        assert model.idf[i] == pytest.approx(np.log((1 + len(texts)) / (1 + df[w])) + 1)
+
+    def dense(bag):
+        v = np.zeros(len(model.vocabulary))
+        for w, c in bag.items():
+            v[model.vocabulary[w]] = (1 + np.log(c)) * model.idf[model.vocabulary[w]]
+        return v / (np.linalg.norm(v) or 1)
+
+    examples = np.array([dense(bags[i]) for i in model.ids])
+    weight = np.array(model.class_weight)[model.labels]
+    for r in toxicity.score_toxicity(docs, model).collect():
+        cos = np.round(examples @ dense(bags[r["doc_id"]]), 12)
+        near = [i for i in np.argsort(-cos, kind="stable")[: toxicity.NEIGHBOURS] if cos[i] > 0]
+        if not near:
+            assert r["_toxicity"]["score"] == pytest.approx(model.without)
+            continue
+        raw = (cos[near] * weight[near] * model.labels[near]).sum() / (cos[near] * weight[near]).sum()
+        tied = (cos == cos[near[-1]]).sum() > 1 and len(near) == toxicity.NEIGHBOURS
+        if not tied:
+            assert r["_toxicity"]["score"] == pytest.approx(float(np.interp(raw, *model.curve)), abs=1e-6)
+
+
 def test_block_max_search_is_exact(monkeypatch):
     monkeypatch.setattr(toxicity, "BLOCK", 4)
     rng = np.random.default_rng(3)

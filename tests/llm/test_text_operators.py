@@ -64,6 +64,19 @@ def test_json_records_each_in_a_layout(spark):
     assert all(got[k]["turns"] is None for k in (5, 6, 7))
 
 
+def test_json_lists_are_judged_by_all_their_elements(spark):
+    rows = [
+        (1, '{"messages":[{"role":"user"},{"role":"assistant","content":"hi"}]}', [("user", None), ("assistant", "hi")]),
+        (2, '{"messages":[{"role":"user","content":[{"type":"text","text":"a"},{"type":"image","url":"x"},{"type":"text","text":"b"}]}]}', [("user", "ab")]),
+        (3, '{"messages":[{"role":"user","content":"[{\\"text\\":1}]"}]}', [("user", '[{"text":1}]')]),
+        (4, '{"messages":5}', None),
+        (5, '{"messages":[]}', None),
+    ]
+    df = spark.createDataFrame([(c, j) for c, j, _ in rows], "c long, j string")
+    got = {r["conv_id"]: r["turns"] and [(t["role"], t["text"]) for t in r["turns"]] for r in canonical_json_turns(df, "c", "j").collect()}
+    assert got == {c: turns for c, _, turns in rows}
+
+
 def test_chat_is_native(spark):
     df = spark.createDataFrame([(1, 0, "user", "x")], "conv_id long, turn long, role string, text string")
     plan = parse_chats(format_chats(canonical_turns(df)))._jdf.queryExecution().executedPlan().toString()
