@@ -25,6 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
     global _own
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = _own = _own or tempfile.mkdtemp(prefix="graphloom-")
     return found.rstrip("/")
 

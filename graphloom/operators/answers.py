@@ -52,18 +52,75 @@ def extract_sql(answer: str) -> str:
 
 
 def check_read_only(spark: SparkSession, sql: str) -> str:
-    """The statement, if Spark parses it as one query; anything that is a command is refused."""
+    """The statement, if Spark parses it as one query of known nodes, functions and relations.
+
+    The parsed plan is walked, its subqueries and common table expressions too: a node or function
+    that is not listed, or a relation that is not registered (paths in ``format.`path```), is refused.
+    """
     if not re.match(r"(?is)\s*(select|with|\()", sql):
         raise GeneratedQueryError(f"not a query: {sql[:80]}")
     try:
         plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
     except Exception as e:
         raise GeneratedQueryError(f"cannot be parsed: {sql[:80]}") from e
-    if re.search(r"(?m)^\W*'?(Insert|Create|Drop|Delete|Update|Merge|Truncate|Alter|Set|Overwrite|Append)", plan.toString()):
-        raise GeneratedQueryError(f"not read-only: {sql[:80]}")
+    known: set[str] = set()
+    todo, relations = [plan], []
+    while todo:
+        node = todo.pop()
+        kind = node.getClass().getSimpleName()
+        if kind in _EXPRESSIONS_WITH_NAMES:
+            name = node.nameParts().mkString(".").lower()
+            if name not in _FUNCTIONS:
+                raise GeneratedQueryError(f"function {name} is not allowed")
+        elif isinstance_of(spark, node, "org.apache.spark.sql.catalyst.plans.logical.LogicalPlan"):
+            if kind not in _NODES:
+                raise GeneratedQueryError(f"not read-only: {kind}")
+            if kind == "UnresolvedRelation":
+                relations.append(node.multipartIdentifier().mkString("\0").split("\0"))
+            if kind == "UnresolvedWith":
+                for i in range(node.cteRelations().size()):
+                    known.add(node.cteRelations().apply(i)._1().lower())
+            todo += _items(node.expressions())
+            todo += _items(node.innerChildren())
+        elif kind in ("ScalarSubquery", "Exists", "ListQuery", "LateralSubquery"):
+            todo.append(node.plan())
+        elif kind in ("CallMethodViaReflection", "TryReflect"):
+            raise GeneratedQueryError("reflection is not allowed")
+        todo += _items(node.children())
+    for parts in relations:
+        if not (len(parts) == 1 and parts[0].lower() in known) and not spark.catalog.tableExists(".".join(f"`{p}`" for p in parts)):
+            raise GeneratedQueryError(f"{'.'.join(parts)} is not a registered relation")
     return sql
 
 
+def _items(found: Any) -> list:
+    return [x for x in (found.apply(i) for i in range(found.size())) if hasattr(x, "children")]
+
+
+def isinstance_of(spark: SparkSession, found: Any, name: str) -> bool:
+    return spark._jvm.java.lang.Class.forName(name, True, found.getClass().getClassLoader()).isInstance(found)
+
+
+#: What a read-only query is made of before analysis.
+_NODES = frozenset(
+    "Project Filter Aggregate Join Sort GlobalLimit LocalLimit Offset Distinct Union Except Intersect SubqueryAlias UnresolvedRelation UnresolvedWith "
+    "UnresolvedHaving UnresolvedInlineTable UnresolvedSubqueryColumnAliases WithWindowDefinition OneRowRelation LateralJoin Generate Pivot Unpivot "
+    "UnresolvedOrdinal Expand Window ResolvedInlineTable".split()
+)
+_EXPRESSIONS_WITH_NAMES = ("UnresolvedFunction", "UnresolvedGenerator")
+_FUNCTIONS = frozenset(
+    "abs acos any any_value approx_count_distinct array array_agg array_contains array_distinct array_join array_max array_min array_position array_size asin "
+    "atan avg bool_and bool_or cardinality cast ceil ceiling char_length coalesce collect_list collect_set concat concat_ws contains corr cos count count_if "
+    "cume_dist current_date current_timestamp date date_add date_diff date_format date_sub date_trunc datediff day dayofmonth dayofweek dayofyear dense_rank "
+    "element_at endswith every exp explode explode_outer filter first first_value floor from_unixtime get_json_object greatest hour if ifnull in initcap instr "
+    "isnotnull isnull lag last last_value lcase lead least left length levenshtein ln locate log log10 log2 lower lpad ltrim map_keys map_values max max_by "
+    "mean median min min_by minute mod mode month months_between named_struct nth_value ntile nullif nvl nvl2 percent_rank percentile percentile_approx pmod "
+    "posexplode position pow power quarter rank regexp_count regexp_extract regexp_like regexp_replace replace reverse right rlike round row_number rpad rtrim "
+    "second sequence sign size slice some sort_array split sqrt startswith std stddev struct substr substring substring_index sum to_date to_timestamp "
+    "transform translate trim trunc try_divide ucase unix_timestamp upper var_pop variance weekday when window year".split()
+)
+
+
 def retry(call: Callable[[], Any], attempts: int = 3, least: float = 1.0, most: float = 60.0, factor: float = 2.0, sleep: Callable[[float], None] = time.sleep) -> Any:
     """Call again after errors, waiting longer each time, with jitter."""
     for n in range(attempts):

@@ -1,6 +1,6 @@
 """Metadata filters: nested dicts compiled to Columns (null fields never match).
 
-``$like`` is a substring test after the trailing ``%`` are cut (a leading one is literal); malformed
+Operators are known in capitals too. ``$like`` is a substring test after the trailing ``%`` are cut (a leading one is literal); malformed
 filters, empty lists included, raise ``FilterValidationError``.
 """
 
@@ -66,16 +66,17 @@ def _walk(spec: Any, leaf: Callable[[str, str, Any], Any], join: Callable[[str,
         raise FilterValidationError("a filter is not empty")
     parts = []
     for name, value in spec.items():
-        if name in LOGIC:
+        if (logic := name.lower()) in LOGIC:
             if not isinstance(value, list | tuple) or not value:
                 raise FilterValidationError(f"{name} takes a non-empty list")
-            parts.append(join(name, [_walk(v, leaf, join) for v in value]))
+            parts.append(join(logic, [_walk(v, leaf, join) for v in value]))
         elif name.startswith("$"):
             raise FilterValidationError(f"{name} is not a field")
         elif isinstance(value, dict):
             if len(value) != 1:
                 raise FilterValidationError(f"{name} takes one operator")
             ((op, operand),) = value.items()
+            op = op.lower() if isinstance(op, str) else op
             if op not in OPERATORS:
                 raise FilterValidationError(f"{op} is not supported")
             parts.append(leaf(name, op, operand))

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from graphloom.errors import SchemaValidationError
 
-MISSING_LABEL, MISSING_ID, NOT_IN_SCHEMA = "MISSING_LABEL", "MISSING_ID", "NOT_IN_SCHEMA"
+#: The six reasons.
+MISSING_LABEL, NOT_IN_SCHEMA = "MISSING_LABEL", "NOT_IN_SCHEMA"
 NO_PROPERTY_LEFT, MISSING_REQUIRED, INVALID_END, INVALID_PATTERN = "NO_PROPERTY_LEFT", "MISSING_REQUIRED_PROPERTY", "INVALID_START_OR_END_NODE", "INVALID_PATTERN"
 
 
@@ -125,9 +126,9 @@ def prune_nodes(nodes: DataFrame, schema: GraphSchema, lexical: tuple[str, ...]
     known = F.col("_props").isNotNull()
     bypass = F.col("label").isin(*lexical) if lexical else F.lit(False)
     reason = (
-        F.when(F.coalesce("label", F.lit("")) == "", MISSING_LABEL)
-        .when(F.coalesce("id", F.lit("")) == "", MISSING_ID)
-        .when(bypass, F.lit(None))
+        F.when(bypass, F.lit(None))
+        .when(F.coalesce("label", F.lit("")) == "", MISSING_LABEL)
+        .when(F.coalesce("id", F.lit("")) == "", MISSING_REQUIRED)
         .when(~known & F.lit(not schema.open_nodes), NOT_IN_SCHEMA)
         .when(known & (F.size("_kept") == 0), NO_PROPERTY_LEFT)
         .when(known & (F.size(F.array_except("_must", F.map_keys("_kept"))) > 0), MISSING_REQUIRED)
@@ -154,15 +155,24 @@ def prune_edges(edges: DataFrame, kept_nodes: DataFrame, schema: GraphSchema) ->
     kept = _allowed(F.coalesce("props", F.create_map().cast("map<string,string>")))
     reason = (
         F.when(F.coalesce("type", F.lit("")) == "", MISSING_LABEL)
-        .when(~known & F.lit(not schema.open_relationships), NOT_IN_SCHEMA)
         .when(F.col("_a").isNull() | F.col("_b").isNull(), INVALID_END)
-        .when(~fits & ~turned & F.lit(not schema.open_patterns), INVALID_PATTERN)
+        .when(~known & F.lit(not schema.open_relationships), NOT_IN_SCHEMA)
+        .when(known & ~fits & ~turned & F.lit(bool(schema.patterns) and not schema.open_patterns), INVALID_PATTERN)
         .when(known & (F.size(F.array_except("_must", F.map_keys(kept))) > 0), MISSING_REQUIRED)
     )
     judged = joined.select(F.when(turned, F.col("dst")).otherwise(F.col("src")).alias("src"), "type", F.when(turned, F.col("src")).otherwise(F.col("dst")).alias("dst"), kept.alias("props"), turned.alias("turned"), reason.alias("reason"))
     return judged.where("reason is null").drop("reason"), judged.where("reason is not null")
 
 
+def pruned_properties(rows: DataFrame, schema: GraphSchema, nodes: bool = True) -> DataFrame:
+    """name, property, n: properties with a value that declared labels (or types) do not allow."""
+    name = "label" if nodes else "type"
+    joined = rows.join(F.broadcast(_rules(rows.sparkSession, schema, nodes, name)), name).where(~F.col("_open"))
+    listed = joined.select(F.col(name).alias("name"), "_props", F.explode(F.map_entries("props")).alias("p")).where("p.value is not null")
+    gone = listed.where(~F.array_contains("_props", F.col("p.key")))
+    return gone.groupBy("name", F.col("p.key").alias("property")).agg(F.count("*").alias("n"))
+
+
 def prune_graph(nodes: DataFrame, edges: DataFrame, schema: GraphSchema, lexical: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Kept nodes, kept edges, statistics (what, reason, n)."""
     kept, gone = prune_nodes(nodes, schema, lexical)

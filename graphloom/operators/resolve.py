@@ -15,8 +15,8 @@ from graphloom.functions.similarity import cosine, weighted_ratio_udf
 from graphloom.session import ship
 from graphloom.sources.scratch import cut
 
-#: Fixed value: what normalisation strips from names.
-STRIPPED = r"[\s()\[\]{}<>\"'“”‘’「」『』《》〈〉]+"
+#: Fixed value: the characters that normalisation strips from names.
+STRIPPED = r"""[\s<>《》「」『』【】()\[\]“”‘’\"']"""
 
 
 def exact_groups(nodes: DataFrame, prop: str = "name") -> DataFrame:
@@ -79,14 +79,19 @@ def components(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 def apply_groups(nodes: DataFrame, edges: DataFrame, groups: DataFrame, collected: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """Merged nodes (``collected`` properties become sorted arrays, others the smallest id's) and
-    edges moved to them, once each, without loops that merging made."""
+    edges moved to them, once each (of several the one with the least ends keeps its properties),
+    without loops that merging made."""
     of = nodes.join(groups, "id", "left").withColumn("canonical", F.coalesce("canonical", "id"))
     rest = [c for c in nodes.columns if c != "id" and c not in collected]
     merged = of.groupBy("canonical").agg(F.min_by(F.struct(*rest), "id").alias("_r"), *(F.array_sort(F.collect_set(c)).alias(c) for c in collected)).select(F.col("canonical").alias("id"), "_r.*", *collected)
     move = of.select("id", "canonical")
     moved = edges.join(move.toDF("src", "_s"), "src").join(move.toDF("dst", "_d"), "dst")
     kept = moved.where((F.col("_s") != F.col("_d")) | (F.col("src") == F.col("dst")))
-    return merged, kept.select(F.col("_s").alias("src"), "type", F.col("_d").alias("dst")).distinct()
+    extra = [c for c in edges.columns if c not in ("src", "type", "dst")]
+    if not extra:
+        return merged, kept.select(F.col("_s").alias("src"), "type", F.col("_d").alias("dst")).distinct()
+    one = kept.groupBy("_s", "type", "_d").agg(F.min_by(F.struct(*extra), F.struct("src", "dst")).alias("_e"))
+    return merged, one.select(F.col("_s").alias("src"), "type", F.col("_d").alias("dst"), "_e.*")
 
 
 def route(nodes: DataFrame, resolvers: dict[tuple[str, ...], Callable[[DataFrame], DataFrame]]) -> DataFrame:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -55,25 +57,20 @@ def word_safe_chunks(text: str, size: int, overlap: int) -> list[str]:
 
 
 def group_sentences(sentences: list[str], size: int, overlap: int = 0) -> list[str]:
-    """Whole sentences up to ``size`` characters (joining blanks are free); trailing sentences of at
-    most ``overlap`` characters altogether are carried into the next chunk."""
-    out: list[str] = []
-    held: list[str] = []
-    total = 0
-    for s in sentences:
-        if held and total + len(s) > size:
-            out.append(" ".join(held))
-            carried: list[str] = []
-            room = overlap
-            for t in reversed(held):
-                if len(t) > room:
-                    break
-                carried.insert(0, t)
-                room -= len(t)
-            held, total = carried, sum(map(len, carried))
-        held.append(s)
-        total += len(s)
-    return [*out, " ".join(held)] if held else out
+    """Runs of whole sentences whose lengths add up to ``size`` at most, or single longer ones.
+
+    Blanks between sentences are free, blank sentences do not count. The next run begins with the
+    longest tail of the last one within ``overlap`` and goes on by one sentence at least. Runs are
+    found by search in the running totals.
+    """
+    kept = [s for s in map(str.strip, sentences) if s]
+    total = [0, *accumulate(map(len, kept))]
+    runs, begin, end = [], 0, 0
+    while end < len(kept):
+        end = max(end + 1, bisect_right(total, total[begin] + size) - 1)
+        runs.append(" ".join(kept[begin:end]))
+        begin = bisect_left(total, total[end] - overlap)
+    return runs
 
 
 def sentences(text: str) -> list[str]:

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from graphloom.errors import IndexExistsError, SearchValidationError
 from graphloom.functions.similarity import SCORES, unique_names
 from graphloom.graph import ENTITY
+from graphloom.sources.scratch import cut
 
 
 def with_labels(nodes: DataFrame, lexical: tuple[str, ...] = ()) -> DataFrame:
@@ -51,15 +52,34 @@ def upsert_vectors(nodes: DataFrame, vectors: DataFrame, prop: str = "embedding"
 
 
 def write_table(df: DataFrame, path: str) -> None:
-    """Overwrite a table by writing beside it and renaming: readers see the old or the new one."""
+    """Overwrite a table: written beside it, the old one set aside, the new one put in its place.
+
+    A run that ends between the two renames leaves the old table aside; ``recover`` or the next
+    write puts it back, so no version is lost.
+    """
     spark = df.sparkSession
-    tmp = f"{path.rstrip('/')}.next"
-    df.write.mode("overwrite").parquet(tmp)
-    jvm = spark._jvm
-    there, beside = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(tmp)
-    fs = there.getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(there, True)
-    fs.rename(beside, there)
+    path = path.rstrip("/")
+    df.write.mode("overwrite").parquet(f"{path}.next")
+    recover(spark, path)
+    fs, (there, beside, aside) = _paths(spark, path, f"{path}.next", f"{path}.old")
+    if fs.exists(there):
+        fs.delete(aside, True)
+        fs.rename(there, aside)
+    if not fs.rename(beside, there):
+        raise OSError(f"{path} could not be replaced")
+    fs.delete(aside, True)
+
+
+def _paths(spark: SparkSession, *paths: str) -> tuple:
+    found = [spark._jvm.org.apache.hadoop.fs.Path(p) for p in paths]
+    return found[0].getFileSystem(spark._jsc.hadoopConfiguration()), found
+
+
+def recover(spark: SparkSession, path: str) -> None:
+    """Put back the table that an interrupted ``write_table`` has set aside."""
+    fs, (there, aside) = _paths(spark, path.rstrip("/"), f"{path.rstrip('/')}.old")
+    if not fs.exists(there) and fs.exists(aside):
+        fs.rename(aside, there)
 
 
 def statistics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -88,8 +108,8 @@ def storable(df: DataFrame) -> DataFrame:
     return df.withColumns(out) if out else df
 
 
-def export_graph(nodes: DataFrame, edges: DataFrame, path: str, prefix: str = "") -> dict[str, str]:
-    """One folder for each label and each (src_label, type, dst_label); returns name -> folder.
+def export_graph(nodes: DataFrame, edges: DataFrame, path: str, prefix: str = "") -> dict[str | tuple[str, str, str], str]:
+    """One folder for each label and each (src_label, type, dst_label); returns the folder of each.
 
     Names are safe file stems, with _1, _2 where they collide. An edge with an unknown end raises.
     """
@@ -97,19 +117,19 @@ def export_graph(nodes: DataFrame, edges: DataFrame, path: str, prefix: str = ""
     typed = edges.join(ids.toDF("src", "src_label"), "src", "left").join(ids.toDF("dst", "dst_label"), "dst", "left")
     if not typed.where("src is not null and dst is not null and (src_label is null or dst_label is null)").isEmpty():
         raise ValueError("an edge has an unknown end")
-    typed = typed.where("src is not null and dst is not null")
+    typed = cut(typed.where("src is not null and dst is not null"), "typed")  # read once for each pattern
     labels = [r["label"] for r in nodes.select("label").distinct().orderBy("label").collect()]
     kinds = [tuple(r) for r in typed.select("src_label", "type", "dst_label").distinct().orderBy("src_label", "type", "dst_label").collect()]
-    names = labels + ["_".join(k) for k in kinds]
-    stems = unique_names([prefix + n for n in names])
-    folders = {n: f"{path}/{s}" for n, s in zip(names, stems, strict=True)}
+    # keys of two kinds: a label and a pattern may have one name
+    stems = unique_names([prefix + n for n in labels] + [prefix + "_".join(k) for k in kinds])
+    folders = {n: f"{path}/{s}" for n, s in zip([*labels, *kinds], stems, strict=True)}
     for label in labels:
         own = nodes.where(F.col("label") == label).withColumnRenamed("id", "__id__")
         storable(own).write.mode("overwrite").parquet(folders[label])
     for a, t, b in kinds:
         own = typed.where((F.col("src_label") == a) & (F.col("type") == t) & (F.col("dst_label") == b))
         out = own.select(F.col("src").alias("from"), F.col("dst").alias("to"), F.col("src_label").alias("from_label"), F.col("dst_label").alias("to_label"), "type", *(c for c in edges.columns if c not in ("src", "dst", "type", "src_label", "dst_label")))
-        storable(out).write.mode("overwrite").parquet(folders[f"{a}_{t}_{b}"])
+        storable(out).write.mode("overwrite").parquet(folders[a, t, b])
     return folders
 
 

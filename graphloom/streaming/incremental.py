@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.sources.writers import upsert, write_table
+from graphloom.sources.writers import recover, upsert, write_table
 
 
 def windowed_counts(events: DataFrame, width: str = "1 hour", slide: str | None = None, late: str | None = None, at: str = "ts", by: str = "event_type", value: str = "value") -> DataFrame:
@@ -29,6 +29,7 @@ def upsert_stream(stream: DataFrame, path: str, keys: list[str], checkpoint: str
 
     def write(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
+        recover(spark, path)
         fs = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
         there = fs.exists(spark._jvm.org.apache.hadoop.fs.Path(path))
         new = batch.dropDuplicates(keys) if order is None else batch

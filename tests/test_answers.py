@@ -10,9 +10,15 @@ def test_text_to_sql(spark):
     spark.range(3).createOrReplaceTempView("numbers")
     df, meta = answers.TextToSql(spark, lambda p: "Sure:\n```sql\nSELECT id FROM numbers WHERE id > 0;\n```").search("which?")
     assert sorted(r["id"] for r in df.collect()) == [1, 2] and meta["sql"].startswith("SELECT")
-    for bad in ("DROP TABLE numbers", "WITH x AS (SELECT 1) INSERT INTO numbers SELECT * FROM x", "SELECT (1", "SELECT 1; SELECT 2"):
+    for bad in ("DROP TABLE numbers", "WITH x AS (SELECT 1) INSERT INTO numbers SELECT * FROM x", "SELECT (1", "SELECT 1; SELECT 2",
+                "SELECT TRANSFORM(id) USING 'echo ran_shell' AS (x) FROM range(1)", "SELECT reflect('java.lang.System', 'exit', 1)", "SELECT java_method('a', 'b')",
+                "SELECT * FROM text.`/etc/hostname`", "SELECT * FROM numbers WHERE id IN (SELECT value FROM text.`/etc/hostname`)", "SELECT (SELECT max(value) FROM text.`/etc/hostname`)",
+                "WITH x AS (SELECT reflect('a', 'b')) SELECT * FROM x", "SELECT * FROM nowhere", "SELECT id FROM numbers ORDER BY reflect('a', 'b')"):
         with pytest.raises(GeneratedQueryError):
             answers.check_read_only(spark, bad)
+    for good in ("WITH x AS (SELECT id, count(*) AS n FROM numbers GROUP BY id HAVING count(*) > 0) SELECT x.id, rank() OVER (ORDER BY n DESC) FROM x JOIN numbers USING (id) ORDER BY 1 LIMIT 3",
+                 "SELECT id FROM numbers WHERE id = (SELECT max(id) FROM numbers) OR EXISTS (SELECT 1 FROM numbers) UNION ALL SELECT CASE WHEN id > 1 THEN id END FROM numbers"):
+        assert spark.sql(answers.check_read_only(spark, good)).collect()
 
 
 def test_tools(spark):

@@ -86,6 +86,7 @@ def test_sentence_groups():
     assert text.group_sentences(["aaaa", "bbbb", "cc"], 8, overlap=4) == ["aaaa bbbb", "bbbb cc"]
     assert text.group_sentences(["x" * 30], 8) == ["x" * 30]
     assert text.group_sentences([], 8) == []
+    assert text.group_sentences([" aaaa ", "  ", "bbbb", "", "c" * 12, "dd", "ee"], 8, overlap=4) == ["aaaa bbbb", "bbbb " + "c" * 12, "dd ee"]
 
 
 def test_lexical_graph_and_evidence(spark):
@@ -116,7 +117,7 @@ def test_pruning(spark):
     assert got(kept, "id") == [("1",), ("10",), ("3",), ("c",)]
     assert {r["id"]: r["props"] for r in kept.collect()}["3"] == {"name": "Jane"}
     assert got(wired, "src", "type", "dst", "turned") == [("1", "KNOWS", "3", False), ("1", "WORKS_FOR", "10", True)]
-    assert got(stats, "what", "reason", "n") == [("node", "MISSING_ID", 1), ("node", "MISSING_LABEL", 1), ("node", "NO_PROPERTY_LEFT", 1), ("relationship", "INVALID_PATTERN", 1), ("relationship", "INVALID_START_OR_END_NODE", 1), ("relationship", "NOT_IN_SCHEMA", 1)]
+    assert got(stats, "what", "reason", "n") == [("node", "MISSING_LABEL", 1), ("node", "MISSING_REQUIRED_PROPERTY", 1), ("node", "NO_PROPERTY_LEFT", 1), ("relationship", "INVALID_PATTERN", 1), ("relationship", "INVALID_START_OR_END_NODE", 1), ("relationship", "NOT_IN_SCHEMA", 1)]
     free, _ = prune.prune_nodes(n.where("id = '2'"), GraphSchema())
     assert free.count() == 1
 
@@ -188,7 +189,11 @@ def test_export(spark, tmp_path):
     assert len(set(folders.values())) == 4
     back = spark.read.parquet(folders["My Label"])
     assert dict(back.dtypes)["scores"] == "array<float>" and "__id__" in back.columns
-    assert spark.read.parquet(folders["My Label_R_My_Label"]).count() == 1
+    assert spark.read.parquet(folders["My Label", "R", "My_Label"]).count() == 1
+    n2 = spark.createDataFrame([("1", "A"), ("2", "C"), ("3", "A_R_C")], "id string, label string")
+    folders = writers.export_graph(n2, edges(spark, [("1", "R", "2")]), f"{tmp_path}/clash")
+    assert len(folders) == len(set(folders.values())) == 4
+    assert "__id__" in spark.read.parquet(folders["A_R_C"]).columns and "from" in spark.read.parquet(folders["A", "R", "C"]).columns
     with pytest.raises(ValueError):
         writers.export_graph(n, edges(spark, [("1", "R", "9")]), str(tmp_path))
     a, b = writers.coerce_numbers([spark.sql("select 1 as x"), spark.sql("select 1.5D as x")], "x")
