@@ -1,10 +1,20 @@
-"""BM25 full-text search; the tokenizer lower-cases and cuts Han, Kana and Hangul runs to bigrams."""
+"""BM25 full-text search; the tokenizer lower-cases and cuts Han, Kana and Hangul runs to bigrams.
+
+Queries are words, ``"phrases"``, AND, OR, NOT and brackets. Words side by side are alternatives; a
+NOT among them excludes. Scores add up the weights of all terms that are not excluded.
+
+``FullTextIndex`` is the written index: postings with positions sorted by term, so that a search
+reads the row groups of its terms, and one row of statistics. ``bm25`` searches a table without one.
+"""
 
 from __future__ import annotations
 
+import operator
 import re
+from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.errors import QueryParseError
@@ -15,27 +25,128 @@ CJK = r"ᄀ-ᇿ぀-ヿ㐀-䶿一-鿿가-힯"
 
 def tokens(text: Column | str) -> Column:
     text = F.col(text) if isinstance(text, str) else text
+    plain = F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
     runs = F.regexp_extract_all(F.lower(text), F.lit(rf"([{CJK}]+|[\p{{L}}\p{{N}}&&[^{CJK}]]+)"), F.lit(1))
     pairs = lambda t: F.transform(F.sequence(F.lit(1), F.char_length(t) - 1), lambda i: F.substring(t, i, F.lit(2)))
-    return F.flatten(F.transform(runs, lambda t: F.when(t.rlike(f"^[{CJK}]") & (F.char_length(t) > 1), pairs(t)).otherwise(F.array(t))))
+    cut = F.flatten(F.transform(runs, lambda t: F.when(t.rlike(f"^[{CJK}]") & (F.char_length(t) > 1), pairs(t)).otherwise(F.array(t))))
+    return F.when(text.rlike(f"[{CJK}]"), cut).otherwise(plain)
+
+
+def _ordered_tokens(text: str) -> list[str]:
+    found: list[str] = []
+    for run in re.findall(rf"[{CJK}]+|(?:(?![{CJK}_])\w)+", text.lower()):
+        found += [run[i : i + 2] for i in range(len(run) - 1)] if len(run) > 1 and re.match(f"[{CJK}]", run) else [run]
+    return found
 
 
 def query_tokens(text: str) -> list[str]:
     """The same tokens of a query string, sorted and once each."""
-    found: set[str] = set()
-    for run in re.findall(rf"[{CJK}]+|(?:(?![{CJK}_])\w)+", text.lower()):
-        found |= {run[i : i + 2] for i in range(len(run) - 1)} if len(run) > 1 and re.match(f"[{CJK}]", run) else {run}
-    return sorted(found)
+    return sorted(set(_ordered_tokens(text)))
 
 
-def parse_query(text: str) -> list[str]:
-    """Plain terms; unbalanced quotes or brackets, and lone operators, raise ``QueryParseError``."""
-    if text.count('"') % 2 or text.count("(") != text.count(")") or text.count("[") != text.count("]"):
+#: A parsed query: ("term", word), ("phrase", words), ("and" | "or", parts), ("not", part).
+Node = tuple
+
+
+def parse(text: str) -> Node:
+    """Unbalanced quotes or brackets and lone operators raise ``QueryParseError``."""
+    if text.count('"') % 2:
         raise QueryParseError(f"unbalanced query: {text!r}")
-    found = query_tokens(re.sub(r"\b(?:AND|OR|NOT)\b", " ", text))
-    if not found:
-        raise QueryParseError("the query has no term")
-    return found
+    parts = re.findall(r'"[^"]*"|[()]|[^\s()"]+', text)
+    at = 0
+
+    def peek() -> str | None:
+        return parts[at] if at < len(parts) else None
+
+    def clause() -> Node:
+        nonlocal at
+        found, excluded = [], []
+        while peek() not in (None, ")"):
+            if peek() == "OR":
+                if not found or parts[at + 1 : at + 2] in ([], [")"], ["OR"], ["AND"]):
+                    raise QueryParseError(f"OR needs two sides: {text!r}")
+                at += 1
+                continue
+            node = conjunction()
+            if node:
+                (excluded if node[0] == "not" else found).append(node)
+        if not found:
+            raise QueryParseError("the query has no term")
+        whole = found[0] if len(found) == 1 else ("or", found)
+        return ("and", [whole, *excluded]) if excluded else whole
+
+    def conjunction() -> Node | None:
+        nonlocal at
+        sides = [unary()]
+        while peek() == "AND":
+            at += 1
+            sides.append(unary())
+        if len(sides) > 1 and (None in sides or all(s[0] == "not" for s in sides)):
+            raise QueryParseError(f"AND needs two sides: {text!r}")
+        return sides[0] if len(sides) == 1 else ("and", sides)
+
+    def unary() -> Node | None:
+        nonlocal at
+        word = peek()
+        if word in (None, ")", "AND", "OR"):
+            raise QueryParseError(f"a term is missing: {text!r}")
+        at += 1
+        if word == "NOT":
+            node = unary()
+            if node is None:
+                raise QueryParseError(f"a term is missing: {text!r}")
+            return ("not", node)
+        if word == "(":
+            node = clause()
+            if peek() != ")":
+                raise QueryParseError(f"unbalanced query: {text!r}")
+            at += 1
+            return node
+        found = _ordered_tokens(word)
+        if not found:
+            return None
+        if word.startswith('"') and len(found) > 1:
+            return ("phrase", found)
+        return ("term", found[0]) if len(found) == 1 else ("or", [("term", t) for t in found])
+
+    if text.count("[") != text.count("]"):
+        raise QueryParseError(f"unbalanced query: {text!r}")
+    node = clause()
+    if at < len(parts):
+        raise QueryParseError(f"unbalanced query: {text!r}")
+    return node
+
+
+def terms_of(node: Node, scored: bool = True) -> set[str]:
+    """The words of a query; with ``scored`` without those that are excluded."""
+    if node[0] == "term":
+        return {node[1]}
+    if node[0] == "phrase":
+        return set(node[1])
+    if node[0] == "not":
+        return set() if scored else terms_of(node[1], scored)
+    return set().union(*(terms_of(x, scored) for x in node[1]))
+
+
+def parse_query(text: str) -> list[str]:
+    """The terms that are scored, sorted."""
+    return sorted(terms_of(parse(text)))
+
+
+def _matches(node: Node, places: Column) -> Column:
+    """Whether a document (term -> positions) fits."""
+    if node[0] == "term":
+        return F.map_contains_key(places, node[1])
+    if node[0] == "phrase":
+        at = lambda t: F.coalesce(F.try_element_at(places, F.lit(t)), F.array().cast("array<int>"))
+        return F.exists(at(node[1][0]), lambda p: reduce(operator.and_, (F.array_contains(at(t), p + i) for i, t in enumerate(node[1]))))
+    if node[0] == "not":
+        return ~_matches(node[1], places)
+    return reduce(operator.and_ if node[0] == "and" else operator.or_, (_matches(x, places) for x in node[1]))
+
+
+def _has_operators(node: Node) -> bool:
+    return node[0] != "term" and not (node[0] == "or" and all(x[0] == "term" or x[0] == "or" and not _has_operators(x) for x in node[1]))
 
 
 def _count(tokens: str, term: str) -> Column:
@@ -47,6 +158,9 @@ def bm25(docs: DataFrame, query: str, top_k: int | None = None, key: str = "doc_
 
     One pass for the statistics (a single row) and one for the scores; only query terms leave a row.
     """
+    if _has_operators(parse(query)):
+        rows = docs.agg(F.count("*").alias("n"), F.avg(F.size(tokens(F.coalesce(F.col(text), F.lit(""))))).alias("a")).first()
+        return search_postings(build_postings(docs, key, text), rows["n"], rows["a"] or 1.0, query, top_k, key)
     terms = parse_query(query)
     cut = docs.select(key, tokens(F.coalesce(F.col(text), F.lit(""))).alias("t")).select(key, F.size("t").alias("dl"), *(_count("t", t).alias(f"tf{i}") for i, t in enumerate(terms)))
     stats = cut.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *(F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(terms))))
@@ -60,15 +174,50 @@ def bm25(docs: DataFrame, query: str, top_k: int | None = None, key: str = "doc_
 
 
 def build_postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """term, key, tf, dl: a materialised index; partition it by term when it is written."""
+    """term, key, tf, dl, places: the postings of all documents; documents without a term have none."""
     cut = docs.select(key, tokens(F.coalesce(F.col(text), F.lit(""))).alias("t"))
-    return cut.select(key, F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy("term", key).agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    listed = cut.select(key, F.size("t").alias("dl"), F.posexplode("t").alias("at", "term"))
+    return listed.groupBy("term", key).agg(F.count("*").alias("tf"), F.first("dl").alias("dl"), F.array_sort(F.collect_list("at")).alias("places"))
 
 
-def search_postings(postings: DataFrame, n_docs: int, avgdl: float, query: str, top_k: int, key: str = "doc_id") -> DataFrame:
-    hit = postings.where(F.col("term").isin(parse_query(query)))
+def search_postings(postings: DataFrame, n_docs: int, avgdl: float, query: str, top_k: int | None = None, key: str = "doc_id") -> DataFrame:
+    node = parse(query)
+    scored = sorted(terms_of(node))
+    hit = postings.where(F.col("term").isin(sorted(terms_of(node, False))))
     df = hit.groupBy("term").agg(F.count("*").alias("df"))
     joined = hit.join(F.broadcast(df), "term")  # a row for each query term
     idf = F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / avgdl))
-    return joined.groupBy(key).agg(F.sum(weight).alias("score")).orderBy(F.desc("score"), key).limit(top_k)
+    total = F.sum(F.when(F.col("term").isin(scored), weight)).alias("score")
+    if _has_operators(node):
+        places = F.map_from_entries(F.collect_list(F.struct("term", "places"))).alias("_places")
+        out = joined.groupBy(key).agg(total, places).where(_matches(node, F.col("_places"))).select(key, "score")
+    else:
+        out = joined.groupBy(key).agg(total)
+    return out if top_k is None else out.orderBy(F.desc("score"), key).limit(top_k)
+
+
+@dataclass(frozen=True)
+class FullTextIndex:
+    """Written postings at ``path`` and their statistics beside them."""
+
+    spark: SparkSession
+    path: str
+    key: str = "doc_id"
+
+    @classmethod
+    def create(cls, docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> FullTextIndex:
+        """Sorted by term over range partitions, so that a term's postings are few row groups."""
+        build_postings(docs, key, text).repartitionByRange("term").sortWithinPartitions("term", key).write.mode("overwrite").parquet(f"{path}/postings")
+        made = cls(docs.sparkSession, path, key)
+        lengths = made.postings().groupBy(key).agg(F.first("dl").alias("dl")).agg(F.coalesce(F.sum("dl"), F.lit(0)).alias("words"))
+        docs.agg(F.count("*").alias("n")).join(F.broadcast(lengths)).write.mode("overwrite").parquet(f"{path}/statistics")  # one row each
+        return made
+
+    def postings(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/postings")
+
+    def search(self, query: str, top_k: int | None = None) -> DataFrame:
+        """key, score of the documents that fit, best first with ``top_k``, ties by key."""
+        row = self.spark.read.parquet(f"{self.path}/statistics").first()
+        return search_postings(self.postings(), row["n"], (row["words"] / row["n"] if row["n"] else 0) or 1.0, query, top_k, self.key)

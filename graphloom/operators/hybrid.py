@@ -4,18 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.errors import SearchValidationError
-from graphloom.operators.fulltext import bm25
+from graphloom.operators.fulltext import FullTextIndex, bm25
 from graphloom.operators.vector import knn
 
 
 def normalised(hits: DataFrame, key: str) -> DataFrame:
-    """Scores over the largest of the branch (at most top_k rows); 0 where that is 0."""
-    best = hits.agg(F.max("score").alias("best"))
-    return hits.join(F.broadcast(best)).select(key, F.coalesce(F.try_divide("score", "best"), F.lit(0.0)).alias("score"))
+    """Scores over the largest of the branch; 0 where that is 0. The branch, at most top_k rows, is read once."""
+    best = hits.withColumn("best", F.max("score").over(Window.partitionBy()))
+    return best.select(key, F.coalesce(F.try_divide("score", "best"), F.lit(0.0)).alias("score"))
 
 
 def fuse(vector_hits: DataFrame, text_hits: DataFrame, top_k: int, key: str, ranker: str = "naive", alpha: float | None = None, dedupe: bool = True) -> DataFrame:
@@ -36,9 +36,10 @@ def fuse(vector_hits: DataFrame, text_hits: DataFrame, top_k: int, key: str, ran
 
 
 class HybridRetriever:
-    """A given vector beats the embedding of the text; ``expand`` as in VectorRetriever."""
+    """``index`` is searched where there is one, else the table's texts. A given vector beats the embedding of the text; ``expand`` as in VectorRetriever."""
 
-    def __init__(self, rows: DataFrame, key: str, vector: str, text: str, embedder: Callable[[str], Sequence[float]] | None = None, expand: Callable[[DataFrame], DataFrame] | None = None) -> None:
+    def __init__(self, rows: DataFrame, key: str, vector: str, text: str, embedder: Callable[[str], Sequence[float]] | None = None, expand: Callable[[DataFrame], DataFrame] | None = None, index: FullTextIndex | None = None) -> None:
+        self.index = index
         self.rows, self.key, self.vector, self.text, self.embedder, self.expand = rows, key, vector, text, embedder, expand
 
     def search(self, query_text: str, query_vector: Sequence[float] | None = None, top_k: int = 5, effective_search_ratio: int = 1, ranker: str = "naive", alpha: float | None = None) -> DataFrame:
@@ -49,6 +50,6 @@ class HybridRetriever:
                 raise SearchValidationError("an embedder or a vector is expected")
             query_vector = self.embedder(query_text)
         v = knn(self.rows, query_vector, top_k, self.key, self.vector).select(self.key, "score")
-        t = bm25(self.rows, query_text, top_k, self.key, self.text)
+        t = self.index.search(query_text, top_k) if self.index else bm25(self.rows, query_text, top_k, self.key, self.text)
         fused = fuse(v, t, top_k, self.key, ranker, alpha)
         return self.expand(fused) if self.expand else fused

@@ -81,7 +81,7 @@ def test_vector_retriever(docs):
             r.search(**bad)
 
 
-def test_bm25_ranks_and_index_agrees(spark):
+def test_bm25_ranks_and_index_agrees(spark, tmp_path):
     rows = spark.createDataFrame([(1, "red fox red"), (2, "red dog"), (3, "blue cat"), (4, None), (5, "東京都 tower")], "doc_id long, text string")
     got = fulltext.bm25(rows, "red fox", 5).collect()
     assert [r["doc_id"] for r in got] == [1, 2]
@@ -91,7 +91,15 @@ def test_bm25_ranks_and_index_agrees(spark):
     assert [(r["doc_id"], round(r["score"], 9)) for r in again] == [(r["doc_id"], round(r["score"], 9)) for r in got]
     assert fulltext.query_tokens("東京都 Tower") == ["tower", "京都", "東京"]
     assert [r["doc_id"] for r in fulltext.bm25(rows, "京都").collect()] == [5]
-    for bad in ('"open', "(a", "AND"):
+    index = fulltext.FullTextIndex.create(rows, str(tmp_path / "index"))
+    find = lambda q: sorted(r["doc_id"] for r in index.search(q).collect())
+    assert [(r["doc_id"], round(r["score"], 9)) for r in index.search("red fox", 5).collect()] == [(r["doc_id"], round(r["score"], 9)) for r in got]
+    assert find('"red fox"') == [1] and find('"fox red"') == [1] and find('"dog red"') == [] and find("red AND fox") == [1]
+    assert find("red NOT fox") == [2] and find("red AND NOT dog") == [1] and find("(fox OR cat) AND (blue OR dog)") == [3]
+    assert find("red OR (blue AND cat)") == [1, 2, 3] and find('"東京都"') == [5] and find("nothing") == []
+    assert sorted(r["doc_id"] for r in fulltext.bm25(rows, "red NOT fox").collect()) == [2]
+    assert index.search("red NOT fox").first()["score"] == index.search("red").where("doc_id = 2").first()["score"]
+    for bad in ('"open', "(a", "AND", "a AND", "OR a", "a OR", "NOT a", "()", "a AND OR b", "a)"):
         with pytest.raises(QueryParseError):
             fulltext.parse_query(bad)
 
