@@ -53,21 +53,25 @@ def induced_edges(edges: DataFrame, members: DataFrame, group: str | None = None
     return edges.join(ids.toDF(group, "src"), "src").join(ids.toDF(group, "dst"), [group, "dst"])
 
 
-def retrieve(graph: PropertyGraph, anchors: DataFrame, evidence: DataFrame, related: tuple[str, ...] = (), upward: tuple[str, ...] = (), max_rounds: int = 64) -> DataFrame:
+def retrieve(graph: PropertyGraph, anchors: DataFrame, evidence: DataFrame, related: tuple[str, ...] = (), upward: tuple[str, ...] = (), max_rounds: int = 64, chapters: DataFrame | None = None) -> DataFrame:
     """chunk, facts, subgraph and edges of anchor chunks, one row each, chunks without facts included.
 
     ``anchors``: chunk and more; ``evidence``: chunk, fact. The subgraph of a chunk is its facts,
     their neighbours, these one's neighbours over ``related`` types in either direction, and
-    everything upward of the neighbours over the ``upward`` types; its edges have both ends in it.
+    everything upward of the neighbours over each one of the ``upward`` types; its edges have both ends
+    in it. ``chapters`` (chunk, number) fills the chapter of anchors that have none of their own.
     """
+    if chapters is not None:
+        numbers = chapters.groupBy("chunk").agg(F.min("number").alias("_number"))
+        anchors = anchors.join(numbers, "chunk", "left").withColumn("chapter", F.coalesce("chapter", "_number")).drop("_number")
     facts = evidence.join(anchors.select("chunk"), "chunk", "left_semi").select("chunk", F.col("fact").alias("id")).distinct()
     both = graph.undirected()
     near = facts.join(both, F.col("id") == F.col("a")).select("chunk", F.col("b").alias("id")).distinct()
     parts = [facts, near]
     if related:
         parts.append(near.join(both.where(F.col("type").isin(*related)), F.col("id") == F.col("a")).select("chunk", F.col("b").alias("id")))
-    if upward:
-        above = closure(graph.edges.where(F.col("type").isin(*upward)), near.select("id"), max_rounds)
+    for kind in upward:
+        above = closure(graph.edges.where(F.col("type") == kind), near.select("id"), max_rounds)
         parts.append(near.join(above, "id").select("chunk", F.col("reached").alias("id")))
     members = parts[0]
     for p in parts[1:]:

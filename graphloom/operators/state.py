@@ -29,6 +29,34 @@ def history(states: DataFrame, entity: Column | None, at: str, state: str, up_to
     return out.orderBy(F.asc_nulls_last(at), state)
 
 
+def entity_history(
+    characters: DataFrame, related: DataFrame, has_state: DataFrame, states: DataFrame, established_in: DataFrame, evidence: DataFrame, about: DataFrame, entity: str, up_to=None
+) -> DataFrame:
+    """character, related, content, source_desc, chapter, targets, evidence: a character's states in order.
+
+    characters: id, name, aliases (array), found by name or alias; related: src, type, dst, description,
+    met in either direction; has_state: character, state; states: state, name, description;
+    established_in: state, chapter; evidence: state, chapter, text; about: state, target. A state
+    without a known chapter comes last, and goes where ``up_to`` is given.
+    """
+    who = characters.where((F.col("name") == entity) | F.coalesce(F.array_contains("aliases", entity), F.lit(False))).select("id", F.col("name").alias("character"))
+    both = related.select(F.col("src").alias("id"), F.col("dst").alias("other"), "type", "description").unionByName(related.select(F.col("dst").alias("id"), F.col("src").alias("other"), "type", "description"))
+    met = both.join(who, "id", "left_semi").join(characters.select(F.col("id").alias("other"), "name"), "other")
+    listed = met.groupBy("id").agg(F.array_sort(F.collect_set(F.struct("name", "type", "description"))).alias("related"))
+    own = who.join(has_state.withColumnRenamed("character", "id"), "id").join(states, "state")
+    wanted = own.select("state").distinct()
+    of = lambda rows: rows.join(wanted, "state", "left_semi")
+    by_event = of(established_in).groupBy("state").agg(F.min("chapter").alias("_e"))
+    by_chunk = of(evidence).groupBy("state").agg(F.min("chapter").alias("_c"), F.array_sort(F.collect_set("text")).alias("evidence"))
+    targets = of(about).groupBy("state").agg(F.array_sort(F.collect_set("target")).alias("targets"))
+    out = own.join(by_event, "state", "left").join(by_chunk, "state", "left").join(targets, "state", "left").join(listed, "id", "left")
+    out = out.withColumn("chapter", F.coalesce("_e", "_c"))
+    if up_to is not None:
+        out = out.where(F.col("chapter") <= F.lit(up_to))
+    empty = lambda c: F.coalesce(c, F.array().cast(out.schema[c].dataType)).alias(c)
+    return out.select("character", empty("related"), F.col("name").alias("content"), F.col("description").alias("source_desc"), "chapter", empty("targets"), empty("evidence"), "state").orderBy(F.asc_nulls_last("chapter"), "state").drop("state")
+
+
 def as_of(states: DataFrame, keys: Sequence[str], at: str, order: str, up_to=None) -> DataFrame:
     """The latest state of each key at or before ``up_to``: one pre-aggregating pass, no window."""
     rows = states if up_to is None else states.where(F.col(at) <= F.lit(up_to))

@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions.similarity import cosine, euclidean_score, vector_literal
-from graphloom.graph import node_id, relational_graph, table
+from graphloom.graph import PropertyGraph, node_id, relational_graph, table
 from graphloom.operators import expand, fulltext, hybrid, introspect, prune, resolve, state, text, vector
 from graphloom.operators.filters import compile_filter
-from graphloom.operators.history import last_messages
+from graphloom.operators.history import append_message, clear, last_messages
+from graphloom.plans import build
 from graphloom.sources import readers, writers
-from graphloom.streaming.incremental import windowed_counts
+from graphloom.sources.scratch import shared_dir
+from graphloom.streaming.incremental import upsert_stream, windowed_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -40,6 +43,7 @@ FILTERS = {
     "filter_nin": ({"lang": {"$nin": ["en", "de"]}}, "lang NOT IN ('en', 'de')"),
     "filter_like": ({"text": {"$like": "License%"}}, "contains(text, 'License')"),
     "filter_ilike": ({"text": {"$ilike": "LICENSE%"}}, "contains(lower(text), 'license')"),
+    "filter_capitals": ({"$AND": [{"n_chars": {"$GT": 500}}, {"lang": {"$IN": ["fr", "de"]}}]}, "n_chars > 500 AND lang IN ('fr', 'de')"),
     "filter_and_or": ({"$or": [{"lang": "es", "n_chars": {"$gt": 1000}}, {"source": {"$eq": "src3"}}]}, "(lang = 'es' AND n_chars > 1000) OR source = 'src3'"),
 }
 
@@ -115,6 +119,17 @@ def vector_upsert(spark: SparkSession, d: str) -> DataFrame:
 TEXT_QUERY = "license thing idiot"
 
 
+_INDEXES: dict[tuple[str, str], fulltext.FullTextIndex] = {}
+
+
+def _text_index(spark: SparkSession, d: str, anew: bool = False) -> fulltext.FullTextIndex:
+    """The written index of a folder's documents: made once in an application, then only searched."""
+    key = (spark.sparkContext.applicationId, d)
+    if anew or key not in _INDEXES:
+        _INDEXES[key] = fulltext.FullTextIndex.create(table(spark, d, "documents"), f"{shared_dir(spark)}/fulltext-{uuid.uuid4().hex}")
+    return _INDEXES[key]
+
+
 def _bm25_sql(text_query: str) -> str:
     terms = fulltext.query_tokens(text_query)
     tf = ", ".join(f"len(list_filter(t, lambda x: x = '{t}')) AS tf{i}" for i, t in enumerate(terms))
@@ -129,22 +144,39 @@ bm AS (SELECT doc_id, {score} AS score FROM cut, st WHERE {hit})"""
 
 @query(f"WITH {_bm25_sql(TEXT_QUERY)} SELECT doc_id, round(score, 5) AS score FROM bm")
 def fulltext_bm25(spark: SparkSession, d: str) -> DataFrame:
+    return _text_index(spark, d).search(TEXT_QUERY).select("doc_id", F.round("score", 5).alias("score"))
+
+
+@query(f"WITH {_bm25_sql(TEXT_QUERY)} SELECT doc_id, round(score, 5) AS score FROM bm")
+def fulltext_without_index(spark: SparkSession, d: str) -> DataFrame:
     return fulltext.bm25(table(spark, d, "documents"), TEXT_QUERY).select("doc_id", F.round("score", 5).alias("score"))
 
 
+@query(f"""WITH {_bm25_sql("license idiot")}, p AS (SELECT doc_id, t FROM tok)
+SELECT doc_id, round(score, 5) AS score FROM bm JOIN p USING (doc_id) WHERE (list_contains(t, 'license') OR list_contains(t, 'idiot')) AND NOT list_contains(t, 'mit')""")
+def fulltext_boolean(spark: SparkSession, d: str) -> DataFrame:
+    return _text_index(spark, d).search("(license OR idiot) AND NOT mit").select("doc_id", F.round("score", 5).alias("score"))
+
+
+@query(f"""WITH {_bm25_sql("mit license")}, p AS (SELECT doc_id, ' ' || array_to_string(t, ' ') || ' ' AS t FROM tok)
+SELECT doc_id, round(score, 5) AS score FROM bm JOIN p USING (doc_id) WHERE contains(t, ' mit license ')""")
+def fulltext_phrase(spark: SparkSession, d: str) -> DataFrame:
+    return _text_index(spark, d).search('"MIT License"').select("doc_id", F.round("score", 5).alias("score"))
+
+
 def _postings_sql() -> str:
     return r"WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+')) AS term FROM documents) SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM t GROUP BY term"
 
 
 @query(_postings_sql())
 def fulltext_index(spark: SparkSession, d: str) -> DataFrame:
-    postings = fulltext.build_postings(table(spark, d, "documents"))
+    postings = _text_index(spark, d, anew=True).postings()
     return postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
 def _branches(spark: SparkSession, d: str, k: int = 20) -> tuple[DataFrame, DataFrame]:
     v = vector.knn(table(spark, d, "embeddings"), _vector(spark, d), k, "vec_id").select(F.col("vec_id").alias("doc_id"), "score")
-    return v, fulltext.bm25(table(spark, d, "documents"), TEXT_QUERY, k)
+    return v, _text_index(spark, d).search(TEXT_QUERY, k)
 
 
 def _hybrid_sql(weight_v: str, weight_t: str, total: str, union: str = "UNION") -> str:
@@ -174,6 +206,31 @@ def hybrid_linear_all(spark: SparkSession, d: str) -> DataFrame:
     return _fused(spark, d, ranker="linear", alpha=0.5, dedupe=False)
 
 
+_HYBRID = f"""{_bm25_sql(TEXT_QUERY)},
+v AS (SELECT vec_id AS doc_id, (1 + {_COS}) / 2 AS score FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents) ORDER BY {_COS} DESC, vec_id LIMIT 20),
+t AS (SELECT doc_id, score FROM bm ORDER BY score DESC, doc_id LIMIT 20),
+b AS (SELECT doc_id, score / (SELECT max(score) FROM v) AS score FROM v UNION SELECT doc_id, score / (SELECT max(score) FROM t) FROM t),
+h AS (SELECT doc_id, max(score) AS score FROM b GROUP BY doc_id ORDER BY 2 DESC, 1 LIMIT 20)"""
+
+
+def _hybrid_rows(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").join(table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id")
+
+
+@query(f"WITH {_HYBRID} SELECT doc_id, round(score, 5) AS score FROM h")
+def hybrid_retriever(spark: SparkSession, d: str) -> DataFrame:
+    found = hybrid.HybridRetriever(_hybrid_rows(spark, d), "doc_id", "embedding", "text", index=_text_index(spark, d)).search(TEXT_QUERY, _vector(spark, d), 20)
+    return found.select("doc_id", F.round("score", 5).alias("score"))
+
+
+@query(f"SELECT vec_id AS doc_id, source, round(score, 5) AS score FROM (SELECT vec_id, (1 + {_COS}) / 2 AS score FROM embeddings ORDER BY {_COS} DESC, vec_id LIMIT 15) JOIN documents ON doc_id = vec_id")
+def vector_expand(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "source")
+    expanded = lambda hits: hits.select(F.col("vec_id").alias("doc_id"), "score").join(docs, "doc_id")
+    found = vector.VectorRetriever(table(spark, d, "embeddings"), "vec_id", expand=expanded).search(_vector(spark, d), top_k=15)
+    return found.select("doc_id", "source", F.round("score", 5).alias("score"))
+
+
 @query("WITH x(id, s) AS (VALUES (1, 0.5), (1, 0.5), (2, 0.25), (2, 0.1)) SELECT id, round(sum(s), 5) AS score FROM (SELECT DISTINCT id, s FROM x) GROUP BY id")
 def hybrid_linear_union_dedup(spark: SparkSession, d: str) -> DataFrame:
     v = spark.sql("SELECT * FROM VALUES (1, 2.0D), (2, 1.0D) AS t(id, score)")
@@ -181,11 +238,11 @@ def hybrid_linear_union_dedup(spark: SparkSession, d: str) -> DataFrame:
     return hybrid.fuse(v, t, 10, "id", "linear", 0.5).select("id", F.round("score", 5).alias("score"))
 
 
-@query(f"""WITH {_bm25_sql(TEXT_QUERY)}, t AS (SELECT doc_id, score FROM bm ORDER BY score DESC, doc_id LIMIT 20)
-SELECT t.doc_id, d.source, d.lang FROM t JOIN documents d USING (doc_id)""")
+@query(f"WITH {_HYBRID} SELECT doc_id, source, lang, round(score, 5) AS score FROM h JOIN documents USING (doc_id)")
 def hybrid_expand(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
-    return fulltext.bm25(docs, TEXT_QUERY, 20).join(docs, "doc_id").select("doc_id", "source", "lang")
+    expanded = lambda hits: hits.join(docs, "doc_id").select("doc_id", "source", "lang", F.round("score", 5).alias("score"))
+    return hybrid.HybridRetriever(_hybrid_rows(spark, d), "doc_id", "embedding", "text", expand=expanded, index=_text_index(spark, d)).search(TEXT_QUERY, _vector(spark, d), 20)
 
 
 # ---- graph
@@ -209,9 +266,49 @@ def graph_rel_counts(spark: SparkSession, d: str) -> DataFrame:
     return introspect.type_counts(relational_graph(spark, d).edges)
 
 
-@query("SELECT * FROM (VALUES ('customer', 'PLACED', 'order'), ('order', 'CONTAINS', 'part'), ('part', 'SUPPLIED_BY', 'supplier'), ('customer', 'IN_NATION', 'nation'), ('supplier', 'IN_NATION', 'nation'), ('nation', 'LOCATED_IN', 'region')) t(src_label, type, dst_label)")
+@query("""SELECT 'customer' AS src_label, 'PLACED' AS type, 'order' AS dst_label FROM orders JOIN customer ON c_custkey = o_custkey UNION SELECT 'order', 'CONTAINS', 'part' FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey
+UNION SELECT 'part', 'SUPPLIED_BY', 'supplier' FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey UNION SELECT 'customer', 'IN_NATION', 'nation' FROM customer JOIN nation ON n_nationkey = c_nationkey
+UNION SELECT 'supplier', 'IN_NATION', 'nation' FROM supplier JOIN nation ON n_nationkey = s_nationkey UNION SELECT 'nation', 'LOCATED_IN', 'region' FROM nation JOIN region ON r_regionkey = n_regionkey""")
 def graph_patterns(spark: SparkSession, d: str) -> DataFrame:
-    return introspect.patterns(relational_graph(spark, d).edges)
+    g = relational_graph(spark, d)
+    return introspect.patterns(PropertyGraph(g.nodes, g.edges.select("src", "type", "dst")).typed_edges())
+
+
+@query("""SELECT 'customer' AS src_label, 'IN_NATION' AS type, 'nation' AS dst_label, count(*) AS n FROM customer JOIN nation ON n_nationkey = c_nationkey UNION ALL SELECT 'supplier', 'IN_NATION', 'nation', count(*) FROM supplier JOIN nation ON n_nationkey = s_nationkey
+UNION ALL SELECT 'nation', 'LOCATED_IN', 'region', count(*) FROM nation JOIN region ON r_regionkey = n_regionkey""")
+def graph_typed_edges(spark: SparkSession, d: str) -> DataFrame:
+    g = _places(spark, d)
+    typed = PropertyGraph(g.nodes, g.edges.select("src", "type", "dst")).typed_edges()
+    return typed.groupBy("src_label", "type", "dst_label").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT id, label, name FROM ({_NODES}) WHERE label NOT IN ('customer', 'region')")
+def graph_nodes_without(spark: SparkSession, d: str) -> DataFrame:
+    return _places(spark, d).without("customer", "region").select("id", "label", "name")
+
+
+@query(f"""WITH n AS (SELECT id, label, name FROM ({_NODES})) SELECT id, CASE label WHEN 'region' THEN 'region' ELSE label || ',__Entity__' END AS labels,
+CASE label WHEN 'region' THEN 'region' ELSE label END AS domain, 'label=' || label || ', name=' || name AS summary FROM n""")
+def node_rows(spark: SparkSession, d: str) -> DataFrame:
+    rows = writers.with_labels(_places(spark, d).nodes, ("region",))
+    props = F.create_map(F.lit("name"), F.col("name"), F.lit("label"), F.col("label"), F.lit("none"), F.lit(None).cast("string"))
+    return rows.select("id", F.array_join("labels", ",").alias("labels"), expand.domain_label("labels").alias("domain"), expand.props_summary(props).alias("summary"))
+
+
+@query("SELECT 'label' AS kind, t AS name, n FROM (SELECT 'customer' AS t, count(*) AS n FROM customer UNION ALL SELECT 'supplier', count(*) FROM supplier UNION ALL SELECT 'nation', count(*) FROM nation UNION ALL SELECT 'region', count(*) FROM region) UNION ALL SELECT 'pattern', t, n FROM (SELECT 'customer IN_NATION nation' AS t, count(*) AS n FROM customer UNION ALL SELECT 'supplier IN_NATION nation', count(*) FROM supplier UNION ALL SELECT 'nation LOCATED_IN region', count(*) FROM nation)")
+def graph_export(spark: SparkSession, d: str) -> DataFrame:
+    """What is read back from an export: rows by label, and by pattern with the ends' labels."""
+    g = _places(spark, d)
+    folders = writers.export_graph(g.nodes, g.edges.select("src", "type", "dst"), f"{shared_dir(spark)}/export-{uuid.uuid4().hex}")
+    out = None
+    for key, folder in folders.items():
+        rows = spark.read.parquet(folder)
+        if isinstance(key, tuple):
+            part = rows.groupBy(F.concat_ws(" ", "from_label", "type", "to_label").alias("name")).agg(F.count("*").alias("n")).withColumn("kind", F.lit("pattern"))
+        else:
+            part = rows.where("__id__ is not null").groupBy(F.col("label").alias("name")).agg(F.count("*").alias("n")).withColumn("kind", F.lit("label"))
+        out = part if out is None else out.unionByName(part)
+    return out.select("kind", "name", "n")
 
 
 @query(f"WITH e AS ({_PLACES}) SELECT DISTINCT id, type, neighbour FROM (SELECT src AS id, type, dst AS neighbour FROM e UNION ALL SELECT dst, type, src FROM e) WHERE id IN ('nation:3', 'region:1')")
@@ -256,6 +353,38 @@ def retrieve_expand(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+_WIDE = f"""({_PLACES} UNION ALL SELECT 'nation:' || n_nationkey, 'RELATED_TO', 'nation:' || (n_nationkey + 1) % 25 FROM nation
+UNION ALL SELECT 'nation:' || n_nationkey, 'PART_OF', 'org:' || n_nationkey % 3 FROM nation UNION ALL SELECT 'org:' || i, 'PART_OF', 'org:9' FROM range(3) t(i))"""
+
+
+@query(f"""WITH RECURSIVE e AS {_WIDE}, near AS (SELECT vec_id AS doc_id FROM embeddings ORDER BY {_COS} DESC, vec_id LIMIT 10),
+f AS (SELECT doc_id, 'customer:' || c_custkey AS id FROM near JOIN customer ON c_custkey = doc_id), both_ways AS (SELECT src AS a, type, dst AS b FROM e UNION ALL SELECT dst, type, src FROM e),
+nb AS (SELECT DISTINCT doc_id, b AS id FROM f JOIN both_ways ON a = id),
+up(doc_id, type, id) AS (SELECT doc_id, type, dst FROM nb JOIN e ON src = id WHERE type IN ('LOCATED_IN', 'PART_OF') UNION SELECT up.doc_id, up.type, e.dst FROM up JOIN e ON e.src = up.id AND e.type = up.type),
+m AS (SELECT doc_id, id FROM f UNION SELECT doc_id, id FROM nb UNION SELECT doc_id, id FROM up UNION SELECT doc_id, b FROM nb JOIN both_ways ON a = id WHERE type = 'RELATED_TO')
+SELECT d.doc_id, coalesce(CASE WHEN d.doc_id % 2 = 0 THEN d.source END, 'ch' || d.doc_id % 5) AS chapter, coalesce((SELECT string_agg(id, ',' ORDER BY id) FROM m WHERE m.doc_id = d.doc_id), '') AS subgraph,
+coalesce((SELECT string_agg(x, ',' ORDER BY x) FROM (SELECT DISTINCT src || '-' || type || '-' || dst AS x FROM e WHERE src IN (SELECT id FROM m WHERE m.doc_id = d.doc_id) AND dst IN (SELECT id FROM m WHERE m.doc_id = d.doc_id))), '') AS edges
+FROM near JOIN documents d USING (doc_id)""")
+def retrieve_wide(spark: SparkSession, d: str) -> DataFrame:
+    """Retrieval with all its surroundings: chapter by join, related nodes, two ways upward."""
+    near = vector.knn(table(spark, d, "embeddings"), _vector(spark, d), 10, "vec_id").select(F.col("vec_id").alias("doc_id"), "score")
+    docs = near.join(table(spark, d, "documents"), "doc_id")
+    anchors = docs.select(node_id("doc", "doc_id").alias("chunk"), "doc_id", F.when(F.col("doc_id") % 2 == 0, F.col("source")).alias("chapter"), "text", "score")
+    chapters = table(spark, d, "documents").select(node_id("doc", "doc_id").alias("chunk"), F.concat(F.lit("ch"), (F.col("doc_id") % 5).cast("string")).alias("number"))
+    g, n = _places(spark, d), table(spark, d, "nation")
+    org = spark.range(10).where("id in (0, 1, 2, 9)").select(node_id("org", "id").alias("id"), F.lit("org").alias("label"), F.lit("o").alias("name"))
+    more = n.select(node_id("nation", "n_nationkey").alias("src"), F.lit("RELATED_TO").alias("type"), F.concat(F.lit("nation:"), ((F.col("n_nationkey") + 1) % 25).cast("string")).alias("dst"))
+    part_of = n.select(node_id("nation", "n_nationkey").alias("src"), F.lit("PART_OF").alias("type"), F.concat(F.lit("org:"), (F.col("n_nationkey") % 3).cast("string")).alias("dst"))
+    top = spark.range(3).select(node_id("org", "id").alias("src"), F.lit("PART_OF").alias("type"), F.lit("org:9").alias("dst"))
+    wide = PropertyGraph(g.nodes.select("id", "label", "name").unionByName(org), g.edges.select("src", "type", "dst").unionByName(more).unionByName(part_of).unionByName(top))
+    evidence = table(spark, d, "customer").select(node_id("doc", "c_custkey").alias("chunk"), node_id("customer", "c_custkey").alias("fact"))
+    found = expand.retrieve(wide, anchors, evidence, related=("RELATED_TO",), upward=("LOCATED_IN", "PART_OF"), chapters=chapters)
+    return found.select(
+        "doc_id", "chapter", F.array_join(F.array_sort(F.transform("subgraph", lambda n: n.id)), ",").alias("subgraph"),
+        F.array_join(F.array_sort(F.transform("edges", lambda e: F.concat_ws("-", e.src, e.type, e.dst))), ",").alias("edges"),
+    )
+
+
 @query(f"WITH n AS ({_NODES}) SELECT label, string_agg('- ' || name, chr(10) ORDER BY '- ' || name) AS body FROM n GROUP BY label")
 def graph_dump_text(spark: SparkSession, d: str) -> DataFrame:
     return expand.dump_text(_places(spark, d))
@@ -267,16 +396,15 @@ def member_distinct(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").join(members, "o_custkey").select("o_orderkey", "o_custkey").distinct()
 
 
-@query("SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS story_rank FROM events WHERE event_id BETWEEN 100 AND 900")
+@query("SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS story_rank FROM events")
 def range_events_ordered(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "events").where("event_id between 100 and 900")
-    return state.ranked_story(rows, "user_id", "ts", "event_id").select("event_id", "user_id", "story_rank")
+    return state.ranked_story(table(spark, d, "events"), "user_id", "ts", "event_id").select("event_id", "user_id", "story_rank")
 
 
-@query("SELECT doc_id, source, round((1 + c) / 2, 5) AS score FROM (SELECT vec_id, " + _COS + " AS c FROM embeddings) JOIN documents ON vec_id = doc_id WHERE vec_id % 10 = 3")
+@query("SELECT doc_id, source, round((1 + c) / 2, 5) AS score FROM (SELECT vec_id, " + _COS + " AS c FROM embeddings) JOIN documents ON vec_id = doc_id")
 def external_id_join(spark: SparkSession, d: str) -> DataFrame:
     q = vector_literal(_vector(spark, d))
-    matches = table(spark, d, "embeddings").where("vec_id % 10 = 3").select(F.col("vec_id").alias("external"), ((cosine("embedding", q) + 1) / 2).alias("score"))
+    matches = table(spark, d, "embeddings").select(F.col("vec_id").alias("external"), ((cosine("embedding", q) + 1) / 2).alias("score"))
     return readers.external_matches(matches, table(spark, d, "documents"), "external", "doc_id").select("doc_id", "source", F.round("score", 5).alias("score"))
 
 
@@ -301,6 +429,31 @@ def state_history_upto(spark: SparkSession, d: str) -> DataFrame:
     return state.history(rows, F.col("user_id") == 7, "chapter", "event_id", up_to).select("event_id", "event_type", "chapter")
 
 
+@query("""WITH c AS (SELECT c_custkey FROM customer WHERE c_name = 'alias-7' OR c_custkey = 7), s AS (SELECT o_orderkey, o_orderstatus, o_orderpriority FROM orders WHERE o_custkey IN (SELECT c_custkey FROM c))
+SELECT 'Customer#000000007' AS "character", coalesce((SELECT string_agg(c_name, ',' ORDER BY c_name) FROM (SELECT DISTINCT c_name FROM customer WHERE c_custkey IN (6, 8))), '') AS related, o_orderstatus AS content, o_orderpriority AS source_desc,
+coalesce(e.ch, k.ch) AS chapter, coalesce(targets, '') AS targets, coalesce(n, 0) AS n_evidence FROM s
+LEFT JOIN (SELECT l_orderkey AS o_orderkey, min(l_linenumber) AS ch FROM lineitem WHERE l_linenumber > 2 GROUP BY 1) e USING (o_orderkey)
+LEFT JOIN (SELECT l_orderkey AS o_orderkey, min(l_linenumber) AS ch, count(DISTINCT l_returnflag) AS n FROM lineitem GROUP BY 1) k USING (o_orderkey)
+LEFT JOIN (SELECT l_orderkey AS o_orderkey, string_agg(DISTINCT p_brand, ',' ORDER BY p_brand) AS targets FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1) t USING (o_orderkey)
+WHERE coalesce(e.ch, k.ch) <= 4""")
+def entity_state_history(spark: SparkSession, d: str) -> DataFrame:
+    """A customer found by an alias is the character, its orders are the states, their lines events and evidence."""
+    c, o, lines = (table(spark, d, t) for t in ("customer", "orders", "lineitem"))
+    who = c.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.array(F.concat(F.lit("alias-"), F.col("c_custkey").cast("string"))).alias("aliases"))
+    related = c.select(F.col("c_custkey").alias("src"), F.lit("RELATED_TO").alias("type"), (F.col("c_custkey") + 1).alias("dst"), F.lit("next").alias("description"))
+    key = F.col("l_orderkey").alias("state")
+    found = state.entity_history(
+        who, related, o.select(F.col("o_custkey").alias("character"), F.col("o_orderkey").alias("state")),
+        o.select(F.col("o_orderkey").alias("state"), F.col("o_orderstatus").alias("name"), F.col("o_orderpriority").alias("description")),
+        lines.where("l_linenumber > 2").select(key, F.col("l_linenumber").alias("chapter")),
+        lines.select(key, F.col("l_linenumber").alias("chapter"), F.col("l_returnflag").alias("text")),
+        lines.join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).select(key, F.col("p_brand").alias("target")),
+        "alias-7", up_to=4,
+    )
+    names = F.array_join(F.transform("related", lambda r: r["name"]), ",")
+    return found.select("character", names.alias("related"), "content", "source_desc", "chapter", F.array_join("targets", ",").alias("targets"), F.size("evidence").cast("long").alias("n_evidence"))
+
+
 @query(f"SELECT user_id, event_type, event_id, chapter FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY chapter DESC, event_id DESC) AS n FROM ({_EV})) WHERE n = 1")
 def state_asof(spark: SparkSession, d: str) -> DataFrame:
     return state.as_of(_states(spark, d), ["user_id", "event_type"], "chapter", "event_id").select("user_id", "event_type", "event_id", "chapter")
@@ -358,7 +511,10 @@ def evidence_link(spark: SparkSession, d: str) -> DataFrame:
     return edges
 
 
-@query(None)
+@query(r"""WITH RECURSIVE t AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))), lambda x: x <> '') AS s FROM documents WHERE text <> ''),
+w AS (SELECT doc_id, unnest(s) AS x, generate_subscripts(s, 1) AS i FROM t),
+r AS (SELECT doc_id, i, 0 AS g, length(x) AS n FROM w WHERE i = 1 UNION ALL SELECT w.doc_id, w.i, CASE WHEN r.n + length(w.x) > 300 THEN r.g + 1 ELSE r.g END, CASE WHEN r.n + length(w.x) > 300 THEN length(w.x) ELSE r.n + length(w.x) END FROM r JOIN w ON w.doc_id = r.doc_id AND w.i = r.i + 1)
+SELECT doc_id, g AS "index", string_agg(x, ' ' ORDER BY i) AS chunk FROM r JOIN w USING (doc_id, i) GROUP BY doc_id, g""")
 def sentence_chunks(spark: SparkSession, d: str) -> DataFrame:
     return text.split_with(table(spark, d, "documents"), lambda t: text.group_sentences(text.sentences(t), 300))
 
@@ -402,11 +558,24 @@ def prune_rels_reverse(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""SELECT 'node' AS what, reason, count(*) AS n FROM (SELECT CASE WHEN label = '' THEN 'MISSING_LABEL' WHEN label = 'Stranger' THEN 'NOT_IN_SCHEMA' ELSE 'MISSING_REQUIRED_PROPERTY' END AS reason FROM ({_PN}) WHERE id NOT IN ({_KEPT})) GROUP BY reason
-UNION ALL SELECT 'relationship', reason, count(*) FROM (SELECT CASE WHEN type = 'KNOWS' THEN 'NOT_IN_SCHEMA' WHEN c NOT IN ({_KEPT}) THEN 'INVALID_START_OR_END_NODE' END AS reason FROM ({_PE})) WHERE reason IS NOT NULL GROUP BY reason""")
+UNION ALL SELECT 'relationship', reason, count(*) FROM (SELECT CASE WHEN c NOT IN ({_KEPT}) THEN 'INVALID_START_OR_END_NODE' WHEN type = 'KNOWS' THEN 'NOT_IN_SCHEMA' END AS reason FROM ({_PE})) WHERE reason IS NOT NULL GROUP BY reason""")
 def prune_stats(spark: SparkSession, d: str) -> DataFrame:
     return prune.prune_graph(*_extracted(spark, d), SCHEMA)[2]
 
 
+@query(f"SELECT label, count(*) AS n, sum(has) AS with_balance FROM (SELECT label, CASE WHEN label = 'Stranger' THEN 1 ELSE 0 END AS has FROM ({_PN}) WHERE label = 'Stranger' OR label = 'Customer' AND segment IS NOT NULL UNION ALL SELECT 'Nation', 0 FROM nation) GROUP BY label")
+def prune_lexical(spark: SparkSession, d: str) -> DataFrame:
+    """Nodes of a lexical label pass unchecked, with all their properties."""
+    kept, _ = prune.prune_nodes(_extracted(spark, d)[0], SCHEMA, lexical=("Stranger",))
+    return kept.groupBy("label").agg(F.count("*").alias("n"), F.sum(F.map_contains_key("props", "balance").cast("long")).alias("with_balance"))
+
+
+@query(f"SELECT 'Customer' AS name, 'balance' AS property, count(*) AS n FROM ({_PN}) WHERE label = 'Customer' UNION ALL SELECT 'LIVES_IN', 'mood', count(*) FROM ({_PE}) WHERE type = 'LIVES_IN'")
+def prune_properties(spark: SparkSession, d: str) -> DataFrame:
+    nodes, edges = _extracted(spark, d)
+    return prune.pruned_properties(nodes, SCHEMA).unionByName(prune.pruned_properties(edges, SCHEMA, nodes=False))
+
+
 # ---- resolution
 
 
@@ -423,10 +592,10 @@ def resolve_exact(spark: SparkSession, d: str) -> DataFrame:
     return resolve.exact_groups(_parts(spark, d))
 
 
-@query(r"SELECT id, min(id) OVER (PARTITION BY label, k) AS canonical FROM (SELECT id, label, regexp_replace(name, '[\s()\[\]{}<>""''“”‘’「」『』《》〈〉]+', '', 'g') AS k FROM (SELECT 'part:' || p_partkey AS id, p_type AS label, '(' || substr(p_name, 1, 6) || ' )' AS name FROM part)) WHERE k <> ''")
+@query(r"SELECT id, min(id) OVER (PARTITION BY label, k) AS canonical FROM (SELECT id, label, regexp_replace(name, '[\s<>《》「」『』【】()\[\]“”‘’""'']', '', 'g') AS k FROM (SELECT 'part:' || p_partkey AS id, p_type AS label, '【' || substr(p_name, 1, 6) || ' }' AS name FROM part)) WHERE k <> ''")
 def resolve_normalized(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "part")
-    return resolve.normalised_groups(p.select(node_id("part", "p_partkey").alias("id"), F.col("p_type").alias("label"), F.concat(F.lit("("), F.substring("p_name", 1, 6), F.lit(" )")).alias("name")))
+    return resolve.normalised_groups(p.select(node_id("part", "p_partkey").alias("id"), F.col("p_type").alias("label"), F.concat(F.lit("【"), F.substring("p_name", 1, 6), F.lit(" }")).alias("name")))
 
 
 _LEV = """SELECT a.c_custkey AS a, b.c_custkey AS b FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey AND a.c_mktsegment = b.c_mktsegment AND a.c_custkey < b.c_custkey
@@ -465,15 +634,82 @@ def resolve_fuzzy(spark: SparkSession, d: str) -> DataFrame:
 SELECT DISTINCT 'part:' || g.c AS src, 'SUPPLIED_BY' AS type, 'supplier:' || l_suppkey AS dst FROM lineitem JOIN g ON g.p_partkey = l_partkey""")
 def resolve_merge_edges(spark: SparkSession, d: str) -> DataFrame:
     g = relational_graph(spark, d, ("SUPPLIED_BY",), ("part", "supplier"))
+    return resolve.apply_groups(g.nodes, g.edges.select("src", "type", "dst"), _part_groups(spark, d))[1]
+
+
+def _part_groups(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "part")
     least = p.groupBy("p_brand", "p_type").agg(F.min("p_partkey").alias("c"))
-    groups = p.join(least, ["p_brand", "p_type"]).select(node_id("part", "p_partkey").alias("id"), node_id("part", "c").alias("canonical"))
-    return resolve.apply_groups(g.nodes, g.edges, groups)[1]
+    return p.join(least, ["p_brand", "p_type"]).select(node_id("part", "p_partkey").alias("id"), node_id("part", "c").alias("canonical"))
+
+
+@query("""SELECT 'part:' || min(p_partkey) AS id, count(DISTINCT p_name) AS n_names, string_agg(DISTINCT p_name, '|' ORDER BY p_name) AS names FROM part GROUP BY p_brand, p_type""")
+def resolve_merge_nodes(spark: SparkSession, d: str) -> DataFrame:
+    g = relational_graph(spark, d, ("SUPPLIED_BY",), ("part",))
+    merged = resolve.apply_groups(g.nodes, g.edges, _part_groups(spark, d), ("name",))[0]
+    return merged.select("id", F.size("name").cast("long").alias("n_names"), F.array_join("name", "|").alias("names"))
+
+
+@query("""SELECT id, min(id) OVER (PARTITION BY k) AS canonical FROM (SELECT 'part:' || p_partkey AS id, replace(p_name, ' ', '') AS k FROM part) UNION ALL SELECT id, min(id) OVER (PARTITION BY s_name) FROM (SELECT 'supplier:' || s_suppkey AS id, s_name FROM supplier)""")
+def resolve_route(spark: SparkSession, d: str) -> DataFrame:
+    """Parts by normalised names, suppliers by exact ones, others not at all."""
+    nodes = relational_graph(spark, d, ("LOCATED_IN",), ("part", "supplier", "nation")).nodes
+    return resolve.route(nodes, {("part",): resolve.normalised_groups, ("supplier",): resolve.exact_groups})
+
+
+@query("SELECT p_brand, string_agg(DISTINCT p_type, ' / ' ORDER BY p_type) AS description FROM part GROUP BY p_brand")
+def resolve_collapse(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "part").groupBy("p_brand").agg(resolve.collapse(F.collect_list("p_type")).alias("description"))
+
+
+@query("SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= 0.35")
+def resolve_vectors(spark: SparkSession, d: str) -> DataFrame:
+    return resolve.vector_pairs(table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label", "embedding"), threshold=0.35)
 
 
 # ---- writers, introspection, history
 
 
+def _messages(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("session_id"), F.col("turn").alias("seq"), "role", F.col("text").alias("content"))
+
+
+_MSG = "SELECT CAST(conv_id AS VARCHAR) AS session_id, turn AS seq, role, text AS content FROM conversations"
+
+
+@query(f"{_MSG} UNION ALL SELECT '1', coalesce(max(turn), -1) + 1, 'user', 'one more' FROM conversations WHERE conv_id = 1")
+def message_append(spark: SparkSession, d: str) -> DataFrame:
+    return append_message(_messages(spark, d), "1", "user", "one more")
+
+
+@query(f"SELECT * FROM ({_MSG}) WHERE session_id <> '2'")
+def message_clear(spark: SparkSession, d: str) -> DataFrame:
+    return clear(_messages(spark, d), "2")
+
+
+@query("SELECT event_type AS step, count(*) AS calls, CAST(sum(event_id) AS BIGINT) AS prompt_tokens, CAST(sum(user_id) AS BIGINT) AS answer_tokens FROM events GROUP BY event_type")
+def token_sums(spark: SparkSession, d: str) -> DataFrame:
+    return build.token_report(table(spark, d, "events").select(F.col("event_type").alias("step"), F.col("event_id").alias("prompt_tokens"), F.col("user_id").alias("answer_tokens")))
+
+
+@query("SELECT n_nationkey AS number, CASE WHEN n_regionkey = 1 THEN 'new of ' || n_name ELSE n_name END AS summary FROM nation")
+def chapter_summaries(spark: SparkSession, d: str) -> DataFrame:
+    n = table(spark, d, "nation").select(F.col("n_nationkey").alias("number"), F.col("n_name").alias("summary"), "n_regionkey")
+    return build.set_summaries(n.drop("n_regionkey"), n.where("n_regionkey = 1").select("number", F.concat(F.lit("new of "), "summary").alias("summary")))
+
+
+@query("SELECT n_nationkey AS k, n_name AS name, n_regionkey AS region FROM nation")
+def stream_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """A stream of files written by micro-batch into a table, twice: the replay changes nothing."""
+    rows = table(spark, d, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("region"))
+    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    rows.write.parquet(f"{base}/in")
+    for run in range(2):
+        stream = spark.readStream.schema(rows.schema).parquet(f"{base}/in")
+        upsert_stream(stream, f"{base}/out", ["k"], f"{base}/checkpoint{run}").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{base}/out")
+
+
 @query("SELECT l_partkey AS src, l_suppkey AS dst, arg_max(l_quantity, l_orderkey * 10 + l_linenumber + l_quantity / 1000.0) AS quantity FROM lineitem WHERE l_suppkey IN (SELECT s_suppkey FROM supplier) AND l_partkey IN (SELECT p_partkey FROM part) GROUP BY l_partkey, l_suppkey")
 def edge_upsert_dedup(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "lineitem").select(node_id("part", "l_partkey").alias("src"), F.lit("SUPPLIED_BY").alias("type"), node_id("supplier", "l_suppkey").alias("dst"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), F.col("l_quantity").alias("quantity"))
@@ -510,7 +746,7 @@ def schema_options(spark: SparkSession, d: str) -> DataFrame:
     return introspect.text_options(table(spark, d, "customer"), "c_mktsegment")
 
 
-@query("SELECT * FROM (VALUES ('Customer', 'name'), ('Customer', 'segment'), ('Customer', 'balance'), ('Nation', 'name'), ('Stranger', 'name'), ('Stranger', 'segment'), ('Stranger', 'balance'), ('', 'name'), ('', 'segment'), ('', 'balance')) t(label, property)")
+@query(f"SELECT DISTINCT label, unnest(['name', 'segment', 'balance']) AS property FROM ({_PN}) UNION SELECT 'Nation', 'name' FROM nation")
 def property_catalogue(spark: SparkSession, d: str) -> DataFrame:
     return introspect.property_catalogue(_extracted(spark, d)[0])
 
