@@ -1,7 +1,7 @@
 """Benchmark decontamination with DataFrame functions only (operator 9).
 
 A distributed positional inverted index. Term frequencies over all documents tell the rarest term
-of each test window. Only postings (document, position) of those anchor terms are stored, each with
+of each test window. The documents' word lists are stored once, in order of position. Only postings (document, position) of those anchor terms are stored, each with
 the words around it; joined with the anchors of the test items and aligned by offset, equal words
 left and right of the anchor give the exact phrase matches, and the share of equal words at aligned
 offsets the proximity matches.
@@ -78,14 +78,14 @@ def find_matches(docs: DataFrame, items: DataFrame, window: int, with_ends: bool
     ``with_ends``: also a row for each document whose ``last``, without ``first``, is its number of words.
     """
     vocabulary = items.select(F.explode("w").alias("term")).distinct()
-    terms = docs.select(words(F.col("text")).alias("w")).select(F.explode("w").alias("term"))
+    terms = docs.select(F.explode("w").alias("term"))
     frequencies = terms.join(F.broadcast(vocabulary), "term").groupBy("term").agg(F.count("*").alias("tf"))
     anchors = test_anchors(items, frequencies, window)
     if with_ends:
         none = F.array().cast("array<string>")
         anchors = anchors.unionByName(docs.sparkSession.range(1).select(F.lit(_LAST).alias("term"), F.lit(None).cast("string").alias("item"), F.lit(0).alias("n"), F.lit(0).alias("pos"), none.alias("left"), none.alias("right")))
     anchors = cut(anchors, "anchors")  # bounded by the block
-    listed = docs.select("row", "key", words(F.col("text")).alias("w")).select("row", "key", "w", F.posexplode(F.array_append("w", F.lit(_LAST))).alias("at", "term"))
+    listed = docs.select("row", "key", "w", F.posexplode(F.array_append("w", F.lit(_LAST))).alias("at", "term"))
     hits = listed.join(F.broadcast(anchors), "term")
     # The words around leave the generated code of explode and join; the whole list never does, as
     # that would be a copy of the document for each of its words. No filter follows: it would move
@@ -103,7 +103,8 @@ def find_matches(docs: DataFrame, items: DataFrame, window: int, with_ends: bool
 
 def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, ratio: int = RATIO) -> DataFrame:
     """row, key, n_words, n_hit, items (sorted ids of exact matches), near_items, contaminated."""
-    listed = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), F.col(text).alias("text"))
+    # tokenised once, and a row keeps its number when a task is lost
+    listed = cut(docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), words(F.col(text)).alias("w")), "words")
     split = items.where(F.col(item).isNotNull()).select(F.col(item).cast("string").alias("item"), words(F.col(item_text)).alias("w")).where(F.size("w") > 0)
     split = cut(split.distinct(), "items")
     total = split.agg(F.sum(F.size("w")).alias("n")).first()["n"] or 0
