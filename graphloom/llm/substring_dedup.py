@@ -14,7 +14,7 @@ reference has shards without bound, and every document would stream past each of
    There a suffix automaton of the segments so far is kept; each segment streams past it for its
    matching statistics, where a length of ``WINDOW`` or more marks a repeated window, and is then
    added to it. Memory is that of the shard's different segments.
-3. Anchors of more than ``SHARD_ROWS`` segments are salted by document; windows that are new in
+3. Anchors of more than ``SHARD_ROWS`` segments are salted by document and place; windows that are new in
    their salt meet once more, by window, where each salt has sent a window at most once.
 4. Spans go back to the documents, which are shuffled once.
 
@@ -39,6 +39,8 @@ from graphloom.llm.common import cut, small_batches
 
 WINDOW, GRAM = 20, 5
 SHARD_ROWS = 2000
+#: Tasks over which the copies of one text are dealt.
+COPY_SALTS = 16
 _FIRST = -(1 << 63)
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -178,10 +180,9 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found = np.searchsorted(place, at[starts])
             found[found == len(place)] = 0
             use = place[found] == at[starts]
-            salt = xxhash.xxh32_intdigest(f"{o} {d}")
             for h, n, start, stop in zip(grams[at[starts[use]]].view(np.int64).tolist(), count[found[use]].tolist(), starts[use].tolist(), stops[use].tolist(), strict=True):
                 hashes.append(h)
-                salts.append(salt % n)
+                salts.append(xxhash.xxh32_intdigest(f"{o} {d} {start}") % n if n > 1 else 0)
                 hot.append(n > 1)
                 firsts.append(start)
                 texts.append(b" ".join(words[start : stop + WINDOW - 1]))
@@ -257,8 +258,11 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", k
     )
     known = cut(base.select("o", "d", "text").mapInArrow(_survey, f"o {of}, d long, digest long, n_words int, hashes array<long>, places array<int>, again array<long>"), "anchors")
 
-    firsts = known.groupBy("digest", "n_words").agg(F.min(F.struct("o", "d")).alias("least"))
-    copies = known.select("o", "d", "digest", "n_words").join(firsts, ["digest", "n_words"]).where(F.struct("o", "d") != F.col("least"))
+    # the first of each group of copies goes to several tasks, over which the group's rows are dealt
+    firsts = known.groupBy("digest", "n_words").agg(F.min(F.struct("o", "d")).alias("least"), F.count("*").alias("n")).where("n > 1")
+    firsts = firsts.select("digest", "n_words", "least", F.explode(F.sequence(F.lit(0), F.lit(COPY_SALTS - 1))).alias("part"))
+    part = F.pmod(F.xxhash64("o", "d"), F.lit(COPY_SALTS)).cast("int").alias("part")
+    copies = known.select("o", "d", "digest", "n_words", part).join(firsts, ["digest", "n_words", "part"]).where(F.struct("o", "d") != F.col("least")).drop("part")
     copied = copies.where(F.col("n_words") >= WINDOW).select("o", "d", F.lit(0).alias("first"), (F.col("n_words") - 1).alias("last"))
 
     seen = known.select(F.explode("hashes").alias("hash"), "digest").unionByName(known.select(F.explode("again").alias("hash"), F.col("digest").bitwiseXOR(F.lit(1)).alias("digest")))
