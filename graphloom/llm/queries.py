@@ -12,7 +12,7 @@ from graphloom.llm.chat_format import canonical_turns, format_chats, parse_chats
 from graphloom.llm.common import held_out, table
 from graphloom.llm.decontaminate import decontaminate
 from graphloom.llm.lang_id import fit_languages, predict_languages
-from graphloom.llm.license_scan import RULES, SENTENCES, scan_licenses
+from graphloom.llm.license_scan import RULES, SENTENCES, ordered, scan_licenses
 from graphloom.llm.packing import pack
 from graphloom.llm.simhash import near_duplicates
 from graphloom.llm.substring_dedup import dedup_substrings
@@ -124,7 +124,7 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _op7_sql() -> str:
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
     pairs = ", ".join(f"({quoted(n)}, {quoted(s)})" for n, s in SENTENCES)
-    rules = sorted(RULES, key=lambda r: (-len(r.sentences), r.license, r.sentences))
+    rules = ordered(RULES)
     rest, hits, steps = "r0", [], []
     for i, rule in enumerate(rules):
         wanted = quoted("".join(f",{s}," for s in rule.sentences))

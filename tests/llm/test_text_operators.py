@@ -180,6 +180,26 @@ def test_licenses(spark):
     assert license_scan.scan_licenses(docs_of(spark, texts).limit(0)).count() == 0
 
 
+def test_licences_of_the_base_and_of_an_own_one(spark):
+    texts = {
+        "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0.": "MPL-2.0",
+        "Released under the GNU Lesser General Public License version 2.1.": "LGPL-2.1",
+        "This is free and unencumbered software released into the public domain.": "Unlicense",
+        "Licensed under CC BY-SA 4.0.\nLicensed under the ISC License.": "CC-BY-SA-4.0,ISC",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or (at your option) any later version.": "",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.": "0BSD",
+        "Licensed under the Eclipse Public License 2.0. Released under the Boost Software License version 1.0.": "BSL-1.0,EPL-2.0",
+    }
+    got = [r["licenses"] for r in license_scan.scan_licenses(docs_of(spark, list(texts))).orderBy("doc_id").collect()]
+    assert got == list(texts.values())
+    for name, given in license_scan.NAMES.items():
+        assert given, name
+    assert len({r.license for r in license_scan.RULES}) >= 40
+    a, ab, b = (license_scan.LicenseRule(x, s) for x, s in (("A", ("s1",)), ("AB", ("s1", "s2")), ("B", ("s2",))))
+    own = license_scan.scan_licenses(docs_of(spark, ["One. Two. Two.", "One.", "Two. One."]), sentences=(("s1", "one"), ("s2", "two")), rules=(a, b, ab))
+    assert [(r["sentence_ids"], r["licenses"]) for r in own.orderBy("doc_id").collect()] == [("s1,s2,s2", "AB,B"), ("s1", "A"), ("s2,s1", "A,B")]
+
+
 # ---- 9 decontamination
 
 
