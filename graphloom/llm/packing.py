@@ -38,7 +38,7 @@ PLACED = 0.9
 #: Rows that are ranked in one task at most, about.
 RANKED = 256
 #: Bytes of text that are tokenised together.
-GATHERED = 4 << 20
+GATHERED = 2 << 20
 
 
 def default_tokenizer() -> str:

@@ -9,7 +9,6 @@ matches could differ from the library's, sends its whole text to the library.
 
 from __future__ import annotations
 
-import json
 import os
 import re
 from array import array
@@ -19,7 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Entries of a cache generation; a full one becomes the old one, whose hits move up again.
-CACHE = 400_000
+CACHE = 150_000
 #: Matches encoded as one text.
 JOINED = 512
 _OTHER = re.compile("[^\n\x21-\x7e\xa1-įı-ſ]")
@@ -37,15 +36,14 @@ _MARK = b"\xff\xff\xff\xff"
 class WordTokenizer:
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
-        plain = json.loads(self.library.to_str())
-        suffix = plain["model"]["end_of_word_suffix"] or ""
-        byte_level = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
-        plain |= {"normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, byte_level]}}
-        #: The same model for text that is normalised and split already.
-        self.of_matches = Tokenizer.from_str(json.dumps(plain))
+        suffix = self.library.model.end_of_word_suffix or ""
+        #: The same model, shared, for text that is normalised and split already.
+        self.of_matches = Tokenizer(self.library.model)
+        byte_level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.of_matches.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), byte_level])
         vocabulary = self.library.get_vocab()
         self.is_end = np.zeros(max(vocabulary.values()) + 1, bool)
         self.is_end[[i for token, i in vocabulary.items() if suffix and token.endswith(suffix)]] = True
