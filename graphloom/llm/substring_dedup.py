@@ -163,13 +163,17 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known = _WordHash()
+    """Of texts in order of (o, d); a repeated row is skipped."""
+    known, before = _WordHash(), None
     for batch in batches:
         hashes, salts, hot, os, ds, firsts, texts = [], [], [], [], [], [], []
         wanted, ends = batch["wanted"].flatten(), batch["wanted"].offsets.to_pylist()
         places, counts = (wanted.field(i).to_numpy() for i in (0, 1))
         at0 = ends[0]
         for i, (o, d, text) in enumerate(zip(batch["o"].to_pylist(), batch["d"].to_pylist(), batch["text"].to_pylist(), strict=True)):
+            if (o, d) == before:
+                continue
+            before = (o, d)
             words = split_words(text)
             at, grams = anchors(words, known)
             mine = slice(ends[i] - at0, ends[i + 1] - at0)
@@ -276,7 +280,8 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", k
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = base.repartition(parts, "o", "d")  # texts move once: both uses below read this exchange
     full = dealt.join(wanted.withColumnRenamed("o", "wo").withColumnRenamed("d", "wd"), (F.col("o") == F.col("wo")) & (F.col("d") == F.col("wd"))).drop("wo", "wd")
-    segments = full.mapInArrow(_segments, _SEGMENT.format(o=of)).repartition(parts, "anchor", "salt").sortWithinPartitions("anchor", "salt", "o", "d", "start")
+    # the rows of one text of one id come together; a merge join leaves them in this order already
+    segments = full.sortWithinPartitions("o", "d").mapInArrow(_segments, _SEGMENT.format(o=of)).repartition(parts, "anchor", "salt").sortWithinPartitions("anchor", "salt", "o", "d", "start")
     found = segments.mapInArrow(_resolve, _FOUND.format(o=of))
     order = Window.partitionBy("anchor", "window", F.when(F.col("window").isNull(), F.struct("o", "d"))).orderBy("o", "d", "first")
     spans = found.withColumn("rank", F.row_number().over(order)).where("window is null or rank > 1").select("o", "d", "first", "last").unionByName(copied)

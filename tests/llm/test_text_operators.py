@@ -156,6 +156,15 @@ def test_repeated_rows_and_null_ids_of_passages(spark):
     assert got == [(-1, 0), (1, 25), (1, 25), (2, 25)]
 
 
+@pytest.mark.parametrize("shard_rows", [2000, 1])
+def test_repeated_rows_keep_the_first_occurrence(spark, monkeypatch, shard_rows):
+    monkeypatch.setattr(substring_dedup, "SHARD_ROWS", shard_rows)
+    p = " ".join(f"p{i}" for i in range(25))
+    rows = [(1, p + " own end")] * 3 + [(2, "other start " + p)] * 2 + [(3, None)] * 2
+    got = sorted((r["doc_id"], r["n_removed"]) for r in substring_dedup.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, 0)] * 3 + [(2, 25)] * 2 + [(3, 0)] * 2
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.lists(st.sampled_from([b"a", b"b", b"c"]), max_size=12), max_size=5), st.lists(st.sampled_from([b"a", b"b", b"c"]), max_size=12))
 def test_suffix_automaton_matching(texts, query):
@@ -257,6 +266,24 @@ def test_proximity(spark):
     assert [(r["items"], r["near_items"]) for r in got] == [([], ["1"]), (["1"], []), ([], [])]
 
 
+def test_proximity_is_judged_by_window(spark):
+    """Against all windows of the item that hold the anchor, in texts with several words replaced."""
+    rng = np.random.default_rng(8)
+    item = [f"t{i}" for i in range(30)]
+    texts = []
+    for _ in range(60):
+        odd = set(rng.choice(30, int(rng.integers(1, 16)), replace=False).tolist()) - {15}
+        texts.append(["odd" if i in odd else w for i, w in enumerate(item)])
+    rare = [" ".join(w for w in item if w != "t15")] * 4  # t15 is every window's rarest word that holds it
+    docs = [" ".join(t) for t in texts]
+    common = [" ".join([f"t{i}"] * 200) for i in range(30) if i != 15]
+    got = {r["doc_id"]: r for r in decontaminate.decontaminate(docs_of(spark, docs + common + rare), spark.createDataFrame([(1, " ".join(item[3:28]))], "item_id long, text string")).collect()}
+    for k, t in enumerate(texts):
+        most = max(sum(t[i] == item[i] for i in range(s, s + 13)) for s in range(3, 16))
+        assert got[k]["items"] == (["1"] if most == 13 else [])
+        assert got[k]["near_items"] == (["1"] if 0.8 * 13 <= most < 13 else []), (k, most)
+
+
 # ---- 10 packing
 
 
