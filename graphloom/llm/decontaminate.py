@@ -3,8 +3,9 @@
 A distributed positional inverted index. Term frequencies over all documents tell the rarest term
 of each test window. The documents' word lists are stored once, in order of position. Only postings (document, position) of those anchor terms are stored, each with
 the words around it; joined with the anchors of the test items and aligned by offset, equal words
-left and right of the anchor give the exact phrase matches, and the share of equal words at aligned
-offsets the proximity matches.
+left and right of the anchor give the exact phrase matches. A window of which the anchor and at least
+``NEAR_SHARE`` of all words stand at their offsets is a proximity match; one whose rarest word no
+document holds has no anchor and none.
 
 Test items are a query set: they go through in blocks of at most ``BLOCK_WORDS`` words, so that what
 is broadcast (vocabulary, anchors with their context) is bounded. Documents are never grouped by
@@ -53,6 +54,18 @@ def _leading(same: Column) -> Column:
     return F.when(first == 0, F.size(same)).otherwise(first - 1)
 
 
+def _best_window(left: Column, right: Column, sl: Column, sr: Column, need: Column) -> Column:
+    """The most equal words, anchor included, that one window of ``need`` words around the anchor has."""
+
+    def equal(i: Column) -> Column:
+        j = need - 1 - i
+        inside = (i <= F.size(left)) & (j <= F.size(right))
+        held = F.concat(F.slice(sl, F.lit(1), i), F.slice(sr, F.lit(1), j))
+        return F.when(inside, F.size(F.filter(held, lambda x: x)) + 1).otherwise(0)
+
+    return F.array_max(F.transform(F.sequence(F.lit(0), need - 1), equal))
+
+
 def _before(words: Column, pos: Column, n: int) -> Column:
     """The up to n words before position pos (from 0), nearest first."""
     return F.reverse(F.slice(words, F.greatest(pos - n + 1, F.lit(1)), F.least(pos, F.lit(n))))
@@ -93,8 +106,10 @@ def find_matches(docs: DataFrame, items: DataFrame, window: int, with_ends: bool
     left, right = _before(F.col("w"), F.col("at"), window - 1), _after(F.col("w"), F.col("at"), window - 1)
     aligned = hits.select("row", "key", "item", "n", "at", left.alias("dl"), right.alias("dr"), F.col("left"), F.col("right"))
     sl, sr = _same(F.col("dl"), F.col("left")), _same(F.col("dr"), F.col("right"))
-    alike = F.size(F.filter(F.concat(sl, sr), lambda x: x)) + 1
-    measured = aligned.select("row", "key", "item", "at", F.least(F.col("n"), F.lit(window)).alias("need"), _leading(sl).alias("l"), _leading(sr).alias("r"), alike.alias("alike"))
+    need = F.least(F.col("n"), F.lit(window))
+    around = F.size(F.filter(F.concat(sl, sr), lambda x: x)) + 1  # no window has more
+    alike = F.when(F.col("item").isNotNull() & (around >= NEAR_SHARE * need), _best_window(F.col("left"), F.col("right"), sl, sr, need)).otherwise(0)
+    measured = aligned.select("row", "key", "item", "at", need.alias("need"), _leading(sl).alias("l"), _leading(sr).alias("r"), alike.alias("alike"))
     exact = F.col("item").isNotNull() & (F.col("l") + F.col("r") + 1 >= F.col("need"))
     near = F.col("item").isNotNull() & ~exact & (F.col("alike") >= NEAR_SHARE * F.col("need"))
     first, last = F.when(exact, F.col("at") - F.col("l")), F.when(F.col("item").isNull(), F.col("at")).when(exact, F.col("at") + F.col("r"))
