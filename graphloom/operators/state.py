@@ -74,11 +74,19 @@ def ranked_story(rows: DataFrame, group: str, at: str, key: str) -> DataFrame:
     return rows.withColumn("story_rank", F.row_number().over(Window.partitionBy(group).orderBy(at, key)))
 
 
-def format_state(chapter: Column, name: Column, text: Column, targets: Column) -> Column:
-    """``7: name (text) [about: a, b]``, parts without content left out."""
-    listed = F.array_join(F.array_sort(F.filter(targets, lambda t: t.isNotNull())), ", ")
-    return F.concat(
-        F.coalesce(chapter.cast("string"), F.lit("?")), F.lit(": "), name,
-        F.when(F.coalesce(text, F.lit("")) != "", F.concat(F.lit(" ("), text, F.lit(")"))).otherwise(""),
-        F.when(listed != "", F.concat(F.lit(" [about: "), listed, F.lit("]"))).otherwise(""),
-    )
+def format_state(chapter: Column, name: Column, text: Column, targets: Column, others: Column | None = None) -> Column:
+    """``7: name (text) [about: a, b] [with: c (TYPE), d]``, parts without content left out.
+
+    ``others``: structs with ``name`` and ``type``; those without a name are left out.
+    """
+
+    def part(head: str, listed: Column, tail: str) -> Column:
+        return F.when(F.coalesce(listed, F.lit("")) != "", F.concat(F.lit(head), listed, F.lit(tail))).otherwise("")
+
+    about = F.array_join(F.array_sort(F.filter(targets, lambda t: t.isNotNull() & (t != ""))), ", ")
+    parts = [F.coalesce(chapter.cast("string"), F.lit("?")), F.lit(": "), name, part(" (", text, ")"), part(" [about: ", about, "]")]
+    if others is not None:
+        named = F.filter(others, lambda o: F.coalesce(o.getField("name"), F.lit("")) != "")
+        shown = F.transform(named, lambda o: F.concat(o.getField("name"), part(" (", o.getField("type"), ")")))
+        parts.append(part(" [with: ", F.array_join(shown, ", "), "]"))
+    return F.concat(*parts)

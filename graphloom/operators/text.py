@@ -19,9 +19,14 @@ def _check(size: int, overlap: int) -> None:
         raise ValueError("size must be positive and overlap in 0..size-1")
 
 
-def split_fixed(docs: DataFrame, size: int = 4000, overlap: int = 200, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, index, chunk: slices of ``size`` characters every ``size - overlap``; native."""
+def split_fixed(docs: DataFrame, size: int = 4000, overlap: int = 200, key: str = "doc_id", text: str = "text", approximate: bool = False) -> DataFrame:
+    """key, index, chunk: slices of ``size`` characters every ``size - overlap``; native.
+
+    ``approximate``: ends and starts move back to a blank, so that no word is cut (Arrow batches).
+    """
     _check(size, overlap)
+    if approximate:
+        return split_with(docs, lambda t: word_safe_chunks(t, size, overlap), key, text)
     n, step = F.char_length(text), size - overlap
     count = F.greatest(F.lit(1), F.ceil((n - overlap) / step)).cast("int")
     starts = F.sequence(F.lit(0), count - 1)
@@ -29,6 +34,11 @@ def split_fixed(docs: DataFrame, size: int = 4000, overlap: int = 200, key: str
     return cut.select(key, "index", F.substring(F.col("_t"), F.col("_i") * step + 1, F.lit(size)).alias("chunk"))
 
 
+def split_whole(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, index, chunk: each text, empty ones too, as one chunk; none for null."""
+    return docs.where(F.col(text).isNotNull()).select(key, F.lit(0).alias("index"), F.col(text).alias("chunk"))
+
+
 def word_safe_chunks(text: str, size: int, overlap: int) -> list[str]:
     """Slices whose ends move back to the last blank, unless that leaves nothing."""
     _check(size, overlap)

@@ -30,9 +30,13 @@ def build_graph(
     overlap: int = 200,
     embedder: Callable[[list[str]], list[list[float]]] | None = None,
     resolver: Callable[[DataFrame], DataFrame] | None = resolve.exact_groups,
+    approximate: bool = True,
 ) -> BuiltGraph:
-    """``docs``: doc_id, text. The resolver gets nodes with ``name``; None leaves nodes as they are."""
-    chunks = text.chunk_ids(text.split_fixed(docs, size, overlap))
+    """``docs``: doc_id, text. The resolver gets nodes with ``name``; None leaves nodes as they are.
+
+    ``approximate``: chunks end at blanks; else all but the last have ``size`` characters.
+    """
+    chunks = text.chunk_ids(text.split_fixed(docs, size, overlap, approximate=approximate))
     if embedder:
         chunks = text.embed(chunks, embedder)
     found_nodes, found_edges = answers.extract_graph(chunks, model)

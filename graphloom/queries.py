@@ -429,20 +429,22 @@ def state_history_upto(spark: SparkSession, d: str) -> DataFrame:
     return state.history(rows, F.col("user_id") == 7, "chapter", "event_id", up_to).select("event_id", "event_type", "chapter")
 
 
-@query("""WITH c AS (SELECT c_custkey FROM customer WHERE c_name = 'alias-7' OR c_custkey = 7), s AS (SELECT o_orderkey, o_orderstatus, o_orderpriority FROM orders WHERE o_custkey IN (SELECT c_custkey FROM c))
+_ENTITY_STATES = """WITH c AS (SELECT c_custkey FROM customer WHERE c_name = 'alias-7' OR c_custkey = 7), s AS (SELECT o_orderkey, o_orderstatus, o_orderpriority FROM orders WHERE o_custkey IN (SELECT c_custkey FROM c))
 SELECT 'Customer#000000007' AS "character", coalesce((SELECT string_agg(c_name, ',' ORDER BY c_name) FROM (SELECT DISTINCT c_name FROM customer WHERE c_custkey IN (6, 8))), '') AS related, o_orderstatus AS content, o_orderpriority AS source_desc,
 coalesce(e.ch, k.ch) AS chapter, coalesce(targets, '') AS targets, coalesce(n, 0) AS n_evidence FROM s
 LEFT JOIN (SELECT l_orderkey AS o_orderkey, min(l_linenumber) AS ch FROM lineitem WHERE l_linenumber > 2 GROUP BY 1) e USING (o_orderkey)
 LEFT JOIN (SELECT l_orderkey AS o_orderkey, min(l_linenumber) AS ch, count(DISTINCT l_returnflag) AS n FROM lineitem GROUP BY 1) k USING (o_orderkey)
 LEFT JOIN (SELECT l_orderkey AS o_orderkey, string_agg(DISTINCT p_brand, ',' ORDER BY p_brand) AS targets FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1) t USING (o_orderkey)
-WHERE coalesce(e.ch, k.ch) <= 4""")
-def entity_state_history(spark: SparkSession, d: str) -> DataFrame:
+WHERE coalesce(e.ch, k.ch) <= 4"""
+
+
+def _entity_states(spark: SparkSession, d: str) -> DataFrame:
     """A customer found by an alias is the character, its orders are the states, their lines events and evidence."""
     c, o, lines = (table(spark, d, t) for t in ("customer", "orders", "lineitem"))
     who = c.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.array(F.concat(F.lit("alias-"), F.col("c_custkey").cast("string"))).alias("aliases"))
     related = c.select(F.col("c_custkey").alias("src"), F.lit("RELATED_TO").alias("type"), (F.col("c_custkey") + 1).alias("dst"), F.lit("next").alias("description"))
     key = F.col("l_orderkey").alias("state")
-    found = state.entity_history(
+    return state.entity_history(
         who, related, o.select(F.col("o_custkey").alias("character"), F.col("o_orderkey").alias("state")),
         o.select(F.col("o_orderkey").alias("state"), F.col("o_orderstatus").alias("name"), F.col("o_orderpriority").alias("description")),
         lines.where("l_linenumber > 2").select(key, F.col("l_linenumber").alias("chapter")),
@@ -450,10 +452,22 @@ def entity_state_history(spark: SparkSession, d: str) -> DataFrame:
         lines.join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).select(key, F.col("p_brand").alias("target")),
         "alias-7", up_to=4,
     )
+
+
+@query(_ENTITY_STATES)
+def entity_state_history(spark: SparkSession, d: str) -> DataFrame:
+    found = _entity_states(spark, d)
     names = F.array_join(F.transform("related", lambda r: r["name"]), ",")
     return found.select("character", names.alias("related"), "content", "source_desc", "chapter", F.array_join("targets", ",").alias("targets"), F.size("evidence").cast("long").alias("n_evidence"))
 
 
+@query(f"""SELECT chapter || ': ' || content || ' (' || source_desc || ')' || CASE WHEN targets <> '' THEN ' [about: ' || replace(targets, ',', ', ') || ']' ELSE '' END
+|| CASE WHEN related <> '' THEN ' [with: ' || replace(related, ',', ' (RELATED_TO), ') || ' (RELATED_TO)]' ELSE '' END AS line FROM ({_ENTITY_STATES})""")
+def state_lines(spark: SparkSession, d: str) -> DataFrame:
+    """The same history as lines of text."""
+    return _entity_states(spark, d).select(state.format_state(F.col("chapter"), F.col("content"), F.col("source_desc"), F.col("targets"), F.col("related")).alias("line"))
+
+
 @query(f"SELECT user_id, event_type, event_id, chapter FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY chapter DESC, event_id DESC) AS n FROM ({_EV})) WHERE n = 1")
 def state_asof(spark: SparkSession, d: str) -> DataFrame:
     return state.as_of(_states(spark, d), ["user_id", "event_type"], "chapter", "event_id").select("user_id", "event_type", "event_id", "chapter")
@@ -487,6 +501,17 @@ def chunk_fixed(spark: SparkSession, d: str) -> DataFrame:
     return _chunks(spark, d).select("doc_id", "index", "chunk")
 
 
+@query('SELECT doc_id, CAST(0 AS INTEGER) AS "index", text AS chunk FROM documents WHERE text IS NOT NULL')
+def chunk_whole(spark: SparkSession, d: str) -> DataFrame:
+    return text.split_whole(table(spark, d, "documents"))
+
+
+@query(None)
+def chunk_word_safe(spark: SparkSession, d: str) -> DataFrame:
+    """Tested against its properties: chunks are slices in order, and none cuts a word that fits."""
+    return text.split_fixed(table(spark, d, "documents"), SIZE, OVERLAP, approximate=True)
+
+
 @query(f'SELECT src, dst FROM (SELECT chunk_id AS src, lead(chunk_id) OVER (PARTITION BY doc_id ORDER BY "index") AS dst FROM ({_CHUNKS})) WHERE dst IS NOT NULL')
 def chunk_next(spark: SparkSession, d: str) -> DataFrame:
     return text.next_chunks(_chunks(spark, d))

@@ -52,6 +52,40 @@ def test_states(spark):
     assert [r["l"] for r in aliased.collect()] == [["x", "y", "z"], []]
 
 
+def test_state_lines(spark):
+    rows = [
+        (7, "king", "of all", ["b", None, "", "a"], [("Ann", "SISTER"), ("Bo", None), (None, "FOE"), ("Cy", "")]),
+        (None, "lost", "", [], []),
+        (1, "odd", None, [None, ""], [(None, None)]),
+        (2, "bare", "x", None, None),
+    ]
+    frame = spark.createDataFrame(rows, "ch int, name string, text string, targets array<string>, others array<struct<name:string,type:string>>")
+    columns = [frame[c] for c in frame.columns]
+    got = [r[0] for r in frame.select(state.format_state(*columns).alias("line")).collect()]
+    assert got == ["7: king (of all) [about: a, b] [with: Ann (SISTER), Bo, Cy]", "?: lost", "1: odd", "2: bare (x)"]
+    assert [r[0] for r in frame.select(state.format_state(*columns[:4]).alias("line")).collect()][0] == "7: king (of all) [about: a, b]"
+
+
+def test_whole_split(spark):
+    docs = spark.createDataFrame([(1, "a b"), (2, ""), (3, None)], "doc_id long, text string")
+    assert [tuple(r) for r in text.split_whole(docs).orderBy("doc_id").collect()] == [(1, 0, "a b"), (2, 0, "")]
+
+
+def test_word_safe_split_of_a_table(spark):
+    """Without overlap the chunks are the text, and a cut inside a word means that the chunk is part of one word."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame([(-1, "x" * 95), (-2, None), (-3, "")], "doc_id long, text string"))
+    chunks = {}
+    for r in text.split_fixed(docs, 40, 0, approximate=True).orderBy("doc_id", "index").collect():
+        assert r["index"] == len(chunks.setdefault(r["doc_id"], []))
+        chunks[r["doc_id"]].append(r["chunk"])
+    whole = {r["doc_id"]: r["text"] for r in docs.collect() if r["text"]}
+    assert {k: "".join(v) for k, v in chunks.items()} == whole
+    for parts in chunks.values():
+        assert all(0 < len(c) <= 40 for c in parts)
+        for c, after in zip(parts[:-1], parts[1:], strict=True):
+            assert c[-1].isspace() or after[0].isspace() or not any(x.isspace() for x in c)
+
+
 @pytest.mark.parametrize(
     ("body", "size", "overlap", "want"),
     [
