@@ -14,6 +14,7 @@ from graphloom.llm.decontaminate import decontaminate
 from graphloom.llm.lang_id import fit_languages, predict_languages
 from graphloom.llm.license_scan import RULES, SENTENCES, ordered, scan_licenses
 from graphloom.llm.packing import pack
+from graphloom.llm.resample import resample
 from graphloom.llm.simhash import near_duplicates
 from graphloom.llm.substring_dedup import dedup_substrings
 from graphloom.llm.toxicity import THRESHOLD, fit_toxicity, score_toxicity
@@ -183,6 +184,32 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+#: crc32 by its usual table of 256 steps; 3988292384 is the fixed polynomial.
+OP12_SQL = r"""
+WITH tab AS (SELECT list(c ORDER BY i) AS c FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(i))),
+d AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+dw AS (SELECT k, w, count(*) AS n FROM (SELECT k, unnest(w) AS w FROM d) GROUP BY k, w),
+bw AS (SELECT w, count(*) AS n FROM (SELECT unnest(w) AS w FROM b) GROUP BY w),
+vocabulary AS (SELECT w, hex(encode(w)) AS x FROM (SELECT DISTINCT w FROM dw UNION SELECT w FROM bw)),
+coded AS (SELECT w, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(x), 2), lambda i: CAST('0x' || substr(x, i, 2) AS BIGINT))), lambda h, y: xor(h >> 8, c[CAST((xor(h, y) & 255) + 1 AS BIGINT)])), 4294967295) % 10000 AS bucket FROM vocabulary, tab),
+s AS (SELECT bucket, sum(n) AS s FROM dw JOIN coded USING (w) GROUP BY bucket),
+t AS (SELECT bucket, sum(n) AS t FROM bw JOIN coded USING (w) GROUP BY bucket),
+sums AS (SELECT (SELECT coalesce(sum(n), 0) FROM dw) AS s_all, (SELECT coalesce(sum(n), 0) FROM bw) AS t_all),
+gain AS (SELECT bucket, CAST(floor(1000 * ln((CAST(coalesce(t, 0) + 1 AS DOUBLE) * CAST(s_all + 10000 AS DOUBLE)) / (CAST(s + 1 AS DOUBLE) * CAST(t_all + 10000 AS DOUBLE)))) AS BIGINT) AS gain FROM s LEFT JOIN t USING (bucket), sums),
+weight AS (SELECT k, CAST(sum(n * gain) AS BIGINT) AS weight FROM dw JOIN coded USING (w) JOIN gain USING (bucket) GROUP BY k),
+scored AS (SELECT k, doc_id, CAST(len(w) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+    FROM d LEFT JOIN weight USING (k)),
+ranked AS (SELECT k, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST, n_features, k) AS r, count(*) OVER () AS n FROM scored WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN r <= 10 * n // 100 THEN r END AS rank FROM scored LEFT JOIN ranked USING (k)
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_ann_ivfpq": op2_ann_ivfpq,
@@ -194,6 +221,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_decontaminate": op9_decontaminate,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op12_importance_resampling": op12_importance_resampling,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -202,4 +230,5 @@ ORACLE_SQL: dict[str, str] = {
     "op4_substring_dedup": OP4_SQL,
     "op7_license_scan": _op7_sql(),
     "op9_decontaminate": OP9_SQL,
+    "op12_importance_resampling": OP12_SQL,
 }
