@@ -22,6 +22,7 @@ COLUMNS = {
     "op8_toxicity": "doc_id:bigint held_out:boolean score:double predicted:int",
     "op9_decontaminate": "doc_id:bigint n_words:bigint n_hit:bigint n_items:bigint items_sha256:string contaminated:boolean",
     "op10_best_fit_packing": "doc_id:bigint piece:int start:bigint length:bigint ids_crc32:bigint sequence_id:bigint offset:bigint",
+    "op11_cross_tokenizer_alignment": "doc_id:bigint n_a:bigint n_b:bigint n_groups:bigint n_links:bigint n_best:bigint count_sum:bigint groups_sha256:string",
     "op12_importance_resampling": "doc_id:bigint n_features:bigint weight:bigint score:bigint rank:bigint",
 }
 
