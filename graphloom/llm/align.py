@@ -11,8 +11,8 @@ the vocabulary; a character that fails is not cut at). So a text's tokens are th
    and aligns it the first time, and answers each block: token ids of both sides.
 3. Blocks meet their answers. Documents are composed: tokens, groups, links; how many documents
    of the block hold an id pair linked.
-4. Counts of pairs are summed over blocks, the highest count of each A id found, and both are joined back
-   to the blocks, which sum them over their documents' links.
+4. Counts of pairs are summed over blocks, the highest count of each A id found, and both go back
+   to the blocks (by a join, or to all tasks if they are few), which sum them over their documents' links.
 
 A segment is dealt once a block at most, so the most frequent one is no hotter than others. A task of
 step 2 holds the distinct segments of its share of hashes, a block its own. A document is one value, however long.
@@ -34,12 +34,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import cut, small_batches
+from graphloom.llm.common import cut, small_batches, trim
 
 #: Bytes of text in a block; distinct segments that a share of hashes has, about.
-BLOCK, SHARE = 4 << 20, 400_000
+BLOCK, SHARE = 4 << 20, 200_000
 #: Segments that are encoded as one text.
-JOINED = 256
+JOINED = 512
+#: Id pairs (24 bytes each) that are sent to all tasks; more are joined to the blocks that have them.
+PAIRS_HELD = 1_000_000
 _CUTS = " \t\n"
 _MARK = "▁"
 
@@ -61,6 +63,19 @@ def _byte_level() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
 
 
+#: Of a segment: tokens of A, of B, their ids, and for each byte where a token ends which side ends there.
+Aligned = tuple[int, int, bytes, bytes]
+BOTH, ONLY_A, ONLY_B = 0, 1, 2
+
+
+class _Codes(dict):
+    """Numbers of segments in order of their first use."""
+
+    def __missing__(self, segment: str) -> int:
+        self[segment] = found = len(self)
+        return found
+
+
 class Pair:
     """Both tokenizers; ids and lengths of their tokens in bytes."""
 
@@ -82,6 +97,9 @@ class Pair:
         self.cuts = cut_characters(pieces)
         self.segments = segment_pattern(self.cuts)
         self.lone = self.b.piece_to_id(_MARK)
+        ids = range(max(len(self.bytes_a), size))
+        #: Ids as text within a group, at the end of its A side, and at its end.
+        self.names = np.array([f"{i}{mark}" for mark in ",|;" for i in ids], object)
 
     def _b(self, texts: list[str]) -> list[list[int]]:
         """Ids of texts as they are: B writes a space before each, which stands for theirs or is dropped."""
@@ -95,56 +113,50 @@ class Pair:
             out.append(ids)
         return out
 
-    def _fits(self, raw: bytes, a: list[int], b: list[int]) -> bool:
-        return -1 not in b and b"".join([self.bytes_a[i] for i in a]) == raw and b"".join([self.bytes_b[i] for i in b]) == raw
-
-    def encode(self, segments: list[str]) -> list[tuple[np.ndarray, np.ndarray] | None]:
-        """Ids of both sides of each segment; None where the tokens don't give the segment back."""
-        out: list = [None] * len(segments)
+    def _run(self, raw: list[bytes], a: list[int], b: list[int]) -> list[Aligned] | None:
+        """Segments that were encoded as one text; None where the tokens don't give it back."""
+        if -1 in b or (whole := b"".join(raw)) != b"".join([self.bytes_a[i] for i in a]) or whole != b"".join([self.bytes_b[i] for i in b]):
+            return None
+        ends = np.cumsum([len(x) for x in raw])
+        a, b = np.array(a, "<i4"), np.array(b, "<i4")
+        ends_a, ends_b = np.cumsum(self.length_a[a]), np.cumsum(self.length_b[b])
+        every = np.union1d(ends_a, ends_b)
+        steps = np.where(np.isin(every, ends_a, assume_unique=True), np.where(np.isin(every, ends_b, assume_unique=True), BOTH, ONLY_A), ONLY_B).astype("u1").tobytes()
+        cuts = [np.append(0, np.searchsorted(x, ends, side="right")).tolist() for x in (ends_a, ends_b, every)]
+        a, b = a.tobytes(), b.tobytes()
+        return [(q - p, s - r, a[4 * p : 4 * q] + b[4 * r : 4 * s], steps[t:u]) for (p, q), (r, s), (t, u) in zip(*(zip(c, c[1:], strict=False) for c in cuts), strict=True)]
+
+    def encode(self, segments: list[str]) -> list[Aligned]:
+        """Of each segment the ids of both sides and the steps; nothing where the tokens don't give the segment back."""
+        out: list[Aligned] = [(0, 0, b"", b"")] * len(segments)
         # a segment that ends in white space may not be followed by another
-        alone = [i for i, s in enumerate(segments) if s[-1].isspace()]
+        alone = [[i] for i, s in enumerate(segments) if s[-1].isspace()]
         tied = [i for i, s in enumerate(segments) if not s[-1].isspace()]
-        runs = [tied[at : at + JOINED] for at in range(0, len(tied), JOINED)]
-        texts = ["".join([segments[i] for i in run]) for run in runs]
-        ids_a = [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
-        for run, text, a, b in zip(runs, texts, ids_a, self._b(texts), strict=True):
-            if not self._fits(text.encode(), a, b):
-                alone += run
-                continue
-            ends = np.cumsum([len(segments[i].encode()) for i in run])
-            cut_a, cut_b = (np.searchsorted(np.cumsum(lengths[ids]), ends, side="right") for ids, lengths in ((a, self.length_a), (b, self.length_b)))
-            a, b = np.array(a, np.int32), np.array(b, np.int32)
-            for i, pa_, qa, pb, qb in zip(run, [0, *cut_a[:-1]], cut_a, [0, *cut_b[:-1]], cut_b, strict=True):
-                out[i] = (a[pa_:qa], b[pb:qb])
-        if alone:
-            texts = [segments[i] for i in alone]
+        todo = [tied[at : at + JOINED] for at in range(0, len(tied), JOINED)] + alone
+        while todo:
+            texts = ["".join([segments[i] for i in run]) for run in todo]
             ids_a = [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
-            for i, text, a, b in zip(alone, texts, ids_a, self._b(texts), strict=True):
-                if self._fits(text.encode(), a, b):
-                    out[i] = (np.array(a, np.int32), np.array(b, np.int32))
+            left = []
+            for run, a, b in zip(todo, ids_a, self._b(texts), strict=True):
+                found = self._run([segments[i].encode() for i in run], a, b)
+                if found is None:
+                    left += [[i] for i in run] if len(run) > 1 else []
+                else:
+                    for i, x in zip(run, found, strict=True):
+                        out[i] = x
+            todo = left
         return out
 
-    def aligned(self, a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of segments one after another, na and nb tokens each: their groups as text, how many, and the
-        links (A id, B id) with the segment of each."""
-        ends_a, ends_b = np.cumsum(self.length_a[a]), np.cumsum(self.length_b[b])
-        every = np.union1d(ends_a, ends_b)
-        # between two ends next to each other lies one token of each side: a link
-        at_a, at_b = np.searchsorted(ends_a, every), np.searchsorted(ends_b, every)
-        links_a, links_b = a[at_a], b[at_b]
-        of_a, of_b = np.repeat(np.arange(len(na)), na), np.repeat(np.arange(len(nb)), nb)
-        common = np.intersect1d(ends_a, ends_b, assume_unique=True)
-        last_a, last_b = np.isin(ends_a, common, assume_unique=True), np.isin(ends_b, common, assume_unique=True)
-        groups = np.bincount(of_a[last_a], minlength=len(na))
-        text: list[str] = []
-        stop_a, stop_b = np.flatnonzero(last_a) + 1, np.flatnonzero(last_b) + 1
-        names_a, names_b = list(map(str, a.tolist())), list(map(str, b.tolist()))
-        made = [f"{','.join(names_a[p:q])}|{','.join(names_b[r:s])}" for p, q, r, s in zip([0, *stop_a[:-1].tolist()], stop_a.tolist(), [0, *stop_b[:-1].tolist()], stop_b.tolist(), strict=True)]
-        at = 0
-        for n in groups.tolist():
-            text.append(";".join(made[at : at + n]))
-            at += n
-        return text, groups, links_a, links_b, of_a[at_a]
+    def texts(self, a: np.ndarray, b: np.ndarray, common: np.ndarray, steps: np.ndarray, per_segment: np.ndarray) -> list[str]:
+        """The groups of segments one after another as ``a1,a2|b1;``."""
+        group = np.cumsum(common) - common
+        in_a, in_b = steps != ONLY_B, steps != ONLY_A
+        order = np.argsort(np.concatenate((group[in_a] * 2, group[in_b] * 2 + 1)), kind="stable")
+        size = len(self.names) // 3
+        which = np.concatenate((a + size * common[in_a], b + 2 * size * common[in_b]))
+        names = self.names[which[order]].tolist()
+        ends = np.cumsum(per_segment).tolist()
+        return ["".join(names[p:q]) for p, q in zip([0, *ends[:-1]], ends, strict=True)]
 
 
 _LOADED: dict[tuple[str, str], Pair] = {}
@@ -158,13 +170,22 @@ def pair(path_a: str, path_b: str) -> Pair:
 
 
 def _packed(values: np.ndarray | bytes) -> bytes:
-    raw = values if isinstance(values, bytes) else values.tobytes()
+    """Compressed; whole numbers byte plane by byte plane, as most have zeros above."""
+    raw = values if isinstance(values, bytes) else np.ascontiguousarray(values, "<i4").view("u1").reshape(-1, 4).T.tobytes()
     return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
-def _unpacked(data: bytes, kind: str = "<i4") -> np.ndarray:
-    raw = pa.decompress(data[8:], decompressed_size=int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True) if len(data) > 8 else b""
-    return np.frombuffer(raw, kind)
+def _raw(data: bytes) -> bytes:
+    return pa.decompress(data[8:], decompressed_size=int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True) if len(data) > 8 else b""
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(_raw(data), "u1").reshape(4, -1).T).view("<i4").ravel()
+
+
+def _split(raw: bytes, lengths: np.ndarray) -> list[bytes]:
+    ends = np.cumsum(lengths).tolist()
+    return [raw[p:q] for p, q in zip([0, *ends[:-1]], ends, strict=True)]
 
 
 _BLOCKS = "block long, k array<{k}>, n array<int>, codes binary, n_segments long, segments binary, lengths binary"
@@ -173,7 +194,7 @@ _BLOCKS = "block long, k array<{k}>, n array<int>, codes binary, n_segments long
 def _gather(path_a: str, path_b: str, block_bytes: int):
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, made = pair(path_a, path_b).segments.findall, 0
-        keys, n, codes, known, held, k_type = [], [], [], {}, 0, None
+        keys, n, codes, known, held, k_type = [], [], [], _Codes(), 0, None
 
         def block() -> pa.RecordBatch:
             segments = [s.encode() for s in known]
@@ -190,14 +211,13 @@ def _gather(path_a: str, path_b: str, block_bytes: int):
                 found = split(f" {text}") if text else []
                 keys.append(key)
                 n.append(len(found))
-                for s in set(found) - known.keys():
-                    known[s] = len(known)
                 codes.append(np.fromiter(map(known.__getitem__, found), np.int32, len(found)))
                 held += len(text or "")
                 if held >= block_bytes:
                     yield block()
                     made += 1
-                    keys, n, codes, known, held = [], [], [], {}, 0
+                    keys, n, codes, known, held = [], [], [], _Codes(), 0
+                    trim()
         if keys:
             yield block()
 
@@ -213,46 +233,38 @@ def _asked(shares: int):
                 lengths = _unpacked(lengths)
                 if not len(lengths):
                     continue
-                raw, ends = _unpacked(data, "u1").tobytes(), np.cumsum(lengths)
-                segments = [raw[e - n : e] for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
+                segments = _split(_raw(data), lengths)
                 share = np.fromiter((xxhash.xxh64_intdigest(s) % shares for s in segments), np.int64, len(segments))
                 order = np.argsort(share, kind="stable")
                 starts = np.flatnonzero(np.concatenate(([True], share[order][1:] != share[order][:-1])))
                 parts = np.split(order, starts[1:])
                 columns = [
-                    pa.array(share[order[starts]], pa.int32()), pa.array([block] * len(parts), pa.int64()), pa.array([p.astype(np.int32).tobytes() for p in parts], pa.binary()),
-                    pa.array([[segments[i] for i in p] for p in parts], pa.list_(pa.binary())),
+                    pa.array(share[order[starts]], pa.int32()), pa.array([block] * len(parts), pa.int64()), pa.array([_packed(np.diff(p, prepend=0)) for p in parts]),
+                    pa.array([_packed(b"".join([segments[i] for i in p])) for p in parts]), pa.array([_packed(lengths[p]) for p in parts]),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, ["share", "block", "codes", "segments"])
+                yield pa.RecordBatch.from_arrays(columns, ["share", "block", "codes", "segments", "lengths"])
 
     return asked
 
 
 def _answered(path_a: str, path_b: str):
-    """Rows in order of the share: token ids of each segment, which is tokenised when first met."""
+    """Rows in order of the share: the tokens of each segment, which is tokenised and aligned when first met."""
 
     def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both, share, known = pair(path_a, path_b), None, {}
-        nothing = (0, 0, b"")
         for batch in batches:
-            out = []
-            rows = list(zip(batch["share"].to_pylist(), batch["segments"].to_pylist(), strict=True))
-            at = 0
-            while at < len(rows):
-                if rows[at][0] != share:
-                    share, known = rows[at][0], {}
-                end = at
-                while end < len(rows) and rows[end][0] == share:
-                    end += 1
-                new = list(dict.fromkeys(s for _, segments in rows[at:end] for s in segments if s not in known))
-                for s, ids in zip(new, both.encode([s.decode() for s in new]) if new else [], strict=True):
-                    known[s] = nothing if ids is None else (len(ids[0]), len(ids[1]), np.concatenate(ids).astype(np.int32).tobytes())
-                for _, segments in rows[at:end]:
-                    found = list(map(known.__getitem__, segments))
-                    counts = np.array([x[:2] for x in found], np.int32)
-                    out.append((counts.tobytes(), _packed(b"".join([x[2] for x in found]))))
-                at = end
-            yield pa.RecordBatch.from_arrays([batch["block"], batch["codes"], *(pa.array([x[i] for x in out], pa.binary()) for i in range(2))], ["block", "codes", "counts", "ids"])
+            counts, ids, steps = [], [], []
+            for mine, data, lengths in zip(batch["share"].to_pylist(), batch["segments"].to_pylist(), batch["lengths"].to_pylist(), strict=True):
+                if mine != share:
+                    share, known = mine, {}
+                segments = _split(_raw(data), _unpacked(lengths))
+                new = [s for s in segments if s not in known]
+                known.update(zip(new, both.encode([s.decode() for s in new]), strict=True))
+                n_a, n_b, own, ends = zip(*map(known.__getitem__, segments), strict=True)
+                counts.append(_packed(np.array([n_a, n_b, list(map(len, ends))], np.int32)))
+                ids.append(_packed(np.frombuffer(b"".join(own), "<i4")))
+                steps.append(_packed(b"".join(ends)))
+            yield pa.RecordBatch.from_arrays([batch["block"], batch["codes"], *(pa.array(x, pa.binary()) for x in (counts, ids, steps))], ["block", "codes", "counts", "ids", "steps"])
 
     return answered
 
@@ -269,27 +281,29 @@ def _composed(path_a: str, path_b: str):
             for i in range(len(batch)):
                 row = {c: batch[c][i] for c in batch.schema.names}
                 n, codes, size = np.array(row["n"].as_py(), np.int64), _unpacked(row["codes"].as_py()), row["n_segments"].as_py()
-                counts, ids = np.zeros((size, 2), np.int64), [b""] * size
+                counts, ids, ends = np.zeros((size, 3), np.int64), [b""] * size, [b""] * size
                 for part in row["answers"].as_py() or []:
-                    at = np.frombuffer(part["codes"], "<i4")
-                    counts[at] = np.frombuffer(part["counts"], "<i4").reshape(-1, 2)
-                    raw, ends = _unpacked(part["ids"]).tobytes(), np.cumsum(counts[at].sum(axis=1)) * 4
-                    for c, p, q in zip(at.tolist(), [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
-                        ids[c] = raw[p:q]
-                flat = np.frombuffer(b"".join(ids), "<i4")
-                side = np.repeat(np.tile([True, False], size), counts.ravel())
-                text, groups, link_a, link_b, link_of = both.aligned(flat[side], counts[:, 0], flat[~side], counts[:, 1])
-                pairs, link_pair = np.unique(link_a.astype(np.int64) << 32 | link_b, return_inverse=True)
-                link_ends = np.searchsorted(link_of, np.arange(size), side="right")
-                link_starts, good = np.append(0, link_ends[:-1])[:size], counts[:, 0] > 0
+                    at = np.cumsum(_unpacked(part["codes"]))
+                    counts[at] = _unpacked(part["counts"]).reshape(3, -1).T
+                    own = _split(_unpacked(part["ids"]).tobytes(), counts[at, :2].sum(axis=1) * 4)
+                    for c, x, y in zip(at.tolist(), own, _split(_raw(part["steps"]), counts[at, 2]), strict=True):
+                        ids[c], ends[c] = x, y
+                flat, steps, n_links = np.frombuffer(b"".join(ids), "<i4"), np.frombuffer(b"".join(ends), "u1"), counts[:, 2]
+                side = np.repeat(np.tile([True, False], size), counts[:, :2].ravel())
+                a, b, common = flat[side].astype(np.int64), flat[~side].astype(np.int64), steps == BOTH
+                text = both.texts(a, b, common, steps, counts[:, :2].sum(axis=1))
+                link_a, link_b = (x[np.cumsum(m) - m] for x, m in ((a, steps != ONLY_B), (b, steps != ONLY_A)))
+                link_of = np.repeat(np.arange(size), n_links)
+                groups = np.bincount(link_of[common], minlength=size)
+                pairs, link_pair = np.unique(link_a << 32 | link_b, return_inverse=True)
+                link_starts, good = np.cumsum(n_links) - n_links, counts[:, 0] > 0
                 doc_ends, docs, out = np.cumsum(n), np.zeros(len(pairs), np.int64), [[], [], [], [], []]
-                n_links = link_ends - link_starts
                 for stop, m in zip(doc_ends.tolist(), n.tolist(), strict=True):
                     mine = codes[stop - m : stop]
                     if not m or not good[mine].all():
                         made = (0, 0, 0, 0, "")
                     else:
-                        made = (counts[mine, 0].sum(), counts[mine, 1].sum(), groups[mine].sum(), n_links[mine].sum(), hashlib.sha256(";".join(map(text.__getitem__, mine.tolist())).encode()).hexdigest())
+                        made = (counts[mine, 0].sum(), counts[mine, 1].sum(), groups[mine].sum(), n_links[mine].sum(), hashlib.sha256("".join(map(text.__getitem__, mine.tolist()))[:-1].encode()).hexdigest())
                         # runs of links of the document's different segments
                         distinct = np.unique(mine)
                         many = n_links[distinct]
@@ -310,29 +324,36 @@ def _composed(path_a: str, path_b: str):
                     renumbered[~held] = -1
                     columns[-1] = pa.array([_packed(renumbered[link_pair].astype(np.int32))])
                 yield pa.RecordBatch.from_arrays(columns, [c.split(" ")[0] for c in _COMPOSED.split(", ")])
+                trim()
 
     return composed
 
 
-def _finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A composed block with its pairs' counts: sums over each document's links."""
-    for batch in batches:
-        for i in range(len(batch)):
-            row = {c: batch[c][i].as_py() for c in ("n", "codes", "link_of", "link_pair", "pair", "counted")}
-            pairs, counted = np.array(row["pair"] or [], np.int64), row["counted"] or []
-            count, best = np.zeros(len(pairs) + 1, np.int64), np.zeros(len(pairs) + 1, np.int64)
-            at = np.searchsorted(pairs, np.array([x["pair"] for x in counted], np.int64))
-            count[at], best[at] = [x["docs"] for x in counted], [x["best"] for x in counted]
-            ends, link_pair = np.cumsum(_unpacked(row["link_of"])), _unpacked(row["link_pair"])
-            total = [np.concatenate(([0], np.cumsum(x[link_pair]))) for x in (best, count)]
-            of_segment = [t[ends] - t[np.append(0, ends[:-1])[: len(ends)]] for t in total]
-            codes, n = _unpacked(row["codes"]), np.array(row["n"], np.int64)
-            stops = np.cumsum(n)
-            sums = [np.concatenate(([0], np.cumsum(s[codes]))) for s in of_segment]
-            whole = np.array([x != "" for x in batch["digest"][i].as_py()], bool)
-            n_best, count_sum = (np.where(whole, s[stops] - s[stops - n], 0) for s in sums)
-            flat = [batch[c].slice(i, 1).flatten() for c in ("k", "n_a", "n_b", "n_groups", "n_links")]
-            yield pa.RecordBatch.from_arrays([*flat, pa.array(n_best, pa.int64()), pa.array(count_sum, pa.int64()), batch["digest"].slice(i, 1).flatten()], ["k", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"])
+def _finished(held: tuple[np.ndarray, np.ndarray, np.ndarray] | None):
+    """A composed block with its pairs' counts, its own or those ``held`` for all: sums over each document's links."""
+
+    def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                pairs = np.array(batch["pair"][i].as_py(), np.int64)
+                if held:
+                    at = np.searchsorted(held[0], pairs)
+                    counted = [x[at] for x in held[1:]]
+                else:
+                    rows = batch["counted"][i].as_py() or []
+                    order = np.argsort(np.array([x["pair"] for x in rows], np.int64))
+                    counted = [np.array([x[c] for x in rows], np.int64)[order] for c in ("docs", "best")]
+                # a link that no whole document has counts for none
+                total = [np.concatenate(([0], np.cumsum(np.append(x, 0)[link_pair]))) for link_pair in [_unpacked(batch["link_pair"][i].as_py())] for x in counted]
+                ends = np.cumsum(_unpacked(batch["link_of"][i].as_py()))
+                codes, n = _unpacked(batch["codes"][i].as_py()), np.array(batch["n"][i].as_py(), np.int64)
+                sums = [np.concatenate(([0], np.cumsum(np.diff(t[ends], prepend=0)[codes]))) for t in total]
+                stops, whole = np.cumsum(n), np.array([x != "" for x in batch["digest"][i].as_py()], bool)
+                count_sum, n_best = (np.where(whole, s[stops] - s[stops - n], 0) for s in sums)
+                flat = [batch[c].slice(i, 1).flatten() for c in ("k", "n_a", "n_b", "n_groups", "n_links")]
+                yield pa.RecordBatch.from_arrays([*flat, pa.array(n_best, pa.int64()), pa.array(count_sum, pa.int64()), batch["digest"].slice(i, 1).flatten()], ["k", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"])
+
+    return finished
 
 
 def default_tokenizers() -> tuple[str, str]:
@@ -341,12 +362,12 @@ def default_tokenizers() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
 
-def align(docs: DataFrame, path_a: str | None = None, path_b: str | None = None, key: str = "doc_id", text: str = "text", block_bytes: int = BLOCK, share: int = SHARE) -> DataFrame:
+def align(docs: DataFrame, path_a: str | None = None, path_b: str | None = None, key: str = "doc_id", text: str = "text", block_bytes: int = BLOCK, share: int = SHARE, pairs_held: int = PAIRS_HELD) -> DataFrame:
     """key, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 of every row."""
-    return aligned_tables(docs, path_a, path_b, key, text, block_bytes, share)[0]
+    return aligned_tables(docs, path_a, path_b, key, text, block_bytes, share, pairs_held)[0]
 
 
-def aligned_tables(docs: DataFrame, path_a: str | None = None, path_b: str | None = None, key: str = "doc_id", text: str = "text", block_bytes: int = BLOCK, share: int = SHARE) -> tuple[DataFrame, DataFrame]:
+def aligned_tables(docs: DataFrame, path_a: str | None = None, path_b: str | None = None, key: str = "doc_id", text: str = "text", block_bytes: int = BLOCK, share: int = SHARE, pairs_held: int = PAIRS_HELD) -> tuple[DataFrame, DataFrame]:
     """The documents as ``align`` gives them, and the id pairs: a, b, docs (that hold them linked), best (1 if no other pair of a has more)."""
     default_a, default_b = default_tokenizers() if not (path_a and path_b) else (path_a, path_b)
     paths = (path_a or default_a, path_b or default_b)
@@ -358,10 +379,10 @@ def aligned_tables(docs: DataFrame, path_a: str | None = None, path_b: str | Non
     size = blocks.agg(F.coalesce(F.sum("n_segments"), F.lit(0))).first()[0]
     shares = max(1, -(-size // share))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    asked = blocks.select("block", "segments", "lengths").mapInArrow(_asked(shares), "share int, block long, codes binary, segments array<binary>")
+    asked = blocks.select("block", "segments", "lengths").mapInArrow(_asked(shares), "share int, block long, codes binary, segments binary, lengths binary")
     dealt = asked.repartition(max(1, min(parts, shares)), "share").sortWithinPartitions("share", "block")
-    answers = cut(dealt.mapInArrow(_answered(*paths), "block long, codes binary, counts binary, ids binary"), "answers")
-    of_block = answers.groupBy("block").agg(F.collect_list(F.struct("codes", "counts", "ids")).alias("answers"))
+    answers = dealt.mapInArrow(_answered(*paths), "block long, codes binary, counts binary, ids binary, steps binary")
+    of_block = answers.groupBy("block").agg(F.collect_list(F.struct("codes", "counts", "ids", "steps")).alias("answers"))
     met = blocks.select("block", "k", "n", "codes", "n_segments").join(of_block, "block", "left")
     composed = cut(met.mapInArrow(_composed(*paths), _COMPOSED.format(k=k)), "composed")
 
@@ -369,8 +390,14 @@ def aligned_tables(docs: DataFrame, path_a: str | None = None, path_b: str | Non
     counts = held.groupBy("pair").agg(F.sum("docs").alias("docs"))
     most = F.max("docs").over(Window.partitionBy(F.shiftright("pair", 32)))
     counts = cut(counts.withColumn("best", (F.col("docs") == most).cast("int")), "pairs")
-    counted = held.select("block", "pair").join(counts, "pair").groupBy("block").agg(F.collect_list(F.struct("pair", "docs", "best")).alias("counted"))
     schema = f"k {k}, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
-    done = composed.drop("docs").join(counted, "block", "left").mapInArrow(_finished, schema).withColumnRenamed("k", key)
+    if counts.count() <= pairs_held:
+        known = counts.orderBy("pair").toArrow()
+        shared = spark.sparkContext.broadcast(tuple(known[c].to_numpy().astype(np.int64) for c in ("pair", "docs", "best")))
+        done = composed.drop("docs").mapInArrow(lambda batches: _finished(shared.value)(batches), schema)
+    else:
+        counted = held.select("block", "pair").join(counts, "pair").groupBy("block").agg(F.collect_list(F.struct("pair", "docs", "best")).alias("counted"))
+        done = composed.drop("docs").join(counted, "block", "left").mapInArrow(_finished(None), schema)
+    done = done.withColumnRenamed("k", key)
     ids = counts.select(F.shiftright("pair", 32).cast("int").alias("a"), F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("b"), "docs", "best")
     return done, ids

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,6 +50,13 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", TEXT_BATCH)
 
 
+def trim() -> None:
+    """Give freed memory back to the system, where the C library can: workers are reused for many blocks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def held_out(doc_id: Column) -> Column:
     """True where crc32 of the id as text leaves 2 when divided by 4; False for a null id."""
     crc = F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))

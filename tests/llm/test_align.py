@@ -2,6 +2,7 @@ import hashlib
 import os
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -68,11 +69,11 @@ NASTY = [
 ]
 
 
-@pytest.mark.parametrize(("block", "share"), [(4 << 20, 400_000), (200, 7)])
-def test_alignment_matches_brute_force(spark, block, share):
+@pytest.mark.parametrize(("block", "share", "held"), [(4 << 20, 400_000, 10**6), (200, 7, 0), (3000, 50, 10**6)])
+def test_alignment_matches_brute_force(spark, block, share, held):
     rows = list(enumerate(NASTY)) + [(None, "null id here"), (None, None), (3, NASTY[0]), (3, NASTY[0])]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("clash") for c in ("k", "block", "n_a", "codes", "pair", "share")})
-    found, ids = aligned_tables(docs, block_bytes=block, share=share)
+    found, ids = aligned_tables(docs, block_bytes=block, share=share, pairs_held=held)
     want, corpus = brute(rows)
     assert sorted((tuple(r) for r in found.collect()), key=str) == want
     pairs = {(r["a"], r["b"]): r["docs"] for r in ids.collect()}
@@ -96,10 +97,11 @@ def test_segments_give_the_whole_text_s_tokens(text):
     a, b = both.a.encode(f" {text}", add_special_tokens=False).ids, both.b.encode(text)
     found = both.encode(segments)
     if b"".join(both.bytes_b[i] for i in b) == f" {text}".encode():
-        assert [i for f in found for i in f[0]] == a
-        assert [i for f in found for i in f[1]] == b
+        ids = [(n_a, np.frombuffer(x, "<i4").tolist()) for n_a, _, x, _ in found]
+        assert [i for n, x in ids for i in x[:n]] == a
+        assert [i for n, x in ids for i in x[n:]] == b
     else:
-        assert None in found
+        assert (0, 0, b"", b"") in found
 
 
 def test_characters_that_pieces_reach_across_are_not_cut_at():
