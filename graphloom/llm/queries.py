@@ -18,6 +18,7 @@ from graphloom.llm.packing import pack
 from graphloom.llm.resample import resample
 from graphloom.llm.simhash import near_duplicates
 from graphloom.llm.substring_dedup import dedup_substrings
+from graphloom.llm.suffix_dedup import dedup_bytes
 from graphloom.llm.toxicity import THRESHOLD, fit_toxicity, score_toxicity
 from graphloom.llm.url_filter import Rule, judge_urls
 
@@ -215,6 +216,27 @@ SELECT doc_id, n_features, weight, score, CASE WHEN r <= 10 * n // 100 THEN r EN
 """
 
 
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = dedup_bytes(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP13_SQL = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+win AS (SELECT doc_id, s, md5(substr(x, 2 * s - 1, 200)) AS g FROM (SELECT doc_id, x, unnest(range(1, length(x) // 2 - 98)) AS s FROM d)),
+firsts AS (SELECT g, min(struct_pack(doc_id := doc_id, s := s)) AS f FROM win GROUP BY g HAVING count(*) > 1),
+again AS (SELECT doc_id, s FROM win JOIN firsts USING (g) WHERE doc_id <> f.doc_id OR s <> f.s),
+edges AS (SELECT doc_id, s, max(s) OVER (PARTITION BY doc_id ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM again),
+runs AS (SELECT doc_id, s, sum(CASE WHEN p IS NULL OR s > p + 100 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY s) AS r FROM edges),
+spans AS (SELECT doc_id, r, min(s) AS a, max(s) + 100 AS b FROM runs GROUP BY doc_id, r),
+gaps AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 1) AS q FROM spans),
+cut AS (SELECT doc_id, count(*) AS n_spans, sum(b - a) AS n, max(b) AS e, string_agg(substr(x, 2 * q - 1, 2 * (a - q)), '' ORDER BY a) AS k FROM gaps JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+    sha256(unhex(CASE WHEN n IS NULL THEN x ELSE k || substr(x, 2 * e - 1) END)) AS kept_sha256
+FROM d LEFT JOIN cut USING (doc_id)
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_ann_ivfpq": op2_ann_ivfpq,
@@ -228,6 +250,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_best_fit_packing": op10_best_fit_packing,
     "op11_cross_tokenizer_alignment": op11_cross_tokenizer_alignment,
     "op12_importance_resampling": op12_importance_resampling,
+    "op13_suffix_dedup": op13_suffix_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -237,4 +260,5 @@ ORACLE_SQL: dict[str, str] = {
     "op7_license_scan": _op7_sql(),
     "op9_decontaminate": OP9_SQL,
     "op12_importance_resampling": OP12_SQL,
+    "op13_suffix_dedup": OP13_SQL,
 }

@@ -24,6 +24,7 @@ COLUMNS = {
     "op10_best_fit_packing": "doc_id:bigint piece:int start:bigint length:bigint ids_crc32:bigint sequence_id:bigint offset:bigint",
     "op11_cross_tokenizer_alignment": "doc_id:bigint n_a:bigint n_b:bigint n_groups:bigint n_links:bigint n_best:bigint count_sum:bigint groups_sha256:string",
     "op12_importance_resampling": "doc_id:bigint n_features:bigint weight:bigint score:bigint rank:bigint",
+    "op13_suffix_dedup": "doc_id:bigint n_bytes:bigint n_removed:bigint n_spans:bigint kept_sha256:string",
 }
 
 
