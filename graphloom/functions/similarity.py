@@ -53,16 +53,21 @@ def vector_literal(values) -> Column:
     return F.array(*(F.lit(float(x)) for x in values))
 
 
+def common_subsequence(a: str, b: str) -> int:
+    """Length of the longest common subsequence, a whole row of the usual table at a time in the bits of a number."""
+    places: dict[str, int] = {}
+    for i, x in enumerate(a):
+        places[x] = places.get(x, 0) | 1 << i
+    full = row = (1 << len(a)) - 1
+    for y in b:
+        met = row & places.get(y, 0)
+        row = (row + met | row - met) & full
+    return len(a) - row.bit_count()
+
+
 def indel_ratio(a: str, b: str) -> float:
     """1 - (insertions + deletions) / total length, by the longest common subsequence."""
-    if not a and not b:
-        return 1.0
-    row = [0] * (len(b) + 1)
-    for x in a:
-        diagonal = 0
-        for j, y in enumerate(b, 1):
-            diagonal, row[j] = row[j], diagonal + 1 if x == y else max(row[j], row[j - 1])
-    return 2 * row[-1] / (len(a) + len(b))
+    return 2 * common_subsequence(a, b) / (len(a) + len(b)) if a or b else 1.0
 
 
 def _partial(a: str, b: str) -> float:

@@ -54,8 +54,10 @@ def extract_sql(answer: str) -> str:
 def check_read_only(spark: SparkSession, sql: str) -> str:
     """The statement, if Spark parses it as one query of known nodes, functions and relations.
 
-    The parsed plan is walked, its subqueries and common table expressions too: a node or function
-    that is not listed, or a relation that is not registered (paths in ``format.`path```), is refused.
+    The parsed plan is walked, its subqueries and common table expressions too: a plan node, an expression
+    or a function that is not listed, or a relation that is not registered (paths in ``format.`path```), is refused.
+    So are names that are made by expressions, ``IDENTIFIER(...)``, and parameters. ``now``, ``stddev_pop``, ``extract``,
+    samples and pipe syntax are not listed.
     """
     if not re.match(r"(?is)\s*(select|with|\()", sql):
         raise GeneratedQueryError(f"not a query: {sql[:80]}")
@@ -69,7 +71,7 @@ def check_read_only(spark: SparkSession, sql: str) -> str:
         node = todo.pop()
         kind = node.getClass().getSimpleName()
         if kind in _EXPRESSIONS_WITH_NAMES:
-            name = node.nameParts().mkString(".").lower()
+            name = (node.name().unquotedString() if kind == "UnresolvedGenerator" else node.nameParts().mkString(".")).lower()
             if name not in _FUNCTIONS:
                 raise GeneratedQueryError(f"function {name} is not allowed")
         elif isinstance_of(spark, node, "org.apache.spark.sql.catalyst.plans.logical.LogicalPlan"):
@@ -84,8 +86,8 @@ def check_read_only(spark: SparkSession, sql: str) -> str:
             todo += _items(node.innerChildren())
         elif kind in ("ScalarSubquery", "Exists", "ListQuery", "LateralSubquery"):
             todo.append(node.plan())
-        elif kind in ("CallMethodViaReflection", "TryReflect"):
-            raise GeneratedQueryError("reflection is not allowed")
+        elif kind not in _EXPRESSIONS:
+            raise GeneratedQueryError(f"expression {kind} is not allowed")
         todo += _items(node.children())
     for parts in relations:
         if not (len(parts) == 1 and parts[0].lower() in known) and not spark.catalog.tableExists(".".join(f"`{p}`" for p in parts)):
@@ -105,15 +107,23 @@ def isinstance_of(spark: SparkSession, found: Any, name: str) -> bool:
 _NODES = frozenset(
     "Project Filter Aggregate Join Sort GlobalLimit LocalLimit Offset Distinct Union Except Intersect SubqueryAlias UnresolvedRelation UnresolvedWith "
     "UnresolvedHaving UnresolvedInlineTable UnresolvedSubqueryColumnAliases WithWindowDefinition OneRowRelation LateralJoin Generate Pivot Unpivot "
-    "UnresolvedOrdinal Expand Window ResolvedInlineTable".split()
+    "UnresolvedOrdinal Expand Window ResolvedInlineTable LocalRelation".split()
+)
+_EXPRESSIONS = frozenset(
+    "Literal UnresolvedAttribute UnresolvedStar UnresolvedStarExceptOrReplace UnresolvedAlias Alias AttributeReference UnresolvedExtractValue UnresolvedOrdinal "
+    "UnresolvedNamedLambdaVariable LambdaFunction And Or Not EqualTo EqualNullSafe LessThan LessThanOrEqual GreaterThan GreaterThanOrEqual In InSubquery IsNull IsNotNull "
+    "Like ILike RLike LikeAll LikeAny NotLikeAll NotLikeAny Between Add Subtract Multiply Divide IntegralDivide Remainder UnaryMinus UnaryPositive BitwiseAnd BitwiseOr BitwiseXor "
+    "BitwiseNot CaseWhen If Coalesce Cast Concat SortOrder UnresolvedWindowExpression WindowExpression WindowSpecDefinition SpecifiedWindowFrame UnspecifiedFrame$ "
+    "CurrentRow$ UnboundedPreceding$ UnboundedFollowing$ CreateNamedStruct CreateStruct StringTrim StringTrimLeft StringTrimRight StringLocate Substring Overlay TimestampAdd "
+    "TimestampDiff CurrentDate CurrentTimestamp Rollup Cube GroupingSets NamePlaceholder$".split()
 )
 _EXPRESSIONS_WITH_NAMES = ("UnresolvedFunction", "UnresolvedGenerator")
 _FUNCTIONS = frozenset(
     "abs acos any any_value approx_count_distinct array array_agg array_contains array_distinct array_join array_max array_min array_position array_size asin "
-    "atan avg bool_and bool_or cardinality cast ceil ceiling char_length coalesce collect_list collect_set concat concat_ws contains corr cos count count_if "
+    "atan avg between bool_and bool_or cardinality cast ceil ceiling char_length coalesce collect_list collect_set concat concat_ws contains corr cos count count_if "
     "cume_dist current_date current_timestamp date date_add date_diff date_format date_sub date_trunc datediff day dayofmonth dayofweek dayofyear dense_rank "
-    "element_at endswith every exp explode explode_outer filter first first_value floor from_unixtime get_json_object greatest hour if ifnull in initcap instr "
-    "isnotnull isnull lag last last_value lcase lead least left length levenshtein ln locate log log10 log2 lower lpad ltrim map_keys map_values max max_by "
+    "element_at endswith every exp explode explode_outer filter first first_value floor from_unixtime get_json_object greatest hour if ifnull ilike in initcap instr "
+    "isnotnull isnull lag last last_value lcase lead least left length levenshtein like ln locate log log10 log2 lower lpad ltrim map_keys map_values max max_by "
     "mean median min min_by minute mod mode month months_between named_struct nth_value ntile nullif nvl nvl2 percent_rank percentile percentile_approx pmod "
     "posexplode position pow power quarter rank regexp_count regexp_extract regexp_like regexp_replace replace reverse right rlike round row_number rpad rtrim "
     "second sequence sign size slice some sort_array split sqrt startswith std stddev struct substr substring substring_index sum to_date to_timestamp "

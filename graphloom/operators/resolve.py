@@ -1,18 +1,18 @@
 """Entity resolution: exact, normalised, fuzzy and by vectors; merged nodes keep the smallest id.
 
-Pairs are only formed inside blocks (label and a blocking key), never over all nodes of a label;
-matches become groups by connected components (a superset of order-dependent merging).
+Fuzzy and vector pairs are exact joins (``simjoin``); own scores are compared inside blocks. Matches become groups by connected components (a superset of order-dependent merging).
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.functions.similarity import cosine, weighted_ratio_udf
-from graphloom.session import ship
+from graphloom.functions.similarity import cosine
+from graphloom.operators import simjoin
 from graphloom.sources.scratch import cut
 
 #: Fixed value: the characters that normalisation strips from names.
@@ -53,14 +53,18 @@ def levenshtein_score(a: str, b: str) -> Column:
 
 
 def fuzzy_pairs(nodes: DataFrame, prop: str = "name", threshold: float = 0.8, processed: bool = True, block: Column | None = None) -> DataFrame:
+    """a, b of one label (and block, where one is given) whose names are as alike as the threshold; none is lost."""
     text = F.trim(F.regexp_replace(F.lower(prop), r"[^\p{L}\p{N}]", " ")) if processed else F.col(prop)
-    ship(nodes.sparkSession)
-    ready = nodes.withColumn("_t", text)
-    return similar_pairs(ready, weighted_ratio_udf, threshold, ("_t",), F.lower(F.substring("_t", 1, 1)) if block is None else block)
+    label = F.col("label") if block is None else F.to_json(F.struct("label", block.alias("b")))
+    return simjoin.name_pairs(nodes.select("id", label.alias("label"), text.alias("t")), threshold)
 
 
 def vector_pairs(nodes: DataFrame, vector: str = "embedding", threshold: float = 0.8, block: Column | None = None) -> DataFrame:
-    return similar_pairs(nodes, lambda a, b: cosine(a, b, on_zero=0.0), threshold, (vector,), F.lit(0) if block is None else block)
+    """a, b of one label (and block) whose cosine reaches the threshold; below 0 all pairs are looked at, as most are wanted."""
+    of = nodes.withColumn("_block", F.lit(0) if block is None else block)
+    if threshold <= 0:
+        return similar_pairs(of, lambda a, b: cosine(a, b, on_zero=0.0), threshold, (vector,), F.col("_block"))
+    return simjoin.vector_pairs(of, vector, threshold, ["label", "_block"])
 
 
 def components(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -95,12 +99,9 @@ def apply_groups(nodes: DataFrame, edges: DataFrame, groups: DataFrame, collecte
 
 
 def route(nodes: DataFrame, resolvers: dict[tuple[str, ...], Callable[[DataFrame], DataFrame]]) -> DataFrame:
-    """id, canonical by the resolver of a node's label; labels without one stay as they are."""
-    out = None
-    for labels, resolver in resolvers.items():
-        part = resolver(nodes.where(F.col("label").isin(*labels)))
-        out = part if out is None else out.unionByName(part)
-    return out
+    """id, canonical by the resolver of a node's label; nodes of labels without one, or that it leaves out, are not listed."""
+    parts = [resolver(nodes.where(F.col("label").isin(*labels))).select("id", "canonical") for labels, resolver in resolvers.items()]
+    return reduce(DataFrame.unionByName, parts) if parts else nodes.select("id", F.col("id").alias("canonical")).limit(0)
 
 
 def collapse(descriptions: Column | str) -> Column:

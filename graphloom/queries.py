@@ -15,7 +15,7 @@ from graphloom.operators.filters import compile_filter
 from graphloom.operators.history import append_message, clear, last_messages
 from graphloom.plans import build
 from graphloom.sources import readers, writers
-from graphloom.sources.scratch import shared_dir
+from graphloom.sources.scratch import file_state, shared_dir
 from graphloom.streaming.incremental import upsert_stream, windowed_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -119,14 +119,15 @@ def vector_upsert(spark: SparkSession, d: str) -> DataFrame:
 TEXT_QUERY = "license thing idiot"
 
 
-_INDEXES: dict[tuple[str, str], fulltext.FullTextIndex] = {}
+_INDEXES: dict[tuple, fulltext.FullTextIndex] = {}
 
 
 def _text_index(spark: SparkSession, d: str, anew: bool = False) -> fulltext.FullTextIndex:
-    """The written index of a folder's documents: made once in an application, then only searched."""
-    key = (spark.sparkContext.applicationId, d)
-    if anew or key not in _INDEXES:
-        _INDEXES[key] = fulltext.FullTextIndex.create(table(spark, d, "documents"), f"{shared_dir(spark)}/fulltext-{uuid.uuid4().hex}")
+    """The written index of a folder's documents: made once for their files as they are, then only searched."""
+    key = (spark.sparkContext.applicationId, d, file_state(spark, f"{d}/documents.parquet"))
+    if anew or key not in _INDEXES or not file_state(spark, f"{_INDEXES[key].path}/parts"):
+        texts = {"text": "text", "source": "source", "lang": "lang"}
+        _INDEXES[key] = fulltext.FullTextIndex.create(table(spark, d, "documents"), f"{shared_dir(spark)}/fulltext-{uuid.uuid4().hex}", text=texts)
     return _INDEXES[key]
 
 
@@ -170,8 +171,44 @@ def _postings_sql() -> str:
 
 @query(_postings_sql())
 def fulltext_index(spark: SparkSession, d: str) -> DataFrame:
-    postings = _text_index(spark, d, anew=True).postings()
-    return postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    postings = _text_index(spark, d, anew=True).postings().where("field = 'text'")
+    return postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").cast("long").alias("cf"))
+
+
+@query(r"""WITH f AS (SELECT 'text' AS field, doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+')) AS term FROM documents
+UNION ALL SELECT 'source', doc_id, unnest(regexp_extract_all(lower(coalesce(source, '')), '[\p{L}\p{N}]+')) FROM documents UNION ALL SELECT 'lang', doc_id, unnest(regexp_extract_all(lower(coalesce(lang, '')), '[\p{L}\p{N}]+')) FROM documents)
+SELECT field, term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM f GROUP BY field, term""")
+def fulltext_dictionary(spark: SparkSession, d: str) -> DataFrame:
+    return _text_index(spark, d).dictionary()
+
+
+_TOKENS = r"tk AS (SELECT doc_id, lang, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM documents)"
+
+
+@query(f"""WITH {_bm25_sql(TEXT_QUERY)}, {_TOKENS}, wild AS (SELECT doc_id FROM tk WHERE len(list_filter(w, lambda x: starts_with(x, 'lic') AND x LIKE 'lic%se')) > 0)
+SELECT doc_id, CAST(1.5 AS DOUBLE) AS score FROM wild""")
+def fulltext_wildcard(spark: SparkSession, d: str) -> DataFrame:
+    return _text_index(spark, d).search("lic*se^1.5")
+
+
+@query(rf"""WITH {_bm25_sql("license")}, {_TOKENS}, l AS (SELECT doc_id, count(*) AS m FROM documents WHERE lower(lang) = 'en' GROUP BY doc_id),
+df AS (SELECT count(*) AS df FROM documents WHERE lower(lang) = 'en'), ll AS (SELECT avg(len(regexp_extract_all(lower(coalesce(lang, '')), '[\p{{L}}\p{{N}}]+'))) AS a, count(*) AS n FROM documents)
+SELECT bm.doc_id, round(score + 2 * ln(1 + (ll.n - df + 0.5) / (df + 0.5)) / (1 + 1.2 * (0.25 + 0.75 / a)), 5) AS score FROM bm JOIN l USING (doc_id), df, ll""")
+def fulltext_fields(spark: SparkSession, d: str) -> DataFrame:
+    return _text_index(spark, d).search("+license +lang:en^2").select("doc_id", F.round("score", 5).alias("score"))
+
+
+@query(f"""WITH {_TOKENS}, u AS (SELECT doc_id, len(w) AS dl, unnest(w) AS term FROM tk), n AS (SELECT count(*) AS n, avg(len(w)) AS a FROM tk),
+near AS (SELECT term, count(DISTINCT doc_id) AS df, 1 - levenshtein(term, 'licence') / CAST(least(length(term), 7) AS DOUBLE) AS boost FROM u WHERE length(term) BETWEEN 5 AND 9 AND levenshtein(term, 'licence') <= 2 GROUP BY term),
+tf AS (SELECT doc_id, term, dl, count(*) AS tf FROM u JOIN near USING (term) GROUP BY doc_id, term, dl)
+SELECT doc_id, round(sum(boost * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + 1.2 * (0.25 + 0.75 * dl / a))), 5) AS score FROM tf JOIN near USING (term), n GROUP BY doc_id""")
+def fulltext_fuzzy(spark: SparkSession, d: str) -> DataFrame:
+    return _text_index(spark, d).search("licence~").select("doc_id", F.round("score", 5).alias("score"))
+
+
+@query(f"WITH {_bm25_sql(TEXT_QUERY)} SELECT doc_id, round(score, 5) AS score FROM bm ORDER BY bm.score DESC, doc_id LIMIT 10")
+def fulltext_top(spark: SparkSession, d: str) -> DataFrame:
+    return _text_index(spark, d).search(TEXT_QUERY, 10).select("doc_id", F.round("score", 5).alias("score"))
 
 
 def _branches(spark: SparkSession, d: str, k: int = 20) -> tuple[DataFrame, DataFrame]:
@@ -650,11 +687,17 @@ def resolve_stats(spark: SparkSession, d: str) -> DataFrame:
 
 @query(None)
 def resolve_fuzzy(spark: SparkSession, d: str) -> DataFrame:
-    """Suppliers of a nation with like names; the block keeps pairs within a nation."""
+    """Suppliers of a nation with like names, all names of a nation against each other."""
     s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("label"), F.col("s_name").alias("name"))
     return resolve.fuzzy_pairs(s, threshold=0.9)
 
 
+@query("SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= 0.45")
+def resolve_vectors_all(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors of all labels against each other."""
+    return resolve.vector_pairs(table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.lit("vector").alias("label"), "embedding"), threshold=0.45)
+
+
 @query("""WITH g AS (SELECT p_partkey, min(p_partkey) OVER (PARTITION BY p_brand, p_type) AS c FROM part)
 SELECT DISTINCT 'part:' || g.c AS src, 'SUPPLIED_BY' AS type, 'supplier:' || l_suppkey AS dst FROM lineitem JOIN g ON g.p_partkey = l_partkey""")
 def resolve_merge_edges(spark: SparkSession, d: str) -> DataFrame:

@@ -6,6 +6,41 @@ from graphloom.plans.pipeline import Pipeline, from_config, resolve
 from graphloom.streaming.incremental import sessions, upsert_stream, windowed_counts
 
 
+@pytest.mark.parametrize(
+    "sql",
+    [
+        "SELECT IDENTIFIER('java_method')('java.lang.System','getProperty','user.home')",
+        "SELECT IDENTIFIER('ref' || 'lect')('java.lang.System','getProperty','user.home')",
+        "SELECT 1 WHERE 'x' = IDENTIFIER('java_method')('java.lang.System','getProperty','user.home')",
+        "SELECT (SELECT IDENTIFIER('abs')(1))",
+        "WITH x AS (SELECT IDENTIFIER('abs')(-1) AS a) SELECT * FROM x",
+        "SELECT * FROM IDENTIFIER('known')",
+        "SELECT IDENTIFIER('id') FROM known",
+        "SELECT sum(id) OVER (ORDER BY IDENTIFIER('reflect')('java.lang.System','exit','1')) FROM known",
+        "SELECT transform(array(1), x -> IDENTIFIER('java_method')('java.lang.System','getProperty','user.home'))",
+        "SELECT * FROM known LATERAL VIEW IDENTIFIER('explode')(array(1)) e AS x",
+        "SELECT * FROM known LATERAL VIEW json_tuple('{}', 'a') e AS x",
+        "SELECT :x", "SELECT ?", "SELECT * FROM range(5)", "FROM known |> SELECT id",
+    ],
+)
+def test_names_made_by_expressions_are_refused(spark, sql):
+    spark.range(3).createOrReplaceTempView("known")
+    with pytest.raises(GeneratedQueryError):
+        answers.check_read_only(spark, sql)
+
+
+def test_usual_queries_pass_the_gate(spark):
+    spark.range(3).createOrReplaceTempView("known")
+    for sql in (
+        "SELECT id, x FROM known LATERAL VIEW explode(array(1, 2)) e AS x",
+        "SELECT CASE WHEN id > 1 THEN 'a' ELSE trim(' b ') END AS c, CAST(id AS STRING) || 'x', -id, id % 2 FROM known WHERE id BETWEEN 0 AND 5 AND NOT id IN (7) AND 'ab' LIKE 'a%' ORDER BY id DESC NULLS LAST LIMIT 2",
+        "WITH t AS (SELECT id, row_number() OVER (PARTITION BY id % 2 ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS n FROM known) SELECT n, count(*) AS c FROM t GROUP BY ROLLUP(n) HAVING count(*) > 0",
+        "SELECT * FROM known WHERE EXISTS (SELECT 1 FROM known) AND id <= (SELECT max(id) FROM known)",
+        "SELECT transform(array(1), x -> x + 1) AS a, aggregate_of.b FROM (VALUES (1, 2)) AS aggregate_of(a, b)",
+    ):
+        assert spark.sql(answers.check_read_only(spark, sql)).collect()
+
+
 def test_text_to_sql(spark):
     spark.range(3).createOrReplaceTempView("numbers")
     df, meta = answers.TextToSql(spark, lambda p: "Sure:\n```sql\nSELECT id FROM numbers WHERE id > 0;\n```").search("which?")

@@ -104,6 +104,62 @@ def test_bm25_ranks_and_index_agrees(spark, tmp_path):
             fulltext.parse_query(bad)
 
 
+def test_fields_wildcards_fuzzy_words_and_signs(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "the license text", "red"), (2, "licence of a licenser", "blue red"), (3, "red licorice", None), (4, None, "red"), (5, "plain", "green"), (5, "license again", "green")], "id long, body string, colour string")
+    index = fulltext.FullTextIndex.create(rows, str(tmp_path / "index"), "id", {"body": "body", "colour": "colour"})
+    scores = lambda q, k=None: {r["id"]: round(r["score"], 6) for r in index.search(q, k).collect()}
+    find = lambda q: sorted(scores(q))
+    assert find("red") == [3] and find("colour:red") == [1, 2, 4] and find("body:red OR colour:green") == [3, 5]
+    assert scores("lic*") == {1: 1.0, 2: 1.0, 3: 1.0, 5: 1.0} and scores("licen?e^2") == {1: 2.0, 2: 2.0, 5: 2.0}
+    assert find("lic*r") == [2] and find("*ce") == [2, 3] and find("li_ense") == []
+    assert find("licenze~1") == [1, 2, 5] and find("licenze~") == [1, 2, 5] and find("licorize~1") == [3] and find("xyzzy~") == []
+    assert scores("licenze~1")[1] == round(scores("license")[1] * (1 - 1 / 7), 6)
+    assert find("+license text") == [1, 5] and scores("+license text")[1] == scores("license text")[1]
+    assert find("license -text") == [5] and find("+license -again") == [1] and find("lic* -(text OR licorice)") == [2, 5]
+    assert find('colour:"blue red"') == [2] and find('"red blue"') == [] and find("other:license") == [1, 5]
+    assert abs(scores("license^3")[1] - 3 * scores("license")[1]) < 1e-5 and scores("license license") == scores("license")
+    assert index.dictionary().where("term = 'license'").first()["df"] == 2
+    without = {r["id"]: round(r["score"], 6) for r in fulltext.bm25(rows, "licenze~1 +red", key="id", text="body").collect()}
+    assert sorted(without) == [3]
+    for bad in ("+", "-", "+(a", "a^2)", '+"open'):
+        with pytest.raises(QueryParseError):
+            fulltext.parse(bad)
+    empty = fulltext.FullTextIndex.create(rows.limit(0), str(tmp_path / "empty"), "id", "body")
+    assert empty.search("license", 5).count() == 0 and empty.search("lic*").count() == 0
+
+
+def test_top_k_opens_few_parts_and_blocks(spark, tmp_path, monkeypatch):
+    """A word of all documents is many blocks in many parts; a search opens its parts only, a top-k few blocks."""
+    monkeypatch.setattr(fulltext, "BLOCK", 16)
+    docs = spark.range(4000).selectExpr("id AS doc_id", "concat('common ', repeat('x ', int(id % 60)), 'w', id % 500, IF(id % 2 = 0, ' half', ''), repeat(' common', int(id % 997 = 0) * 5)) AS text").repartition(3)
+    index = fulltext.FullTextIndex.create(docs, str(tmp_path / "index"), parts=12)
+    sizes = sorted(r["postings"] for r in spark.read.parquet(str(tmp_path / "index" / "parts")).collect())
+    assert 11 <= len(sizes) <= 13 and sizes[-1] <= 3 * sizes[6]
+    parts = index.parts_of(fulltext.parse("common"))
+    assert 1 < len(parts) < 12 and len(index.parts_of(fulltext.parse("w77"))) <= 2
+    opened = index._search("w77").blocks
+    every = lambda q: [(r["doc_id"], round(r["score"], 9)) for r in fulltext.bm25(docs, q, 10).collect()]
+    read = lambda df: len({r["f"] for r in df.select(F.input_file_name().alias("f")).distinct().collect()})
+    assert read(opened) < read(index.blocks()) / 2
+    for q in ("common", "common half", "w77 common", "w77 w78 half"):
+        search = index._search(q)
+        got = search.run(fulltext.parse(q), 10)
+        assert [(r["doc_id"], round(r["score"], 9)) for r in got.collect()] == every(q)
+        if q == "common":
+            wanted = search.blocks.where("term = 'common'")
+            n, a = index._sizes["text"]
+            most = fulltext._weight(F.lit(float(n)), F.lit(4000.0), F.col("max_tf"), F.col("min_dl"), F.lit(a))
+            assert search.pruned_below > 0 and wanted.where(most >= search.pruned_below).count() < wanted.count() / 4
+
+
+def test_repeated_keys_add_up(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "red fox"), (1, "red"), (2, "red dog here")], "doc_id long, text string")
+    index = fulltext.FullTextIndex.create(rows, str(tmp_path / "index"))
+    table = {r["doc_id"]: round(r["score"], 9) for r in fulltext.bm25(rows, "red").collect()}
+    assert {r["doc_id"]: round(r["score"], 9) for r in index.search("red").collect()} == table
+    assert {r["doc_id"]: round(r["score"], 9) for r in index.search("red", 5).collect()} == table
+
+
 def test_hybrid(spark):
     v = spark.createDataFrame([(1, 2.0), (2, 1.0)], "id long, score double")
     t = spark.createDataFrame([(1, 10.0), (3, 5.0)], "id long, score double")
