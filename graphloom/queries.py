@@ -13,6 +13,7 @@ from graphloom.graph import PropertyGraph, node_id, relational_graph, table
 from graphloom.operators import expand, fulltext, hybrid, introspect, prune, resolve, state, text, vector
 from graphloom.operators.filters import compile_filter
 from graphloom.operators.history import append_message, clear, last_messages
+from graphloom.operators.vector_index import VectorIndex
 from graphloom.plans import build
 from graphloom.sources import readers, writers
 from graphloom.sources.scratch import file_state, shared_dir
@@ -87,6 +88,28 @@ def knn_filtered(spark: SparkSession, d: str) -> DataFrame:
     return _scores(vector.knn(table(spark, d, "embeddings"), _vector(spark, d), 10, "vec_id", filters={"label": 1, "vec_id": {"$gt": 20}}))
 
 
+_VECTOR_INDEXES: dict[tuple, VectorIndex] = {}
+
+
+def _vector_index(spark: SparkSession, d: str) -> VectorIndex:
+    """The written index of a folder's vectors, made once for their files as they are."""
+    key = (spark.sparkContext.applicationId, d, file_state(spark, f"{d}/embeddings.parquet"))
+    if key not in _VECTOR_INDEXES or not file_state(spark, f"{_VECTOR_INDEXES[key].path}/files"):
+        rows = table(spark, d, "embeddings")
+        _VECTOR_INDEXES[key] = VectorIndex.create(rows, f"{shared_dir(spark)}/vectors-{uuid.uuid4().hex}", 64, "vec_id", filterable=("label", "vec_id"), file_rows=64)
+    return _VECTOR_INDEXES[key]
+
+
+@query(f"SELECT vec_id, round((1 + {_COS}) / 2, 5) AS score FROM embeddings ORDER BY (1 + {_COS}) / 2 DESC, vec_id LIMIT 10")
+def knn_indexed(spark: SparkSession, d: str) -> DataFrame:
+    return _scores(_vector_index(spark, d).search(_vector(spark, d), 10))
+
+
+@query(f"SELECT vec_id, round((1 + {_COS}) / 2, 5) AS score FROM embeddings WHERE label = 1 AND vec_id > 20 ORDER BY {_COS} DESC, vec_id LIMIT 10")
+def knn_indexed_filtered(spark: SparkSession, d: str) -> DataFrame:
+    return _scores(_vector_index(spark, d).search(_vector(spark, d), 10, {"label": 1, "vec_id": {"$gt": 20}}))
+
+
 @query("SELECT count(*) AS n FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) = 64")
 def knn_dimension_guard(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "embeddings")

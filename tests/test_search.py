@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -5,6 +6,7 @@ from graphloom.errors import FilterValidationError, QueryParseError, SearchValid
 from graphloom.functions.similarity import safe_stem, unique_names, weighted_ratio
 from graphloom.operators import fulltext, hybrid, vector
 from graphloom.operators.filters import compile_filter, filter_fields, index_compatible
+from graphloom.operators.vector_index import VectorIndex
 
 DOCS = [
     ("doc1", "science", 2020, [1.0, 0.0, 0.0, 0.0, 0.0]),
@@ -81,6 +83,32 @@ def test_vector_retriever(docs):
             r.search(**bad)
 
 
+def test_vector_index_opens_few_files_and_finds_the_same(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(10, 8))
+    v = centres[np.arange(1000) % 10] + rng.normal(size=(1000, 8)) * 0.1
+    rows = [(i, int(i % 10), [float(x) for x in r], None if i % 7 else "odd") for i, r in enumerate(v)] + [(2000, 1, None, "a"), (2001, 1, [1.0], "a"), (2002, 1, [0.0] * 8, "b"), (2003, 3, list(map(float, v[3])), "tie")]
+    table = spark.createDataFrame(rows, "id long, kind int, embedding array<double>, note string")
+    hits = lambda df: [(r["id"], None if r["score"] is None else round(r["score"], 9)) for r in df.collect()]
+    for similarity in ("cosine", "euclidean"):
+        index = VectorIndex.create(table, str(tmp_path / similarity), 8, similarity=similarity, filterable=("kind", "id"), file_rows=50)
+        every = index.plan(v[3].tolist())
+        for q, k, filters in ((v[3], 5, None), (v[8] * 2, 40, {"kind": 8}), (v[5], 7, {"id": {"$gt": 500}}), (v[1], 3, {"note": "odd", "kind": {"$in": [1, 2]}}), (v[0], 2000, None), (np.ones(8), 3, {"kind": {"$between": [20, 30]}})):
+            want = vector.knn(table, q.tolist(), k, similarity=similarity, filters=filters)
+            assert hits(index.search(q.tolist(), k, filters)) == hits(want)
+        assert len(every) >= 15 and len(index.files_for(v[3].tolist(), 5)) < len(every) / 3
+        assert len(index.plan(v[3].tolist(), {"id": {"$lt": 0}})) == 0
+        read = {r["f"] for r in index.rows(index.files_for(v[3].tolist(), 5)).select(F.input_file_name().alias("f")).distinct().collect()}
+        assert len(read) < len(every) / 3
+        with pytest.raises(SearchValidationError):
+            index.search([1.0])
+    none = VectorIndex.create(table.limit(0), str(tmp_path / "none"), 8)
+    assert none.search([1.0] * 8).count() == 0
+    for bad in ({"similarity": "dot"}, {"filterable": ("nothing",)}):
+        with pytest.raises(SearchValidationError):
+            VectorIndex.create(table, str(tmp_path / "bad"), 8, **bad)
+
+
 def test_bm25_ranks_and_index_agrees(spark, tmp_path):
     rows = spark.createDataFrame([(1, "red fox red"), (2, "red dog"), (3, "blue cat"), (4, None), (5, "東京都 tower")], "doc_id long, text string")
     got = fulltext.bm25(rows, "red fox", 5).collect()
