@@ -16,6 +16,7 @@ from graphloom.operators.history import append_message, clear, last_messages
 from graphloom.operators.vector_index import VectorIndex
 from graphloom.plans import build
 from graphloom.sources import readers, writers
+from graphloom.sources.merged import MergedTable
 from graphloom.sources.scratch import file_state, shared_dir
 from graphloom.streaming.incremental import upsert_stream, windowed_counts
 
@@ -801,6 +802,18 @@ def stream_upsert(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{base}/out")
 
 
+@query("SELECT o_orderkey AS k, CASE WHEN o_orderkey % 3 = 0 THEN 'late' ELSE o_orderstatus END AS status, CAST(CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 0 END AS INTEGER) AS run FROM orders")
+def merge_on_read(spark: SparkSession, d: str) -> DataFrame:
+    """Orders, then new states of a third of them, as two batches of a table that merges when it is read; the first comes twice."""
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("status"), F.lit(0).alias("run"))
+    merged = MergedTable(spark, f"{shared_dir(spark)}/merged-{uuid.uuid4().hex}", o.schema, ("k",))
+    merged.write(o, "orders", 0)
+    merged.compact()
+    merged.write(o.where("k % 3 = 0").withColumn("status", F.lit("late")).withColumn("run", F.lit(1)), "orders", 1)
+    merged.write(o, "orders", 0)
+    return merged.read()
+
+
 @query("SELECT l_partkey AS src, l_suppkey AS dst, arg_max(l_quantity, l_orderkey * 10 + l_linenumber + l_quantity / 1000.0) AS quantity FROM lineitem WHERE l_suppkey IN (SELECT s_suppkey FROM supplier) AND l_partkey IN (SELECT p_partkey FROM part) GROUP BY l_partkey, l_suppkey")
 def edge_upsert_dedup(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "lineitem").select(node_id("part", "l_partkey").alias("src"), F.lit("SUPPLIED_BY").alias("type"), node_id("supplier", "l_suppkey").alias("dst"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), F.col("l_quantity").alias("quantity"))
