@@ -567,9 +567,24 @@ def chunk_whole(spark: SparkSession, d: str) -> DataFrame:
     return text.split_whole(table(spark, d, "documents"))
 
 
-@query(None)
+def _moved_back(at: str) -> str:
+    """A cut moved to behind the last blank before it, -1 if there is none; a cut beside a blank stays."""
+    blank = f"({at} - 1 - length(regexp_extract(substr(t, 1, {at} - 1), '[^\\s]*$')))"
+    return f"CASE WHEN {at} <= 0 OR {at} >= n OR regexp_matches(substr(t, {at}, 2), '\\s') THEN {at} WHEN {blank} > 0 THEN {blank} ELSE -1 END"
+
+
+def _word_safe_sql() -> str:
+    stop = lambda s: f"CASE WHEN {s} + {SIZE} >= n THEN n ELSE greatest({_moved_back(f'({s} + {SIZE})')}, CASE WHEN ({_moved_back(f'({s} + {SIZE})')}) > {s} THEN 0 ELSE {s} + {SIZE} END) END"
+    nominal = f"(s + {SIZE} - {OVERLAP})"
+    return f"""WITH RECURSIVE d AS (SELECT doc_id, text AS t, length(text) AS n FROM documents WHERE length(text) > 0),
+c AS (SELECT doc_id, t, n, 0 AS i, 0 AS s, CAST({stop("0")} AS BIGINT) AS e FROM d
+UNION ALL SELECT doc_id, t, n, i, s, CAST({stop("s")} AS BIGINT) FROM (SELECT doc_id, t, n, i + 1 AS i, CAST(CASE WHEN ({_moved_back(nominal)}) > s THEN {_moved_back(nominal)} ELSE {nominal} END AS INTEGER) AS s FROM c WHERE e < n) WHERE s < n)
+SELECT doc_id, CAST(i AS INTEGER) AS "index", substr(t, s + 1, e - s) AS chunk FROM c"""
+
+
+@query(_word_safe_sql())
 def chunk_word_safe(spark: SparkSession, d: str) -> DataFrame:
-    """Tested against its properties: chunks are slices in order, and none cuts a word that fits."""
+    """Slices in order, none of which cuts a word that fits."""
     return text.split_fixed(table(spark, d, "documents"), SIZE, OVERLAP, approximate=True)
 
 
