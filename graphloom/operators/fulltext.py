@@ -257,7 +257,11 @@ def posting_blocks(docs: DataFrame, key: str, texts: dict[str, str]) -> DataFram
     kind = docs.schema[key].dataType.simpleString()
     split = [tokens(F.coalesce(F.col(c).cast("string"), F.lit(""))).alias(f"t{i}") for i, c in enumerate(texts.values())]
     schema = "field int, " + _SCHEMA.format(key=kind)
-    made = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("k"), *split).mapInArrow(_inverted(len(texts)), schema)
+    # few input files must not leave cores idle; large inputs have more splits than cores and stay where they are
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    rows = docs.select(*dict.fromkeys([key, *texts.values()]))
+    rows = rows.repartition(cores) if docs.rdd.getNumPartitions() < cores else rows
+    made = rows.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("k"), *split).mapInArrow(_inverted(len(texts)), schema)
     names = F.array(*map(F.lit, texts))
     return made.withColumn("field", F.element_at(names, F.col("field") + 1))
 
