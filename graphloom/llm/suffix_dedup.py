@@ -338,7 +338,8 @@ def dedup_bytes(docs: DataFrame, key: str = "doc_id", text: str = "text", window
     # copies of a whole text: the groups' first document meets the others by a join that splits hot groups
     known = cut(base.select("o", "d", F.octet_length("text").alias("n")), "lengths")
     size = known.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    firsts = known.groupBy("d", "n").agg(F.min("o").alias("least"), F.max("o").alias("most")).where("least <> most")
+    # as a table, so that the join shuffles both sides and a hot group's rows can be split
+    firsts = cut(known.groupBy("d", "n").agg(F.min("o").alias("least"), F.max("o").alias("most")).where("least <> most"), "firsts")
     copies = cut(known.join(firsts.hint("merge"), ["d", "n"]).where("o <> least").select("o", "d").distinct(), "copies")
 
     blocks, parts = max(1, -(-size // block_bytes)), int(spark.conf.get("spark.sql.shuffle.partitions"))
