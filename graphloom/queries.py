@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.similarity import cosine, euclidean_score, vector_literal
 from graphloom.graph import PropertyGraph, node_id, relational_graph, table
-from graphloom.operators import expand, fulltext, hybrid, introspect, prune, resolve, state, text, vector
+from graphloom.operators import expand, fulltext, hybrid, introspect, prune, resolve, sketches, state, text, vector
 from graphloom.operators.filters import compile_filter
 from graphloom.operators.history import append_message, clear, last_messages
 from graphloom.operators.vector_index import VectorIndex
@@ -855,6 +855,45 @@ def schema_profile(spark: SparkSession, d: str) -> DataFrame:
     return introspect.profile(table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"))
 
 
+#: table -> (column, kind)
+PROFILED = {
+    "customer": (("c_custkey", "INTEGER"), ("c_name", "STRING"), ("c_nationkey", "INTEGER"), ("c_acctbal", "FLOAT"), ("c_mktsegment", "STRING")),
+    "orders": (("o_orderkey", "INTEGER"), ("o_custkey", "INTEGER"), ("o_orderstatus", "STRING"), ("o_totalprice", "FLOAT"), ("o_orderpriority", "STRING")),
+    "events": (("event_id", "INTEGER"), ("user_id", "INTEGER"), ("event_type", "STRING"), ("value", "FLOAT"), ("props", "STRING")),
+    "documents": (("doc_id", "INTEGER"), ("text", "STRING"), ("lang", "STRING"), ("source", "STRING"), ("n_chars", "INTEGER")),
+    "pages": (("page_id", "INTEGER"), ("url", "STRING"), ("html", "STRING")),
+    "conversations": (("conv_id", "INTEGER"), ("turn", "INTEGER"), ("role", "STRING"), ("text", "STRING")),
+    "lineitem": (("l_orderkey", "INTEGER"), ("l_linenumber", "INTEGER"), ("l_quantity", "FLOAT"), ("l_tax", "FLOAT"), ("l_returnflag", "STRING")),
+}
+
+
+def _profile_sql(t: str, c: str, kind: str) -> str:
+    ends = {"STRING": "substr({c}, 1, 50)", "FLOAT": "CAST(round({c} * 100) AS BIGINT)", "INTEGER": "{c}"}[kind].format(c=c)
+    options = f"CASE WHEN count(DISTINCT {c}) <= 10 THEN array_to_string(list_sort(list(DISTINCT substr({c}, 1, 50)) FILTER ({c} IS NOT NULL)), '|') END" if kind == "STRING" else "CAST(NULL AS VARCHAR)"
+    return f"""SELECT '{t}' AS label, '{c}' AS property, '{kind}' AS type, count(*) AS n, count(*) - count({c}) AS n_null, CASE WHEN count(*) < 10000 THEN count(DISTINCT {c}) END AS n_distinct,
+CAST(min({ends}) AS VARCHAR) AS least, CAST(max({ends}) AS VARCHAR) AS greatest, {options} AS options FROM {t}"""
+
+
+@query(" UNION ALL ".join(_profile_sql(t, c, kind) for t, columns in PROFILED.items() for c, kind in columns))
+def schema_profile_tables(spark: SparkSession, d: str) -> DataFrame:
+    """Columns of seven tables; ``n_distinct`` only where it is exact, for the sketch's has no SQL (its error is tested)."""
+    out = None
+    for t, columns in PROFILED.items():
+        part = sketches.profile(table(spark, d, t).select(*(c for c, _ in columns))).withColumn("label", F.lit(t))
+        out = part if out is None else out.unionByName(part)
+    end = lambda c: F.when(F.col("type") == "FLOAT", F.round(F.col(c).cast("double") * 100).cast("bigint").cast("string")).otherwise(F.col(c)).alias(c)
+    return out.select("label", "property", "type", "n", "n_null", F.when(F.col("exact"), F.col("n_distinct")).alias("n_distinct"), end("least"), end("greatest"), F.array_join("options", "|").alias("options"))
+
+
+@query("""SELECT event_type AS label, 'user' AS property, 'INTEGER' AS type, count(*) AS n, 0 AS n_null, CAST(min(user_id) AS VARCHAR) AS least, CAST(max(user_id) AS VARCHAR) AS greatest FROM events GROUP BY event_type
+UNION ALL SELECT event_type, 'day', 'STRING', count(*), 0, CAST(min(CAST(ts AS DATE)) AS VARCHAR), CAST(max(CAST(ts AS DATE)) AS VARCHAR) FROM events GROUP BY event_type""")
+def relationship_properties(spark: SparkSession, d: str) -> DataFrame:
+    """Events as relationships of their type, with a map of properties."""
+    day = F.date_format("ts", "yyyy-MM-dd")
+    edges = table(spark, d, "events").select(F.col("event_type").alias("label"), F.create_map(F.lit("user"), F.col("user_id").cast("string"), F.lit("day"), day).alias("props"))
+    return sketches.property_profile(edges, "label").select("label", "property", "type", "n", "n_null", "least", "greatest")
+
+
 @query("SELECT 'embedding' AS property, min(len(embedding)) AS least, max(len(embedding)) AS greatest FROM embeddings")
 def schema_profile_lists(spark: SparkSession, d: str) -> DataFrame:
     return introspect.profile(table(spark, d, "embeddings").select("embedding")).select("property", F.col("least").cast("long").alias("least"), F.col("greatest").cast("long").alias("greatest"))
