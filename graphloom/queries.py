@@ -15,7 +15,8 @@ from graphloom.operators.filters import compile_filter
 from graphloom.operators.history import append_message, clear, last_messages
 from graphloom.operators.vector_index import VectorIndex
 from graphloom.plans import build
-from graphloom.sources import readers, writers
+from graphloom.operators.prune import Constraint
+from graphloom.sources import export, readers, writers
 from graphloom.sources.merged import MergedTable
 from graphloom.sources.scratch import file_state, shared_dir
 from graphloom.streaming.incremental import upsert_stream, windowed_counts
@@ -372,6 +373,33 @@ def graph_export(spark: SparkSession, d: str) -> DataFrame:
     return out.select("kind", "name", "n")
 
 
+@query("""WITH p AS (SELECT 'customer' AS label, 'name' AS property, 'STRING' AS kind, true AS is_key FROM customer UNION ALL SELECT 'customer', 'balance', 'FLOAT', false FROM customer UNION ALL SELECT 'customer', 'code', 'INTEGER', false FROM customer
+UNION ALL SELECT 'supplier', 'balance', 'FLOAT', false FROM supplier UNION ALL SELECT 'supplier', 'code', 'STRING', false FROM supplier UNION ALL SELECT 'nation', 'code', 'INTEGER', false FROM nation UNION ALL SELECT 'nation', 'vector', 'FLOAT_ARRAY', false FROM nation)
+SELECT 'property' AS what, label || '.' || property AS name, kind, count(*) AS n, bool_or(is_key) AS is_key, CASE property WHEN 'vector' THEN 2 END AS dimensions, NULL AS total FROM p GROUP BY label, property, kind
+UNION ALL SELECT 'sum', 'customer.code', 'INTEGER', count(*), NULL, NULL, sum(c_custkey * 2) FROM customer UNION ALL SELECT 'sum', 'supplier.code', 'STRING', count(*), NULL, NULL, sum(length('S' || s_suppkey)) FROM supplier
+UNION ALL SELECT 'sum', 'customer IN_NATION nation', NULL, count(*), NULL, NULL, sum(length(c_name) + length('nation:' || c_nationkey)) FROM customer JOIN nation ON n_nationkey = c_nationkey""")
+def graph_export_schema(spark: SparkSession, d: str) -> DataFrame:
+    """Nodes whose properties differ by label and row: kinds, keys and sizes of the schema table, and what is read back."""
+    props = lambda **kw: F.to_variant_object(F.struct(*(v.alias(k) for k, v in kw.items())))
+    node = lambda t, label, key, **kw: table(spark, d, t).select(node_id(label, key).alias("id"), F.lit(label).alias("label"), props(**kw).alias("props"))
+    nodes = node("customer", "customer", "c_custkey", name=F.col("c_name"), balance=F.col("c_acctbal"), code=F.col("c_custkey") * 2)
+    nodes = nodes.unionByName(node("supplier", "supplier", "s_suppkey", balance=F.col("s_acctbal"), code=F.concat(F.lit("S"), F.col("s_suppkey"))))
+    nodes = nodes.unionByName(node("nation", "nation", "n_nationkey", code=F.col("n_nationkey"), vector=F.array(F.col("n_nationkey"), F.col("n_regionkey"))))
+    edges = table(spark, d, "customer").select(node_id("customer", "c_custkey").alias("src"), F.lit("IN_NATION").alias("type"), node_id("nation", "c_nationkey").alias("dst"))
+    path = f"{shared_dir(spark)}/export-{uuid.uuid4().hex}"
+    export.export_graph(nodes, edges, path, constraints=[Constraint("key", ("name",), node="customer")])
+    schema = export.read_schema(spark, path).where("what = 'node' and property <> '__id__'")
+    none = lambda kind: F.lit(None).cast(kind)
+    rows = schema.select(F.lit("property").alias("what"), F.concat_ws(".", "label", "property").alias("name"), "kind", F.col("n_rows").alias("n"), "is_key", "dimensions", none("bigint").alias("total"))
+
+    def total(key, name: str, kind: str | None, value) -> DataFrame:
+        got = export.read_export(spark, path, key).agg(F.count("*").alias("n"), F.sum(value).alias("total"))
+        return got.select(F.lit("sum").alias("what"), F.lit(name).alias("name"), F.lit(kind).cast("string").alias("kind"), "n", none("boolean").alias("is_key"), none("int").alias("dimensions"), F.col("total").cast("bigint").alias("total"))
+
+    rows = rows.unionByName(total("customer", "customer.code", "INTEGER", F.col("code"))).unionByName(total("supplier", "supplier.code", "STRING", F.length("code")))
+    return rows.unionByName(total(("customer", "IN_NATION", "nation"), "customer IN_NATION nation", None, F.length("from") + F.length("to")))
+
+
 @query(f"WITH e AS ({_PLACES}) SELECT DISTINCT id, type, neighbour FROM (SELECT src AS id, type, dst AS neighbour FROM e UNION ALL SELECT dst, type, src FROM e) WHERE id IN ('nation:3', 'region:1')")
 def graph_one_hop(spark: SparkSession, d: str) -> DataFrame:
     g = _places(spark, d)

@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphloom.errors import IndexExistsError, SearchValidationError
-from graphloom.functions.similarity import SCORES, unique_names
+from graphloom.functions.similarity import SCORES
 from graphloom.graph import ENTITY
-from graphloom.sources.scratch import cut
+from graphloom.sources import export
 
 
 def with_labels(nodes: DataFrame, lexical: tuple[str, ...] = ()) -> DataFrame:
@@ -97,40 +97,9 @@ def coerce_numbers(frames: list[DataFrame], column: str) -> list[DataFrame]:
     return [f.withColumn(column, F.col(column).cast("double" if numeric else "string")) for f in frames]
 
 
-def storable(df: DataFrame) -> DataFrame:
-    """Numeric lists as array<float>, all-null columns as text (Parquet has no null type)."""
-    out = {}
-    for f in df.schema.fields:
-        if isinstance(f.dataType, T.NullType):
-            out[f.name] = F.col(f"`{f.name}`").cast("string")
-        elif isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.NumericType):
-            out[f.name] = F.col(f"`{f.name}`").cast("array<float>")
-    return df.withColumns(out) if out else df
-
-
 def export_graph(nodes: DataFrame, edges: DataFrame, path: str, prefix: str = "") -> dict[str | tuple[str, str, str], str]:
-    """One folder for each label and each (src_label, type, dst_label); returns the folder of each.
-
-    Names are safe file stems, with _1, _2 where they collide. An edge with an unknown end raises.
-    """
-    ids = nodes.select("id", "label")
-    typed = edges.join(ids.toDF("src", "src_label"), "src", "left").join(ids.toDF("dst", "dst_label"), "dst", "left")
-    if not typed.where("src is not null and dst is not null and (src_label is null or dst_label is null)").isEmpty():
-        raise ValueError("an edge has an unknown end")
-    typed = cut(typed.where("src is not null and dst is not null"), "typed")  # read once for each pattern
-    labels = [r["label"] for r in nodes.select("label").distinct().orderBy("label").collect()]
-    kinds = [tuple(r) for r in typed.select("src_label", "type", "dst_label").distinct().orderBy("src_label", "type", "dst_label").collect()]
-    # keys of two kinds: a label and a pattern may have one name
-    stems = unique_names([prefix + n for n in labels] + [prefix + "_".join(k) for k in kinds])
-    folders = {n: f"{path}/{s}" for n, s in zip([*labels, *kinds], stems, strict=True)}
-    for label in labels:
-        own = nodes.where(F.col("label") == label).withColumnRenamed("id", "__id__")
-        storable(own).write.mode("overwrite").parquet(folders[label])
-    for a, t, b in kinds:
-        own = typed.where((F.col("src_label") == a) & (F.col("type") == t) & (F.col("dst_label") == b))
-        out = own.select(F.col("src").alias("from"), F.col("dst").alias("to"), F.col("src_label").alias("from_label"), F.col("dst_label").alias("to_label"), "type", *(c for c in edges.columns if c not in ("src", "dst", "type", "src_label", "dst_label")))
-        storable(out).write.mode("overwrite").parquet(folders[a, t, b])
-    return folders
+    """The folder of each label and each (src_label, type, dst_label), as ``export.export_graph`` writes them."""
+    return export.export_graph(nodes, edges, path, prefix).folders
 
 
 @dataclass
