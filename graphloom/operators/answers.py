@@ -15,12 +15,11 @@ from dataclasses import dataclass, field
 from functools import reduce
 from typing import Any
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.errors import GeneratedQueryError, PromptError
-from graphloom.session import ship
+from graphloom.operators.extraction import answers, graph_of, repair_json as repair_json
 
 Model = Callable[[str], str]
 
@@ -233,54 +232,14 @@ class GraphAnswers:
         return {"answer": self.model(ANSWER.format(context="\n".join(rows), examples=examples, question=question)), "context": rows}
 
 
-def repair_json(text: str) -> str:
-    """Cut to the first object or list and close what is left open; trailing commas go."""
-    start = min((i for c in "{[" if (i := text.find(c)) >= 0), default=-1)
-    if start < 0:
-        return "{}"
-    out, open_, quoted, escaped = [], [], False, False
-    for c in text[start:]:
-        out.append(c)
-        if quoted:
-            quoted, escaped = escaped or c != '"', c == "\\" and not escaped
-        elif c == '"':
-            quoted = True
-        elif c in "{[":
-            open_.append("}" if c == "{" else "]")
-        elif c in "}]" and open_:
-            open_.pop()
-            if not open_:
-                break
-    closed = "".join(out) + '"' * quoted + "".join(reversed(open_))
-    return re.sub(r",\s*([}\]])", r"\1", closed)
-
-
-EXTRACTED = "struct<nodes:array<struct<id:string,label:string,properties:map<string,string>>>,relationships:array<struct<type:string,start_node_id:string,end_node_id:string,properties:map<string,string>>>>"
-
-
 def extract_graph(chunks: DataFrame, model: Callable[[str], str], on_error: str = "IGNORE") -> tuple[DataFrame, DataFrame]:
     """nodes and edges that a model names in each chunk; ids are prefixed by the chunk's.
 
-    The model answers in JSON; what cannot be repaired is no graph, or raises with ``RAISE``.
+    One lazy plan that asks for each of the two frames; ``extraction.run`` asks once and keeps what failed.
+    What cannot be repaired is no graph, or raises with ``RAISE``.
     """
-    ship(chunks.sparkSession)
-
-    @F.pandas_udf("string")
-    def ask(texts: pd.Series) -> pd.Series:
-        out = []
-        for t in texts:
-            fixed = repair_json(model(t or ""))
-            try:
-                json.loads(fixed)
-            except ValueError:
-                if on_error == "RAISE":
-                    raise
-                fixed = "{}"
-            out.append(fixed)
-        return pd.Series(out)
-
-    found = chunks.select("chunk_id", F.from_json(ask("chunk"), EXTRACTED).alias("g"))
-    own = lambda c: F.concat_ws(":", "chunk_id", c)
-    nodes = found.select("chunk_id", F.inline("g.nodes")).select(own("id").alias("id"), "label", F.col("properties").alias("props"), "chunk_id")
-    edges = found.select("chunk_id", F.inline("g.relationships")).select(own("start_node_id").alias("src"), "type", own("end_node_id").alias("dst"), F.col("properties").alias("props"))
-    return nodes, edges
+    found = answers(chunks, model)
+    if on_error == "RAISE":
+        failure = F.concat_ws(": ", F.lit("extraction"), "chunk_id", "error")
+        found = found.withColumn("answer", F.when(F.col("error").isNull(), F.col("answer")).otherwise(F.raise_error(failure).cast("string")))
+    return graph_of(found)

@@ -1,14 +1,16 @@
-"""From documents to a pruned, resolved graph: one lazy plan but for the resolver's rounds."""
+"""From documents to a pruned, resolved graph; answers of the model are a table."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.operators import answers, prune, resolve, text
+from graphloom.operators import extraction, prune, resolve, text
+from graphloom.sources.scratch import shared_dir
 from graphloom.sources.writers import upsert
 
 
@@ -20,6 +22,7 @@ class BuiltGraph:
     lexical_nodes: DataFrame
     lexical_edges: DataFrame
     pruned: DataFrame
+    failed: DataFrame
 
 
 def build_graph(
@@ -31,15 +34,20 @@ def build_graph(
     embedder: Callable[[list[str]], list[list[float]]] | None = None,
     resolver: Callable[[DataFrame], DataFrame] | None = resolve.exact_groups,
     approximate: bool = True,
+    answers: str | None = None,
+    **how,
 ) -> BuiltGraph:
     """``docs``: doc_id, text. The resolver gets nodes with ``name``; None leaves nodes as they are.
 
-    ``approximate``: chunks end at blanks; else all but the last have ``size`` characters.
+    ``approximate``: chunks end at blanks; else all but the last have ``size`` characters. ``answers``: folder of
+    the model's answers, so that a later call asks only for chunks that are new, changed or failed (else a new
+    scratch folder); ``how``: waves, attempts, concurrency and waits of ``extraction.run``. Each chunk is asked once.
     """
     chunks = text.chunk_ids(text.split_fixed(docs, size, overlap, approximate=approximate))
     if embedder:
         chunks = text.embed(chunks, embedder)
-    found_nodes, found_edges = answers.extract_graph(chunks, model)
+    found = extraction.run(chunks, model, answers or f"{shared_dir(docs.sparkSession)}/answers-{uuid.uuid4().hex}", **how)
+    found_nodes, found_edges = extraction.graph_of(found)
     origin = found_nodes.select("id", "chunk_id")
     nodes, edges, stats = prune.prune_graph(found_nodes.drop("chunk_id"), found_edges, schema)
     nodes = nodes.withColumn("name", F.try_element_at("props", F.lit("name")))
@@ -47,7 +55,7 @@ def build_graph(
         nodes, edges = resolve.apply_groups(nodes, edges.select("src", "type", "dst"), resolver(nodes))
     lexical_nodes, lexical_edges = text.lexical_graph(chunks)
     provenance = text.from_chunk_edges(origin.join(nodes.select("id"), "id", "left_semi"))
-    return BuiltGraph(nodes, edges, chunks, lexical_nodes, lexical_edges.unionByName(provenance), stats)
+    return BuiltGraph(nodes, edges, chunks, lexical_nodes, lexical_edges.unionByName(provenance), stats, found.where("answer is null"))
 
 
 def chapter_layer(chunks: DataFrame, chapter: str = "chapter") -> tuple[DataFrame, DataFrame]:

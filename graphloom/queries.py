@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable
 
@@ -15,7 +16,7 @@ from graphloom.operators.filters import compile_filter
 from graphloom.operators.history import append_message, clear, last_messages
 from graphloom.operators.vector_index import VectorIndex
 from graphloom.plans import build
-from graphloom.operators.prune import Constraint
+from graphloom.operators.prune import Constraint, GraphSchema, TypeRule
 from graphloom.sources import export, readers, writers
 from graphloom.sources.merged import MergedTable
 from graphloom.sources.scratch import file_state, shared_dir
@@ -590,6 +591,36 @@ def chunk_fixed(spark: SparkSession, d: str) -> DataFrame:
     return _chunks(spark, d).select("doc_id", "index", "chunk")
 
 
+FAILS = 17
+
+
+def first_and_last(chunk: str) -> str:
+    """A stand-in for a language model: the first and the last word, in broken JSON; some chunks always fail."""
+    if len(chunk) % FAILS == 0:
+        raise OSError("no answer")
+    words = chunk.split(" ")
+    a, b = (json.dumps("w:" + w, ensure_ascii=False) for w in (words[0], words[-1]))
+    noise = "{'id': '2', 'label': 'Noise',}}"
+    return f"Here: {{'nodes': [{{'id': 0, label: First, 'properties': {{'name': {a}, 'mood': None}}}} {{'id': 1, 'label': 'Last', 'properties': {{'name': {b}}}}}, {noise}], 'relationships': [{{'type': 'ENDS_WITH', 'start_node_id': '0', 'end_node_id': '1'"
+
+
+@query(f"""WITH c AS ({_CHUNKS}), w AS (SELECT 'w:' || string_split(chunk, ' ')[1] AS a, 'w:' || string_split(chunk, ' ')[-1] AS b FROM c WHERE length(chunk) % {FAILS} <> 0)
+SELECT 'First' AS what, a, NULL AS b FROM w UNION SELECT 'Last', b, NULL FROM w UNION SELECT 'ENDS_WITH', a, b FROM w UNION SELECT 'failed', chunk_id, '2' FROM c WHERE length(chunk) % {FAILS} = 0 UNION SELECT 'node NOT_IN_SCHEMA', CAST(count(*) AS VARCHAR), NULL FROM w""")
+def build_graph_documents(spark: SparkSession, d: str) -> DataFrame:
+    """All documents through chunks, answers, repair, pruning and merging; the second run asks again for what failed."""
+    schema = GraphSchema((TypeRule("First", ("name",)), TypeRule("Last", ("name",))), (TypeRule("ENDS_WITH"),), (("First", "ENDS_WITH", "Last"),), additional_nodes=False)
+    answers = f"{shared_dir(spark)}/answers-{uuid.uuid4().hex}"
+    again = lambda: build.build_graph(table(spark, d, "documents"), first_and_last, schema, SIZE, OVERLAP, approximate=False, answers=answers, attempts=1)
+    again()
+    g = again()
+    names = g.nodes.select("id", "name")
+    edges = g.edges.join(names.toDF("src", "a"), "src").join(names.toDF("dst", "b"), "dst").select(F.col("type").alias("what"), "a", "b")
+    none = F.lit(None).cast("string").alias("b")
+    rows = g.nodes.select(F.col("label").alias("what"), F.col("name").alias("a"), none).unionByName(edges)
+    rows = rows.unionByName(g.failed.select(F.lit("failed").alias("what"), F.col("chunk_id").alias("a"), F.col("runs").cast("string").alias("b")))
+    return rows.unionByName(g.pruned.where("what = 'node'").select(F.concat_ws(" ", "what", "reason").alias("what"), F.col("n").cast("string").alias("a"), none))
+
+
 @query('SELECT doc_id, CAST(0 AS INTEGER) AS "index", text AS chunk FROM documents WHERE text IS NOT NULL')
 def chunk_whole(spark: SparkSession, d: str) -> DataFrame:
     return text.split_whole(table(spark, d, "documents"))
