@@ -5,13 +5,14 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions.similarity import cosine, euclidean_score, vector_literal
 from graphloom.graph import PropertyGraph, node_id, relational_graph, table
-from graphloom.operators import expand, fulltext, hybrid, introspect, prune, resolve, sketches, state, text, vector
+from graphloom.operators import dump, expand, fulltext, hybrid, introspect, prune, resolve, sketches, state, text, vector
 from graphloom.operators.filters import compile_filter
 from graphloom.operators.history import append_message, clear, last_messages
 from graphloom.operators.vector_index import VectorIndex
@@ -480,6 +481,53 @@ def graph_dump_text(spark: SparkSession, d: str) -> DataFrame:
     return expand.dump_text(_places(spark, d))
 
 
+PAGE = 4000
+_DUMP_STATES = """WITH st AS (SELECT 'order:' || o_orderkey AS state, 'order ' || o_orderkey AS sname, o_custkey, o_orderstatus, day(ts) AS est FROM orders LEFT JOIN events ON event_id = o_orderkey),
+held AS (SELECT st.*, c_name, 'customer:' || c_custkey AS owner FROM st JOIN customer ON c_custkey = o_custkey WHERE o_orderstatus <> 'P'),
+orphan AS (SELECT * FROM st WHERE state NOT IN (SELECT state FROM held)), since AS (SELECT state, CASE WHEN est IS NULL THEN '' ELSE ' (since ' || est || ')' END AS since FROM st)"""
+#: Lines of the dump with their keys: section, k1, k2, k3, owner, part, s1, s2, s3, sub, t, line.
+_DUMP_LINES = """SELECT 1 AS section, 0 AS k1, 0 AS k2, c_name AS k3, 'customer:' || c_custkey AS owner, 0 AS part, 0 AS s1, '' AS s2, '' AS s3, 0 AS sub, '' AS t, '- (Character) ' || c_name || ' — segment=' || c_mktsegment AS line FROM customer
+UNION ALL SELECT 1, 0, 0, c_name, owner, 1, coalesce(est, 0), sname, state, 0, '', '  · state: ' || sname || since FROM held JOIN since USING (state)
+UNION ALL SELECT 1, 0, 0, c_name, owner, 1, coalesce(est, 0), sname, state, 1, n_name, '    · about: ' || n_name FROM held JOIN nation ON n_nationkey = o_custkey % 25
+UNION ALL SELECT 1, 0, 0, c_name, 'customer:' || c_custkey, 9, 0, 'IN_NATION', n_name, 0, 'nation:' || n_nationkey, '  · IN_NATION → Location:' || n_name FROM customer JOIN nation ON n_nationkey = c_nationkey
+UNION ALL SELECT 1, 1, 0, '', '', 0, 0, sname, state, 0, '', '- (CharacterState, of nobody) ' || sname || since FROM orphan JOIN since USING (state)
+UNION ALL SELECT 1, 1, 0, '', '', 0, 0, sname, state, 1, n_name, '    · about: ' || n_name FROM orphan JOIN nation ON n_nationkey = o_custkey % 25
+UNION ALL SELECT 2, day(ts), event_id, event_type, 'event:' || event_id, 0, 0, '', '', 0, '', '- (Event) ' || event_type || ' (' || day(ts) || ' #' || event_id || ')' FROM events
+UNION ALL SELECT 2, day(ts), event_id, event_type, 'event:' || event_id, 1, 0, n_name, 'nation:' || n_nationkey, 0, '', '  · at: ' || n_name FROM events JOIN nation ON n_nationkey = user_id % 25
+UNION ALL SELECT 2, day(ts), event_id, event_type, 'event:' || event_id, 2, 0, c_name, 'customer:' || c_custkey, 0, '', '  · with: ' || c_name FROM events JOIN customer ON c_custkey = user_id
+UNION ALL SELECT 3, 0, 0, 'Location' || chr(9) || n_name, 'nation:' || n_nationkey, 0, 0, '', '', 0, '', '- (Location) ' || n_name FROM nation
+UNION ALL SELECT 3, 0, 0, 'Location' || chr(9) || r_name, 'region:' || r_regionkey, 0, 0, '', '', 0, '', '- (Location) ' || r_name FROM region
+UNION ALL SELECT 3, 0, 0, 'Location' || chr(9) || n_name, 'nation:' || n_nationkey, 1, 0, r_name, 'region:' || r_regionkey, 0, 'LOCATED_IN', '  · in: ' || r_name FROM nation JOIN region ON r_regionkey = n_regionkey
+UNION ALL SELECT section, -4611686018427387904, 0, '', '', -1, 0, '', '', 0, '', line FROM (VALUES (1, '## Characters'), (2, '## Events'), (3, '## Items, locations, organisations')) h(section, line)"""
+
+
+@query(f"""{_DUMP_STATES}, l AS ({_DUMP_LINES}), p AS (SELECT section, line, sum(length(line) + 1) OVER (ORDER BY section, k1, k2, k3, owner, part, s1, s2, s3, sub, t, line ROWS UNBOUNDED PRECEDING) - length(line) - 1 AS start FROM l)
+SELECT section, CAST(start // {PAGE - PAGE // 2} AS BIGINT) AS page, string_agg(line || chr(10), '' ORDER BY start) AS body FROM p GROUP BY 1, 2""")
+def graph_dump_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Customers as characters, orders as their states (some of nobody), events, nations and regions."""
+    t = lambda name: table(spark, d, name)
+    none, no_props = (lambda kind: F.lit(None).cast(kind)), F.lit(None).cast("map<string,string>")
+
+    def nodes(rows: DataFrame, label: str, prefix: str, key: str, name, chapter=none("int"), order=none("bigint"), props=no_props) -> DataFrame:
+        return rows.select(node_id(prefix, key).alias("id"), F.lit(label).alias("label"), name.alias("name"), chapter.alias("chapter"), order.alias("story_order"), props.alias("props"))
+
+    parts = [
+        nodes(t("customer"), "Character", "customer", "c_custkey", F.col("c_name"), props=F.create_map(F.lit("segment"), F.col("c_mktsegment"))),
+        nodes(t("orders"), "CharacterState", "order", "o_orderkey", F.concat(F.lit("order "), F.col("o_orderkey").cast("string"))),
+        nodes(t("events"), "Event", "event", "event_id", F.col("event_type"), F.dayofmonth("ts"), F.col("event_id")),
+        nodes(t("nation"), "Location", "nation", "n_nationkey", F.col("n_name")), nodes(t("region"), "Location", "region", "r_regionkey", F.col("r_name")),
+    ]
+    orders, events = t("orders").withColumn("_n", F.col("o_custkey") % 25), t("events").withColumn("_n", F.col("user_id") % 25)
+    edge = lambda rows, a, a_key, kind, b, b_key: rows.select(node_id(a, a_key).alias("src"), F.lit(kind).alias("type"), node_id(b, b_key).alias("dst"))
+    edges = [
+        edge(orders.where("o_orderstatus <> 'P'"), "customer", "o_custkey", "HAS_STATE", "order", "o_orderkey"), edge(orders, "order", "o_orderkey", "ESTABLISHED_IN", "event", "o_orderkey"), edge(orders, "order", "o_orderkey", "ABOUT", "nation", "_n"),
+        edge(events, "nation", "_n", "HOSTS", "event", "event_id"), edge(events, "customer", "user_id", "APPEARS_IN", "event", "event_id"),
+        edge(t("customer"), "customer", "c_custkey", "IN_NATION", "nation", "c_nationkey"), edge(t("nation"), "nation", "n_nationkey", "LOCATED_IN", "region", "n_regionkey"),
+    ]
+    union = lambda frames: reduce(DataFrame.unionByName, frames)
+    return dump.pages(dump.lines(PropertyGraph(union(parts), union(edges))), PAGE)
+
+
 @query("SELECT DISTINCT o.o_orderkey, o.o_custkey FROM orders o JOIN customer c ON c.c_custkey = o.o_custkey JOIN nation n ON n.n_nationkey = c.c_nationkey WHERE n.n_nationkey = 5")
 def member_distinct(spark: SparkSession, d: str) -> DataFrame:
     members = table(spark, d, "customer").where("c_nationkey = 5").select(F.col("c_custkey").alias("o_custkey"))
