@@ -21,7 +21,7 @@ from graphloom.sources.scratch import cut
 PRECISION = 14
 #: Size parameter of the KLL sketch: a rank error of 1.3 % at most, with 99 % confidence.
 KLL_SIZE = 200
-#: Distinct texts that are followed; options are given while a column has half of it or fewer, and are exact then.
+#: Distinct texts that are followed; the options are given where a column has at most ``MAX_OPTIONS``, and are exact then.
 TRACKED = 200
 TEXT_LENGTH = 50
 QUANTILES = (0.25, 0.5, 0.75)
@@ -47,10 +47,10 @@ def _hash(c: Column, kind: T.DataType) -> Column:
 
 
 def _options(text: Column, hll: Column) -> Column:
-    """All texts where they are few. The counters drop what is rare among many, so the sketch must say that all were followed."""
+    """The beginnings of all texts where these are few. The counters drop what is rare among many, so the sketch must say that all were followed."""
     top = F.call_function("approx_top_k", text, F.lit(MAX_OPTIONS + 1), F.lit(TRACKED))
     found = F.array_sort(F.filter(F.transform(top, lambda x: x.item), lambda x: x.isNotNull()))
-    return F.when((F.hll_sketch_estimate(hll) <= TRACKED // 2) & (F.size(found) <= MAX_OPTIONS), found)
+    return F.when(F.hll_sketch_estimate(hll) <= MAX_OPTIONS, found)
 
 
 def _sketch(name: str, kind: T.DataType) -> Column:
@@ -95,7 +95,7 @@ def merge(sketches: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     numbers = F.forall(kinds, lambda k: k.isin("INTEGER", "FLOAT"))
     kind = F.when(F.size(kinds) == 1, F.element_at(kinds, 1)).when(numbers, F.lit("FLOAT")).otherwise(F.lit("STRING"))
     every = F.array_distinct(F.flatten(F.collect_set("options")))
-    few = (F.count_if(F.col("type") != "STRING") == 0) & (F.count("options") == F.count_if(F.col("n") > F.col("n_null"))) & (F.size(every) <= MAX_OPTIONS)
+    few = (F.count_if(F.col("type") != "STRING") == 0) & (F.count("options") == F.count_if(F.col("n") > F.col("n_null"))) & (F.hll_sketch_estimate(F.hll_union_agg("hll")) <= MAX_OPTIONS)
     out = sketches.groupBy(*(_name(c) for c in by), "property").agg(
         kind.alias("type"), F.sum("n").alias("n"), F.sum("n_null").alias("n_null"), *(bounds(c) for c in ("whole", "real", "text", "size")),
         F.hll_union_agg("hll").alias("hll"), F.kll_merge_agg_double("kll").alias("kll"), F.when(few, F.array_sort(every)).alias("options"),

@@ -77,3 +77,10 @@ def test_properties_of_generic_rows(spark):
     assert {k: r["type"] for k, r in got.items()} == {("P", "age"): "INTEGER", ("P", "name"): "STRING", ("P", "size"): "FLOAT", ("P", "none"): "STRING", ("Q", "age"): "STRING"}
     assert (got["P", "age"]["least"], got["P", "age"]["greatest"]) == ("3", "40") and got["P", "name"]["options"] == ["x", "y"]
     assert got["P", "none"]["n_null"] == 1 and got["P", "none"]["options"] == []
+
+
+def test_long_texts_of_one_beginning_are_no_options(spark):
+    df = spark.range(50).selectExpr("concat(repeat('x', 60), id) as long", "concat(repeat('y', 60), id % 3) as few")
+    got = by_property(sketches.profile(df))
+    assert got["long"]["options"] is None and got["long"]["n_distinct"] == 50
+    assert got["few"]["options"] == ["y" * 50]
