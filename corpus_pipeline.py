@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from graphloom.llm.common import cut, held_out, table
 from graphloom.llm.decontaminate import decontaminate
 from graphloom.llm.packing import pack
-from graphloom.llm.simhash import duplicate_groups
+from graphloom.llm.simhash import near_duplicates
 from graphloom.llm.substring_dedup import dedup_substrings
 from graphloom.llm.toxicity import THRESHOLD, fit_toxicity, score_toxicity
 
@@ -40,8 +40,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document of smallest id."""
-    return _without(docs, duplicate_groups(docs).where("doc_id <> component"))
+    """Of each group whose SimHashes link (operator 6, as its contract words it) the document of smallest id."""
+    return _without(docs, near_duplicates(docs).where("doc_id <> component"))
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
