@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import cut, small_batches
+from graphloom.llm.common import cut, giving_back, small_batches
 from graphloom.llm.tokens import tokenizer
 
 CAPACITY, END_ID = 2048, 0
@@ -63,6 +63,7 @@ def cut_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, key: str =
         if sum(map(len, held)):
             yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
+    @giving_back
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(path)
         for batch in gathered(b for b in batches if len(b)):

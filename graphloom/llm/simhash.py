@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.llm.common import cut, small_batches
+from graphloom.llm.common import cut, giving_back, small_batches
 from graphloom.llm.components import components
 from graphloom.session import ship
 
@@ -198,7 +198,7 @@ def linked(nodes: DataFrame, fingerprints: list[str], max_bits: int) -> DataFram
         moved = np.nonzero(forest.label != np.arange(len(key)))[0]
         return pa.RecordBatch.from_pydict({"src": ids[moved], "dst": ids[forest.label[moved]]})
 
-    return dealt.mapInArrow(lambda batches: _by_key(batches, flush), "src long, dst long")
+    return dealt.mapInArrow(giving_back(lambda batches: _by_key(batches, flush)), "src long, dst long")
 
 
 def _runs_of(key: np.ndarray) -> np.ndarray:
@@ -230,6 +230,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     small_batches(docs.sparkSession)
     kind = docs.schema[key].dataType
 
+    @giving_back
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([fingerprint(t, shingle) for t in batch["text"].to_pylist()], dtype=np.uint64)
@@ -334,6 +335,7 @@ def duplicate_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", s
     small_batches(spark)
     kind = docs.schema[key].dataType
 
+    @giving_back
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _WordHash()
         for batch in batches:
@@ -363,6 +365,7 @@ def duplicate_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", s
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = cut(placed.join(buckets, "key").select("key", "id", "digest", "long"), "members")
 
+    @giving_back
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _WordHash()
         for batch in batches:

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.llm.common import cut, small_batches
+from graphloom.llm.common import cut, giving_back, small_batches
 
 WINDOW, GRAM = 20, 5
 SHARD_ROWS = 2000
@@ -144,6 +144,7 @@ def without_spans(text: str | None, spans: list[dict[str, int]]) -> str | None:
     return b"".join([*out, raw[at:]]).decode("utf-8", "surrogatepass")
 
 
+@giving_back
 def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known = _WordHash()
     for batch in batches:
@@ -162,6 +163,7 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch["o"], batch["d"], *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], ["o", "d", "digest", "n_words", "hashes", "places", "again"])
 
 
+@giving_back
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of texts in order of (o, d); a repeated row is skipped."""
     known, before = _WordHash(), None
@@ -201,6 +203,7 @@ _SEGMENT = "anchor long, salt long, hot boolean, o {o}, d long, start int, words
 _FOUND = "anchor long, o {o}, d long, first int, last int, window binary"
 
 
+@giving_back
 def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Segments in order of (anchor, salt, document, place): spans of repeated windows (window null)
     and, of salted anchors, the windows that are new here."""
@@ -288,6 +291,7 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", k
     of_doc = spans.groupBy("o", "d").agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("spans"))
     joined = dealt.join(of_doc, ["o", "d"], "left")
 
+    @giving_back
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []

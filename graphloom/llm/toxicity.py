@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import small_batches
+from graphloom.llm.common import giving_back, small_batches, trim
 
 #: Bound of the fit: sampled documents.
 SAMPLE = 6000
@@ -161,6 +161,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, train: Column, key: str = "
     chosen = usable.where("y = 1").orderBy(*order).limit(half).collect() + usable.where("y = 0").orderBy(*order).limit(SAMPLE - half).collect()
     y_of = {r[key]: r["y"] for r in chosen}  # SAMPLE at most
 
+    @giving_back
     def bags(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             bag = [sorted(set(terms(t))) for t in batch["text"]]
@@ -177,6 +178,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, train: Column, key: str = "
     top = by_term.select("term", z.alias("z")).where(F.abs("z") >= MIN_Z).collect()  # terms of a bounded sample
     vocabulary = {t: i for i, t in enumerate(sorted(r["term"] for r in top))}
 
+    @giving_back
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         df, n = Counter(), 0
         for batch in batches:
@@ -189,6 +191,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, train: Column, key: str = "
     df = {r["t"]: r["n"] for r in frequencies}
     idf = np.array([np.log((1 + df.get(-1, 0)) / (1 + df.get(t, 0))) + 1 for t in range(len(vocabulary))])
 
+    @giving_back
     def sparse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = [Counter(vocabulary[w] for w in terms(t) if w in vocabulary) for t in batch["text"]]
@@ -217,8 +220,10 @@ def score_toxicity(docs: DataFrame, model: ToxicModel, text: str = "text", out:
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by SAMPLE
 
     @F.pandas_udf("score double, evidence array<string>")
-    def judge(texts: pd.Series) -> pd.DataFrame:
-        found = [shared.value.judge(t) for t in texts]
-        return pd.DataFrame({"score": [s for s, _ in found], "evidence": [[str(i) for i in e] for _, e in found]})
+    def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            found = [shared.value.judge(t) for t in texts]
+            yield pd.DataFrame({"score": [s for s, _ in found], "evidence": [[str(i) for i in e] for _, e in found]})
+        trim()
 
     return docs.withColumn(out, judge(F.col(text)))
