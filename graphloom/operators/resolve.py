@@ -1,6 +1,6 @@
 """Entity resolution: exact, normalised, fuzzy and by vectors; merged nodes keep the smallest id.
 
-Fuzzy and vector pairs are exact joins (``simjoin``); own scores are compared inside blocks. Matches become groups by connected components (a superset of order-dependent merging).
+Edit distance, fuzzy and vector pairs are exact joins (``simjoin``); own scores are compared inside blocks. Matches become groups by connected components (a superset of order-dependent merging).
 """
 
 from __future__ import annotations
@@ -52,6 +52,16 @@ def levenshtein_score(a: str, b: str) -> Column:
     return 1 - F.levenshtein(a, b) / F.greatest(F.char_length(a), F.char_length(b), F.lit(1))
 
 
+def levenshtein_pairs(nodes: DataFrame, prop: str = "name", threshold: float = 0.8, block: Column | None = None) -> DataFrame:
+    """a, b of one label (and block, where one is given) whose ``levenshtein_score`` reaches the threshold; none is lost."""
+    return simjoin.edit_pairs(nodes.withColumn("_block", F.lit(0) if block is None else block), prop, threshold, ["label", "_block"])
+
+
+def levenshtein_links(nodes: DataFrame, prop: str = "name", threshold: float = 0.8, block: Column | None = None) -> DataFrame:
+    """a, b: links with the components of ``levenshtein_pairs``; copies of a name are linked to its smallest id only."""
+    return simjoin.edit_links(nodes.withColumn("_block", F.lit(0) if block is None else block), prop, threshold, ["label", "_block"])
+
+
 def fuzzy_pairs(nodes: DataFrame, prop: str = "name", threshold: float = 0.8, processed: bool = True, block: Column | None = None) -> DataFrame:
     """a, b of one label (and block, where one is given) whose names are as alike as the threshold; none is lost."""
     text = F.trim(F.regexp_replace(F.lower(prop), r"[^\p{L}\p{N}]", " ")) if processed else F.col(prop)

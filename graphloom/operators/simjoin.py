@@ -6,9 +6,13 @@ parts share one within each one's first ``all - need + 1`` (prefix filter), so s
 weighted ratio is the largest of several: of the names as they are, with words sorted, by common
 words, and by the best window of a longer name. Each has a signature of its own; pairs that meet are compared once.
 
+**Names by edit distance.** Names within k edits, the longer one cut in k // 2 + 1 pieces, agree in a piece but for one edit, so the
+piece and what stands there in the shorter one have a text in common after a character is left out. They meet by the whole of it.
+
 **Vectors.** Pivots taken from the vectors make cells; by the triangle inequality of angles a vector can only
 match in cells whose radius, widened by the threshold's angle, reaches it, and there only members
-whose angle to the pivot is like its own. Cells of more than ``CELL`` members are cut in blocks.
+whose angle to the pivot is like its own. Cells of more than ``CELL`` members are cut in blocks, their visitors
+too; a block of members meets one of visitors as a product of two matrices.
 """
 
 from __future__ import annotations
@@ -16,7 +20,9 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -145,6 +151,88 @@ def name_pairs(nodes: DataFrame, threshold: float) -> DataFrame:
     return both.join(of("a", "ta"), ["label", "ta"]).join(of("b", "tb"), ["label", "tb"]).where("a < b").select("a", "b").distinct()
 
 
+def _without_one(text: str) -> set[str]:
+    return {text[:i] + text[i + 1 :] for i in range(len(text))} or {""}
+
+
+def edit_signatures(text: str, threshold: float) -> tuple[set[tuple], set[tuple]]:
+    """What a name meets others by, as the longer one of a pair (or as long) and as the shorter one: length of the longer, piece, kind, part."""
+    n = len(text)
+    allowed = lambda m: math.floor((1 - threshold) * m + _NEAR)
+    cuts = lambda m: [m * j // (allowed(m) // 2 + 1) for j in range(allowed(m) // 2 + 2)]
+    long, short = set(), set()
+    at = cuts(n)
+    for j, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)):
+        long |= {(n, j, "less", w) for w in _without_one(text[a:b])}
+        if len(at) > 2:
+            long.add((n, j, "same", text[a:b]))
+    m = n
+    while m - n <= allowed(m):
+        at = cuts(m)
+        for j, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)):
+            # of the pieces before each has two edits at least, else it would do
+            reach = min(2 * j + 1, allowed(m)) if j else 0
+            for start in range(max(0, a - reach), min(n, a + reach) + 1):
+                for size in (b - a - 1, b - a, b - a + 1):
+                    stop = start + size
+                    if size < 0 or stop > n or (j == len(at) - 2 and stop != n):
+                        continue
+                    part = text[start:stop]
+                    if size < b - a:
+                        short.add((m, j, "less", part))
+                    elif size == b - a:
+                        short |= {(m, j, "less", w) for w in _without_one(part)}
+                    else:
+                        short |= {(m, j, "same", w) for w in _without_one(part)}
+        m += 1
+    return long, short
+
+
+def _edit_names(nodes: DataFrame, text: str, threshold: float, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """id, name of each node, and x, y: names (numbers, each of one text and of equal ``keys``) that are as alike as the threshold."""
+    if not 0 < threshold <= 1:
+        raise ValueError("the threshold is over 0 and at most 1")
+    ship(nodes.sparkSession)
+    ready = nodes.select("id", *keys, F.col(text).alias("t")).dropna(subset=["id", *keys, "t"])
+    names = cut(ready.groupBy(*keys, "t").agg(F.min("id").alias("least")).withColumn("name", F.monotonically_increasing_id()), "names")
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, rows = [], []
+            for i, t in enumerate(batch["t"].to_pylist()):
+                for role, found in enumerate(edit_signatures(t, threshold)):
+                    at += [i] * len(found)
+                    rows += [(role, "%d %d %s %s" % r) for r in found]
+            yield pa.RecordBatch.from_arrays([*(batch[c].take(pa.array(at, pa.int64())) for c in ("name", "k")), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.string())], ["name", "k", "role", "part"])
+
+    signed = names.select("name", F.xxhash64(*keys, F.lit(0)).alias("k"), "t").mapInArrow(sign, "name long, k long, role int, part string")
+    signed = cut(signed.select("name", "role", F.xxhash64("k", "part").alias("part")), "signatures")
+    met = signed.where("role = 0").select(F.col("name").alias("x"), "part").join(signed.where("role = 1").select(F.col("name").alias("y"), "part"), "part").where("x <> y")
+    pairs = met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    side = lambda n: names.select(F.col("name").alias(n), F.struct(*keys).alias(f"k{n}"), F.col("t").alias(f"t{n}"))
+    alike = 1 - F.levenshtein("tx", "ty") / F.greatest(F.char_length("tx"), F.char_length("ty"), F.lit(1)) >= threshold
+    pairs = pairs.join(side("x"), "x").join(side("y"), "y").where((F.col("kx") == F.col("ky")) & alike).select("x", "y")
+    named = ready.join(names, [*keys, "t"]).select("id", "name", "least")
+    return named, cut(pairs, "similar names")
+
+
+def edit_pairs(nodes: DataFrame, text: str, threshold: float, keys: list[str]) -> DataFrame:
+    """a, b (a < b) of equal ``keys`` whose Levenshtein distance is at most 1 - threshold of the longer name; nulls take no part."""
+    named, pairs = _edit_names(nodes, text, threshold, keys)
+    named = cut(named.select("id", "name"), "named")
+    both = pairs.unionByName(pairs.select(F.col("y").alias("x"), F.col("x").alias("y"))).unionByName(named.select(F.col("name").alias("x"), F.col("name").alias("y")).distinct())
+    return both.join(named.toDF("a", "x"), "x").join(named.toDF("b", "y"), "y").where("a < b").select("a", "b").distinct()
+
+
+def edit_links(nodes: DataFrame, text: str, threshold: float, keys: list[str]) -> DataFrame:
+    """a, b: as ``edit_pairs``, but of the copies of a name only the smallest id is linked to other names, and each copy to it."""
+    named, pairs = _edit_names(nodes, text, threshold, keys)
+    named = cut(named, "named")
+    least = named.select("name", "least").distinct()
+    links = pairs.join(least.toDF("x", "a"), "x").join(least.toDF("y", "b"), "y").select("a", "b")
+    return links.unionByName(named.where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b"))).where("a <> b").distinct()
+
+
 def _unit(vector: Column) -> Column:
     raw = vector.cast("array<double>")
     size = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda s, x: s + x * x))

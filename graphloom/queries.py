@@ -810,20 +810,19 @@ _LEV = """SELECT a.c_custkey AS a, b.c_custkey AS b FROM customer a JOIN custome
 WHERE 1 - levenshtein(a.c_name, b.c_name) / greatest(length(a.c_name), length(b.c_name), 1.0) >= 0.94"""
 
 
-def _similar(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("label"), F.col("c_name").alias("name"), F.col("c_nationkey"))
-    return resolve.similar_pairs(c, resolve.levenshtein_score, 0.94, ("name",), F.col("c_nationkey"))
+def _customers(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("label"), F.col("c_name").alias("name"), F.col("c_nationkey"))
 
 
 @query(_LEV)
 def resolve_levenshtein(spark: SparkSession, d: str) -> DataFrame:
-    return _similar(spark, d)
+    return resolve.levenshtein_pairs(_customers(spark, d), "name", 0.94, F.col("c_nationkey"))
 
 
 @query(f"""WITH RECURSIVE p AS ({_LEV}), e AS (SELECT a, b FROM p UNION SELECT b, a FROM p), r(id, m) AS (SELECT a, a FROM e UNION SELECT r.id, e.b FROM r JOIN e ON r.m = e.a)
 SELECT id, min(m) AS canonical FROM r GROUP BY id""")
 def resolve_components(spark: SparkSession, d: str) -> DataFrame:
-    return resolve.components(_similar(spark, d))
+    return resolve.components(resolve.levenshtein_pairs(_customers(spark, d), "name", 0.94, F.col("c_nationkey")))
 
 
 @query("SELECT count(*) AS nodes_to_resolve, count(DISTINCT (label, name)) AS created_nodes FROM (" + _P + ")")
