@@ -822,7 +822,7 @@ def resolve_levenshtein(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH RECURSIVE p AS ({_LEV}), e AS (SELECT a, b FROM p UNION SELECT b, a FROM p), r(id, m) AS (SELECT a, a FROM e UNION SELECT r.id, e.b FROM r JOIN e ON r.m = e.a)
 SELECT id, min(m) AS canonical FROM r GROUP BY id""")
 def resolve_components(spark: SparkSession, d: str) -> DataFrame:
-    return resolve.components(resolve.levenshtein_pairs(_customers(spark, d), "name", 0.94, F.col("c_nationkey")))
+    return resolve.components(resolve.levenshtein_links(_customers(spark, d), "name", 0.94, F.col("c_nationkey")))
 
 
 @query("SELECT count(*) AS nodes_to_resolve, count(DISTINCT (label, name)) AS created_nodes FROM (" + _P + ")")
