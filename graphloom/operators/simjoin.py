@@ -26,12 +26,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.functions.similarity import cosine, weighted_ratio_udf
+from graphloom.functions.similarity import weighted_ratio_udf
 from graphloom.session import ship
 from graphloom.sources.scratch import cut
 
 #: Vectors that stand for cells at most; members that a block of a cell has, about.
-PIVOTS, CELL = 32, 1024
+PIVOTS, CELL = 32, 4096
+#: Visitors of a block that meet it in one task, about; those of one product.
+VISITORS, STRIP = 16384, 512
 _NEAR = 1e-9
 
 
@@ -239,13 +241,13 @@ def _unit(vector: Column) -> Column:
     return F.when(size > 0, F.transform(raw, lambda x: x / size))
 
 
-def vector_candidates(nodes: DataFrame, vector: str, threshold: float, keys: list[str], pivots: int = PIVOTS) -> DataFrame:
-    """a, b, va, vb: pairs of equal ``keys`` that may reach the cosine, each once; vectors of length zero take no part."""
+def _placed(nodes: DataFrame, vector: str, threshold: float, keys: list[str], pivots: int) -> tuple[DataFrame, DataFrame, float] | None:
+    """Members of cells (cell, block, x, vx, r) and their visitors (cell, block, y, vy, own, s), with ``keys`` and the threshold's angle."""
     unit = cut(nodes.select("id", *keys, F.col(vector).alias("v"), _unit(F.col(vector)).alias("u")).where(F.col("u").isNotNull()), "units")
     alpha = math.acos(max(-1.0, min(1.0, threshold))) + 1e-6
     chosen = [r["u"] for r in unit.orderBy(F.xxhash64("id")).limit(pivots).collect()]  # a bounded number of vectors
     if not chosen:
-        return unit.select(F.col("id").alias("a"), F.col("id").alias("b"), F.col("v").alias("va"), F.col("v").alias("vb")).limit(0)
+        return None
     centres = F.array(*(F.array(*map(F.lit, p)) for p in chosen))
     angle = lambda p: F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.aggregate(F.zip_with("u", p, lambda x, y: F.coalesce(x * y, F.lit(0.0))), F.lit(0.0), lambda s, x: s + x))))
     placed = unit.withColumn("angles", F.transform(centres, angle)).drop("u").withColumn("cell", (F.array_position("angles", F.array_min("angles")) - 1).cast("int"))
@@ -258,15 +260,75 @@ def vector_candidates(nodes: DataFrame, vector: str, threshold: float, keys: lis
     cells = F.filter(F.sequence(F.lit(0), F.col("cell")), lambda i: (i == F.col("cell")) | (F.get("angles", i) <= F.get(reach, i)))
     probes = placed.select("id", "v", *keys, "angles", F.col("cell").alias("own"), F.explode(cells).alias("cell"))
     probes = probes.join(blocks, [*keys, "cell"]).select(*keys, "cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("id").alias("y"), F.col("v").alias("vy"), "own", F.get("angles", F.col("cell")).alias("s"))
+    return members, probes, alpha
+
+
+def vector_candidates(nodes: DataFrame, vector: str, threshold: float, keys: list[str], pivots: int = PIVOTS) -> DataFrame:
+    """a, b, va, vb: pairs of equal ``keys`` that may reach the cosine, each once; vectors of length zero take no part."""
+    sides = _placed(nodes, vector, threshold, keys, pivots)
+    if sides is None:
+        return nodes.select(F.col("id").alias("a"), F.col("id").alias("b"), F.col(vector).alias("va"), F.col(vector).alias("vb")).limit(0)
+    members, probes, alpha = sides
     near = (F.abs(F.col("r") - F.col("s")) <= alpha) & ((F.col("own") != F.col("cell")) | (F.col("x") < F.col("y")))
     met = members.join(probes, [*keys, "cell", "block"]).where(near)
     first = F.col("x") < F.col("y")
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.when(first, F.col("vx")).otherwise(F.col("vy")).alias("va"), F.when(first, F.col("vy")).otherwise(F.col("vx")).alias("vb"))
 
 
+def _rows(column: pa.ChunkedArray) -> np.ndarray:
+    flat = pc.list_flatten(column.combine_chunks()).to_numpy(zero_copy_only=False)
+    return np.asarray(flat, np.float64).reshape(len(column), -1)
+
+
+def _cosine(a: np.ndarray, b: np.ndarray) -> float:
+    """With the sums in the order of the expression ``cosine``."""
+    total = lambda x, y: sum(map(float.__mul__, x.tolist(), y.tolist()), 0.0)
+    return total(a, b) / (math.sqrt(total(a, a)) * math.sqrt(total(b, b)))
+
+
+def _products(threshold: float):
+    """a, b of a block of members and one of visitors that reach the cosine, by a product of matrices."""
+
+    def products(members: pa.Table, probes: pa.Table) -> pa.Table:
+        if not len(members) or not len(probes):
+            none = pa.array([], (members["x"] if len(members) else probes["y"]).type)
+            return pa.table([none, none], names=["a", "b"])
+        v, w = _rows(members["vx"]), _rows(probes["vy"])
+        p, q = (m / np.sqrt((m * m).sum(axis=1, keepdims=True)) for m in (v, w))
+        at: tuple[list, list] = ([], [])
+        for start in range(0, len(q), STRIP):
+            near = p @ q[start : start + STRIP].T
+            i, j = np.nonzero(~(near < threshold - _NEAR))
+            # so near the threshold the order of the sums decides
+            close = np.flatnonzero(near[i, j] < threshold + _NEAR)
+            lost = [k for k in close.tolist() if _cosine(v[i[k]], w[start + j[k]]) < threshold]
+            at[0].append(np.delete(i, lost))
+            at[1].append(np.delete(j, lost) + start)
+        i, j = (pa.array(np.concatenate(x)) for x in at)
+        x, y = members["x"].combine_chunks().take(i), probes["y"].combine_chunks().take(j)
+        first, other = pc.less(x, y), pc.not_equal(probes["own"].combine_chunks().take(j), probes["cell"][0])
+        keep = pc.and_(pc.not_equal(x, y), pc.or_(first, other))
+        return pa.table([pc.if_else(first, x, y), pc.if_else(first, y, x)], names=["a", "b"]).filter(keep)
+
+    return products
+
+
 def vector_pairs(nodes: DataFrame, vector: str, threshold: float, keys: list[str], pivots: int = PIVOTS) -> DataFrame:
     """a, b (a < b) of equal ``keys`` whose cosine reaches the threshold, which is over 0; null vectors take no part."""
     if not 0 < threshold <= 1:
         raise ValueError("the threshold is over 0 and at most 1")
-    found = vector_candidates(nodes.where(F.col(vector).isNotNull()), vector, threshold, keys, pivots)
-    return found.where(cosine("va", "vb", on_zero=0.0) >= threshold).select("a", "b").distinct()
+    kind = nodes.schema["id"].dataType.simpleString()
+    ready = nodes.where(F.col(vector).isNotNull() & F.col("id").isNotNull()).withColumn("_size", F.size(vector)).dropna(subset=keys)
+    ship(nodes.sparkSession)
+    sides = _placed(ready, vector, threshold, [*keys, "_size"], pivots)
+    if sides is None:
+        return ready.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
+    members, probes, _ = sides
+    at = [*keys, "_size", "cell", "block"]
+    # visitors of a block are dealt in parts, to each of which the block goes
+    parts = cut(probes.groupBy(at).agg(F.ceil(F.count("*") / F.lit(VISITORS)).cast("int").alias("parts")), "visitors")
+    members = members.join(parts, at).select(*at, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "x", "vx")
+    probes = probes.join(parts, at).select(*at, F.pmod(F.xxhash64("y", F.lit(1)), "parts").cast("int").alias("part"), "y", "vy", "own")
+    of = [*at, "part"]
+    members, probes = members.toDF(*members.columns), probes.toDF(*probes.columns)  # columns of their own: both come from one table
+    return members.groupBy(of).cogroup(probes.groupBy(of)).applyInArrow(_products(threshold), f"a {kind}, b {kind}").distinct()
