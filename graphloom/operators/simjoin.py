@@ -18,6 +18,7 @@ too; a block of members meets one of visitors as a product of two matrices.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +36,8 @@ PIVOTS, CELL = 32, 4096
 #: Visitors of a block that meet it in one task, about; those of one product.
 VISITORS, STRIP = 16384, 512
 _NEAR = 1e-9
+#: Numbers of 64 bits that stand for a name's characters.
+MASKS = 2
 
 
 def _grams(text: str, size: int) -> list[str]:
@@ -108,33 +111,65 @@ def signatures(text: str, threshold: float) -> list[tuple[str, int, str, int, fl
     return out
 
 
+def _views(text: str) -> dict[str, str]:
+    """By kind of signature, what must be within the edits of its ratio (a set's words in any order: its characters in order)."""
+    words = text.split()
+    ordered, letters = " ".join(sorted(words)), "".join(sorted(" ".join(sorted(set(words)))))
+    return {"plain1": text, "plain2": text, "sorted1": ordered, "sorted2": ordered, "words1": letters}
+
+
+def _masks(view: str) -> list[int]:
+    """A bit for each character of the view, the second of a kind apart from the first."""
+    bits = 0
+    for g in _grams(view, 1):
+        bits |= 1 << zlib.crc32(g.encode("utf-8", "surrogatepass")) % (64 * MASKS)
+    return [((bits >> 64 * i) + (1 << 63)) % (1 << 64) - (1 << 63) for i in range(MASKS)]
+
+
+def _may_reach(threshold: float) -> Column:
+    """Of two names x, y that met: whether their lengths and views let the kind's ratio reach the threshold. Runs before any Python."""
+    ratio = F.when(F.col("kind").startswith("plain"), F.lit(min(1.0, threshold))).otherwise(F.lit(min(1.0, threshold / 0.95)))
+    nx, ny = F.char_length("vx"), F.char_length("vy")
+    # characters that each may have beyond the common subsequence; a bit that only one has is at least one of them
+    spare = {"x": F.floor(nx - ratio * (nx + ny) / 2 + 1e-6), "y": F.floor(ny - ratio * (nx + ny) / 2 + 1e-6)}
+    own = lambda a, b: sum((F.bit_count(F.col(f"m{i}{a}").bitwiseAND(F.bitwise_not(f"m{i}{b}"))) for i in range(MASKS)), F.lit(0))
+    near = (own("x", "y") <= spare["x"]) & (own("y", "x") <= spare["y"])
+    near = near & (F.call_function("levenshtein", "vx", "vy", (spare["x"] + spare["y"]).cast("int")) >= 0)
+    longer = F.greatest("nx", "ny") >= 1.5 * F.least("nx", "ny")
+    windows = F.col("kind").rlike("window|^word[^s]")
+    viewed = F.col("kind").isin("plain1", "plain2", "sorted1", "sorted2", "words1")
+    return F.when(windows, longer).when(viewed, near).otherwise(True)
+
+
 def name_candidates(nodes: DataFrame, threshold: float) -> DataFrame:
     """a, b, ta, tb: pairs of one label that may reach the threshold, each once; ``nodes`` has id, label, t (not empty)."""
     if not 0 < threshold <= 1:
         raise ValueError("the threshold is over 0 and at most 1")
     kind = nodes.schema["id"].dataType.simpleString(), nodes.schema["label"].dataType.simpleString()
+    masked = [f"m{i}" for i in range(MASKS)]
     ship(nodes.sparkSession)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, rows = [], []
             for i, text in enumerate(batch["t"].to_pylist()):
-                found = signatures(text, threshold)
+                found, views = signatures(text, threshold), _views(text)
                 at += [i] * len(found)
-                rows += found
+                masks = {v: _masks(v) for v in {"", *views.values()}}
+                rows += [(*r, v, len(text), *masks[v]) for r in found for v in (views.get(r[0], ""),)]
             columns = [batch[c].take(pa.array(at, pa.int64())) for c in ("id", "label")]
-            columns += [pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.string(), pa.int32(), pa.string(), pa.int32(), pa.float64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "label", "kind", "role", "part", "weight", "need"])
+            columns += [pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.string(), pa.int32(), pa.string(), pa.int32(), pa.float64(), pa.string(), pa.int32(), *[pa.int64()] * MASKS))]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "label", "kind", "role", "part", "weight", "need", "view", "n", *masked])
 
-    signed = cut(nodes.select("id", "label", "t").mapInArrow(sign, f"id {kind[0]}, label {kind[1]}, kind string, role int, part string, weight int, need double"), "signatures")
-    known = signed.groupBy("label", "kind", "part").agg(F.count("*").alias("n"))
+    signed = cut(nodes.select("id", "label", "t").mapInArrow(sign, f"id {kind[0]}, label {kind[1]}, kind string, role int, part string, weight int, need double, view string, n int, {', '.join(f'{m} long' for m in masked)}"), "signatures")
+    known = signed.groupBy("label", "kind", "part").agg(F.count("*").alias("rows"))
     # rarest first; what follows a part, itself included, must be able to hold the need
-    rest = F.sum("weight").over(Window.partitionBy("id", "kind", "role").orderBy(F.desc("n"), F.desc("part")))
-    kept = cut(signed.join(known, ["label", "kind", "part"]).withColumn("rest", rest).where(F.col("rest") >= F.col("need")).select("id", "label", "kind", "role", "part"), "prefixes")
-    left = kept.where("role = 1").select(F.col("id").alias("x"), "label", "kind", "part")
+    rest = F.sum("weight").over(Window.partitionBy("id", "kind", "role").orderBy(F.desc("rows"), F.desc("part")))
+    kept = cut(signed.join(known, ["label", "kind", "part"]).withColumn("rest", rest).where(F.col("rest") >= F.col("need")).select("id", "label", "kind", "role", "part", "view", "n", *masked), "prefixes")
+    left = kept.where("role = 1").select(F.col("id").alias("x"), "label", "kind", "part", F.col("view").alias("vx"), F.col("n").alias("nx"), *(F.col(m).alias(f"{m}x") for m in masked))
     partner = F.when(F.col("kind").rlike("[<*]$"), 2).otherwise(1)
-    right = kept.where(F.col("role") == partner).select(F.col("id").alias("y"), "label", "kind", "part")
-    met = left.join(right, ["label", "kind", "part"]).where(F.when(F.col("kind").rlike("[<*]$"), F.col("x") != F.col("y")).otherwise(F.col("x") < F.col("y")))
+    right = kept.where(F.col("role") == partner).select(F.col("id").alias("y"), "label", "kind", "part", F.col("view").alias("vy"), F.col("n").alias("ny"), *(F.col(m).alias(f"{m}y") for m in masked))
+    met = left.join(right, ["label", "kind", "part"]).where(F.when(F.col("kind").rlike("[<*]$"), F.col("x") != F.col("y")).otherwise(F.col("x") < F.col("y"))).where(_may_reach(threshold))
     pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     texts = nodes.select("id", "t")
     return pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b")
