@@ -9,14 +9,16 @@ stretches that may repeat enter shards, dealt so that equal windows surely meet:
    are told which of them stand more than once in the corpus. A whole copy of a text has no own anchors.
 2. The windows under such an anchor make a stretch of bytes, dealt by anchor. Equal stretches of one
    block go once, the first of them; the others are repeats as a whole.
-3. In a task, stretches are joined to shards of about ``SHARD`` bytes. A shard's suffixes are ordered once
+3. In a task, equal stretches of an anchor go once. All windows of a stretch differ, and a window reaches half of what
+   it has besides the anchor to its left or to its right; so stretches stay out that share neither half with
+   another of their anchor (``together``). The others are joined to shards of about ``SHARD`` bytes. A shard's suffixes are ordered once
    (to ``WINDOW`` bytes), which gives its transform. Shards are merged by refining their interleave: from
    the order to ``d`` bytes the transform's symbols of ``g`` bytes give the order to ``d + g``, no suffix
    is sorted again. Borders that a round adds are where the common prefix ends; the runs without border
    after the last round are the repeated intervals. In each, the first window stays.
 4. Anchors of more than ``SALTED`` stretches are salted; windows that are first in their salt meet again by
    a 128-bit digest, one row a salt.
-5. Spans go back to their blocks, which cut the texts.
+5. Spans go back to their blocks, packed by block, with each document's number in its block; the blocks cut the texts.
 
 Texts are shuffled once, by block, a hash of the row's id and text; no block holds more than its rows.
 Null and empty texts have no bytes. Rows of one id with one text are one document, in one block; rows of one
@@ -48,20 +50,30 @@ _FIRST = -(1 << 63)
 _PLACE = 21
 
 
+def _mixed(h: np.ndarray, eight: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        h = (h ^ eight) * np.uint64(0x9E3779B97F4A7C15)
+    return h ^ h >> np.uint64(29)
+
+
+def _hashed(text: bytes, gram: int) -> np.ndarray:
+    """A hash of each ``gram``-byte string of a text."""
+    n = len(text) - gram + 1
+    eight = np.ndarray((len(text) - 7,), "<u8", text, 0, (1,)).copy()
+    h = np.zeros(n, np.uint64)
+    for j in range(0, gram, 8):
+        h = _mixed(h, eight[j : j + n])
+    return h
+
+
 def anchors(text: bytes, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Anchors in order: their hashes, first window and number of windows."""
     hashes, starts, counts = [], [], []
     wide, step = window - gram + 1, 1 << (_PLACE - 1)
     for at in range(0, len(text) - window + 1, step):
         part = text[at : at + step + window - 1]
-        n = len(part) - gram + 1
-        eight = np.ndarray((len(part) - 7,), "<u8", part, 0, (1,)).copy()
-        with np.errstate(over="ignore"):
-            h = np.zeros(n, np.uint64)
-            for j in range(0, gram, 8):
-                h = (h ^ eight[j : j + n]) * np.uint64(0x9E3779B97F4A7C15)
-                h ^= h >> np.uint64(29)
-        low = np.uint64((1 << _PLACE) - 1)
+        h = _hashed(part, gram)
+        n, low = len(h), np.uint64((1 << _PLACE) - 1)
         least, reach = (h & ~low) | np.arange(n, dtype=np.uint64), 1
         while 2 * reach <= wide:
             least = np.minimum(least[:-reach], least[reach:])
@@ -183,20 +195,26 @@ def _runs(mask: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _texts(table: pa.Table, copies: pa.Table) -> Iterator[tuple]:
-    """(o, d, text) of a block's documents that are no copies, in order, each once."""
+    """(number in the block, o, d, text) of a block's documents that are no copies, in order, each once."""
     gone, column = set(zip(copies["o"].to_pylist(), copies["d"].to_pylist(), strict=True)), table["text"]
-    first = {}
-    for i, document in enumerate(zip(table["o"].to_pylist(), table["d"].to_pylist(), strict=True)):
-        first.setdefault(document, i)
-    for o, d in sorted(first.keys() - gone):
-        yield o, d, column[first[o, d]].as_py()
+    for i, (document, at) in enumerate(_numbered(table)):
+        if document not in gone:
+            yield i, *document, column[at].as_py()
+
+
+def _numbered(table: pa.Table) -> list[tuple[tuple, int]]:
+    """A block's documents (o, d) in order, each with its first row."""
+    first: dict[tuple, int] = {}
+    for at, document in enumerate(zip(table["o"].to_pylist(), table["d"].to_pylist(), strict=True)):
+        first.setdefault(document, at)
+    return sorted(first.items())
 
 
 def _asked(shares: int, window: int, gram: int):
     """A block's anchors for each share of hashes, with the number of stretches."""
 
     def asked(table: pa.Table, copies: pa.Table) -> pa.Table:
-        found = [anchors(text, window, gram)[0] for _, _, text in _texts(table, copies)]
+        found = [anchors(text, window, gram)[0] for *_, text in _texts(table, copies)]
         hashes, n = np.unique(np.concatenate(found) if found else np.zeros(0, np.uint64), return_counts=True)
         share = (hashes >> np.uint64(32)) % np.uint64(shares)
         order = np.argsort(share, kind="stable")
@@ -227,7 +245,12 @@ def _answered(table: pa.Table) -> pa.Table:
     return pa.table([table["block"], pa.array(out[0], pa.binary()), pa.array(out[1], pa.binary())], names=["block", "hashes", "salts"])
 
 
-_STRETCH = "anchor long, salt long, salted boolean, block long, o {o}, d long, start long, stop long, bytes binary"
+#: A stretch; where the anchor is null, a block's spans (packed) that are known to go.
+_STRETCH = "anchor long, salt long, salted boolean, block long, o {o}, d long, start long, i int, bytes binary"
+
+
+def _packed(i: np.ndarray, first: np.ndarray, stop: np.ndarray) -> bytes:
+    return np.stack([i, first, stop], 1).astype("<u4").tobytes()
 
 
 def _stretched(window: int, gram: int):
@@ -238,91 +261,186 @@ def _stretched(window: int, gram: int):
         salts = np.frombuffer(b"".join(answers["salts"].to_pylist()), "<u4")
         order = np.argsort(wanted)
         wanted, salts = wanted[order], salts[order]
-        rows, seen, block = [], set(), table["block"][0].as_py() if len(table) else None
-        for o, d, text in _texts(table, copies) if len(wanted) else ():
+        parts, seen, of, own, known = [], set(), ([], []), [], []
+        for i, o, d, text in _texts(table, copies) if len(wanted) else ():
             hashes, starts, counts = anchors(text, window, gram)
             at = np.minimum(np.searchsorted(wanted, hashes), len(wanted) - 1)
             use = np.flatnonzero(wanted[at] == hashes)
-            for h, n, start, stop in zip(hashes[use].view(np.int64).tolist(), salts[at[use]].tolist(), starts[use].tolist(), (starts[use] + counts[use] + window - 1).tolist(), strict=True):
-                part = text[start:stop]
-                # a later equal stretch is a repeat as a whole; its row goes to any task
-                again = part in seen
-                seen.add(part)
-                salt = xxhash.xxh32_intdigest(f"{o} {d} {start}")
-                rows.append((None if again else h, salt if again else salt % n, n > 1, block, o, d, start, stop, None if again else part))
-        columns = list(zip(*rows, strict=True)) or [[]] * 9
+            first, stop = starts[use], starts[use] + counts[use] + window - 1
+            new = np.zeros(len(use), bool)
+            for k, (a, b) in enumerate(zip(first.tolist(), stop.tolist(), strict=True)):
+                # a later equal stretch is a repeat as a whole
+                if (part := text[a:b]) not in seen:
+                    seen.add(part)
+                    parts.append(part)
+                    new[k] = True
+            known.append((np.full(len(use), i), first, stop) if not new.any() else (np.full((~new).sum(), i), first[~new], stop[~new]))
+            n = salts[at[use[new]]].astype(np.int64)
+            salt = np.zeros(len(n), np.int64)
+            for k in np.flatnonzero(n > 1).tolist():
+                salt[k] = xxhash.xxh32_intdigest(f"{o} {d} {first[new][k]}") % n[k]
+            own.append((hashes[use[new]].view(np.int64), salt, n > 1, np.full(len(n), d), first[new], np.full(len(n), i, np.int32)))
+            of[0].append(o)
+            of[1].append(len(n))
         trim()
-        return pa.table([pa.array(c, k) for c, k in zip(columns, _kinds(table), strict=True)], names=[c.split(" ")[0] for c in _STRETCH.split(", ")])
+        kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), table["o"].type, pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+        names = [c.split(" ")[0] for c in _STRETCH.split(", ")]
+        if not own:
+            return pa.table([pa.array([], k) for k in kinds], names=names)
+        anchor, salt, salted, d, start, number = map(np.concatenate, zip(*own, strict=True))
+        block = table["block"][0].as_py()
+        o = pa.array(of[0], kinds[4]).take(pa.array(np.repeat(np.arange(len(of[0])), of[1])))
+        found = pa.table([pa.array(x, k) for x, k in zip((anchor, salt, salted, np.full(len(anchor), block), o, d, start, number, parts), kinds, strict=True)], names=names)
+        i, first, stop = map(np.concatenate, zip(*known, strict=True))
+        if not len(i):
+            return found
+        rest = pa.table([pa.array([x], k) for x, k in zip((None, block, None, block, None, None, None, None, _packed(i, first, stop)), kinds, strict=True)], names=names)
+        return pa.concat_tables([found, rest])
 
     return stretched
 
 
-def _kinds(table: pa.Table) -> tuple:
-    return (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), table["o"].type, pa.int64(), pa.int64(), pa.int64(), pa.binary())
-
-
-_FOUND = "block long, o {o}, d long, first long, stop long, digest binary"
-
+def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All bytes of a binary column, where each value begins and its length."""
+    at = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    return np.frombuffer(column.buffers()[2], np.uint8)[at[0] : at[-1]], at[:-1] - at[0], np.diff(at)
+
+
+def together(column: pa.Array, anchor: np.ndarray, group: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> np.ndarray:
+    """Which of different stretches may have a window that another of their group has.
+
+    A window that starts ``half`` bytes or more before its anchor holds those and the anchor, another one holds the anchor
+    and what follows up to the window's length. Stretches that share neither have no window in common.
+    """
+    text, begins, lengths = _bytes(column)
+    row = np.repeat(np.arange(len(lengths)), lengths)
+    hits = np.flatnonzero(_hashed(text.tobytes(), gram).view(np.int64) == anchor[row][: len(text) - gram + 1])
+    of, inside = row[hits], hits - begins[row[hits]]
+    within = (inside >= lengths[of] - window) & (inside <= window - gram)
+    # all windows of the stretch hold it, and of several the first is the anchor
+    of, first = np.unique(of[within], return_index=True)
+    inside, half = inside[within][first], (window - gram + 1) // 2
+    back, ahead = inside >= half, inside - (lengths[of] - window) < half
+    out = np.ones(len(lengths), bool)
+    out[of] = False
+    for some, size, shift in ((back, half + gram, -half), (ahead, window - half + 1, 0)):
+        if not some.any():
+            continue
+        met = np.zeros((some.sum(), -(-size // 8) * 8), np.uint8)
+        met[:, :size] = np.lib.stride_tricks.sliding_window_view(text, size)[begins[of[some]] + inside[some] + shift]
+        h = group[of[some]].astype(np.uint64)
+        for eight in met.view("<u8").T:
+            h = _mixed(h, eight)
+        # two that differ with one hash only go to the shards in vain
+        _, key, n = np.unique(h, return_inverse=True, return_counts=True)
+        out[of[some]] |= n[key] > 1
+    return out
 
-def _resolved(window: int, shard: int):
-    """Stretches in order of (anchor, salt, document, place): spans of repeated windows (no digest) and, of
-    salted anchors, each window that is first here."""
 
-    def resolved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        size, group, kind = 0, None, pa.int64()
-
-        def out(rows: list[tuple]) -> pa.RecordBatch:
-            columns = list(zip(*rows, strict=True)) or [[]] * 6
-            kinds = (pa.int64(), kind, pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["block", "o", "d", "first", "stop", "digest"])
-
-        def resolve() -> pa.RecordBatch:
-            found, kept, at, groups = [], [], {}, []
-            for row in held:
-                key = (row[0], row[1], row[8])
-                if key in at:
-                    found.append((*row[3:8], None))
-                else:
-                    at[key] = len(kept)
-                    kept.append(row)
-                    groups.append((row[0], row[1]))
-            numbers = {g: i for i, g in enumerate(dict.fromkeys(groups))}
-            of, inside = repeated([r[8] for r in kept], [numbers[g] for g in groups], window, shard)
+#: Spans of a block, packed (no digest), or a window that is first in its salt.
+_FOUND = "block long, o {o}, d long, i int, first long, digest binary, spans binary"
+
+
+def _resolved(window: int, gram: int, shard: int):
+    """Stretches in order of (anchor, salt, document, place): spans of repeated windows and, of salted anchors,
+    each window that is first here."""
+
+    def resolve(table: pa.Table) -> pa.RecordBatch:
+        column = table["bytes"].combine_chunks()
+        anchor, salt, block, d, start, number = (table[c].to_numpy() for c in ("anchor", "salt", "block", "d", "start", "i"))
+        lengths = _bytes(column)[2]
+        group = np.cumsum(np.concatenate(([False], (anchor[1:] != anchor[:-1]) | (salt[1:] != salt[:-1]))))
+        value = column.dictionary_encode().indices.to_numpy()
+        # equal stretches of a group: the first stays, the others go as a whole
+        kept = np.sort(np.unique(group * (len(value) + 1) + value, return_index=True)[1])
+        again = np.delete(np.arange(len(value)), kept)
+        spans = [(again, start[again], start[again] + lengths[again])]
+        alone = np.bincount(group[kept])[group[kept]] == 1
+        some = kept[~alone]
+        if len(some):
+            some = some[together(column.take(pa.array(some)), anchor[some], group[some], window, gram)]
+        of = inside = np.zeros(0, np.int64)
+        if len(some):
+            of, inside = repeated(column.take(pa.array(some)).to_pylist(), group[some].tolist(), window, shard)
             order = np.lexsort((inside, of))
-            of, inside = of[order], inside[order]
-            cuts = np.searchsorted(of, np.arange(len(kept) + 1))
-            for i, (_, _, salted, block, o, d, start, stop, part) in enumerate(kept):
-                mine = inside[cuts[i] : cuts[i + 1]]
-                if len(mine):
-                    breaks = np.flatnonzero(np.diff(mine) > 1)
-                    for a, b in zip(np.append(mine[0], mine[breaks + 1]).tolist(), np.append(mine[breaks], mine[-1]).tolist(), strict=True):
-                        found.append((block, o, d, start + a, start + b + window, None))
-                if salted:
-                    for j in np.setdiff1d(np.arange(stop - start - window + 1), mine).tolist():
-                        found.append((block, o, d, start + j, start + j + window, xxhash.xxh3_128_digest(part[j : j + window])))
-            return out(found)
+            of, inside = some[of[order]], inside[order]
+            edge = np.flatnonzero((of[1:] != of[:-1]) | (inside[1:] != inside[:-1] + 1)) + 1 if len(of) else of
+            if len(of):
+                a, b = np.concatenate(([0], edge)), np.concatenate((edge, [len(of)])) - 1
+                spans.append((of[a], start[of[a]] + inside[a], start[of[a]] + inside[b] + window))
+        of_span, first, stop = map(np.concatenate, zip(*spans, strict=True))
+        order = np.argsort(block[of_span], kind="stable")
+        of_span, first, stop = of_span[order], first[order], stop[order]
+        cuts = np.flatnonzero(np.diff(block[of_span])) + 1
+        packed = [_packed(number[x], y, z) for x, y, z in zip(*(np.split(v, cuts) for v in (of_span, first, stop)), strict=True)] if len(of_span) else []
+        blocks = block[of_span[np.concatenate(([0], cuts))]] if len(of_span) else of_span
+        at, place, digests = [], [], []
+        salted = kept[table["salted"].to_numpy()[kept]]
+        for k, text in zip(salted.tolist(), column.take(pa.array(salted)).to_pylist(), strict=True):
+            mine = inside[np.searchsorted(of, k) : np.searchsorted(of, k, side="right")]
+            left = np.setdiff1d(np.arange(len(text) - window + 1), mine)
+            at.append(np.full(len(left), k))
+            place.append(start[k] + left)
+            digests += [xxhash.xxh3_128_digest(text[j : j + window]) for j in left.tolist()]
+        at = np.concatenate(at) if at else np.zeros(0, np.int64)
+        place = np.concatenate(place) if place else at
+        rows, none = len(blocks), lambda n, k: pa.nulls(n, k)
+        both = lambda x, y: pa.concat_arrays([x, y])
+        o = table["o"].combine_chunks()
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.concatenate((blocks, block[at])).astype(np.int64)),
+                both(none(rows, o.type), o.take(pa.array(at))),
+                both(none(rows, pa.int64()), pa.array(d[at])),
+                both(none(rows, pa.int32()), pa.array(number[at].astype(np.int32))),
+                both(none(rows, pa.int64()), pa.array(place.astype(np.int64))),
+                both(none(rows, pa.binary()), pa.array(digests, pa.binary())),
+                both(pa.array(packed, pa.binary()), none(len(at), pa.binary())),
+            ],
+            [c.split(" ")[0] for c in _FOUND.split(", ")],
+        )
 
+    def resolved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = 0
         for batch in batches:
-            kind, passed = batch["o"].type, []
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if row[8] is None:
-                    passed.append((*row[3:8], None))
-                    continue
-                if row[:2] != group and size >= MERGED:
-                    yield resolve()
-                    held, size = [], 0
+            is_known = pc.is_null(batch["anchor"])
+            if known := pc.sum(is_known).as_py():
+                spans = batch.filter(is_known)
+                kinds = (batch["o"].type, pa.int64(), pa.int32(), pa.int64(), pa.binary())
+                yield pa.RecordBatch.from_arrays([spans["block"], *(pa.nulls(known, k) for k in kinds), spans["bytes"]], [c.split(" ")[0] for c in _FOUND.split(", ")])
+                batch = batch.filter(pc.invert(is_known))
+            if not len(batch):
+                continue
+            held.append(batch)
+            size += _bytes(batch["bytes"])[2].sum()
+            if size >= MERGED:
+                table = pa.Table.from_batches(held)
+                anchor, salt = table["anchor"].to_numpy(), table["salt"].to_numpy()
+                # the last group may go on
+                new = np.flatnonzero((anchor[1:] != anchor[:-1]) | (salt[1:] != salt[:-1]))
+                if len(new):
+                    yield resolve(table.slice(0, new[-1] + 1))
+                    held = table.slice(new[-1] + 1).combine_chunks().to_batches()
+                    size = sum(_bytes(x["bytes"])[2].sum() for x in held)
+                    del table
                     trim()
-                group = row[:2]
-                held.append(row)
-                size += len(row[8])
-            yield out(passed)
         if held:
-            yield resolve()
+            yield resolve(pa.Table.from_batches(held))
 
     return resolved
 
 
+def _united(packed: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document, first byte and the one after of a block's spans, those that touch or overlap as one, in order."""
+    i, first, stop = np.frombuffer(b"".join(packed), "<u4").reshape(-1, 3).astype(np.int64).T
+    order = np.argsort(i << 32 | first)
+    head, reach = (i << 32 | first)[order], np.maximum.accumulate((i << 32 | stop)[order])
+    new = np.flatnonzero(np.concatenate(([True], head[1:] > reach[:-1]))) if len(head) else order
+    last = np.append(new[1:], len(head)) - 1 if len(head) else order
+    return head[new] >> 32, head[new] & 0xFFFFFFFF, reach[last] & 0xFFFFFFFF
+
+
 def dedup_bytes(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM, block_bytes: int = BLOCK, shard: int = SHARD) -> DataFrame:
     """key, n_bytes, n_removed, spans (first byte and the one after, maximal) and kept (binary) of every row."""
     if not 8 <= gram <= window or gram % 8:
@@ -353,30 +471,27 @@ def dedup_bytes(docs: DataFrame, key: str = "doc_id", text: str = "text", window
     told = answers.unionByName(of_block, allowMissingColumns=True)
     stretches = dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_stretched(window, gram), _STRETCH.format(o=of))
     order = ["anchor", "salt", "o", "d", "start"]
-    found = stretches.repartition(parts, "anchor", "salt").sortWithinPartitions(*order).mapInArrow(_resolved(window, shard), _FOUND.format(o=of))
-    alone = F.when(F.col("digest").isNull(), F.struct("o", "d", "first"))
+    found = stretches.repartition(parts, "anchor", "salt").sortWithinPartitions(*order).mapInArrow(_resolved(window, gram, shard), _FOUND.format(o=of))
+    alone = F.when(F.col("digest").isNull(), F.xxhash64("block", "spans"))
     rank = F.row_number().over(Window.partitionBy("digest", alone).orderBy("o", "d", "first"))
-    spans = found.withColumn("rank", rank).where("digest is null or rank > 1").select("block", "o", "d", "first", "stop")
-
-    def remove(table: pa.Table, spans: pa.Table) -> pa.Table:
-        of_doc: dict[tuple, list[tuple[int, int]]] = {}
-        copied = set()
-        for o, d, first, stop in zip(*(spans[c].to_pylist() for c in ("o", "d", "first", "stop")), strict=True):
-            if first is None:
-                copied.add((o, d))
-            else:
-                of_doc.setdefault((o, d), []).append((first, stop))
+    later = F.struct("i", "first", (F.col("first") + window).alias("stop"))
+    spans = found.withColumn("rank", rank).where("digest is null or rank > 1").select("block", "spans", F.when(F.col("digest").isNotNull(), later).alias("later"))
+
+    def remove(table: pa.Table, marks: pa.Table) -> pa.Table:
+        windows = marks["later"].combine_chunks().drop_null().flatten()
+        packed = [x for x in marks["spans"].to_pylist() if x is not None]
+        i, first, stop = _united([*packed, _packed(*(x.to_numpy(zero_copy_only=False) for x in windows))])
+        copied = {x for x in zip(marks["o"].to_pylist(), marks["d"].to_pylist(), strict=True) if x[0] is not None}
+        documents = _numbered(table)
+        cuts = np.searchsorted(i, np.arange(len(documents) + 1)).tolist()
+        of_doc = {document: (a, b) for (document, _), a, b in zip(documents, cuts[:-1], cuts[1:], strict=True)}
+        first, stop = first.tolist(), stop.tolist()
         out = []
-        for i, document in enumerate(zip(table["o"].to_pylist(), table["d"].to_pylist(), strict=True)):
-            body = table["text"][i].as_py()
+        for at, document in enumerate(zip(table["o"].to_pylist(), table["d"].to_pylist(), strict=True)):
+            body = table["text"][at].as_py()
             # a copy's bytes all go, if a window fits in
-            mine = ([(0, len(body))] if len(body) >= window else []) if document in copied else of_doc.get(document, [])
-            depth = np.zeros(len(body) + 1, np.int32)
-            if mine:
-                edges = np.array(mine)
-                np.add.at(depth, edges[:, 0], 1)
-                np.add.at(depth, edges[:, 1], -1)
-            runs = _runs(np.cumsum(depth[:-1]) > 0) if mine else []
+            a, b = of_doc[document]
+            runs = ([(0, len(body))] if len(body) >= window else []) if document in copied else list(zip(first[a:b], stop[a:b], strict=True))
             kept = b"".join(body[a:b] for a, b in zip([0, *(y for _, y in runs)], [*(x for x, _ in runs), len(body)], strict=True))
             out.append((len(body), len(body) - len(kept), [{"first": a, "stop": b} for a, b in runs], kept))
         kinds = (pa.int64(), pa.int64(), pa.list_(pa.struct([("first", pa.int64()), ("stop", pa.int64())])), pa.binary())
