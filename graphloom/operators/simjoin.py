@@ -10,7 +10,7 @@ words, and by the best window of a longer name. Each has a signature of its own;
 piece and what stands there in the shorter one have a text in common after a character is left out. They meet by the whole of it.
 
 **Vectors.** Pivots taken from the vectors make cells; by the triangle inequality of angles a vector can only
-match in cells whose radius, widened by the threshold's angle, reaches it, and there only members
+match in cells whose radius, widened by the threshold's angle, reaches it (equal keys have as many cells as keep blocks full), and there only members
 whose angle to the pivot is like its own. Cells of more than ``CELL`` members are cut in blocks, their visitors
 too; a block of members meets one of visitors as a product of two matrices.
 """
@@ -26,6 +26,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from graphloom.functions.similarity import weighted_ratio_udf
 from graphloom.session import ship
@@ -270,23 +271,47 @@ def edit_links(nodes: DataFrame, text: str, threshold: float, keys: list[str]) -
     return links.unionByName(named.where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b"))).where("a <> b").distinct()
 
 
-def _unit(vector: Column) -> Column:
-    raw = vector.cast("array<double>")
-    size = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda s, x: s + x * x))
-    return F.when(size > 0, F.transform(raw, lambda x: x / size))
+def _placing(chosen: np.ndarray):
+    """To batches of vectors (v, n: the cells that their keys have): the angles to the first n pivots, the nearest one and its angle."""
+
+    def placing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, pivots, cells = batch["v"].value_lengths().to_numpy(), len(chosen), batch["n"].to_numpy()
+            angles = np.empty((len(batch), pivots))
+            for size in np.unique(sizes).tolist():
+                at = np.flatnonzero(sizes == size)
+                rows = _rows(batch["v"].take(pa.array(at)))
+                fit = np.zeros((pivots, size))  # what one of the two does not have counts as zeros
+                fit[:, : chosen.shape[1]] = chosen[:, :size]
+                with np.errstate(invalid="ignore", over="ignore"):
+                    cosines = rows / np.sqrt((rows * rows).sum(axis=1, keepdims=True)) @ fit.T
+                angles[at] = np.arccos(np.clip(np.where(np.isnan(cosines), 1.0, cosines), -1.0, 1.0))
+            cell = np.where(np.arange(pivots) < cells[:, None], angles, np.inf).argmin(axis=1)
+            r = angles[np.arange(len(batch)), cell]
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1) * pivots, pa.int32()), pa.array(angles.ravel()))
+            added = {"angles": flat, "cell": pa.array(cell, pa.int32()), "r": pa.array(r)}
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added.values()], [*batch.schema.names, *added])
+
+    return placing
 
 
 def _placed(nodes: DataFrame, vector: str, threshold: float, keys: list[str], pivots: int) -> tuple[DataFrame, DataFrame, float] | None:
     """Members of cells (cell, block, x, vx, r) and their visitors (cell, block, y, vy, own, s), with ``keys`` and the threshold's angle."""
-    unit = cut(nodes.select("id", *keys, F.col(vector).alias("v"), _unit(F.col(vector)).alias("u")).where(F.col("u").isNotNull()), "units")
+    ship(nodes.sparkSession)
+    squares = F.aggregate(F.col(vector).cast("array<double>"), F.lit(0.0), lambda s, x: s + x * x)
+    vectors = cut(nodes.select("id", *keys, F.col(vector).alias("v")).where(squares > 0), "vectors")
     alpha = math.acos(max(-1.0, min(1.0, threshold))) + 1e-6
-    chosen = [r["u"] for r in unit.orderBy(F.xxhash64("id")).limit(pivots).collect()]  # a bounded number of vectors
-    if not chosen:
+    found = [[float(x) for x in r["v"]] for r in vectors.orderBy(F.xxhash64("id")).limit(pivots).collect()]  # a bounded number of vectors
+    if not found:
         return None
-    centres = F.array(*(F.array(*map(F.lit, p)) for p in chosen))
-    angle = lambda p: F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.aggregate(F.zip_with("u", p, lambda x, y: F.coalesce(x * y, F.lit(0.0))), F.lit(0.0), lambda s, x: s + x))))
-    placed = unit.withColumn("angles", F.transform(centres, angle)).drop("u").withColumn("cell", (F.array_position("angles", F.array_min("angles")) - 1).cast("int"))
-    placed = cut(placed.withColumn("r", F.element_at("angles", F.col("cell") + 1)), "placed")
+    chosen = np.zeros((len(found), max(map(len, found))))
+    for row, p in zip(chosen, found, strict=True):
+        row[: len(p)] = np.array(p) / math.sqrt(sum(x * x for x in p))
+    # a cell spares less than its visitors cost where it has few members: as many as keep blocks full
+    few = F.least(F.ceil(F.count("*") / F.lit(CELL)), F.lit(len(found))).cast("int").alias("n")
+    counted = vectors.join(cut(vectors.groupBy(keys).agg(few), "sizes"), keys)
+    schema = T.StructType([*counted.schema.fields, T.StructField("angles", T.ArrayType(T.DoubleType())), T.StructField("cell", T.IntegerType()), T.StructField("r", T.DoubleType())])
+    placed = cut(counted.mapInArrow(_placing(chosen), schema), "placed")
     radius = {r["cell"]: r["r"] for r in placed.groupBy("cell").agg(F.max("r").alias("r")).collect()}  # a row for each pivot
     blocks = cut(placed.groupBy(*keys, "cell").agg(F.ceil(F.count("*") / F.lit(CELL)).cast("int").alias("blocks")), "cells")
     members = placed.join(blocks, [*keys, "cell"]).select(*keys, "cell", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"), F.col("id").alias("x"), F.col("v").alias("vx"), "r")
@@ -310,8 +335,8 @@ def vector_candidates(nodes: DataFrame, vector: str, threshold: float, keys: lis
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.when(first, F.col("vx")).otherwise(F.col("vy")).alias("va"), F.when(first, F.col("vy")).otherwise(F.col("vx")).alias("vb"))
 
 
-def _rows(column: pa.ChunkedArray) -> np.ndarray:
-    flat = pc.list_flatten(column.combine_chunks()).to_numpy(zero_copy_only=False)
+def _rows(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    flat = pc.list_flatten(column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column).to_numpy(zero_copy_only=False)
     return np.asarray(flat, np.float64).reshape(len(column), -1)
 
 
@@ -354,7 +379,6 @@ def vector_pairs(nodes: DataFrame, vector: str, threshold: float, keys: list[str
         raise ValueError("the threshold is over 0 and at most 1")
     kind = nodes.schema["id"].dataType.simpleString()
     ready = nodes.where(F.col(vector).isNotNull() & F.col("id").isNotNull()).withColumn("_size", F.size(vector)).dropna(subset=keys)
-    ship(nodes.sparkSession)
     sides = _placed(ready, vector, threshold, [*keys, "_size"], pivots)
     if sides is None:
         return ready.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
