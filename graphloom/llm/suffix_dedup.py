@@ -16,11 +16,12 @@ stretches that may repeat enter shards, dealt so that equal windows surely meet:
    the order to ``d`` bytes the transform's symbols of ``g`` bytes give the order to ``d + g``, no suffix
    is sorted again. Borders that a round adds are where the common prefix ends; the runs without border
    after the last round are the repeated intervals. In each, the first window stays.
-4. Anchors of more than ``SALTED`` stretches are salted; windows that are first in their salt meet again by
-   a 128-bit digest, one row a salt.
+4. Anchors of more than ``SALTED`` stretches are salted. Windows that are first in their salt go on as pieces: runs of windows
+   whose anchor stands in the same of ``PARTS`` parts of them, so that all hold the same bytes around it. Equal windows are in
+   pieces that hold the same; where a second salt has such a piece too, its windows meet by a 128-bit digest, one row a salt.
 5. Spans go back to their blocks, packed by block, with each document's number in its block; the blocks cut the texts.
 
-Texts are shuffled once, by block, a hash of the row's id and text; no block holds more than its rows.
+Texts are shuffled twice, by block, a hash of the row's id and text; no block holds more than its rows.
 Null and empty texts have no bytes. Rows of one id with one text are one document, in one block; rows of one
 id with different texts are in order of a hash of the text. Null ids come before all others. Ids are whole
 numbers or text. Other columns are ignored; an empty table gives an empty result.
@@ -45,6 +46,8 @@ WINDOW, GRAM = 100, 16
 BLOCK, SHARD, MERGED = 4 << 20, 1 << 17, 1 << 20
 #: Anchors that a share of hashes has, stretches of an anchor without salts, about.
 SHARE, SALTED = 500_000, 4096
+#: Parts of a window by where its anchor stands: more of them are more pieces, but fewer windows that meet.
+PARTS = 4
 _FIRST = -(1 << 63)
 #: Bits of a position within what is hashed or merged at a time.
 _PLACE = 21
@@ -306,6 +309,26 @@ def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(column.buffers()[2], np.uint8)[at[0] : at[-1]], at[:-1] - at[0], np.diff(at)
 
 
+def _anchored(text: np.ndarray, begins: np.ndarray, lengths: np.ndarray, anchor: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """Stretches and the place of each one's anchor."""
+    row = np.repeat(np.arange(len(lengths)), lengths)
+    hits = np.flatnonzero(_hashed(text.tobytes(), gram).view(np.int64) == anchor[row][: len(text) - gram + 1])
+    of, inside = row[hits], hits - begins[row[hits]]
+    within = (inside >= lengths[of] - window) & (inside <= window - gram)
+    # all windows of the stretch hold it, and of several the first is the anchor
+    of, first = np.unique(of[within], return_index=True)
+    return of, inside[within][first]
+
+
+def _held(text: np.ndarray, at: np.ndarray, size: int, h: np.ndarray) -> np.ndarray:
+    """A hash of the ``size`` bytes at each place, that goes on from ``h``."""
+    met = np.zeros((len(at), -(-size // 8) * 8), np.uint8)
+    met[:, :size] = np.lib.stride_tricks.sliding_window_view(text, size)[at]
+    for eight in met.view("<u8").T:
+        h = _mixed(h, eight)
+    return h
+
+
 def together(column: pa.Array, anchor: np.ndarray, group: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> np.ndarray:
     """Which of different stretches may have a window that another of their group has.
 
@@ -313,37 +336,47 @@ def together(column: pa.Array, anchor: np.ndarray, group: np.ndarray, window: in
     and what follows up to the window's length. Stretches that share neither have no window in common.
     """
     text, begins, lengths = _bytes(column)
-    row = np.repeat(np.arange(len(lengths)), lengths)
-    hits = np.flatnonzero(_hashed(text.tobytes(), gram).view(np.int64) == anchor[row][: len(text) - gram + 1])
-    of, inside = row[hits], hits - begins[row[hits]]
-    within = (inside >= lengths[of] - window) & (inside <= window - gram)
-    # all windows of the stretch hold it, and of several the first is the anchor
-    of, first = np.unique(of[within], return_index=True)
-    inside, half = inside[within][first], (window - gram + 1) // 2
+    of, inside = _anchored(text, begins, lengths, anchor, window, gram)
+    half = (window - gram + 1) // 2
     back, ahead = inside >= half, inside - (lengths[of] - window) < half
     out = np.ones(len(lengths), bool)
     out[of] = False
     for some, size, shift in ((back, half + gram, -half), (ahead, window - half + 1, 0)):
         if not some.any():
             continue
-        met = np.zeros((some.sum(), -(-size // 8) * 8), np.uint8)
-        met[:, :size] = np.lib.stride_tricks.sliding_window_view(text, size)[begins[of[some]] + inside[some] + shift]
-        h = group[of[some]].astype(np.uint64)
-        for eight in met.view("<u8").T:
-            h = _mixed(h, eight)
+        h = _held(text, begins[of[some]] + inside[some] + shift, size, group[of[some]].astype(np.uint64))
         # two that differ with one hash only go to the shards in vain
         _, key, n = np.unique(h, return_inverse=True, return_counts=True)
         out[of[some]] |= n[key] > 1
     return out
 
 
-#: Spans of a block, packed (no digest), or a window that is first in its salt.
+def parted(column: pa.Array, anchor: np.ndarray, of: np.ndarray, inside: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+    """Pieces of stretches without the windows (of, inside): stretch, first window, number of windows, and a hash of what all windows
+    of that part hold. Equal windows have equal hashes."""
+    text, begins, lengths = _bytes(column)
+    place, wide = _anchored(text, begins, lengths, anchor, window, gram)[1], -(-(window - gram + 1) // PARTS)
+    n = lengths - window + 1
+    ahead = np.cumsum(n) - n
+    stays = np.ones(n.sum(), bool)
+    stays[ahead[of] + inside] = False
+    row = np.repeat(np.arange(len(n)), n)[stays]
+    at = np.flatnonzero(stays) - ahead[row]
+    part = (place[row] - at) // wide
+    edge = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (at[1:] != at[:-1] + 1) | (part[1:] != part[:-1])))) if len(row) else row
+    size, row, at, part = np.diff(np.append(edge, len(row))), row[edge], at[edge], part[edge]
+    return row, at, size, _held(text, begins[row] + place[row] - part * wide, window - wide + 1, anchor[row].astype(np.uint64)).view(np.int64)
+
+
+#: A piece of windows that are first in their salt; where the part is null, spans of a block (packed) that go.
+_PIECE = "block long, o {o}, d long, i int, first long, salt long, part long, bytes binary"
+#: Spans of a block, packed (no digest), or a window.
 _FOUND = "block long, o {o}, d long, i int, first long, digest binary, spans binary"
 
 
-def _resolved(window: int, gram: int, shard: int):
+def _pieces(window: int, gram: int, shard: int):
     """Stretches in order of (anchor, salt, document, place): spans of repeated windows and, of salted anchors,
-    each window that is first here."""
+    the windows that are first here, in pieces."""
 
     def resolve(table: pa.Table) -> pa.RecordBatch:
         column = table["bytes"].combine_chunks()
@@ -374,41 +407,41 @@ def _resolved(window: int, gram: int, shard: int):
         cuts = np.flatnonzero(np.diff(block[of_span])) + 1
         packed = [_packed(number[x], y, z) for x, y, z in zip(*(np.split(v, cuts) for v in (of_span, first, stop)), strict=True)] if len(of_span) else []
         blocks = block[of_span[np.concatenate(([0], cuts))]] if len(of_span) else of_span
-        at, place, digests = [], [], []
         salted = kept[table["salted"].to_numpy()[kept]]
-        for k, text in zip(salted.tolist(), column.take(pa.array(salted)).to_pylist(), strict=True):
-            mine = inside[np.searchsorted(of, k) : np.searchsorted(of, k, side="right")]
-            left = np.setdiff1d(np.arange(len(text) - window + 1), mine)
-            at.append(np.full(len(left), k))
-            place.append(start[k] + left)
-            digests += [xxhash.xxh3_128_digest(text[j : j + window]) for j in left.tolist()]
-        at = np.concatenate(at) if at else np.zeros(0, np.int64)
-        place = np.concatenate(place) if place else at
-        rows, none = len(blocks), lambda n, k: pa.nulls(n, k)
-        both = lambda x, y: pa.concat_arrays([x, y])
-        o = table["o"].combine_chunks()
+        at = first = part = np.zeros(0, np.int64)
+        parts: list[bytes] = []
+        if len(salted):
+            texts, mine = column.take(pa.array(salted)), np.isin(of, salted)
+            row, first, size, part = parted(texts, anchor[salted], np.searchsorted(salted, of[mine]), inside[mine], window, gram)
+            text, begins, _ = _bytes(texts)
+            whole, a = text.tobytes(), begins[row] + first
+            parts = [whole[x:y] for x, y in zip(a.tolist(), (a + size + window - 1).tolist(), strict=True)]
+            at = salted[row]
+        rows = len(blocks)
+        both = lambda v, k: pa.concat_arrays([pa.nulls(rows, k), v.cast(k)])
         return pa.RecordBatch.from_arrays(
             [
                 pa.array(np.concatenate((blocks, block[at])).astype(np.int64)),
-                both(none(rows, o.type), o.take(pa.array(at))),
-                both(none(rows, pa.int64()), pa.array(d[at])),
-                both(none(rows, pa.int32()), pa.array(number[at].astype(np.int32))),
-                both(none(rows, pa.int64()), pa.array(place.astype(np.int64))),
-                both(none(rows, pa.binary()), pa.array(digests, pa.binary())),
-                both(pa.array(packed, pa.binary()), none(len(at), pa.binary())),
+                both(table["o"].combine_chunks().take(pa.array(at)), table["o"].type),
+                both(pa.array(d[at]), pa.int64()),
+                both(pa.array(number[at]), pa.int32()),
+                both(pa.array(start[at] + first), pa.int64()),
+                both(pa.array(salt[at]), pa.int64()),
+                both(pa.array(part), pa.int64()),
+                pa.array(packed + parts, pa.binary()),
             ],
-            [c.split(" ")[0] for c in _FOUND.split(", ")],
+            [c.split(" ")[0] for c in _PIECE.split(", ")],
         )
 
-    def resolved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         size = 0
         for batch in batches:
             is_known = pc.is_null(batch["anchor"])
             if known := pc.sum(is_known).as_py():
                 spans = batch.filter(is_known)
-                kinds = (batch["o"].type, pa.int64(), pa.int32(), pa.int64(), pa.binary())
-                yield pa.RecordBatch.from_arrays([spans["block"], *(pa.nulls(known, k) for k in kinds), spans["bytes"]], [c.split(" ")[0] for c in _FOUND.split(", ")])
+                kinds = (batch["o"].type, pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([spans["block"], *(pa.nulls(known, k) for k in kinds), spans["bytes"]], [c.split(" ")[0] for c in _PIECE.split(", ")])
                 batch = batch.filter(pc.invert(is_known))
             if not len(batch):
                 continue
@@ -428,7 +461,31 @@ def _resolved(window: int, gram: int, shard: int):
         if held:
             yield resolve(pa.Table.from_batches(held))
 
-    return resolved
+    return pieces
+
+
+def _windows(window: int):
+    """Pieces to their windows, a row each; spans stay as they are."""
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            is_spans = pc.is_null(batch["part"])
+            texts = batch["bytes"].to_pylist()
+            n = np.array([1 if s else len(x) - window + 1 for s, x in zip(is_spans.to_pylist(), texts, strict=True)], np.int64)
+            row = pa.array(np.repeat(np.arange(len(n)), n))
+            inside = pa.array(np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
+            digests = [None if s else xxhash.xxh3_128_digest(x[j : j + window]) for s, x, k in zip(is_spans.to_pylist(), texts, n.tolist(), strict=True) for j in range(k)]
+            spans = pc.if_else(is_spans, batch["bytes"], pa.scalar(None, pa.binary())).take(row)
+            columns = [*(batch[c].take(row) for c in ("block", "o", "d", "i")), pc.add(batch["first"].take(row), inside), pa.array(digests, pa.binary()), spans]
+            yield pa.RecordBatch.from_arrays(columns, [c.split(" ")[0] for c in _FOUND.split(", ")])
+
+    return windows
+
+
+def _resolved(window: int, gram: int, shard: int):
+    """Pieces and all their windows in one go, where no other salt is asked which pieces it has."""
+    pieces, windows = _pieces(window, gram, shard), _windows(window)
+    return lambda batches: windows(pieces(batches))
 
 
 def _united(packed: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -471,11 +528,15 @@ def dedup_bytes(docs: DataFrame, key: str = "doc_id", text: str = "text", window
     told = answers.unionByName(of_block, allowMissingColumns=True)
     stretches = dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_stretched(window, gram), _STRETCH.format(o=of))
     order = ["anchor", "salt", "o", "d", "start"]
-    found = stretches.repartition(parts, "anchor", "salt").sortWithinPartitions(*order).mapInArrow(_resolved(window, gram, shard), _FOUND.format(o=of))
-    alone = F.when(F.col("digest").isNull(), F.xxhash64("block", "spans"))
-    rank = F.row_number().over(Window.partitionBy("digest", alone).orderBy("o", "d", "first"))
+    # as tables: what a task merges is read three times, and a part of many pieces is split in the join
+    pieces = cut(stretches.repartition(parts, "anchor", "salt").sortWithinPartitions(*order).mapInArrow(_pieces(window, gram, shard), _PIECE.format(o=of)), "pieces")
+    first = pieces.where("part is not null")
+    several = cut(first.groupBy("part").agg(F.min("salt").alias("least"), F.max("salt").alias("most")).where("least <> most").select("part"), "several")
+    found = first.join(several.hint("merge"), "part").mapInArrow(_windows(window), _FOUND.format(o=of))
+    rank = F.row_number().over(Window.partitionBy("digest").orderBy("o", "d", "first"))
     later = F.struct("i", "first", (F.col("first") + window).alias("stop"))
-    spans = found.withColumn("rank", rank).where("digest is null or rank > 1").select("block", "spans", F.when(F.col("digest").isNotNull(), later).alias("later"))
+    again = found.withColumn("rank", rank).where("rank > 1").select("block", later.alias("later"))
+    spans = pieces.where("part is null").select("block", F.col("bytes").alias("spans")).unionByName(again, allowMissingColumns=True)
 
     def remove(table: pa.Table, marks: pa.Table) -> pa.Table:
         windows = marks["later"].combine_chunks().drop_null().flatten()
